@@ -3,10 +3,13 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .fingerprints import fingerprint_edits
 from .licenses import scan_licenses
+from .mixing import mixing_plan
+from .packing import pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +20,25 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op6_exact_dedup, op10_fingerprints)
+    f.__name__: f for f in (op1_license_scan, op4_mix_sources, op6_exact_dedup, op9_pack, op10_fingerprints)
 }
 
 OP6_SQL = r"""
@@ -41,4 +53,36 @@ SELECT doc_id,
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, md5('17|' || doc_id) AS key,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents
+), s AS (
+  SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s
+), l AS (
+  SELECT *, CAST(2 * coalesce(sum(source_size) OVER b, 0) AS BIGINT) AS full_,
+         CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS BIGINT) AS open_,
+         CAST(sum(source_size) OVER () AS BIGINT) AS total_,
+         row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS nth
+  FROM w WINDOW b AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), r AS (
+  SELECT arg_min((CAST(total_ AS DOUBLE) * 1.5::DOUBLE - full_) / open_, nth) AS rate FROM l
+  WHERE (CAST(total_ AS DOUBLE) * 1.5::DOUBLE - full_) / open_ * weight <= 2 * source_size
+), t AS (
+  SELECT source, n, source_size, least(rate * weight, 2.0::DOUBLE * source_size) AS target FROM l, r
+), p AS (
+  SELECT d.*, t.source_size, t.target,
+         CAST('0x' || substr(key, 1, 8) AS BIGINT) % least((n + 511) // 512, 65536) AS block
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY block, key, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle FROM p
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (CAST(middle <= target AS INT) + CAST(source_size + middle <= target AS INT)) AS BIGINT) AS taken
+FROM q
+"""
+
+ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op6_exact_dedup": OP6_SQL}
