@@ -10,6 +10,7 @@ from .fingerprints import fingerprint_edits
 from .licenses import scan_licenses
 from .mixing import mixing_plan
 from .packing import pack
+from .warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
@@ -38,7 +43,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op4_mix_sources, op6_exact_dedup, op9_pack, op10_fingerprints)
+    f.__name__: f for f in (op1_license_scan, op2_warc, op4_mix_sources, op6_exact_dedup, op9_pack, op10_fingerprints)
 }
 
 OP6_SQL = r"""
