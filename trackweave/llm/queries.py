@@ -9,6 +9,7 @@ from .exact_dedup import exact_groups
 from .fingerprints import fingerprint_edits
 from .licenses import scan_licenses
 from .mixing import mixing_plan
+from .ngram_join import jaccard_join
 from .packing import pack
 from .warc import archive_pages
 
@@ -25,6 +26,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
@@ -43,7 +48,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_warc, op4_mix_sources, op6_exact_dedup, op9_pack, op10_fingerprints)
+    f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram_join, op4_mix_sources, op6_exact_dedup, op9_pack, op10_fingerprints)
 }
 
 OP6_SQL = r"""
@@ -90,4 +95,32 @@ SELECT doc_id, size, source_size, target,
 FROM q
 """
 
-ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct([array_to_string(ws[i:i+4], ' ') FOR i IN range(1, greatest(len(ws) - 3, 2))]) AS sh
+  FROM w WHERE len(ws) > 0
+), n AS (SELECT doc_id, len(sh) AS n FROM s),
+x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b, c, na.n AS na, nb.n AS nb FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE c >= 0.8 * (na.n + nb.n - c)
+), r AS (
+  SELECT doc_id, doc_id AS m FROM documents
+  UNION
+  SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.m
+), k AS (SELECT doc_id, min(m) AS class_id FROM r GROUP BY ALL)
+SELECT k.doc_id,
+       least(k.doc_id, coalesce(min(b) FILTER (WHERE c = na AND c = nb), k.doc_id)) AS same_id,
+       k.class_id,
+       1 + count(b) FILTER (WHERE c = na AND c = nb) AS copies,
+       count(b) AS n_links
+FROM k LEFT JOIN e ON e.a = k.doc_id GROUP BY k.doc_id, k.class_id
+"""
+
+ORACLES: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL, "op6_exact_dedup": OP6_SQL}
