@@ -11,6 +11,8 @@ from .licenses import scan_licenses
 from .mixing import mixing_plan
 from .ngram_join import jaccard_join
 from .packing import pack
+from .quality import fit_quality
+from .suffixes import repeated_passages
 from .warc import archive_pages
 
 
@@ -39,6 +41,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[1]
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -48,7 +58,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram_join, op4_mix_sources, op6_exact_dedup, op9_pack, op10_fingerprints)
+    f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram_join, op4_mix_sources, op6_exact_dedup, op7_quality, op8_suffix_dedup, op9_pack, op10_fingerprints)
 }
 
 OP6_SQL = r"""
