@@ -3,20 +3,52 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from trackweave.llm.exact_dedup import drop_copies
+from trackweave.llm.mixing import mixture
+from trackweave.llm.ngram_join import keep_one_of_each
+from trackweave.llm.packing import pack
+from trackweave.llm.quality import keep_good
 from trackweave.llm.storage import materialise
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes; the others go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return drop_copies(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, shard by shard."""
+    return mixture(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", best_fit_packing),
+]
+# trained models, sketches and the tokenizer can't be expressed in SQL; tests/llm compares the stages with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialise(docs, f"pipeline-{i}")

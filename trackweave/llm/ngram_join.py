@@ -300,3 +300,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("copies", F.lit(1)).alias("copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that name their group (smallest id of all that links join), with all columns."""
+    names = jaccard_join(docs, id_col, text_col, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(names, F.col(id_col) == F.col("__kept"), "left_semi")

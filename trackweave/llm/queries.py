@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .fingerprints import fingerprint_edits
+from .html_text import extract_main_text
 from .licenses import scan_licenses
 from .mixing import mixing_plan
 from .ngram_join import jaccard_join
@@ -37,6 +38,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram_join, op4_mix_sources, op6_exact_dedup, op7_quality, op8_suffix_dedup, op9_pack, op10_fingerprints)
+    f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram_join, op4_mix_sources, op5_html_text, op6_exact_dedup, op7_quality, op8_suffix_dedup, op9_pack, op10_fingerprints)
 }
 
 OP6_SQL = r"""
