@@ -1,0 +1 @@
+"""Interval, signal-track and annotation analytics as lazy PySpark plans."""
