@@ -23,11 +23,12 @@ def parse_motif(text: str) -> list[dict]:
     for line in text.splitlines():
         cells = line.split()
         if line.startswith("#"):
-            section = line[1:].strip().lower()
-        elif section and line.strip():
+            section = line[1:].strip().rstrip(":").lower()
+        elif section.endswith("matrix") or not section:
+            if len(cells) >= 5 and cells[0].isdigit():
+                pwm.append(_row(cells[1:5]))
+        elif line.strip():
             extra.setdefault(section, []).append(line.strip())
-        elif len(cells) >= 5 and cells[0].isdigit():
-            pwm.append(_row(cells[1:5]))
     return [{"factors": extra.get("factor name", []), "species": ",".join(extra.get("species", [])), "pwm": pwm}] if pwm else []
 
 
