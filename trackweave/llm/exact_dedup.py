@@ -49,4 +49,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns; repeats of a kept row go too."""
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])

@@ -136,7 +136,12 @@ class Scanner:
             self.automaton.add(i, ids)
         self.automaton.close()
         whole = {(len(self.texts) + i, len(ws)): i for i, (ws, _) in enumerate(self.phrases)}
-        self.closing = [[whole[e] for e in ends if e in whole] for ends in self.automaton.ends]
+        # phrases that end the strings of each state: its own and those of the states that its suffixes lead to
+        self.closing: list[list[int]] = [[] for _ in self.automaton.ends]
+        for s in sorted(range(1, len(self.closing)), key=lambda s: self.automaton.length[s]):
+            link = self.automaton.link[s]
+            own = [whole[e] for e in self.automaton.ends[s] if e in whole and self.automaton.length[link] < e[1] <= self.automaton.length[s]]
+            self.closing[s] = sorted({*own, *self.closing[link]})
         self.places = [[e for e in ends if e[0] < len(self.texts)] for ends in self.automaton.ends]
         v = len(vocabulary) + 1
         self.follows = np.zeros(v * v, dtype=bool)

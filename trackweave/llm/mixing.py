@@ -125,6 +125,6 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mixed rows of ``docs``, with all their columns, shard by shard and shuffled inside each; ids are expected to be unique."""
-    plan = mixing_plan(docs, id_col, text_col, source_col, shards, seed).filter(F.size("draws") > 0).select(F.col("doc_id").alias("__id"), F.explode("draws").alias("__draw"))
-    mixed = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]))
-    return mixed.repartition(shards, "__draw.shard").sortWithinPartitions("__draw.shard", "__draw.place").select(*[docs[c] for c in docs.columns])
+    plan = mixing_plan(docs, id_col, text_col, source_col, shards, seed).filter(F.size("draws") > 0).select(F.col("doc_id").alias("__mix_id"), F.explode("draws").alias("__mix_draw"))
+    mixed = docs.join(plan, docs[id_col].eqNullSafe(plan["__mix_id"]))
+    return mixed.repartition(shards, "__mix_draw.shard").sortWithinPartitions("__mix_draw.shard", "__mix_draw.place").select(*[docs[c] for c in docs.columns])

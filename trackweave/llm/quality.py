@@ -85,7 +85,8 @@ def ngram_models(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw_n[used]), pa.array(good_n[used])], names=["bucket", "raw", "good"])
 
     fitted = sample.select("__label", (F.col("fit") & F.col("good")).alias("target"))
-    marked = docs.join(F.broadcast(fitted), F.col(id_col) == F.col("__label"), "left").select(text_col, "target")
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    marked = texts.join(F.broadcast(fitted), F.col("__id") == F.col("__label"), "left").select("__text", "target")
     counts = marked.mapInArrow(run, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     raw, good = np.full(1 << BITS, SMOOTHING), np.full(1 << BITS, SMOOTHING)
     raw[counts.bucket] += counts.raw
