@@ -156,3 +156,14 @@ def hypergeometric_upper(k: Column, good: Column, bad: Column, draws: Column) ->
 def minus_ten_log10(p: Column, most: float = 3100.0) -> Column:
     """-10 log10 p; ``most`` where p is not positive."""
     return F.when(p <= 0, most).otherwise(-10 * F.log10(p))
+
+
+def binomial_quantile(p: Column, n: Column, chance: Column) -> Column:
+    """Smallest k with P(X <= k) >= p."""
+
+    def value(p: float, n: int, chance: float) -> float:
+        terms = np.cumsum(np.exp(binomial_terms(0, int(n), int(n), chance)))
+        reach = 40 * math.sqrt(n * chance * (1 - chance)) + 60
+        return float(min(max(0, math.floor(n * chance - reach)) + np.searchsorted(terms, p), n))
+
+    return _by_row(value)(p.cast("double"), n.cast("long"), chance.cast("double"))

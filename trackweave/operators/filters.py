@@ -86,3 +86,21 @@ def standardise(df: DataFrame) -> DataFrame:
 def complete(df: DataFrame, keys: DataFrame, on: list[str], fill: float = 0) -> DataFrame:
     """All rows of ``keys``, with ``fill`` in the columns of missing ones."""
     return keys.join(df, on, "left").fillna(fill)
+
+
+def scored_everywhere(df: DataFrame) -> DataFrame:
+    """One row: whether each chromosome has scores, and only present ones."""
+    return df.agg(F.coalesce(F.bool_and(F.col("score").isNotNull()), F.lit(False)).alias("scored"))
+
+
+def filled_scores(df: DataFrame, score: float = 1.0) -> DataFrame:
+    return df.withColumns({"score": F.lit(score), "name": F.lit("0")})
+
+
+def percentile_part(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """Rows between two percentiles of a column (by index, both in)."""
+    from .aggregates import nth_values
+
+    last = F.col("n") - 1
+    limits = nth_values(df, column, F.floor(last * low / 100), F.floor(last * high / 100)).select(F.col("v0").alias("__low"), F.col("v1").alias("__high"))
+    return df.join(F.broadcast(limits), F.col(column).between(F.col("__low"), F.col("__high"))).drop("__low", "__high")

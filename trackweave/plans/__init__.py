@@ -1,8 +1,8 @@
 """Queries over the driver's tables, each with its SQL twin."""
 
-from . import annotation, composites, intervals, motifs, numeric, records, tracks
+from . import annotation, composites, intervals, motifs, numeric, records, streams, tracks
 from .views import QUERIES, SQL, oracle
 
-MODULES = (annotation, composites, intervals, motifs, numeric, records, tracks)
+MODULES = (annotation, composites, intervals, motifs, numeric, records, streams, tracks)
 
 __all__ = ["QUERIES", "SQL", "oracle"]

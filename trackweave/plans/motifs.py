@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pwm as P
 from ..functions import strings as S
+from ..operators import sequences as Q
 from . import views as V
 from .views import query, rounded
 
@@ -63,3 +64,31 @@ def burrows_wheeler_round_trip(spark, sf):
 @query("SELECT doc_id, reverse(translate(upper(regexp_replace(text, '[^acgtACGT]', '', 'g')), 'ACGT', 'TGCA')) AS sequence FROM documents")
 def reverse_complement(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", S.reverse_complement(F.upper(F.regexp_replace("text", "[^acgtACGT]", ""))).alias("sequence"))
+
+
+@query(r"""SELECT name, CAST(start AS INTEGER) AS start, read, reverse(translate(far, 'ACGT', 'TGCA')) AS mate FROM (SELECT name, start, upper(substr(sequence, start + 1, 12)) AS read, upper(substr(sequence, start + 89, 12)) AS far FROM (
+SELECT name, sequence, w * 300 + CAST('0x' || substr(md5('1|' || name || '|' || w), 1, 8) AS BIGINT) % 300 AS start FROM (
+SELECT name, sequence, unnest(range(0, greatest((len(sequence) - 1) // 300, 0) + 1)) AS w FROM (SELECT 'd' || doc_id AS name, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtan') AS sequence FROM documents))))
+WHERE len(read) = 12 AND read NOT LIKE '%N%' AND len(far) = 12 AND far NOT LIKE '%N%'""")
+def sampled_reads(spark, sf):
+    """Paired reads from texts spelt in four letters."""
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtan")
+    named = V.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), letters.alias("sequence"))
+    return Q.sample_reads(named, 12, 300, 1, 100).select("name", "start", "read", "mate")
+
+
+@query("""SELECT motif, num, ref, round(num / e, 6) AS fold, round(CASE WHEN num = 0 THEN 1 ELSE (SELECT sum(exp(-e + i * ln(e) - lgamma(i + 1))) FROM range(num, num + 400) z(i)) END, 8) AS p FROM (
+SELECT m.motif, coalesce(num, 0) AS num, coalesce(ref, 0) AS ref, greatest(coalesce(ref, 0), 1) * (SELECT sum("end" - start) FROM r WHERE k = 0) / (SELECT sum("end" - start) FROM r WHERE k = 1) AS e FROM (SELECT DISTINCT motif FROM h) m
+LEFT JOIN (SELECT motif, count(DISTINCT (h.chrom, pos)) AS num FROM h JOIN r ON k = 0 AND r.chrom = h.chrom AND r.start < pos + 5 AND pos < r."end" GROUP BY ALL) a ON a.motif = m.motif
+LEFT JOIN (SELECT motif, count(DISTINCT (h.chrom, pos)) AS ref FROM h JOIN r ON k = 1 AND r.chrom = h.chrom AND r.start < pos + 5 AND pos < r."end" GROUP BY ALL) b ON b.motif = m.motif)""".replace(
+    "FROM h JOIN", "FROM (SELECT DISTINCT l_returnflag AS chrom, l_orderkey * 100 + l_suppkey % 100 AS pos, l_suppkey % 40 AS motif FROM lineitem) h JOIN").replace("FROM h)", "FROM (SELECT l_suppkey % 40 AS motif FROM lineitem))").replace(
+    "JOIN r ON", """JOIN (SELECT chrom, k, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom, k ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM (
+SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY chrom, k ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (SELECT chrom, start, "end", line % 2 AS k FROM v_regions))) GROUP BY chrom, k, island) r ON""").replace(
+    "FROM r WHERE", """FROM (SELECT chrom, k, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom, k ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM (
+SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY chrom, k ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (SELECT chrom, start, "end", line % 2 AS k FROM v_regions))) GROUP BY chrom, k, island) r WHERE"""))
+def motif_enrichment(spark, sf):
+    """Motif hits in one half of the regions against the other half."""
+    r = V.regions(spark, sf)
+    hits = V.table(spark, sf, "lineitem").selectExpr("l_returnflag AS chrom", "l_orderkey * 100 + l_suppkey % 100 AS pos", "l_suppkey % 40 AS motif")
+    out = Q.motif_enrichment(r.filter("line % 2 = 0"), r.filter("line % 2 = 1"), hits, 5, 64)
+    return rounded(rounded(out.select("motif", "num", "ref", "fold", "p"), "fold"), "p", digits=8)

@@ -101,3 +101,13 @@ def bin_index(spark, sf):
 def hex_colours(spark, sf):
     c = R.as_hex_colour(F.col("s_suppkey") % 256, F.col("s_nationkey").cast("long") * 9 % 256, F.lit(10))
     return V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), c.alias("colour"))
+
+
+@query(f"SELECT id, CAST(list_min([CASE WHEN list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)) FOR j IN range(0, i + 1)]) >= 0.9::DOUBLE THEN i ELSE n END FOR i IN range(0, n + 1)]) AS DOUBLE) AS k FROM (SELECT * FROM ({SMALL}) WHERE id % 20 = 0)")
+def binomial_quantiles(spark, sf):
+    return small(spark, sf).filter("id % 20 = 0").select("id", D.binomial_quantile(F.lit(0.9), F.col("n"), F.col("p")).alias("k"))
+
+
+@query(f"SELECT id, CAST(list_min([CASE WHEN list_sum([exp(-lam + j * ln(lam) - lgamma(j + 1)) FOR j IN range(0, i + 1)]) >= 0.9::DOUBLE THEN i ELSE 999 END FOR i IN range(0, 90)]) AS DOUBLE) AS k FROM (SELECT * FROM ({SMALL}) WHERE id % 20 = 0)")
+def poisson_quantiles(spark, sf):
+    return small(spark, sf).filter("id % 20 = 0").select("id", D.poisson_quantile(F.lit(0.9), F.col("lam")).alias("k"))

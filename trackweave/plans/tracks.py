@@ -240,3 +240,17 @@ def wiggle_reformat(spark, sf):
 @query("""SELECT chrom, pos - 5 AS start, pos - 5 + 9 AS "end", round(value, 4) AS value FROM v_track""")
 def track_as_gff(spark, sf):
     return V.track(spark, sf).select("chrom", (F.col("pos") - 5).alias("start"), (F.col("pos") - 5 + 9).alias("end"), F.round("value", 4).alias("value"))
+
+
+@query()
+def refine_peaks(spark, sf):
+    """Peaks above one level and valleys below another."""
+    t = V.track(spark, sf)
+    high, low = O.local_extrema(t, 4000).filter("value > 40"), O.local_extrema(t, 4000, peaks=False).filter("value < 5")
+    return high.withColumn("kind", F.lit("peak")).unionByName(low.withColumn("kind", F.lit("valley")))
+
+
+@query("""SELECT chrom, pos, value FROM v_track WHERE value BETWEEN (SELECT min(value) FILTER (WHERE i = CAST(floor((n - 1) * 25 / 100.0) AS BIGINT)) FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM v_track))
+AND (SELECT min(value) FILTER (WHERE i = CAST(floor((n - 1) * 75 / 100.0) AS BIGINT)) FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM v_track))""")
+def middle_half(spark, sf):
+    return L.percentile_part(V.track(spark, sf), "value", 25, 75)
