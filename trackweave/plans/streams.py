@@ -25,8 +25,9 @@ def finished(out: DataFrame, schema_like: DataFrame) -> DataFrame:
     return spark.read.schema(schema_like.schema).parquet(f"{base}/out")
 
 
-# whole seconds since 1970 by the clock of the session, in which the events' times were read
-SECONDS = F.expr("timestampdiff(SECOND, TIMESTAMP'1970-01-01 00:00:00', start)")
+def seconds(column: str):
+    """Whole seconds since 1970 by the clock of the session, in which the events' times were read."""
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP'1970-01-01 00:00:00', {column})")
 
 
 # windows that end before the watermark: an hour before the last event
@@ -34,7 +35,7 @@ SECONDS = F.expr("timestampdiff(SECOND, TIMESTAMP'1970-01-01 00:00:00', start)")
 WHERE s + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 1 hour FROM events) GROUP BY ALL""")
 def streamed_hourly_bins(spark, sf):
     out = stream_bins(events(spark, sf))
-    return finished(out, out).select("event_type", SECONDS.alias("start"), F.round("total", 4).alias("total"), "n")
+    return finished(out, out).select("event_type", seconds("start").alias("start"), F.round("total", 4).alias("total"), "n")
 
 
 @query("""SELECT event_type, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, max(value) AS score, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
@@ -42,4 +43,4 @@ SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + I
 GROUP BY event_type, g HAVING max(ts) + INTERVAL 50 minutes <= (SELECT max(ts) - INTERVAL 1 hour FROM events)""")
 def streamed_regions(spark, sf):
     out = stream_regions(events(spark, sf), 20)
-    return finished(out, out).select("event_type", SECONDS.alias("start"), "score", "n")
+    return finished(out, out).select("event_type", seconds("start").alias("start"), "score", "n")
