@@ -1,16 +1,35 @@
 """Text and sequence functions."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def last_column(text: str) -> str:
+    """Last characters of the sorted rotations of the text with a NUL at its end, by prefix doubling."""
+    codes = np.append(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64) + 1, 0)
+    n, width = len(codes), 1
+    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    while rank.max() < n - 1:
+        ahead = np.zeros(n, dtype=np.int64)
+        ahead[: n - width] = rank[width:] + 1
+        rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+        width *= 2
+    order = np.empty(n, dtype=np.int64)
+    order[rank] = np.arange(n)
+    ended = text + "\0"
+    return "".join([ended[i] for i in (order - 1).tolist()])
+
+
 def bwt(text: Column) -> Column:
-    """Burrows-Wheeler transform with a NUL terminator: the last characters of the sorted rotations."""
-    ended = F.concat(text, F.lit("\0"))
-    n = F.length(ended)
-    rotations = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(ended, i, n), F.substring(ended, F.lit(1), i - 1)))
-    return F.array_join(F.transform(F.array_sort(rotations), lambda r: F.right(r, F.lit(1))), "")
+    """Burrows-Wheeler transform with a NUL terminator, of whole texts."""
+
+    @F.arrow_udf("string")
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else last_column(x) for x in v.to_pylist()], pa.string())
+
+    return run(text)
 
 
 def ibwt(text: Column) -> Column:
@@ -20,8 +39,8 @@ def ibwt(text: Column) -> Column:
     def run(v: pa.Array) -> pa.Array:
         out = []
         for x in v.to_pylist():
-            if not x:
-                out.append(x)
+            if not x or x == "\0":
+                out.append("" if x else x)
                 continue
             order = sorted(range(len(x)), key=lambda i: x[i])
             at, chars = order[0], []

@@ -106,12 +106,11 @@ def stepped_correlation(spark, sf):
     return rounded(steps.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")), "r")
 
 
-@query("""SELECT x, y, m, n, round((SELECT sum(exp(lgamma(x + 1) - lgamma(i + 1) - lgamma(x - i + 1) + lgamma(10000 - x + 1) - lgamma(y - i + 1) - lgamma(10000 - x - y + i + 1) - lgamma(10001) + lgamma(y + 1) + lgamma(10000 - y + 1))) FROM range(m + 1, least(x, y) + 1) z(i)), 8) AS p
-FROM (SELECT count(*) FILTER (WHERE score >= 250000) AS x, count(*) FILTER (WHERE fold >= 15) AS y, count(*) FILTER (WHERE score >= 250000 AND fold >= 15) AS m, 10000 AS n FROM v_peaks WHERE name <= 10000)""")
+@query("""SELECT x, y, m, n, round((SELECT sum(exp(lgamma(x + 1) - lgamma(i + 1) - lgamma(x - i + 1) + lgamma(n - x + 1) - lgamma(y - i + 1) - lgamma(n - x - y + i + 1) - lgamma(n + 1) + lgamma(y + 1) + lgamma(n - y + 1))) FROM range(m + 1, least(x, y) + 1) z(i)), 8) AS p
+FROM (SELECT count(*) FILTER (WHERE score >= 250000) AS x, count(*) FILTER (WHERE fold >= 15) AS y, count(*) FILTER (WHERE score >= 250000 AND fold >= 15) AS m, count(*) AS n FROM v_peaks)""")
 def overlap_enrichment(spark, sf):
-    """Chance of a larger overlap of two sets of peaks drawn from ten thousand."""
-    c = V.peaks(spark, sf).filter("name <= 10000").agg(F.count_if(F.col("score") >= 250_000).alias("x"), F.count_if(F.col("fold") >= 15).alias("y"), F.count_if((F.col("score") >= 250_000) & (F.col("fold") >= 15)).alias("m"))
-    c = c.withColumn("n", F.lit(10_000))
+    """Chance of a larger overlap of two sets of peaks drawn from all."""
+    c = V.peaks(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 250_000).alias("x"), F.count_if(F.col("fold") >= 15).alias("y"), F.count_if((F.col("score") >= 250_000) & (F.col("fold") >= 15)).alias("m"))
     return c.withColumn("p", F.round(hypergeometric_upper(F.col("m"), F.col("x"), F.col("n") - F.col("x"), F.col("y")), 8))
 
 

@@ -158,12 +158,12 @@ def points_in_regions(spark, sf):
     return s.groupBy("chrom").agg(F.count(F.lit(1)).alias("points")).join(inside, "chrom", "left").select("chrom", "points", F.coalesce("inside", F.lit(0)).alias("inside"))
 
 
-@query("""SELECT s.chrom, s.pos, a.before, b.after FROM (SELECT chrom, pos FROM v_signal WHERE pos % 3 = 0) s
+@query("""SELECT s.chrom, s.pos, a.before, b.after FROM (SELECT chrom, pos FROM v_signal) s
 ASOF LEFT JOIN (SELECT DISTINCT chrom, start AS before FROM v_regions) a ON a.chrom = s.chrom AND s.pos >= a.before
 ASOF LEFT JOIN (SELECT DISTINCT chrom, start AS after FROM v_regions) b ON b.chrom = s.chrom AND s.pos < b.after""")
 def nearest_starts(spark, sf):
     marks = V.regions(spark, sf).select("chrom", F.col("start").alias("pos")).distinct()
-    return R.nearest(V.signal(spark, sf).filter("pos % 3 = 0").select("chrom", "pos"), marks, 20_000)
+    return R.nearest(V.signal(spark, sf).select("chrom", "pos"), marks, 20_000)
 
 
 @query("SELECT chrom, strand, pos, count(*) AS count FROM v_tags GROUP BY ALL")
@@ -176,10 +176,10 @@ def tag_totals(spark, sf):
     return V.tags(spark, sf).groupBy("chrom", "strand").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("pos").alias("places"))
 
 
-@query("""SELECT r.chrom, r.start, r."end", count(*) AS n, string_agg(t.s || t.strand, ',' ORDER BY t.s, t.strand) AS tags FROM (SELECT DISTINCT chrom, start, "end" FROM v_regions WHERE start % 11 = 0) r
+@query("""SELECT r.chrom, r.start, r."end", count(*) AS n, string_agg(t.s || t.strand, ',' ORDER BY t.s, t.strand) AS tags FROM (SELECT DISTINCT chrom, start, "end" FROM v_regions) r
 JOIN (SELECT chrom, strand, CASE WHEN strand = '+' THEN pos * 4 ELSE pos * 4 - 25 END AS s FROM v_tags) t ON t.chrom = r.chrom AND t.s < r."end" AND r.start < t.s + 25 GROUP BY ALL""")
 def tags_in_regions(spark, sf):
-    r = V.regions(spark, sf).filter("start % 11 = 0").select("chrom", "start", "end").distinct()
+    r = V.regions(spark, sf).select("chrom", "start", "end").distinct()
     t = V.tags(spark, sf).withColumn("pos", F.col("pos") * 4)
     got = T.tags_in_regions(r, t, 25, 64)
     return got.select("chrom", "start", "end", F.size("tags").cast("long").alias("n"), F.array_join(F.transform("tags", lambda x: F.concat(x["at"].cast("string"), x.strand)), ",").alias("tags"))

@@ -10,13 +10,13 @@ from .views import query, rounded
 
 
 def matrices(spark, sf):
-    """Matrices of three rows from the first twelve elements of the vectors, as counts."""
+    """Matrices of sixteen rows from the elements of the vectors, as counts."""
     e = V.table(spark, sf, "embeddings")
-    rows = F.array(*[F.struct(*[(F.floor(F.abs(F.get("embedding", F.lit(4 * i + j)).cast("double")) * 20) + 1).cast("double").alias(b) for j, b in enumerate("acgt")]) for i in range(3)])
+    rows = F.array(*[F.struct(*[(F.floor(F.abs(F.get("embedding", F.lit(4 * i + j)).cast("double")) * 20) + 1).cast("double").alias(b) for j, b in enumerate("acgt")]) for i in range(16)])
     return e.select("vec_id", rows.alias("counts")).withColumn("pwm", P.normalised(F.col("counts")))
 
 
-ROWS = "SELECT vec_id, i, [floor(abs(CAST(embedding[4 * i + j] AS DOUBLE)) * 20) + 1 FOR j IN [1, 2, 3, 4]] AS c FROM embeddings, (SELECT unnest([0, 1, 2]) AS i)"
+ROWS = "SELECT vec_id, i, [floor(abs(CAST(embedding[4 * i + j] AS DOUBLE)) * 20) + 1 FOR j IN [1, 2, 3, 4]] AS c FROM embeddings, (SELECT unnest(range(0, 16))::INTEGER AS i)"
 SHARES = f"SELECT vec_id, i, [x / list_sum(c) FOR x IN c] AS p FROM ({ROWS})"
 CODES = "['A', 'C', 'M', 'G', 'R', 'S', 'V', 'T', 'W', 'Y', 'H', 'K', 'D', 'B', 'N']"
 
@@ -47,18 +47,14 @@ def motif_sequences(spark, sf):
     return matrices(spark, sf).select("vec_id", F.posexplode(P.sequences(F.col("counts"), 5)).alias("n", "sequence"))
 
 
-@query(r"""SELECT doc_id, string_agg(substr(t, CASE WHEN i = 1 THEN len(t) ELSE i - 1 END, 1), '' ORDER BY substr(t, i) || substr(t, 1, i - 1)) AS bwt FROM (
-SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, regexp_replace(substr(text, 1, 40), '[^a-zA-Z ]', '', 'g') || chr(1) AS t FROM documents)) GROUP BY doc_id""")
+@query()
 def burrows_wheeler(spark, sf):
-    """Transform of the letters among the first forty characters, the terminator shown as character 1."""
-    text = F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z ]", "")
-    return V.table(spark, sf, "documents").select("doc_id", F.translate(S.bwt(text), "\0", "\1").alias("bwt"))
+    return V.table(spark, sf, "documents").select("doc_id", S.bwt(F.col("text")).alias("bwt"))
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 200), '[^a-zA-Z ]', '', 'g') AS text FROM documents")
+@query("SELECT doc_id, text FROM documents")
 def burrows_wheeler_round_trip(spark, sf):
-    text = F.regexp_replace(F.substring("text", 1, 200), "[^a-zA-Z ]", "")
-    return V.table(spark, sf, "documents").select("doc_id", S.ibwt(S.bwt(text)).alias("text"))
+    return V.table(spark, sf, "documents").select("doc_id", S.ibwt(S.bwt(F.col("text"))).alias("text"))
 
 
 @query("SELECT doc_id, reverse(translate(upper(regexp_replace(text, '[^acgtACGT]', '', 'g')), 'ACGT', 'TGCA')) AS sequence FROM documents")

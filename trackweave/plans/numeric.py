@@ -72,19 +72,19 @@ def column_profile(spark, sf):
     return rounded(rows.groupBy("position").agg(F.avg("x").alias("average"), F.max("x").alias("highest"), F.min("x").alias("lowest")), "average")
 
 
-@query(f"SELECT vec_id, i AS position, round(sum(x) OVER (PARTITION BY vec_id ORDER BY i), 6) AS running FROM (SELECT vec_id, unnest(v[1:10]) AS x, unnest(range(0, 10))::INTEGER AS i FROM ({VECTORS}))")
+@query(f"SELECT vec_id, i AS position, round(sum(x) OVER (PARTITION BY vec_id ORDER BY i), 6) AS running FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, len(v)))::INTEGER AS i FROM ({VECTORS}))")
 def array_running_total(spark, sf):
-    return rounded(vectors(spark, sf).select("vec_id", F.posexplode(R.running_total(F.slice("v", 1, 10))).alias("position", "running")), "running")
+    return rounded(vectors(spark, sf).select("vec_id", F.posexplode(R.running_total(F.col("v"))).alias("position", "running")), "running")
 
 
-@query(f"SELECT vec_id, i AS position, round(d, 6) AS difference FROM (SELECT vec_id, i, x - lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS d0, lead(x) OVER (PARTITION BY vec_id ORDER BY i) - x AS d FROM (SELECT vec_id, unnest(v[1:10]) AS x, unnest(range(0, 10))::INTEGER AS i FROM ({VECTORS}))) WHERE d IS NOT NULL")
+@query(f"SELECT vec_id, i AS position, round(d, 6) AS difference FROM (SELECT vec_id, i, x - lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS d0, lead(x) OVER (PARTITION BY vec_id ORDER BY i) - x AS d FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, len(v)))::INTEGER AS i FROM ({VECTORS}))) WHERE d IS NOT NULL")
 def array_differences(spark, sf):
-    return rounded(vectors(spark, sf).select("vec_id", F.posexplode(R.differences(F.slice("v", 1, 10))).alias("position", "difference")), "difference")
+    return rounded(vectors(spark, sf).select("vec_id", F.posexplode(R.differences(F.col("v"))).alias("position", "difference")), "difference")
 
 
-@query(f"SELECT vec_id, n, idx FROM (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY x, i) - 1 AS INTEGER) AS n, i AS idx FROM (SELECT vec_id, unnest(v[1:12]) AS x, unnest(range(0, 12))::INTEGER AS i FROM ({VECTORS})))")
+@query(f"SELECT vec_id, n, idx FROM (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY x, i) - 1 AS INTEGER) AS n, i AS idx FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, len(v)))::INTEGER AS i FROM ({VECTORS})))")
 def array_sort_order(spark, sf):
-    return vectors(spark, sf).select("vec_id", F.posexplode(R.sort_order(F.slice("v", 1, 12))).alias("n", "idx"))
+    return vectors(spark, sf).select("vec_id", F.posexplode(R.sort_order(F.col("v"))).alias("n", "idx"))
 
 
 @query(f"SELECT vec_id, CAST(count(*) AS INTEGER) AS inside FROM (SELECT vec_id, unnest(v) AS x FROM ({VECTORS})) WHERE x BETWEEN -0.1::DOUBLE AND 0.1::DOUBLE GROUP BY vec_id")
@@ -103,11 +103,11 @@ def hex_colours(spark, sf):
     return V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), c.alias("colour"))
 
 
-@query(f"SELECT id, CAST(list_min([CASE WHEN list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)) FOR j IN range(0, i + 1)]) >= 0.9::DOUBLE THEN i ELSE n END FOR i IN range(0, n + 1)]) AS DOUBLE) AS k FROM (SELECT * FROM ({SMALL}) WHERE id % 20 = 0)")
+@query(f"SELECT id, CAST(list_min([CASE WHEN list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)) FOR j IN range(0, i + 1)]) >= 0.9::DOUBLE THEN i ELSE n END FOR i IN range(0, n + 1)]) AS DOUBLE) AS k FROM ({SMALL})")
 def binomial_quantiles(spark, sf):
-    return small(spark, sf).filter("id % 20 = 0").select("id", D.binomial_quantile(F.lit(0.9), F.col("n"), F.col("p")).alias("k"))
+    return small(spark, sf).select("id", D.binomial_quantile(F.lit(0.9), F.col("n"), F.col("p")).alias("k"))
 
 
-@query(f"SELECT id, CAST(list_min([CASE WHEN list_sum([exp(-lam + j * ln(lam) - lgamma(j + 1)) FOR j IN range(0, i + 1)]) >= 0.9::DOUBLE THEN i ELSE 999 END FOR i IN range(0, 90)]) AS DOUBLE) AS k FROM (SELECT * FROM ({SMALL}) WHERE id % 20 = 0)")
+@query(f"SELECT id, CAST(list_min([CASE WHEN list_sum([exp(-lam + j * ln(lam) - lgamma(j + 1)) FOR j IN range(0, i + 1)]) >= 0.9::DOUBLE THEN i ELSE 999 END FOR i IN range(0, 90)]) AS DOUBLE) AS k FROM ({SMALL})")
 def poisson_quantiles(spark, sf):
-    return small(spark, sf).filter("id % 20 = 0").select("id", D.poisson_quantile(F.lit(0.9), F.col("lam")).alias("k"))
+    return small(spark, sf).select("id", D.poisson_quantile(F.lit(0.9), F.col("lam")).alias("k"))

@@ -49,7 +49,7 @@ VIEWS = {
     "v_coords": "SELECT DISTINCT p_type AS chrom, p_partkey * 5000 + CAST(floor(l_extendedprice) AS BIGINT) % 12000 - 3000 AS pos FROM lineitem JOIN part ON l_partkey = p_partkey",
     "v_gene_signal": """SELECT p_type AS chrom, p_partkey * 5000 + CAST(floor(l_extendedprice) AS BIGINT) % 7000 - 2000 AS pos, max(l_quantity) AS value
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""",
-    "v_gene_peaks": """SELECT p_type AS chrom, p_partkey * 5000 + p_size * 60 - 500 AS start, p_partkey * 5000 + p_size * 60 + 100 AS "end", p_retailprice AS score FROM part WHERE p_partkey % 2 = 0""",
+    "v_gene_peaks": """SELECT p_type AS chrom, p_partkey * 5000 + p_size * 60 - 500 AS start, p_partkey * 5000 + p_size * 60 + 100 AS "end", p_retailprice AS score FROM part""",
 }
 
 
@@ -145,7 +145,7 @@ def gene_signal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gene_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").filter("p_partkey % 2 = 0").selectExpr("p_type AS chrom", "p_partkey * 5000 + p_size * 60 - 500 AS start", "p_partkey * 5000 + p_size * 60 + 100 AS end", "p_retailprice AS score")
+    return table(spark, sf, "part").selectExpr("p_type AS chrom", "p_partkey * 5000 + p_size * 60 - 500 AS start", "p_partkey * 5000 + p_size * 60 + 100 AS end", "p_retailprice AS score")
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
