@@ -12,8 +12,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round takes the smallest label among the neighbours and then the label of that label, so long chains
     shrink by more than half a round. Tables are written between rounds; only counts reach the driver.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct()
-    both = materialise(both, "edges")
+    # each node's links lead to its smallest neighbour: many links of a dense group become the same few
+    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    bent = links.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), "m")
+    star = bent.unionByName(least).distinct()
+    both = materialise(star.select("u", F.col("m").alias("v")).union(star.select("m", "u")).distinct(), "edges")
     labels = materialise(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))

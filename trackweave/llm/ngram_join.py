@@ -187,7 +187,7 @@ def plausible_links(classes: DataFrame, needed: list[int]) -> DataFrame:
                 far = np.flatnonzero(label != np.arange(len(node))).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([node[x] for x in far], pa.binary()), pa.array([node[x] for x in label[far].tolist()], pa.binary())], names=["a", "b"])
 
-    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a binary, b binary")
+    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node").mapInArrow(run, "a binary, b binary")
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -240,7 +240,7 @@ def exact_links(groups: DataFrame, threshold: float, needed: list[int]) -> DataF
                     names=["node", "links", "peer"],
                 )
 
-    return groups.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi").mapInArrow(run, "node binary, links long, peer binary")
+    return groups.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi", "node").mapInArrow(run, "node binary, links long, peer binary")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -305,4 +305,4 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that name their group (smallest id of all that links join), with all columns."""
     names = jaccard_join(docs, id_col, text_col, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(names, F.col(id_col) == F.col("__kept"), "left_semi")
+    return docs.join(names, docs[id_col] == names["__kept"], "left_semi")
