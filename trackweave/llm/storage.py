@@ -2,17 +2,19 @@
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def own_dir() -> str:
+    return tempfile.mkdtemp(prefix="trackweave-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="trackweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """Folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary one of this process."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
