@@ -1,7 +1,7 @@
 """Legacy archives: write ARC, parse it by version, convert it to WARC, read WARC back.
 
 An archive is a row (archive, content) of a table: bytes of bounded size, so that tasks read and write archives
-through Spark's own storage; ``content`` is a complete file and can be saved as one.
+through Spark's own storage; ``content`` is a complete file with a gzip member per record, and can be saved as one.
 """
 
 import base64
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 ARCHIVE_BYTES = 4 << 20
+LEVEL = 4
 CAPTURED = "20240101000000"
 ADDRESS = "0.0.0.0"
 # Field names of the two ARC versions, and the WARC profile of a revisit.
@@ -54,19 +55,19 @@ def write_arc(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame
         part, number, out, size = TaskContext.get().partitionId(), 0, [], 0
 
         def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{number:06d}.arc"]), pa.array([b"".join(out)], pa.binary())], names=["archive", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{number:06d}.arc.gz"]), pa.array([b"".join(out)], pa.binary())], names=["archive", "content"])
 
         for batch in batches:
             for key, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                version, name = 1 + number % 2, f"{part:06d}-{number:06d}.arc"
+                version, name = 1 + number % 2, f"{part:06d}-{number:06d}.arc.gz"
                 if not out:
-                    out, size = [arc_start(version, name)], 0
+                    out, size = [gzip.compress(arc_start(version, name), LEVEL)], 0
                 body = html or b""
                 page = "" if key is None else f"X-Page-Id: {key}\r\n"
                 block = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{page}Content-Length: {len(body)}\r\n\r\n".encode() + body
                 address = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
                 header = arc_header(version, address, CAPTURED, "text/html", len(block), size, name)
-                out += [header, block, b"\n"]
+                out.append(gzip.compress(header + block + b"\n", LEVEL))
                 size += len(header) + len(block) + 1
                 if size >= archive_bytes:
                     yield closed()
@@ -135,11 +136,11 @@ def record_id(archive: str, offset: int) -> str:
 
 def warc_record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
     lines = [f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields.items()), f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"Content-Length: {len(block)}"]
-    return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return gzip.compress(b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL)
 
 
 def convert_arc(archive: str, data: bytes, earlier: dict[int, dict[str, str]]) -> bytes:
-    """The WARC file equivalent to an ARC file; records at the offsets in ``earlier`` become revisits with those fields."""
+    """The gzipped WARC file equivalent to an ARC file; records at the offsets in ``earlier`` become revisits with those fields."""
     out = []
     for fields, offset, block in parse_arc(data):
         base = {"WARC-Record-ID": record_id(archive, offset), "WARC-Date": warc_date(fields["Archive-date"])}
@@ -219,7 +220,7 @@ def arc_to_warc(arcs: DataFrame, least_bytes: int = 0) -> DataFrame:
                     known[r["offset"]] = {"WARC-Refers-To": r["record_id"], "WARC-Refers-To-Target-URI": r["url"], "WARC-Refers-To-Date": r["date"]}
                     if r["page_id"] is not None:
                         known[r["offset"]]["X-Refers-To-Page-Id"] = str(r["page_id"])
-                name = archive.removesuffix(".arc") + ".warc"
+                name = archive.removesuffix(".arc.gz") + ".warc.gz"
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([convert_arc(archive, data, known)], pa.binary())], names=["archive", "content"])
 
     return arcs.join(earlier, "archive", "left").select("archive", "content", "earlier").mapInArrow(run, "archive string, content binary")
