@@ -103,6 +103,23 @@ def test_last_region_is_kept(spark):
     assert [(r.start, r.end) for r in got.collect()] == [(1, 6)]
 
 
+@pytest.mark.parametrize("tile", [16, 1 << 20])
+def test_neighbours_across_tiles(spark, tile):
+    pts = [(c, p, float(p % 7)) for c, p in points(12, 120, 900)]
+    df = frame(spark, pts, "chrom string, pos long, value double")
+    got = sorted((r.pos, r.prev and r.prev.pos, r.next and r.next.value) for r in R.with_neighbours(df, tile=tile).collect())
+    want = [(p, pts[i - 1][1] if i else None, pts[i + 1][2] if i + 1 < len(pts) else None) for i, (_, p, _) in enumerate(pts)]
+    assert got == want
+    assert [r.running for r in O.running_total(df, tile).orderBy("pos").collect()] == [sum(v for _, _, v in pts[: i + 1]) for i in range(len(pts))]
+
+
+@pytest.mark.parametrize("tile", [16, 1 << 20])
+def test_extrema_do_not_depend_on_tiles(spark, tile):
+    r = random.Random(13)
+    df = frame(spark, [(c, p, float(r.randrange(6))) for c, p in points(14, 300, 1500)], "chrom string, pos long, value double")
+    assert sorted(map(tuple, O.local_extrema(df, 20, tile=tile).collect())) == sorted(map(tuple, O.local_extrema(df, 20, tile=333).collect()))
+
+
 def test_extrema_compete(spark):
     pts = [("c", p, v) for p, v in [(0, 0.0), (10, 5.0), (20, 1.0), (30, 7.0), (40, 2.0), (200, 3.0), (210, 3.0), (220, 1.0)]]
     df = frame(spark, pts, "chrom string, pos long, value double")

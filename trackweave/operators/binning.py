@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .aggregates import reducer
-from .ranges import TILE, bin_of, nearest
+from .ranges import TILE, bin_of, nearest, with_neighbours
 
 
 def bin_values(track: DataFrame, step: int, method: str = "median") -> DataFrame:
@@ -74,20 +74,19 @@ def next_on_grid(track: DataFrame, step: int, tile: int = TILE) -> DataFrame:
     return hit.join(track, ["chrom", "pos"]).select("chrom", "pos", "value")
 
 
-def fill_gaps(track: DataFrame, resolution: int, fill: float = 0.0) -> DataFrame:
+def fill_gaps(track: DataFrame, resolution: int, fill: float = 0.0, tile: int = TILE) -> DataFrame:
     """The track and, in each gap wider than ``resolution``, points of value ``fill`` a resolution apart."""
-    gap = track.withColumn("next", F.lead("pos").over(W.partitionBy("chrom").orderBy("pos"))).filter(F.col("next") - F.col("pos") > resolution)
-    inner = gap.select("chrom", F.explode(F.sequence(F.col("pos") + resolution, F.col("next") - 1, F.lit(resolution).cast("long"))).alias("pos"), F.lit(fill).alias("value"))
+    gap = with_neighbours(track, ("pos",), tile).filter(F.col("next.pos") - F.col("pos") > resolution)
+    inner = gap.select("chrom", F.explode(F.sequence(F.col("pos") + resolution, F.col("next.pos") - 1, F.lit(resolution).cast("long"))).alias("pos"), F.lit(fill).alias("value"))
     return track.select("chrom", "pos", "value").unionByName(inner)
 
 
-def zero_filled_segments(track: DataFrame, span: int) -> DataFrame:
+def zero_filled_segments(track: DataFrame, span: int, tile: int = TILE) -> DataFrame:
     """Segments (chrom, start, end, value) of ``span`` positions, cut where the next begins, and zeros in between."""
-    nxt = F.lead("pos").over(W.partitionBy("chrom").orderBy("pos"))
-    rows = track.select("chrom", "pos", "value", nxt.alias("next"))
-    own = rows.select("chrom", F.col("pos").alias("start"), F.least(F.col("pos") + span, F.coalesce("next", F.col("pos") + span)).alias("end"), "value")
-    gaps = rows.filter(F.col("next") > F.col("pos") + span).select("chrom", (F.col("pos") + span).alias("start"), F.col("next").alias("end"), F.lit(0.0).alias("value"))
-    return own.unionByName(gaps)
+    rows = with_neighbours(track, ("pos",), tile).select("chrom", "pos", "value", F.col("next.pos").alias("next"))
+    own = F.struct(F.col("pos").alias("start"), F.least(F.col("pos") + span, "next").alias("end"), F.col("value").alias("value"))
+    gap = F.when(F.col("next") > F.col("pos") + span, F.array(own, F.struct((F.col("pos") + span).alias("start"), F.col("next").alias("end"), F.lit(0.0).alias("value"))))
+    return rows.select("chrom", F.explode(F.coalesce(gap, F.array(own))).alias("s")).select("chrom", "s.start", "s.end", "s.value")
 
 
 def hashed_order(*keys: Column) -> Column:
@@ -103,8 +102,8 @@ def sample_tags(tags: DataFrame, share: float, seed: int = 1) -> DataFrame:
     return tags.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy(order, "pos", "tag_id"))).join(n, by).filter(F.col("i") <= F.floor(F.col("n") * share)).drop("i", "n")
 
 
-def median_gap(track: DataFrame) -> DataFrame:
-    gaps = track.select((F.lead("pos").over(W.partitionBy("chrom").orderBy("pos")) - F.col("pos")).alias("gap"))
+def median_gap(track: DataFrame, tile: int = TILE) -> DataFrame:
+    gaps = with_neighbours(track, ("pos",), tile).select((F.col("next.pos") - F.col("pos")).alias("gap"))
     return gaps.filter("gap is not null").agg(F.median("gap").alias("gap"))
 
 

@@ -109,3 +109,20 @@ def nearest(points: DataFrame, marks: DataFrame, tile: int = TILE) -> DataFrame:
     ).filter("is_point = 1")
     joined = found.join(spine, ["chrom", "tile"])
     return joined.select("chrom", "pos", *extra, F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
+
+
+def with_neighbours(df: DataFrame, columns: tuple[str, ...] = ("pos", "value"), tile: int = TILE) -> DataFrame:
+    """Rows with the structs ``prev`` and ``next`` of ``columns`` of the neighbouring rows of the chromosome, by the first of these columns.
+
+    Neighbours inside a tile come from a window over the tile; those across a tile's edge from the first and last row of each tile.
+    """
+    place = columns[0]
+    row = F.struct(*[F.col(c) for c in columns])
+    keyed = df.withColumn("tile", bin_of(F.col(place), tile))
+    order = W.partitionBy("chrom", "tile").orderBy(*columns)
+    inner = keyed.withColumns({"prev": F.lag(row).over(order), "next": F.lead(row).over(order)})
+    ends = keyed.groupBy("chrom", "tile").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    by = W.partitionBy("chrom").orderBy("tile")
+    spine = ends.select("chrom", "tile", F.lag("hi").over(by).alias("earlier"), F.lead("lo").over(by).alias("later"))
+    out = inner.join(spine, ["chrom", "tile"])
+    return out.select(*df.columns, F.coalesce("prev", "earlier").alias("prev"), F.coalesce("next", "later").alias("next"))

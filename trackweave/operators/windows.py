@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import TILE, bin_of
+from .ranges import TILE, bin_of, nearest, with_neighbours
 
 
 def remove_redundant(track: DataFrame) -> DataFrame:
@@ -40,7 +40,16 @@ def call_peaks(track: DataFrame, cutoff: float, up_limit: float | None = None, m
     )
 
 
-def local_extrema(track: DataFrame, width: int, peaks: bool = True) -> DataFrame:
+def chains(df: DataFrame, place: str, gap: int, tile: int) -> DataFrame:
+    """Rows with ``chain``: the first place of the run of rows whose places are at most ``gap`` apart."""
+    places = df.select("chrom", F.col(place).alias("pos")).distinct()
+    near = with_neighbours(places, ("pos",), tile)
+    heads = near.filter(F.col("prev").isNull() | (F.col("pos") - F.col("prev.pos") > gap)).select("chrom", "pos")
+    found = nearest(places, heads, tile).select("chrom", F.col("pos").alias(place), F.col("before").alias("chain"))
+    return df.join(found, ["chrom", place])
+
+
+def local_extrema(track: DataFrame, width: int, peaks: bool = True, tile: int = TILE) -> DataFrame:
     """Local maxima (or minima) that no higher (lower) one within ``width`` precedes in the greedy choice.
 
     A candidate rises before and falls after (plateaus count at their last point). Going along the axis, a candidate within ``width`` of
@@ -48,25 +57,30 @@ def local_extrema(track: DataFrame, width: int, peaks: bool = True) -> DataFrame
     compete, so each chain of close candidates is a group of its own.
     """
     sign = 1 if peaks else -1
-    order = W.partitionBy("chrom").orderBy("pos")
-    steps = track.withColumn("next", F.lead("value").over(order)).filter(F.col("next").isNull() | (F.col("next") != F.col("value")))
-    steps = steps.withColumns({"prior": F.lag("value").over(order), "after": F.lead("value").over(order)})
-    found = steps.filter(((F.col("value") - F.col("prior")) * sign > 0) & ((F.col("value") - F.col("after")) * sign > 0)).select("chrom", "pos", "value")
-    fresh = F.when(F.col("pos") - F.lag("pos").over(order) <= width, 0).otherwise(1)
-    chained = found.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        kept: list[tuple[int, float]] = []
-        for pos, value in zip(group["pos"].tolist(), group["value"].tolist(), strict=True):
-            if kept and pos - kept[-1][0] <= width:
-                if (value - kept[-1][1]) * sign > 0:
-                    kept[-1] = (pos, value)
-            else:
-                kept.append((pos, value))
-        return pd.DataFrame({"chrom": group["chrom"].iloc[0], "pos": [k[0] for k in kept], "value": [k[1] for k in kept]})
-
-    return chained.groupBy("chrom", "chain").applyInPandas(choose, "chrom string, pos long, value double")
+    steps = with_neighbours(track, tile=tile).filter(F.col("next").isNull() | (F.col("next.value") != F.col("value"))).select("chrom", "pos", "value")
+    steps = with_neighbours(steps, tile=tile)
+    found = steps.filter(((F.col("value") - F.col("prev.value")) * sign > 0) & ((F.col("value") - F.col("next.value")) * sign > 0)).select("chrom", "pos", "value")
+    chained = chains(found, "pos", width, tile)
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, kept = None, []  # the chain that is read, and its chosen points so far
+        for f in frames:
+            out = []
+            for chrom, chain, pos, value in zip(f["chrom"].tolist(), f["chain"].tolist(), f["pos"].tolist(), f["value"].tolist(), strict=True):
+                if (chrom, chain) != run:
+                    out += kept
+                    run, kept = (chrom, chain), []
+                if kept and pos - kept[-1][1] <= width:
+                    if (value - kept[-1][2]) * sign > 0:
+                        kept[-1] = (chrom, pos, value)
+                else:
+                    out += kept
+                    kept = [(chrom, pos, value)]
+            yield pd.DataFrame(out, columns=["chrom", "pos", "value"])
+        yield pd.DataFrame(kept, columns=["chrom", "pos", "value"])
+
+    dealt = chained.select("chrom", "chain", "pos", "value").repartition("chrom", "chain").sortWithinPartitions("chrom", "chain", "pos")
+    return dealt.mapInPandas(choose, "chrom string, pos long, value double")
 
 
 def sliding_sum(track: DataFrame, other: DataFrame, before: int, after: int, tile: int = TILE) -> DataFrame:
@@ -81,21 +95,29 @@ def sliding_sum(track: DataFrame, other: DataFrame, before: int, after: int, til
     return a.unionByName(b).withColumn("total", F.sum("weight").over(frame)).filter("own = 1").select("chrom", "pos", "value", "total")
 
 
-def fill_missing(df: DataFrame) -> DataFrame:
+def fill_missing(df: DataFrame, tile: int = TILE) -> DataFrame:
     """Missing values between two present ones become the mean of both."""
-    order = W.partitionBy("chrom").orderBy("pos")
-    return df.withColumn("value", F.coalesce("value", (F.lag("value").over(order) + F.lead("value").over(order)) / 2))
+    near = with_neighbours(df, tile=tile)
+    return near.select("chrom", "pos", F.coalesce("value", (F.col("prev.value") + F.col("next.value")) / 2).alias("value"))
+
+
+def running_total(track: DataFrame, tile: int = TILE) -> DataFrame:
+    """Sum of all values up to each position: inside tiles, plus the totals of the tiles before."""
+    keyed = track.withColumn("tile", bin_of(F.col("pos"), tile))
+    totals = keyed.groupBy("chrom", "tile").agg(F.sum("value").alias("t"))
+    before = F.sum("t").over(W.partitionBy("chrom").orderBy("tile").rowsBetween(W.unboundedPreceding, -1))
+    inner = keyed.withColumn("part", F.sum("value").over(W.partitionBy("chrom", "tile").orderBy("pos")))
+    both = inner.join(totals.withColumn("before", F.coalesce(before, F.lit(0.0))), ["chrom", "tile"])
+    return both.select("chrom", "pos", "value", (F.col("part") + F.col("before")).alias("running"))
 
 
-def thin_out(peaks: DataFrame, interval: int) -> DataFrame:
+def thin_out(peaks: DataFrame, interval: int, tile: int = TILE) -> DataFrame:
     """Peaks of which each starts more than ``interval`` after the last one kept.
 
     The choice is greedy and depends on the last kept start, so runs of close starts are handled in order; a gap larger than
     ``interval`` always keeps the next start and begins a new run.
     """
-    order = W.partitionBy("chrom").orderBy("start")
-    fresh = F.when(F.col("start") - F.lag("start").over(order) <= interval, 0).otherwise(1)
-    chained = peaks.select("chrom", "start", "end", "score").withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("fresh")
+    chained = chains(peaks.select("chrom", "start", "end", "score"), "start", interval, tile)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_chain, last_start = None, None
@@ -109,5 +131,6 @@ def thin_out(peaks: DataFrame, interval: int) -> DataFrame:
                     last_start = start
             yield f[keep][["chrom", "start", "end", "score"]]
 
+    chained = chained.select("chrom", "start", "end", "score", "chain")
     dealt = chained.repartition("chrom", "chain").sortWithinPartitions("chrom", "chain", "start", "end")
     return dealt.mapInPandas(run, "chrom string, start long, end long, score double")

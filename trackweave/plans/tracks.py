@@ -1,11 +1,11 @@
 """Track queries: filters, summaries, regions, extrema, bins, samplers."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import binning as B
 from ..operators import filters as L
+from ..operators import ranges as R
 from ..operators import windows as O
 from . import views as V
 from .views import query, rounded
@@ -158,12 +158,13 @@ def sliding_control_sum(spark, sf):
 
 @query("SELECT chrom, pos, round(sum(value) OVER (PARTITION BY chrom ORDER BY pos), 4) AS running FROM v_track")
 def running_sum(spark, sf):
-    return rounded(V.track(spark, sf).select("chrom", "pos", F.sum("value").over(W.partitionBy("chrom").orderBy("pos")).alias("running")), "running", digits=4)
+    return rounded(O.running_total(V.track(spark, sf), 200_000).select("chrom", "pos", "running"), "running", digits=4)
 
 
 @query("SELECT chrom, pos, pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) AS step FROM v_track")
 def position_differences(spark, sf):
-    return V.track(spark, sf).select("chrom", "pos", (F.col("pos") - F.lag("pos").over(W.partitionBy("chrom").orderBy("pos"))).alias("step"))
+    near = R.with_neighbours(V.track(spark, sf), ("pos",), 200_000)
+    return near.select("chrom", "pos", (F.col("pos") - F.col("prev.pos")).alias("step"))
 
 
 @query("""SELECT chrom, pos, round(coalesce(v, (lag(v) OVER w + lead(v) OVER w) / 2), 6) AS value FROM (SELECT chrom, pos, CASE WHEN pos % 7 = 0 THEN NULL ELSE value END AS v FROM v_track) WINDOW w AS (PARTITION BY chrom ORDER BY pos)""")
