@@ -1,7 +1,7 @@
 """Legacy archives: write ARC, parse it by version, convert it to WARC, read WARC back.
 
 An archive is a row (archive, content) of a table: bytes of bounded size, so that tasks read and write archives
-through Spark's own storage; ``content`` is a complete file with a gzip member per record, and can be saved as one.
+through Spark's own storage; ``content`` is a complete gzipped file (WARC: a member per record) and can be saved as one.
 """
 
 import base64
@@ -55,19 +55,19 @@ def write_arc(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame
         part, number, out, size = TaskContext.get().partitionId(), 0, [], 0
 
         def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{number:06d}.arc.gz"]), pa.array([b"".join(out)], pa.binary())], names=["archive", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{number:06d}.arc.gz"]), pa.array([gzip.compress(b"".join(out), LEVEL)], pa.binary())], names=["archive", "content"])
 
         for batch in batches:
             for key, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 version, name = 1 + number % 2, f"{part:06d}-{number:06d}.arc.gz"
                 if not out:
-                    out, size = [gzip.compress(arc_start(version, name), LEVEL)], 0
+                    out, size = [arc_start(version, name)], 0
                 body = html or b""
                 page = "" if key is None else f"X-Page-Id: {key}\r\n"
                 block = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{page}Content-Length: {len(body)}\r\n\r\n".encode() + body
                 address = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
                 header = arc_header(version, address, CAPTURED, "text/html", len(block), size, name)
-                out.append(gzip.compress(header + block + b"\n", LEVEL))
+                out += [header, block, b"\n"]
                 size += len(header) + len(block) + 1
                 if size >= archive_bytes:
                     yield closed()
