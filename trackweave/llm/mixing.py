@@ -13,7 +13,8 @@ SHARE = 1.5
 MOST = 2
 BLOCK_DOCS = 512
 MOST_BLOCKS = 65_536
-SHARDS = 64
+LEAST_SHARDS = 64
+SHARD_WORDS = 5_000_000
 SEED = 17
 LARGEST_TABLE = 16_000_000
 
@@ -67,7 +68,7 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndar
     return out
 
 
-def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, draws array<struct<shard, place>>.
 
     A draw is one time that the mix takes the document, into a shard, at a random place there. Documents of
@@ -77,6 +78,7 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     draws of blocks are dealt to shards by the splitting tree; a shard's blocks of a source are disjoint ranges of
     its permuted blocks. Blocks keep every window bounded: no source is sorted by one task.
 
+    Without a given number of ``shards`` there is one per SHARD_WORDS of the mix, LEAST_SHARDS at least.
     Null text has size 0, a null source is a source of its own. Rows that repeat an id are separate documents
     with the same hash. The number of sources times shards may not exceed LARGEST_TABLE (ValueError).
     """
@@ -91,7 +93,9 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "sizes",
     )
     sources = materialise(target_table(sized), "targets")
-    if sources.count() * shards > LARGEST_TABLE:
+    n_sources, mixed_words = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    shards = shards or max(LEAST_SHARDS, round(mixed_words / SHARD_WORDS))
+    if n_sources * shards > LARGEST_TABLE:
         raise ValueError("too many sources for this number of shards")
     s = sources.withColumnRenamed("source", "of")
     number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
@@ -123,8 +127,8 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return placed.select("doc_id", "size", "source_size", "target", draws.alias("draws"))
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The mixed rows of ``docs``, with all their columns, shard by shard and shuffled inside each; ids are expected to be unique."""
     plan = mixing_plan(docs, id_col, text_col, source_col, shards, seed).filter(F.size("draws") > 0).select(F.col("doc_id").alias("__mix_id"), F.explode("draws").alias("__mix_draw"))
     mixed = docs.join(plan, docs[id_col].eqNullSafe(plan["__mix_id"]))
-    return mixed.repartition(shards, "__mix_draw.shard").sortWithinPartitions("__mix_draw.shard", "__mix_draw.place").select(*[docs[c] for c in docs.columns])
+    return mixed.repartition("__mix_draw.shard").sortWithinPartitions("__mix_draw.shard", "__mix_draw.place").select(*[docs[c] for c in docs.columns])
