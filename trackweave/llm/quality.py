@@ -66,6 +66,9 @@ def label_sample(labels: DataFrame, most: int) -> DataFrame:
     """At most ``most`` labelled ids, chosen by a hash: id, good, and whether it serves to fit (else to set the cut-off)."""
     rows = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     h = F.xxhash64(F.lit(7), "doc_id")
+    n = rows.count()
+    if n > 2 * most:  # only hashes that can be among the smallest ``most`` leave their tasks
+        rows = rows.filter(h <= F.lit(int(-(2**63) + 1.5 * most / n * 2**64)))
     return rows.orderBy(h, "doc_id").limit(most).select(F.col("doc_id").alias("__label"), (F.col("quality") > 0).alias("good"), (F.expr("pmod(xxhash64(11, doc_id), 2)") == 0).alias("fit"))
 
 
