@@ -94,17 +94,18 @@ def nearest(points: DataFrame, marks: DataFrame, tile: int = TILE) -> DataFrame:
     both = both.withColumn("tile", bin_of(F.col("pos"), tile))
     ends = marks.withColumn("tile", bin_of(F.col("pos"), tile)).groupBy("chrom", "tile").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     spine = both.select("chrom", "tile").distinct().join(ends, ["chrom", "tile"], "left")
-    by = W.partitionBy("chrom").orderBy("tile")
+    # what follows is read backwards: a frame that grows costs one step per row, one that shrinks is computed anew for each
+    up, down = W.partitionBy("chrom").orderBy("tile"), W.partitionBy("chrom").orderBy(F.desc("tile"))
     spine = spine.select(
         "chrom", "tile",
-        F.last("hi", True).over(by.rowsBetween(W.unboundedPreceding, -1)).alias("earlier"),
-        F.first("lo", True).over(by.rowsBetween(1, W.unboundedFollowing)).alias("later"),
+        F.last("hi", True).over(up.rowsBetween(W.unboundedPreceding, -1)).alias("earlier"),
+        F.last("lo", True).over(down.rowsBetween(W.unboundedPreceding, -1)).alias("later"),
     )
-    order = W.partitionBy("chrom", "tile").orderBy("pos", "is_point")
+    up, down = W.partitionBy("chrom", "tile").orderBy("pos", "is_point"), W.partitionBy("chrom", "tile").orderBy(F.desc("pos"), F.desc("is_point"))
     found = both.withColumns(
         {
-            "before": F.last("mark", True).over(order.rowsBetween(W.unboundedPreceding, 0)),
-            "after": F.first("mark", True).over(order.rowsBetween(1, W.unboundedFollowing)),
+            "before": F.last("mark", True).over(up.rowsBetween(W.unboundedPreceding, 0)),
+            "after": F.last("mark", True).over(down.rowsBetween(W.unboundedPreceding, -1)),
         }
     ).filter("is_point = 1")
     joined = found.join(spine, ["chrom", "tile"])
