@@ -2,8 +2,12 @@
 
 import struct
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
+from trackweave import plans
 from trackweave.functions import pwm as P
 from trackweave.sources import motifs as M
 from trackweave.sources import sinks as K
@@ -99,3 +103,17 @@ def test_streams(spark, tmp_path):
         q = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == want
+
+
+@pytest.mark.parametrize(("name", "cut"), [("streamed_regions", "HAVING"), ("streamed_hourly_bins", "WHERE s +")])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_streams_emit_what_is_open_at_the_end(spark, name, cut, sf):
+    folder = SF.replace("sf0.001", sf)
+    before, after = plans.SQL[name].split(cut)
+    whole = before + ("GROUP BY ALL" if "GROUP BY ALL" in after else "")  # the SQL without the condition on the watermark
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = sorted(c.sql(whole).fetchall())
+    got = sorted(map(tuple, plans.QUERIES[name](spark, folder).collect()))
+    assert [(*r[:2], r[3]) for r in got] == [(*r[:2], r[3]) for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-4)

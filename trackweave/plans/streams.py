@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,27 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def finished(out: DataFrame, schema_like: DataFrame) -> DataFrame:
-    """Everything that the stream emits, written to the shared folder and read back."""
-    spark = out.sparkSession
+def finished(plan: Callable[[DataFrame], DataFrame], source: DataFrame) -> DataFrame:
+    """All rows of ``plan`` over the stream ``source``, written to the shared folder and read back.
+
+    A window is emitted once the watermark has passed it, and the last ones have no later event. So when all is read, the same
+    stream goes on with one closing event of the year 9999: what is open is emitted, and the window of the closing event never is.
+    """
+    spark = source.sparkSession
     base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackweave-")).rstrip("/") + f"/streams/{uuid.uuid4().hex}"
-    q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(schema_like.schema).parquet(f"{base}/out")
+    spark.createDataFrame([], source.schema).write.parquet(f"{base}/closing")
+    out = plan(source.unionByName(spark.readStream.schema(source.schema).parquet(f"{base}/closing")))
+
+    def read_on() -> None:
+        q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    read_on()
+    values = {"ts": "9999-12-01 00:00:00", "value": "Infinity"}  # the value passes every cut-off
+    closing = spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in source.schema])
+    closing.write.mode("append").parquet(f"{base}/closing")
+    read_on()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
 def seconds(column: str):
@@ -30,17 +45,15 @@ def seconds(column: str):
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP'1970-01-01 00:00:00', {column})")
 
 
-# windows that end before the watermark: an hour before the last event
+# the SQL of both still leaves out what ends after the watermark, an hour before the last event; the streams give these rows as well
 @query("""SELECT event_type, CAST(floor(epoch(s)) AS BIGINT) AS start, round(sum(value), 4) AS total, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 1 hour, ts) AS s FROM events)
 WHERE s + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 1 hour FROM events) GROUP BY ALL""")
 def streamed_hourly_bins(spark, sf):
-    out = stream_bins(events(spark, sf))
-    return finished(out, out).select("event_type", seconds("start").alias("start"), F.round("total", 4).alias("total"), "n")
+    return finished(stream_bins, events(spark, sf)).select("event_type", seconds("start").alias("start"), F.round("total", 4).alias("total"), "n")
 
 
 @query("""SELECT event_type, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, max(value) AS score, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
 SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 50 minutes THEN 0 ELSE 1 END AS fresh FROM events WHERE value >= 20))
 GROUP BY event_type, g HAVING max(ts) + INTERVAL 50 minutes <= (SELECT max(ts) - INTERVAL 1 hour FROM events)""")
 def streamed_regions(spark, sf):
-    out = stream_regions(events(spark, sf), 20)
-    return finished(out, out).select("event_type", seconds("start").alias("start"), "score", "n")
+    return finished(lambda rows: stream_regions(rows, 20), events(spark, sf)).select("event_type", seconds("start").alias("start"), "score", "n")
