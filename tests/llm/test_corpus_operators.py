@@ -101,6 +101,13 @@ def test_mixing_edges(spark):
     assert len(rows) == 5 and sorted(r["size"] for r in rows) == [0, 0, 2, 2, 4000]
 
 
+def test_mixture_tells_rows_of_one_id_apart(spark):
+    d = docs(spark, [f"t{i} a b" for i in range(40)], [i // 4 if i < 36 else None for i in range(40)])
+    draws = sum(len(r.draws) for r in mixing_plan(d).collect())
+    rows = Counter(r.text for r in mixture(d).collect())
+    assert sum(rows.values()) == draws and max(rows.values()) <= 2
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([50, 7, 0, 1000])
     shares = splitting_tree(quotas, 8)

@@ -135,6 +135,24 @@ def test_jaccard_join(spark, texts):
     assert kept == sorted({c for _, c, _ in got})
 
 
+def test_repeated_and_null_ids_lose_no_text(spark):
+    def kept(f, texts, ids):
+        return sorted(((r.doc_id, r.text) for r in f(docs(spark, texts, ids)).collect()), key=str)
+
+    # b is unique but shares its id with a; the second c (id 1) is a copy of id 0; null ids: d is unique, e stands twice
+    exact = kept(drop_copies, ["a", "b", "c", "c", "d", "e", " e"[1:], "c", "a"], [1, 1, 0, 1, None, None, None, None, 1])
+    assert exact == sorted([(1, "a"), (1, "b"), (0, "c"), (None, "d"), (None, "e")], key=str)
+    r = random.Random(4)
+    x, y, z = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(60)) for k in "xyz")
+    # x and y share an id; near copies of x have id 5, of z null ids only; two texts without words
+    texts = [x, y, x + " end", z, z + " end", z + " end", x, "...", "!"]
+    near = kept(keep_one_of_each, texts, [1, 1, 1, None, None, None, 5, None, None])
+    assert len(near) == 5 and {(1, y), (None, "..."), (None, "!")} < set(near)
+    assert sum(t.startswith(x) and i == 1 for i, t in near) == 1 and sum(t.startswith(z) for _, t in near) == 1
+    links = sorted((r.doc_id is None, r.n_links) for r in jaccard_join(docs(spark, texts[3:6], [None] * 3)).collect())
+    assert links == [(True, 2)] * 3
+
+
 def test_large_group_is_dealt_to_blocks(spark, monkeypatch):
     from trackweave.llm import ngram_join
 

@@ -10,6 +10,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """128-bit key of a row by its id, null apart from all others, and its text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit(""))))))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
@@ -47,6 +52,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns; repeats of a kept row go too."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
+    """One row of each group of equal texts (``exact_groups``), with all its columns: one with the smallest id, null only if all ids are.
+
+    Rows are told apart by id and text, so unique texts stay whatever their ids: null, or those of other rows. Of rows that
+    repeat both, one stays.
+    """
+    # an id is a key by its hash as well, as a null-safe comparison is none that rows are dealt by
+    id_key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col))
+    text = normalised(F.col(text_col))
+    rows = docs.withColumns({"__h128": F.unhex(F.md5(text)), "__sha": F.unhex(F.sha2(text, 256)), "__id_key": id_key})
+    kept = (
+        docs.select(F.col(id_col), text.alias("__text"))
+        .groupBy(F.unhex(F.md5("__text")).alias("k128"), "__text")
+        .agg(F.min(id_col).alias("k_id"))
+        .select("k128", F.unhex(F.sha2("__text", 256)).alias("k_sha"), "k_id", F.xxhash64(F.col("k_id").isNull(), "k_id").alias("k_key"))
+    )
+    same = (F.col("__h128") == F.col("k128")) & (F.col("__sha") == F.col("k_sha")) & (F.col("__id_key") == F.col("k_key")) & rows[id_col].eqNullSafe(F.col("k_id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["__h128", "__sha", "__id_key"]).select(*docs.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .exact_dedup import row_key
 from .storage import materialise
 
 WEIGHTS = (3, 1, 2)
@@ -68,8 +69,8 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndar
     return out
 
 
-def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, draws array<struct<shard, place>>.
+def row_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """``mixing_plan`` with the key of each row by its id and text.
 
     A draw is one time that the mix takes the document, into a shard, at a random place there. Documents of
     a source stand in blocks, in an order that hashes of their ids give; the mix takes them in this order, a second
@@ -89,6 +90,7 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
             key.alias("key"),
+            row_key(F.col(id_col), F.col(text_col)).alias("row"),
         ),
         "sizes",
     )
@@ -124,11 +126,16 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = rows.join(d, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in_block"))).withColumn("at", at)
     taken = F.filter(F.coalesce("turns", F.array().cast("array<struct<turn:int,shard:int>>")), lambda t: t.turn * F.col("source_size") + F.col("at") <= F.col("target"))
     draws = F.transform(taken, lambda t: F.struct(t.shard.alias("shard"), F.md5(F.concat_ws("|", "key", t.turn.cast("string"))).alias("place")))
-    return placed.select("doc_id", "size", "source_size", "target", draws.alias("draws"))
+    return placed.select("doc_id", "size", "source_size", "target", draws.alias("draws"), "row")
+
+
+def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, draws array<struct<shard, place>>, as ``row_draws`` tells."""
+    return row_draws(docs, id_col, text_col, source_col, shards, seed).drop("row")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = SEED) -> DataFrame:
-    """The mixed rows of ``docs``, with all their columns, shard by shard and shuffled inside each; ids are expected to be unique."""
-    plan = mixing_plan(docs, id_col, text_col, source_col, shards, seed).filter(F.size("draws") > 0).select(F.col("doc_id").alias("__mix_id"), F.explode("draws").alias("__mix_draw"))
-    mixed = docs.join(plan, docs[id_col].eqNullSafe(plan["__mix_id"]))
+    """The mixed rows of ``docs``, with all their columns, shard by shard and shuffled inside each; no two rows are expected to share id and text."""
+    plan = row_draws(docs, id_col, text_col, source_col, shards, seed).filter(F.size("draws") > 0).select(F.col("row").alias("__mix_row"), F.explode("draws").alias("__mix_draw"))
+    mixed = docs.join(plan, row_key(docs[id_col], docs[text_col]) == plan["__mix_row"])
     return mixed.repartition("__mix_draw.shard").sortWithinPartitions("__mix_draw.shard", "__mix_draw.place").select(*[docs[c] for c in docs.columns])

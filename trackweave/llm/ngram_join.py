@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .exact_dedup import row_key
 from .storage import materialise
 from .words import SHINGLE, U64, batch_words, mix, shingle_sets
 
@@ -130,7 +131,7 @@ def joined(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
 
 
 def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per row of ``docs``: doc_id, node (key of its shingle set, null without words), n, signature."""
+    """One row per row of ``docs``: doc_id, node (key of its shingle set, null without words), n, signature, row_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,11 +146,12 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     for i, row in enumerate(full.tolist()):
                         node[row], sig[row] = k[i].tobytes(), s[i].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(words.row, len(n)).cast(pa.int64()), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())],
-                    names=["doc_id", "node", "n", "sig"],
+                    [batch.column(0).slice(words.row, len(n)).cast(pa.int64()), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), batch.column(2).slice(words.row, len(n))],
+                    names=["doc_id", "node", "n", "sig", "key"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, node binary, n long, sig binary")
+    key = row_key(F.col(id_col).cast("long"), F.col(text_col))
+    return docs.select(id_col, text_col, key).mapInArrow(run, "doc_id long, node binary, n long, sig binary, key binary")
 
 
 def block_pairs(members: DataFrame, group: str, size: str) -> DataFrame:
@@ -243,8 +245,8 @@ def exact_links(groups: DataFrame, threshold: float, needed: list[int]) -> DataF
     return groups.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi", "node").mapInArrow(run, "node binary, links long, peer binary")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, same_id, class_id, copies, n_links.
+def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """``jaccard_join`` with the key of each row and class_key, that of the row that names its class (null without words).
 
     Texts are sets of five-word shingles (shorter texts: one shingle; words in lower case without signs). Documents with equal
     sets are one class of ``copies`` documents, named by the smallest id, same_id. Two documents are linked when the Jaccard similarity
@@ -259,12 +261,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     needed = least_matches(threshold, tolerance)
     rows = materialise(text_classes(docs, id_col, text_col), "shingled")
     classes = materialise(
-        rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("same_id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "classes"
+        rows.filter("n > 0")
+        .groupBy("node")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("same_id"), "key")).alias("name"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+        .select("node", "name", "name.same_id", "copies", "sig"),
+        "classes",
     )
     edges = materialise(plausible_links(classes, needed), "plausible")
     parts = connected_components(edges)
     sizes = parts.groupBy("label").agg(F.count(F.lit(1)).alias("size")).withColumn("part", F.xxhash64("label"))
-    members = materialise(parts.join(sizes, "label").join(classes, "node").select("node", "part", "size", "same_id", "copies", "sig"), "members")
+    members = materialise(parts.join(sizes, "label").join(classes, "node").select("node", "part", "size", "name.key", "copies", "sig"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,31 +284,44 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 got = [(k, values[begin[r] : begin[r + 1]].tobytes()) for k, r in zip(found, full.tolist(), strict=True) if k == wanted[r]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.binary()) for i in (0, 1)], names=["node", "set"])
 
-    wanted = members.select("node", "same_id")
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    full = wanted.join(texts, F.col("same_id") == F.col("__id")).select("node", "__text").mapInArrow(sets, "node binary, set binary")
+    wanted = members.select("node", "key")
+    texts = docs.select(row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("__key"), F.col(text_col).alias("__text"))
+    full = wanted.join(texts, F.col("key") == F.col("__key")).select("node", "__text").mapInArrow(sets, "node binary, set binary")
     full = full.dropDuplicates(["node"]).join(members, "node").select("part", "size", "node", "copies", "sig", "set")
     links = materialise(exact_links(block_pairs(full, "part", "size").select("part", "lo", "hi", "side", "node", "copies", "sig", "set"), threshold, needed), "links")
 
     groups = connected_components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
-    named = groups.join(classes.select("node", "same_id"), "node").groupBy("label").agg(F.min("same_id").alias("class_id")).join(groups, "label").select("node", "class_id")
+    named = groups.join(classes.select("node", "name"), "node").groupBy("label").agg(F.min("name").alias("class")).join(groups, "label").select("node", "class")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     final = (
-        classes.select("node", "same_id", "copies")
+        classes.select("node", "name", "same_id", "copies")
         .join(named, "node", "left")
         .join(counted, "node", "left")
-        .select("node", "same_id", F.coalesce("class_id", "same_id").alias("class_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .withColumn("class", F.coalesce("class", "name"))
+        .select("node", "same_id", F.col("class.same_id").alias("class_id"), F.col("class.key").alias("class_key"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    return rows.select("doc_id", "node").join(final, "node", "left").select(
+    return rows.select("doc_id", "key", "node").join(final, "node", "left").select(
         "doc_id",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("same_id")).alias("same_id"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("copies", F.lit(1)).alias("copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "key",
+        "class_key",
     )
 
 
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, same_id, class_id, copies, n_links, as ``row_classes`` tells."""
+    return row_classes(docs, id_col, text_col, threshold, tolerance).drop("key", "class_key")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that name their group (smallest id of all that links join), with all columns."""
-    names = jaccard_join(docs, id_col, text_col, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(names, docs[id_col] == names["__kept"], "left_semi")
+    """One row of each group that links join, with all columns: one with the smallest id, null only if all are. Rows without words all stay.
+
+    Rows are told apart by id and text, so a group keeps one row also where ids are null or repeat; of rows that repeat both, one stays.
+    """
+    names = row_classes(docs, id_col, text_col, threshold).filter("class_key is null or key = class_key").groupBy("key").agg(F.first(F.col("class_key").isNull()).alias("__free"))
+    rows = docs.withColumns({"__key": row_key(F.col(id_col).cast("long"), F.col(text_col)), "__row": F.monotonically_increasing_id()})
+    kept = rows.join(names.withColumnRenamed("key", "__kept"), F.col("__key") == F.col("__kept")).withColumn("__row", F.when(F.col("__free"), F.col("__row")))
+    return kept.dropDuplicates(["__key", "__row"]).select(*docs.columns)
