@@ -108,6 +108,39 @@ def test_mixture_tells_rows_of_one_id_apart(spark):
     assert sum(rows.values()) == draws and max(rows.values()) <= 2
 
 
+def test_mixing_of_more_sources_than_a_table_holds(spark, monkeypatch):
+    from trackweave.llm import mixing
+
+    monkeypatch.setattr(mixing, "LARGEST_TABLE", 64 * 3)
+    monkeypatch.setattr(mixing, "GROUP_BLOCKS", 50)
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('a b ', 1 + id % 5)").alias("text"), F.expr("if(id % 300 = 0, null, 's' || id % 701)").alias("source"))
+    rows = mixing.mixing_plan(d).collect()
+    assert len(rows) == 3000
+    taken, goal, largest, shards = Counter(), {}, Counter(), Counter()
+    source = {r.doc_id: r.source for r in d.collect()}
+    for r in rows:
+        s = source[r.doc_id]
+        taken[s] += r["size"] * len(r.draws)
+        goal[s], largest[s] = r.target, max(largest[s], r["size"])
+        shards.update({x.shard for x in r.draws})
+    assert len(goal) == 702 and all(abs(taken[s] - goal[s]) <= largest[s] / 2 + 1e-6 for s in goal)
+    assert set(shards) == set(range(64))
+
+
+def test_group_shares_are_exact_and_even():
+    from trackweave.llm.mixing import group_shares
+
+    quotas, totals = np.array([50, 7, 0, 1000]), np.array([300, 0, 57, 700])
+    mean = np.zeros((4, 4))
+    for seed in range(300):
+        out = np.zeros((4, 4), dtype=np.int64)
+        for shard, at, n in group_shares(quotas, totals, seed):
+            out[shard, at] = n
+        assert out.sum(axis=0).tolist() == quotas.tolist() and out.sum(axis=1).tolist() == totals.tolist()
+        mean += out / 300
+    assert mean == pytest.approx(np.outer(totals, quotas) / quotas.sum(), abs=2.5)
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([50, 7, 0, 1000])
     shares = splitting_tree(quotas, 8)

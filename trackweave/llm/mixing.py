@@ -1,5 +1,7 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ LEAST_SHARDS = 64
 SHARD_WORDS = 5_000_000
 SEED = 17
 LARGEST_TABLE = 16_000_000
+GROUP_BLOCKS = 131_072
 
 
 def target_table(sized: DataFrame) -> DataFrame:
@@ -69,6 +72,55 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndar
     return out
 
 
+def group_shares(quotas: np.ndarray, totals: np.ndarray, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per shard with blocks: its number, sources and how many of their blocks; ``totals`` says how many blocks of all sources each shard gets.
+
+    The same draws as in ``splitting_tree``, given what each node of the tree gets in all. A node knows only the sources that have
+    blocks there, so the work follows the blocks and not sources x shards.
+    """
+    cum = np.concatenate(([0], np.cumsum(totals)))
+    at = np.flatnonzero(quotas)
+    nodes = [(0, len(totals), at, np.asarray(quotas, dtype=np.int64)[at], 1)]
+    while nodes:
+        lo, hi, at, own, node = nodes.pop()
+        if not len(at):
+            continue
+        if hi - lo == 1:
+            yield lo, at, own
+            continue
+        mid = (lo + hi) // 2
+        rng = np.random.Generator(np.random.Philox(key=[seed, node]))
+        left = rng.multivariate_hypergeometric(own, int(cum[mid] - cum[lo]), method="marginals")
+        for part in ((mid, hi, own - left, 2 * node + 1), (lo, mid, left, 2 * node)):
+            some = part[2] > 0
+            nodes.append((*part[:2], at[some], part[2][some], part[3]))
+
+
+def shard_ranges(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The splitting tree over any number of sources (group, source, n): rows of, shard, first, last; ``of`` has its blocks first..last there.
+
+    The driver knows the number of blocks of groups of sources only. Their tree gives each group's blocks per shard, and in each group's
+    task the same tree deals these to its sources; given its sum, a part of a multivariate hypergeometric draw is such a draw again.
+    """
+    groups = sorted(tuple(r) for r in quotas.groupBy("group").agg(F.sum("n")).collect())
+    place = {g: i for i, (g, _) in enumerate(groups)}
+    sums = np.array([n for _, n in groups], dtype=np.int64)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("source", na_position="last", ignore_index=True)
+        k = place[int(rows["group"][0])]
+        parts = list(group_shares(rows["n"].to_numpy(), splitting_tree(sums, shards, seed)[:, k], (seed << 32) + k + 1))
+        at, n = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        shard = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        order = np.argsort(at, kind="stable")
+        at, n, shard = at[order], n[order], shard[order]
+        end = np.cumsum(n)
+        first = end - n - (np.cumsum(rows["n"].to_numpy()) - rows["n"].to_numpy())[at]
+        return pd.DataFrame({"of": rows["source"].to_numpy()[at], "shard": shard, "first": first, "last": first + n - 1})
+
+    return quotas.groupBy("group").applyInPandas(run, "of string, shard int, first long, last long")
+
+
 def row_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = SEED) -> DataFrame:
     """``mixing_plan`` with the key of each row by its id and text.
 
@@ -81,7 +133,8 @@ def row_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Without a given number of ``shards`` there is one per SHARD_WORDS of the mix, LEAST_SHARDS at least.
     Null text has size 0, a null source is a source of its own. Rows that repeat an id are separate documents
-    with the same hash. The number of sources times shards may not exceed LARGEST_TABLE (ValueError).
+    with the same hash. Groups of sources share the tree's work, about GROUP_BLOCKS blocks each; with so many shards
+    that groups times shards would exceed LARGEST_TABLE, the groups are larger.
     """
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
     sized = materialise(
@@ -95,10 +148,8 @@ def row_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         "sizes",
     )
     sources = materialise(target_table(sized), "targets")
-    n_sources, mixed_words = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    mixed_words = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     shards = shards or max(LEAST_SHARDS, round(mixed_words / SHARD_WORDS))
-    if n_sources * shards > LARGEST_TABLE:
-        raise ValueError("too many sources for this number of shards")
     s = sources.withColumnRenamed("source", "of")
     number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     blocks = F.least(F.ceil(F.col("n_docs") / BLOCK_DOCS), F.lit(MOST_BLOCKS))
@@ -110,13 +161,12 @@ def row_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     )
     permuted = F.md5(F.concat_ws("|", F.lit(str(seed)), "turn", "block"))
     drawn = materialise(drawn.withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy(permuted, "turn", "block")) - 1).select("source", "block", "turn", "nth"), "draws")
-    quotas = drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
-    ends = splitting_tree(np.array([q["n"] for q in quotas], dtype=np.int64), shards, seed).cumsum(axis=0)
-    spark = docs.sparkSession
-    deal = spark.createDataFrame(pd.DataFrame({"of": [q.source for q in quotas], "ends": [e.tolist() for e in ends.T]}), "of string, ends array<long>")
+    groups = max(1, min(-(-drawn.count() // GROUP_BLOCKS), LARGEST_TABLE // shards))
+    group = F.pmod(F.xxhash64("source"), F.lit(groups)).alias("group")
+    quotas = materialise(drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(group, "source", "n"), "quotas")
+    deal = shard_ranges(quotas, shards, seed).select("of", "shard", F.explode(F.sequence("first", "last")).alias("at"))
     dealt = (
-        drawn.join(deal, drawn.source.eqNullSafe(deal.of))
-        .withColumn("shard", F.expr("size(filter(ends, e -> e <= nth))"))
+        drawn.join(deal, drawn.source.eqNullSafe(deal.of) & (F.col("nth") == F.col("at")))
         .groupBy("source", "block")
         .agg(F.sort_array(F.collect_list(F.struct("turn", "shard"))).alias("turns"))
     )
