@@ -158,6 +158,26 @@ def test_main_text_of_held_out_pages():
     assert good / total > 0.93
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<head><title>t</title><meta charset=x><p>Article <b>one</b>.<p>Two.", "Article one. Two."),
+        ("<html><head><title>t</title>Text at once.", "Text at once."),
+        ("<head><style>a</style></head><body><p>A.</p>", "A."),
+        ("<p>A.<button>b<p>C.</p>", "A. C."),
+        ("<div><button>b</div>C.<svg><g><p>D.</p>E.", "C. D. E."),
+        ("<div>A <object data=x>o</div><p>B.<button>b<p>C.<button>b</button></p>", "A B. C."),
+        ("<p>A <video><p>Old browser</video> B <svg><svg></svg>x</svg><select><option>o</select>C", "A B C"),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.", "Let x=1 be."),
+        ("<p>A.<script>for(i=0;i<n;i++){}</script><p>B.", "A. B."),
+        ("<p>A.<script>i<n;s='it';t=\"</script><p class=\"x\">B.</p><script>'<p>'</script>C.", "A. B. C."),
+        ("<p>A.<script>if(a<b)'x", "A."),
+    ],
+)
+def test_pages_with_omitted_tags_keep_their_text(page, want):
+    assert " ".join(t for texts in Dom(page).text for t in texts) == want
+
+
 def test_main_text_of_pages(spark):
     real = spark.read.parquet(f"{SF}/pages.parquet")
     for r in extract_main_text(real).join(real.select("page_id", "html"), "page_id").collect():

@@ -22,7 +22,11 @@ _SIGN = re.compile(r"[.,;:!?]")
 # Elements by their part in a page, as HTML defines them.
 BLOCKS = "html body div section article main nav aside header footer form ul ol li dl dt dd table tbody thead tfoot tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset details summary center ins".split()
 RAW = {"script", "style", "textarea", "title", "xmp", "noscript", "iframe", "noembed"}
-SKIP = {"head", "svg", "math", "template", "select", "button", "object", "canvas", "video", "audio"}
+SKIP = {"svg", "template", "select", "button", "object", "canvas", "video", "audio"}
+# what a head may hold; anything else ends it, as its tags may be left out
+IN_HEAD = {"head", "html", "base", "link", "meta", "title", "style", "script", "noscript", "template"}
+# where one of these begins, an element of SKIP without end tag is over
+ARTICLE = set("body p h1 h2 h3 h4 h5 h6 article main section ul ol dl table blockquote pre".split())
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES_P = set(BLOCKS) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "ins"}
 SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -39,6 +43,30 @@ for _g, _names in enumerate(GROUPS):
 TEXT = len(BLOCKS)
 
 
+def page_marks(page: str) -> list[re.Match]:
+    """Tags and comments in page order, without what raw elements hold."""
+    out, at = [], 0
+    while m := _MARK.search(page, at):
+        out.append(m)
+        at = m.end()
+        if m[2] and not m[1] and (name := m[2].lower()) in RAW:
+            end = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(page, at)
+            at = end.start() if end else len(page)
+    return out
+
+
+def skipped_ends(marks: list[re.Match]) -> dict[int, int]:
+    """The mark that ends each element of SKIP, by the one that begins it, for those that have an end tag."""
+    out, opened = {}, {}
+    for i, m in enumerate(marks):
+        if m[2] and (name := m[2].lower()) in SKIP:
+            if not m[1] and not m[3].endswith("/"):
+                opened.setdefault(name, []).append(i)
+            elif m[1] and opened.get(name):
+                out[opened[name].pop()] = i
+    return out
+
+
 class Dom:
     """Block nodes of one page in page order: kind, parent, attribute words for and against, own pieces of text."""
 
@@ -62,8 +90,9 @@ class Dom:
     def _read(self, page: str) -> None:
         stack = [("html", 0)]
         run: list[str] = []
-        links = skip = at = 0
+        links = at = 0
         linked = 0
+        head = unclosed = False
 
         def flush() -> None:
             nonlocal run, linked
@@ -73,30 +102,45 @@ class Dom:
                 self.linked[-1] = linked
             run, linked = [], 0
 
-        for m in _MARK.finditer(page):
-            if m.start() < at:
-                continue
-            if not skip and m.start() > at:
-                run.append(page[at : m.start()])
+        def add(end: int) -> None:
+            nonlocal head, linked
+            head = head and not page[at:end].strip()
+            if not head and not unclosed and end > at:
+                run.append(page[at:end])
                 if links:
-                    linked += m.start() - at
+                    linked += end - at
+
+        marks = page_marks(page)
+        ends = skipped_ends(marks)
+        past = 0
+        for i, m in enumerate(marks):
+            if i < past:
+                continue
+            add(m.start())
             at = m.end()
             name = m[2]
             if name is None:
                 continue
             name = name.lower()
+            if name == "head":
+                head = not m[1] and len(self.kind) == 1 and not run
+                continue
+            head = head and (name in IN_HEAD or bool(m[1]) and name != "body")
             if name in RAW:
                 if not m[1]:
-                    end = re.compile(f"</{name}", re.I).search(page, at)
-                    at = end.start() if end else len(page)
+                    at = marks[i + 1].start() if i + 1 < len(marks) else len(page)
                 continue
             if name in SKIP:
-                skip = max(0, skip + (-1 if m[1] else 1)) if not m[3].endswith("/") else skip
+                if i in ends:
+                    past = ends[i] + 1
+                    at = marks[ends[i]].end()
+                elif not m[1] and not m[3].endswith("/"):
+                    unclosed = True
                 continue
-            if skip:
-                if name != "body":
+            if unclosed:
+                if name not in ARTICLE if not m[1] else all(t != name for t, _ in stack[1:]):
                     continue
-                skip = 0
+                unclosed = False
             if name == "a":
                 links = 0 if m[1] else 1
             if name in VOID:
@@ -128,8 +172,7 @@ class Dom:
                         break
             links = 0
             stack.append((name, self._node(KIND[name], stack[-1][1], m[3])))
-        if not skip and at < len(page):
-            run.append(page[at:])
+        add(len(page))
         flush()
 
 
