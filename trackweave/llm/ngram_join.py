@@ -19,7 +19,8 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-5
 BLOCK = 512
-MOST_PAIRS = 1 << 20
+BLOCK_SHINGLES = 1 << 19
+MOST_PAIRS = 1 << 16
 
 _A, _B = np.random.Generator(np.random.Philox(key=[2718, 28])).integers(0, 2**64, size=(2, HASHES), dtype=U64)
 _A |= U64(1)
@@ -106,20 +107,32 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
 
 
 def group_pairs(begin: np.ndarray, side: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs inside groups (``cross``: only those of different sides), many at a time but of bounded number."""
+    """Row numbers of the pairs inside groups (``cross``: only those of different sides), about MOST_PAIRS at a time; groups come one after the other."""
     parts, size = [], 0
     small: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for b, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
         if cross[b]:
             left, right = np.flatnonzero(side[b:e] == 0) + b, np.flatnonzero(side[b:e] == 1) + b
-            parts.append((np.repeat(left, len(right)), np.tile(right, len(left))))
-        else:
+        elif e - b <= 256:
             if e - b not in small:
                 small[e - b] = np.triu_indices(e - b, 1)
             x, y = small[e - b]
             parts.append((x + b, y + b))
-        size += len(parts[-1][0])
-        if size > MOST_PAIRS:
+            size += len(x)
+            left = right = x[:0]
+        else:
+            left = right = np.arange(b, e)
+        step = max(1, MOST_PAIRS // max(1, len(right)))
+        for lo in range(0, len(left) if len(right) else 0, step):
+            x, y = np.repeat(left[lo : lo + step], len(right)), np.tile(right, len(left[lo : lo + step]))
+            if left is right:
+                x, y = x[x < y], y[x < y]
+            parts.append((x, y))
+            size += len(x)
+            if size >= MOST_PAIRS:
+                yield tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+                parts, size = [], 0
+        if size >= MOST_PAIRS:
             yield tuple(np.concatenate(p) for p in zip(*parts, strict=True))
             parts, size = [], 0
     if parts:
@@ -127,7 +140,11 @@ def group_pairs(begin: np.ndarray, side: np.ndarray, cross: np.ndarray) -> Itera
 
 
 def joined(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
+    """A binary column of values of one length as a matrix, without a copy per row."""
+    array = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+    _, at, data = array.buffers()
+    lo = np.frombuffer(at, dtype=np.int32)[array.offset]
+    return np.frombuffer(data, dtype=kind, count=len(array) * width, offset=int(lo)).reshape(-1, width)
 
 
 def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,19 +171,24 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col, key).mapInArrow(run, "doc_id long, node binary, n long, sig binary, key binary")
 
 
+def block_of(node: str, blocks: str) -> str:
+    """SQL for the block, of ``blocks``, that a node stands in: ranges of a hash, so that blocks of groups of like size hold the same nodes."""
+    return f"cast(floor(shiftrightunsigned(xxhash64({node}), 11) / {float(1 << 53)} * {blocks}) as long)"
+
+
 def block_pairs(members: DataFrame, group: str, size: str) -> DataFrame:
     """Rows dealt to pairs of blocks (group, lo, hi) of about BLOCK members, so that every pair of a group meets once in one task.
 
     A group of any size becomes tasks of bounded size; a member of a group of k rows is copied k / BLOCK times.
     """
-    blocks = F.ceil(F.col(size) / BLOCK).cast("long")
-    dealt = members.withColumn("own", F.expr(f"pmod(xxhash64(node, {group}), {'ceil(' + size + ' / ' + str(BLOCK) + ')'})").cast("long"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    blocks = f"ceil({size} / {BLOCK})"
+    dealt = members.withColumn("own", F.expr(block_of("node", blocks)))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"cast({blocks} as long)") - 1)))
     return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("long")}).drop("own", "other")
 
 
-def plausible_links(classes: DataFrame, needed: list[int]) -> DataFrame:
-    """Edges (a, b) that join all classes linked by pairs that share an LSH bucket and survive the pruning."""
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(node, bucket, size) of the LSH buckets that hold several classes; of buckets with the same members one."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     rows = classes.select("node", F.explode(keys).alias("bucket"))
     buckets = (
@@ -174,22 +196,41 @@ def plausible_links(classes: DataFrame, needed: list[int]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("size"), F.sum(F.expr("cast(xxhash64(node) as decimal(38,0))")).alias("sum"), F.min("node").alias("least"))
         .filter("size > 1")
     )
-    # buckets with the same members are one: their pairs are the same
     buckets = buckets.groupBy("size", "sum", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    members = block_pairs(rows.join(buckets, "bucket"), "bucket", "size").drop("size")
-    dealt = members.join(classes.select("node", "sig"), "node").select("bucket", "lo", "hi", "side", "node", "sig")
+    return rows.join(buckets, "bucket").select("node", "bucket", "size")
+
+
+def homes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(home, block, node, copies, key, sig) of the classes in ``members``: the largest bucket of each, cut into blocks of bounded rows and bytes.
+
+    Near copies of one text have few homes, so few pairs of blocks hold all their candidate pairs; in a loose chain of texts homes are
+    as small as the buckets.
+    """
+    home = members.groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("h")).select("node", F.col("h.bucket").alias("home"))
+    own = home.join(classes, "node").select("node", "home", "n", "copies", F.col("name.key").alias("key"), "sig")
+    blocks = own.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    return own.join(blocks, "home").select("home", F.expr(block_of("node", "blocks")).alias("block"), "node", "copies", "key", "sig")
+
+
+def plausible_blocks(members: DataFrame, homed: DataFrame, needed: list[int]) -> DataFrame:
+    """(home_a, block_a, home_b, block_b): all pairs of blocks with a pair of classes that share a bucket and survive the pruning."""
+    dealt = block_pairs(members, "bucket", "size").drop("size").join(homed.select("node", "sig", "home", "block"), "node").select("bucket", "lo", "hi", "side", "home", "block", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, begin in whole_groups(batches, 3):
-            sig, node = joined(t.column(5), np.uint32, HASHES), t.column(4).to_pylist()
+            sig = joined(t.column(6), np.uint32, HASHES)
+            places, place = np.unique(np.stack((t.column(4).to_numpy(), t.column(5).to_numpy()), axis=1), axis=0, return_inverse=True)
+            place, found = place.ravel(), []
             cross = t.column(1).to_numpy() != t.column(2).to_numpy()
             for i, j in group_pairs(begin, t.column(3).to_numpy(), cross):
                 i, j = prune(sig, i, j, needed)
-                label = local_labels(len(node), i, j)
-                far = np.flatnonzero(label != np.arange(len(node))).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([node[x] for x in far], pa.binary()), pa.array([node[x] for x in label[far].tolist()], pa.binary())], names=["a", "b"])
+                found.append(np.unique(np.minimum(place[i], place[j]) * len(places) + np.maximum(place[i], place[j])))
+            codes = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+            a, b = places[codes // len(places)], places[codes % len(places)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[:, 0], a[:, 1], b[:, 0], b[:, 1])], names=["home_a", "block_a", "home_b", "block_b"])
 
-    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node").mapInArrow(run, "a binary, b binary")
+    found = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "home_a long, block_a long, home_b long, block_b long")
+    return found.distinct()
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -216,33 +257,41 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return total[at[i], at[j]].astype(np.int64)
 
 
+PAIR = ["home_a", "block_a", "home_b", "block_b"]
+
+
 def exact_links(groups: DataFrame, threshold: float, needed: list[int]) -> DataFrame:
-    """(node, links, peer) of rows (part, lo, hi, side, node, copies, sig, set): links counts documents, peer joins what is linked."""
+    """(node, links, peer) of rows (PAIR, side, node, copies, sig, set): links counts documents, peer joins what is linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, begin in whole_groups(batches, 3):
-            sig, node, copies = joined(t.column(6), np.uint32, HASHES), t.column(4).to_pylist(), t.column(5).to_numpy()
-            sets = [np.frombuffer(x, dtype=U64) for x in t.column(7).to_pylist()]
-            size = np.array([len(s) for s in sets])
-            cross = t.column(1).to_numpy() != t.column(2).to_numpy()
-            for i, j in group_pairs(begin, t.column(3).to_numpy(), cross):
+        for t, begin in whole_groups(batches, 4):
+            sig, node, copies, held = joined(t.column(7), np.uint32, HASHES), t.column(5), t.column(6).to_numpy(), t.column(8)
+            cross = (t.column(0).to_numpy() != t.column(2).to_numpy()) | (t.column(1).to_numpy() != t.column(3).to_numpy())
+            links, label = np.zeros(len(t), dtype=np.int64), np.arange(len(t))
+            sets: list[np.ndarray | None] = [None] * len(t)
+            past = 0
+            for i, j in group_pairs(begin, t.column(4).to_numpy(), cross):
                 i, j = prune(sig, i, j, needed)
                 if not len(i):
                     continue
-                # group by group, so that only sets of one group share a table
+                # sets are held for the groups of these pairs only
+                first = int(begin[np.searchsorted(begin, i.min(), side="right") - 1])
+                sets[past:first] = [None] * (first - past)
+                past = first
+                for r in np.unique(np.concatenate((i, j))).tolist():
+                    if sets[r] is None:
+                        sets[r] = np.frombuffer(held[r].as_buffer(), dtype=U64)
+                size = np.array([0 if x is None else len(x) for x in sets])
                 cuts = np.flatnonzero(np.diff(np.searchsorted(begin, i, side="right"))) + 1
                 both = np.concatenate([overlaps(sets, x, y) for x, y in zip(np.split(i, cuts), np.split(j, cuts), strict=True)])
                 near = both >= threshold * (size[i] + size[j] - both) - 1e-9
                 i, j = i[near], j[near]
-                links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-                label = local_labels(len(node), i, j)
-                own = np.flatnonzero(links).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([node[x] for x in own], pa.binary()), pa.array(links[own].astype(np.int64)), pa.array([node[x] for x in label[own].tolist()], pa.binary())],
-                    names=["node", "links", "peer"],
-                )
+                links += np.bincount(i, copies[j], len(t)).astype(np.int64) + np.bincount(j, copies[i], len(t)).astype(np.int64)
+                label = local_labels(len(t), np.concatenate((i, np.arange(len(t)))), np.concatenate((j, label)))
+            own = pa.array(np.flatnonzero(links))
+            yield pa.RecordBatch.from_arrays([node.take(own).combine_chunks(), pa.array(links[own.to_numpy()]), node.take(pa.array(label[own.to_numpy()])).combine_chunks()], names=["node", "links", "peer"])
 
-    return groups.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi", "node").mapInArrow(run, "node binary, links long, peer binary")
+    return groups.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(run, "node binary, links long, peer binary")
 
 
 def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -255,40 +304,40 @@ def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Classes that share a MinHash band are candidates (a pair at 0.8 shares none with probability 4e-6). Their hashes
     are compared 16 at a time and a pair is dropped when its posterior chance falls below ``tolerance``; the rest
-    is verified on the whole sets. Buckets and groups of any size are dealt to pairs of blocks, so all pairs meet but never as rows of a table: a task
-    counts links and names one peer per document. Rows that repeat an id are separate documents.
+    is verified on the whole sets. Pairs never become rows of a table. Every class has one block, of its largest bucket, of bounded rows and bytes;
+    buckets of any size tell which pairs of blocks hold a surviving pair, and only these get the sets: each task
+    prunes and verifies the pairs between two blocks, counts links and names one peer per document. So every pair is verified in one place, and
+    a chain of loosely related texts costs no more than its candidates. Rows that repeat an id are separate documents.
     """
     needed = least_matches(threshold, tolerance)
     rows = materialise(text_classes(docs, id_col, text_col), "shingled")
     classes = materialise(
         rows.filter("n > 0")
         .groupBy("node")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("same_id"), "key")).alias("name"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-        .select("node", "name", "name.same_id", "copies", "sig"),
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("same_id"), "key")).alias("name"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        .select("node", "name", "name.same_id", "copies", "n", "sig"),
         "classes",
     )
-    edges = materialise(plausible_links(classes, needed), "plausible")
-    parts = connected_components(edges)
-    sizes = parts.groupBy("label").agg(F.count(F.lit(1)).alias("size")).withColumn("part", F.xxhash64("label"))
-    members = materialise(parts.join(sizes, "label").join(classes, "node").select("node", "part", "size", "name.key", "copies", "sig"), "members")
+    members = materialise(shared_buckets(classes), "buckets")
+    homed = materialise(homes(members, classes), "homes")
+    pairs = materialise(plausible_blocks(members, homed, needed), "plausible")
+    sides = pairs.select(F.col("home_a").alias("home"), F.col("block_a").alias("block"), *PAIR, F.lit(0).cast("long").alias("side")).unionByName(
+        pairs.filter("home_a <> home_b or block_a <> block_b").select(F.col("home_b").alias("home"), F.col("block_b").alias("block"), *PAIR, F.lit(1).cast("long").alias("side"))
+    )
+    kind = "home long, block long, node binary, copies long, sig binary, set binary"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in batch_words(batch.column(1)):
+            for words in batch_words(batch.column(5)):
                 values, begin = shingle_sets(words, SHINGLE)
-                full = np.flatnonzero(np.diff(begin))
-                if not len(full):
-                    continue
-                found = [k.tobytes() for k in set_keys(values, np.append(begin[full], begin[-1]))]
-                wanted = batch.column(0).slice(words.row, words.n_texts).to_pylist()
-                got = [(k, values[begin[r] : begin[r + 1]].tobytes()) for k, r in zip(found, full.tolist(), strict=True) if k == wanted[r]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.binary()) for i in (0, 1)], names=["node", "set"])
+                own = batch.slice(words.row, words.n_texts)
+                found = pa.array([values[b:e].tobytes() for b, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(5)), found], names=[f.split()[0] for f in kind.split(", ")])
 
-    wanted = members.select("node", "key")
     texts = docs.select(row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("__key"), F.col(text_col).alias("__text"))
-    full = wanted.join(texts, F.col("key") == F.col("__key")).select("node", "__text").mapInArrow(sets, "node binary, set binary")
-    full = full.dropDuplicates(["node"]).join(members, "node").select("part", "size", "node", "copies", "sig", "set")
-    links = materialise(exact_links(block_pairs(full, "part", "size").select("part", "lo", "hi", "side", "node", "copies", "sig", "set"), threshold, needed), "links")
+    full = homed.join(texts, F.col("key") == F.col("__key")).select("home", "block", "node", "copies", "sig", "__text").mapInArrow(sets, kind)
+    full = full.repartition("home", "block").dropDuplicates(["home", "block", "node"]).join(sides, ["home", "block"])
+    links = materialise(exact_links(full.select(*PAIR, "side", "node", "copies", "sig", "set"), threshold, needed), "links")
 
     groups = connected_components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     named = groups.join(classes.select("node", "name"), "node").groupBy("label").agg(F.min("name").alias("class")).join(groups, "label").select("node", "class")
