@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.conftest import SF
 from tests.llm.test_text_operators import docs, empty
@@ -212,19 +213,21 @@ def test_encoder_gives_the_tokenizers_ids():
     import random
 
     e, r = packing.Encoder(packing.tokenizer_file()), random.Random(1)
-    parts = ["'", "s", "t", "re", "ll", "m", " ", "  ", "\n", "\t", "a", "B", "é", "1", "٣", "!", "''", "—", "中", "'S", "x'", "<|endoftext|>", "\u0085", " ", "😀"]
+    tokenizer = Tokenizer.from_file(packing.tokenizer_file())
+    parts = ["'", "s", "t", "re", "ll", "m", " ", "  ", "\n", "\t", "a", "B", "é", "1", "٣", "!", "''", "—", "中", "'S", "x'", "<|endoftext|>", "<|", "endoftext|>", "\u0085", " ", "😀"]
     texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(4000)]
-    for lot in (texts, [t for t in texts if "😀" not in t]):
+    for lot in (texts, [t for t in texts if "😀" not in t], [t for t in texts if "😀" not in t and "<|endoftext|>" not in t], ["", "hello <|endoftext|> world", ""]):
         ids, at = e.encode(lot)
-        for i, t in enumerate(e.tokenizer.encode_batch(lot, add_special_tokens=False)):
+        for i, t in enumerate(tokenizer.encode_batch(lot, add_special_tokens=False)):
             assert ids[at[i] : at[i + 1]].tolist() == t.ids, lot[i]
+    assert 50256 in ids and e.encode([])[0].tolist() == []
 
 
 def test_packing(spark):
-    d = spark.read.parquet(f"{SF}/documents.parquet").withColumn("length", F.lit(1)).withColumn("text", F.when(F.col("doc_id") != 5, F.col("text")))
+    d = spark.read.parquet(f"{SF}/documents.parquet").withColumn("length", F.lit(1)).withColumn("text", F.when(F.col("doc_id") == 6, F.concat("text", F.lit(" <|endoftext|> end"))).when(F.col("doc_id") != 5, F.col("text")))
     d = d.unionByName(d.filter("doc_id = 7")).unionByName(d.filter("doc_id = 9").withColumn("text", F.repeat("text", 40)).withColumn("doc_id", F.lit(-1).cast("long")))
     rows = packing.pack(d).collect()
-    tokenizer = packing.Encoder(packing.tokenizer_file()).tokenizer
+    tokenizer = Tokenizer.from_file(packing.tokenizer_file())
     total, per_doc, bins = 0, defaultdict(list), defaultdict(list)
     for r in rows:
         per_doc[r.doc_id].append(r)

@@ -3,9 +3,11 @@
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,9 @@ from .words import U64, span_hash
 
 CAPACITY = 2048
 END_ID = 0
-SLOTS = 1 << 21
+SLOTS = 1 << 20
+MOST_REMEMBERED = 8 << 20
+SLICE_CHARS = 1 << 20
 LETTER, NUMBER, SPACE, OTHER, UNSURE = 1, 2, 3, 4, 255
 
 
@@ -41,14 +45,15 @@ class Encoder:
 
     The vocabulary merges bytes only inside the pieces that its pattern splits off: contractions, runs of
     letters, numbers or other signs with one leading space, and white space. The splits are found for a whole
-    slice of texts at once. Texts with characters of unsure class go through the tokenizer as they are.
+    slice of texts at once. Texts with characters of unsure class, or with the string of a special token, go through
+    the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = character_classes()
         self._forget()
 
@@ -108,12 +113,25 @@ class Encoder:
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
         at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        if len(points) and (self.classes[points] == UNSURE).any():
-            each = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.concatenate(each), np.concatenate(([0], np.cumsum([len(e) for e in each])))
+        odd = np.zeros(len(texts), dtype=bool)
+        odd[np.searchsorted(at, np.flatnonzero(self.classes[points] == UNSURE), side="right") - 1] = True
+        for mark in self.special:
+            if mark in whole:
+                odd |= [mark in t for t in texts]
+        if not odd.any():
+            return self._remembered(whole, points, at)
+        rest = ["" if o else t for o, t in zip(odd.tolist(), texts, strict=True)]
+        ids, begin = self._remembered(text := "".join(rest), np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), np.concatenate(([0], np.cumsum([len(t) for t in rest]))))
+        parts = np.split(ids, begin[1:-1])
+        rows = np.flatnonzero(odd).tolist()
+        for r, e in zip(rows, self.tokenizer.encode_batch_fast([texts[r] for r in rows], add_special_tokens=False), strict=True):
+            parts[r] = np.array(e.ids, dtype=np.uint32)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+    def _remembered(self, whole: str, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(points):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(at), dtype=np.int64)
-        if self.used > 48 << 20:
+        if self.used > MOST_REMEMBERED:
             self._forget()
         starts = self.splits(points, at)
         ends = np.append(starts[1:], len(points))
@@ -132,23 +150,28 @@ class Encoder:
         return ids, to[np.searchsorted(starts, at)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker, whatever the number of its tasks."""
+    return Encoder(path)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def tokenised_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
-            keys, texts = batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1).fill_null("").to_pylist()
+            column = batch.column(1).fill_null("")
+            ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
             lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 1 << 20):
-                    size += len(texts[hi])
-                    hi += 1
-                ids, at = encoder.encode(texts[lo:hi])
+            while lo < len(column):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_CHARS, side="right")))
+                keys, texts = batch.column(0).slice(lo, hi - lo).cast(pa.int64()).to_pylist(), column.slice(lo, hi - lo).to_pylist()
+                ids, at = encode(texts)
                 rows = []
-                for key, b, e in zip(keys[lo:hi], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for key, b, e in zip(keys, at[:-1].tolist(), at[1:].tolist(), strict=True):
                     own = np.empty(e - b + 1, dtype="<u4")
                     own[:-1], own[-1] = ids[b:e], end_id
                     first = (len(own) - 1) % capacity + 1
@@ -217,7 +240,7 @@ def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with the sequence that holds each and its place there.
 
-    A document is its token ids and ``end_id``; null is the empty text, which has one piece of one id. Only
+    A document is its token ids, as the vocabulary's tokenizer gives them without special tokens around the text, and ``end_id``; null is the empty text, which has one piece of one id. Only
     documents longer than ``capacity`` are cut, the first piece takes what is over. Columns: ``PIECES`` (and
     ids on demand), sequence_id, offset. Only the histogram of lengths (at most ``capacity`` numbers) reaches
     the driver, and a table of places no longer than the fillings found from it goes back. Pieces of one length
