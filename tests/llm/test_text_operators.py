@@ -1,16 +1,19 @@
 """Licence scan, exact dedup, Jaccard join, repeated passages, fingerprints, quality: against plain Python."""
 
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from trackweave.llm import quality
 from trackweave.llm import words as WD
 from trackweave.llm.components import connected_components
 from trackweave.llm.exact_dedup import drop_copies, exact_groups
@@ -263,6 +266,55 @@ def test_quality_edges(spark, texts):
     assert fit_quality(empty(spark), some)[1].collect() == []
 
 
+def plain_resampling(rows, good, k):
+    """Scores, keys and the chosen rows of (id, text), from dictionaries of counts."""
+
+    def buckets(text):
+        b = (text or "").encode()
+        return [((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - quality.BITS) for i in range(len(b) - 2)]
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(buckets(t))
+        if i in good:
+            target.update(buckets(t))
+    size = 1 << quality.BITS
+    raw_n, target_n = sum(raw.values()) + size, sum(target.values()) + size
+    out = []
+    for i, t in rows:
+        b = buckets(t)
+        score = sum(math.log((target[x] + 1) / target_n) - math.log((raw[x] + 1) / raw_n) for x in b) / max(len(b), 1)
+        h = xxhash.xxh64_intdigest((20).to_bytes(4, "little"), 42)
+        h = h if i is None else xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), h)
+        out.append((i, score, 200 * score - math.log(-math.log(((h >> 11) + 0.5) / 2**53))))
+    least = sorted((x[2] for x in out), reverse=True)[k - 1]
+    return [(*x, x[2] >= least) for x in out]
+
+
+def test_resampling_against_plain_python(spark, texts):
+    d = docs(spark, [*texts, texts[3]], [*range(len(texts) - 1), None, 3])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)] + [(None, 1, 0), (2, None, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    fitted = {i for i in range(60) if (i % 3 > 0 or i == 3) and spark.range(1).select(F.expr(f"pmod(xxhash64(11, {i}L), 2)")).first()[0] == 0}
+    for k in (1, 20, 60, len(rows)):
+        want = plain_resampling(rows, fitted, k)
+        got = fit_quality(d, labels, k=k)[1].collect()
+        order = lambda x: (x[0] is None, x[0] or 0, x[2])
+        for g, w in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+            assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-9) and g[2] == pytest.approx(w[2], abs=1e-6) and g[3] == w[3]
+        chosen = keep_good(d, labels, k=k)
+        assert chosen.columns == d.columns and Counter((r.doc_id, r.text) for r in chosen.collect()) == Counter(r for r, w in zip(rows, want, strict=True) if w[3])
+
+
+def test_gumbel_keys_sample_in_proportion_to_the_weights(spark):
+    # the largest of key and noise falls on each of three weights by its share
+    from trackweave.llm.quality import noise
+
+    u = spark.range(30_000).select(*[(noise(F.col("id") * 3 + i) + math.log(w)).alias(f"k{i}") for i, w in enumerate((1, 2, 5))])
+    shares = u.select(*[F.avg((F.col(f"k{i}") == F.greatest("k0", "k1", "k2")).cast("double")) for i in range(3)]).first()
+    assert list(shares) == pytest.approx([1 / 8, 2 / 8, 5 / 8], abs=0.015)
+
+
 def test_kth_largest(spark):
     r = random.Random(8)
     values = [r.gauss(0, 1) for _ in range(500)] + [0.25] * 20

@@ -15,7 +15,7 @@ ORDER = 3
 BITS = 16
 MOST_LABELS = 20_000
 LOST = 0.003
-TEMPERATURE = 0.001
+LENGTH = 200
 SMOOTHING = 1.0
 
 
@@ -57,7 +57,7 @@ def score_column(model: Model, text: Column) -> Column:
 
 
 def noise(key: Column) -> Column:
-    """A standard Gumbel variate that depends on the id alone."""
+    """A standard Gumbel variate that depends on the id alone, so that reruns agree; null ids share one."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(20), key), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
@@ -100,10 +100,12 @@ def ngram_models(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
-    """The k-th largest finite value, by histograms of ever narrower ranges; ranges of 1024 counts reach the driver."""
-    lo, hi = df.agg(F.min(column), F.max(column)).first()
+    """The k-th largest finite value (the least if there are fewer), by histograms of ever narrower ranges; ranges of 1024 counts reach the driver."""
+    lo, hi, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
     if lo is None or k <= 0:
         return np.inf
+    if k >= n:
+        return lo
     while hi > lo:
         width = (hi - lo) / 1024
         if width <= abs(hi) * 1e-15:
@@ -118,30 +120,45 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return lo
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labels: int = MOST_LABELS, lost: float = LOST) -> tuple[Model, DataFrame]:
+def resampling_key(score: Column, id_: Column) -> Column:
+    """Log importance weight of LENGTH n-grams of the text plus Gumbel noise."""
+    return score * LENGTH + noise(id_.cast("long"))
+
+
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labels: int = MOST_LABELS, lost: float = LOST, k: int | None = None
+) -> tuple[Model, DataFrame]:
     """The model and the scored rows (doc_id, score, key, kept) of all of ``docs``.
 
-    Raw and target text are multinomial models over hashed byte n-grams. A document's score is its mean log
-    ratio, its key the score plus TEMPERATURE times a Gumbel variate, so that the k largest keys are a sample without
-    replacement. k is the number of documents whose score reaches the cut-off below which a share ``lost`` of the good
-    labelled documents lies that were not used to fit. At most ``most_labels`` labels serve both; raw counts,
-    scores and k cover all documents. Ties at the last key all stay. Null is the empty text (score 0); without
-    good labels every score is 0 and all stay.
+    Raw and target text are multinomial models over hashed byte n-grams; score is a document's mean log ratio of the two. The
+    log importance weight of the whole text would grow with its length, so that length alone decided; weights are those of LENGTH n-grams of
+    the text instead. The key is this log weight plus a standard Gumbel variate, so the ``k`` largest keys are a sample without replacement
+    in proportion to the weights. Without a given ``k`` it is the number of documents whose score reaches the cut-off below which a share
+    ``lost`` of the good labelled documents lies that were not used to fit. At most ``most_labels`` labels serve both; raw counts,
+    scores and k cover all documents. Ties at the last key all stay, and so do repeated rows together. Null is the empty text (score 0);
+    without good labels every score is 0 and, where no ``k`` is given, all stay. Labels with null id or quality are left out; an id labelled
+    more than once is good if any says so.
     """
     sample = materialise(label_sample(labels, most_labels), "labels")
     model = Model(ngram_models(docs, sample, id_col, text_col))
     score = score_column(model, F.coalesce(F.col(text_col), F.lit("")))
-    scored = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), score.alias("score")).withColumn("key", F.col("score") + TEMPERATURE * noise(F.col("doc_id"))), "scores")
-    held = sample.filter("good and not fit").select("__label")
-    good = np.sort([r.score for r in scored.join(F.broadcast(held), F.col("doc_id") == F.col("__label")).select("score").collect()])
-    cutoff = good[int(len(good) * lost)] if len(good) else -np.inf
-    k = scored.filter(F.col("score") >= F.lit(float(cutoff))).count()
+    scored = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), score.alias("score")).withColumn("key", resampling_key(F.col("score"), F.col("doc_id"))), "scores")
+    if k is None:
+        held = sample.filter("good and not fit").select("__label")
+        least = scored.join(F.broadcast(held), F.col("doc_id") == F.col("__label")).groupBy("__label").agg(F.min("score").alias("score"))
+        good = np.sort([r.score for r in least.select("score").collect()])
+        cutoff = good[int(len(good) * lost)] if len(good) else -np.inf
+        k = scored.filter(F.col("score") >= F.lit(float(cutoff))).count()
     model.least = kth_largest(scored, "key", k)
     return model, scored.withColumn("kept", F.col("key") >= F.lit(float(model.least)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the sample takes, with all columns; texts are scored once more instead of shuffled."""
-    model, _ = fit_quality(docs, labels, id_col, text_col)
-    key = score_column(model, F.coalesce(F.col(text_col), F.lit(""))) + TEMPERATURE * noise(F.col(id_col).cast("long"))
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that the sample takes (``fit_quality``), with all columns.
+
+    Texts are scored once more instead of shuffled, by the same model, so each row is judged by its own id and text: rows with null or
+    repeated ids, too. Other columns are passed on unseen.
+    """
+    model, _ = fit_quality(docs, labels, id_col, text_col, k=k)
+    key = resampling_key(score_column(model, F.coalesce(F.col(text_col), F.lit(""))), F.col(id_col))
     return docs.filter(key >= F.lit(float(model.least)))
