@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import SF
+from tests.llm.page_layouts import LAYOUTS, Words
 from tests.llm.test_text_operators import docs, empty
 from trackweave.llm import packing, warc
 from trackweave.llm.html_pages import PageMaker
-from trackweave.llm.html_text import Dom, decode, extract_main_text, main_text, trained
+from trackweave.llm.html_text import Dom, decode, extract_main_text, features, main_text, trained
 from trackweave.llm.mixing import mixing_plan, mixture, splitting_tree
 
 PAGES = "page_id long, url string, html string, archive string, offset long"
@@ -159,9 +161,41 @@ def test_main_text_of_held_out_pages():
     assert good / total > 0.93
 
 
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_main_text_of_layouts_written_apart(name):
+    good = 0
+    for seed in range(40):
+        page, pieces = LAYOUTS[name](Words(seed))
+        good += main_text([Dom(page)], trained())[0] == " ".join(pieces)
+    assert good >= 38
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</div>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<div>" * 50_000 + "<li>x" * 50_000, "<div>" * 16_000 + "</section>" * 16_000])
+def test_deep_pages_take_linear_time(page):
+    start = time.process_time()
+    main_text([Dom(page)], trained())
+    assert time.process_time() - start < 15
+
+
+def test_features_against_walks_over_the_tree():
+    dom = Dom("<body><div class='post'>a<p>b <b>c</b><ul class=nav><li>d<li>e<p>f</ul></div><nav>g<div>h</nav>i</body>")
+    x = features([dom])
+    n = len(dom.kind)
+    chain = [[i] for i in range(n)]
+    for c in chain:
+        while dom.parent[c[-1]] >= 0:
+            c.append(dom.parent[c[-1]])
+    below = [[j for j in range(n) if i in chain[j]] for i in range(n)]
+    for i in range(n):
+        assert below[i] == list(range(i, dom.last[i] + 1)) and x[i, 19] == dom.depth[i] == len(chain[i]) - 1
+        assert x[i, 7] == sum(dom.plus[j] for j in chain[i] if j) and x[i, 8] == sum(dom.minus[j] for j in chain[i] if j)
+        assert x[i, 11] == pytest.approx(np.log1p(sum(len(t) for j in below[i] for t in dom.text[j])))
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
+        ("<p data-x=it's>A don't b.</p><p title='x>y' class=\"a'b\">C.</p>", "A don't b. C."),
         ("<head><title>t</title><meta charset=x><p>Article <b>one</b>.<p>Two.", "Article one. Two."),
         ("<html><head><title>t</title>Text at once.", "Text at once."),
         ("<head><style>a</style></head><body><p>A.</p>", "A."),

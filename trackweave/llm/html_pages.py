@@ -26,8 +26,8 @@ class PageMaker:
 
     def sentence(self, low: int, high: int) -> str:
         ws = self.r.choices(self.words, k=self.r.randint(low, high))
-        if self.r.random() < 0.1:
-            ws = [w + self.r.choice(["***", "###", "&", "%", ","]) for w in ws]
+        if self.r.random() < 0.15:
+            ws[self.r.randrange(len(ws))] += self.r.choice([",", ";", ":", " & co", " (2)", " 50%", " -"])
         return (" ".join(ws)).capitalize() + self.r.choice([".", ".", ".", "!", "?", ""])
 
     def prose(self, kind: float) -> str:
@@ -53,7 +53,8 @@ class PageMaker:
         elif role == "sidebar":
             body = f"<h3>{self.sentence(1, 3)}</h3><ul>{self.links(self.r.randint(2, 8))}</ul>" + (f"<p>{self.sentence(4, 20)}</p>" if r < 0.4 else "")
         elif role == "footer":
-            body = f"&copy; {self.sentence(1, 3)} &middot; {self.sentence(3, 9)}" if r < 0.6 else f"<p>&copy; 2020 {self.sentence(2, 8)}</p><ul>{self.links(4)}</ul>"
+            owner = self.r.choice(["&copy;", "Copyright", "All rights reserved,", "Published by", ""]) + " " + self.sentence(1, 6)
+            body = owner if r < 0.4 else f"<p>{owner}</p><ul>{self.links(4)}</ul>" if r < 0.7 else f"{owner} | " + " | ".join(f'<a href="/{w}">{w}</a>' for w in self.r.choices(self.words, k=4))
         else:
             body = self.sentence(3, 16) if r < 0.5 else f"<p>{self.sentence(3, 20)}</p>"
         return f"<{tag}{self.attr(name)}>{body}</{tag}>"
@@ -63,14 +64,18 @@ class PageMaker:
 
         def block(tag: str, text: str) -> str:
             pieces.append(text)
-            shown = text.replace("&", "&amp;")
-            if r.random() < 0.1:
-                first, _, rest = shown.partition(" ")
-                shown = f'<a href="/x">{first}</a> {rest}'
-            return f"<{tag}>{shown}</{tag}>" if r.random() < 0.8 or tag != "p" else f"<p><b>{shown}<br>"
+            words = text.replace("&", "&amp;").split(" ")
+            if r.random() < 0.25:
+                at = r.randrange(len(words))
+                inline = r.choice(["b", "i", "em", "strong", "span", "code", 'a href="/x"'])
+                words[at] = f"<{inline}>{words[at]}</{inline.split()[0]}>"
+            whole = r.choice(["b", "em", "span"]) if r.random() < 0.08 else ""
+            shown = f"<{whole}>{' '.join(words)}</{whole}>" if whole else " ".join(words)
+            return f"<{tag}>{shown}" + (r.choice(["</p>", "</p>", "</p>", "", "<br>"]) if tag == "p" else f"</{tag}>")
 
         for _ in range(1 if r.random() < 0.9 else 0):
-            body.append(block(r.choice(["h1", "h1", "h2"]), self.sentence(2, 12)))
+            title = block(r.choice(["h1", "h1", "h2"]), self.sentence(2, 12))
+            body.append(f'<header{self.attr(r.choice(["", "entry-header", "post-header", "article-header"]))}>{title}</header>' if r.random() < 0.25 else title)
         for i in range(r.randint(1, 14)):
             x = r.random()
             if x < 0.75:
@@ -79,8 +84,16 @@ class PageMaker:
                 body.append(block("h2", self.sentence(1, 6)))
             elif x < 0.85:
                 body.append("<ul>" + "".join(block("li", self.sentence(2, 12)) for _ in range(r.randint(2, 5))) + "</ul>")
-            elif x < 0.9:
+            elif x < 0.87:
                 body.append("<blockquote>" + block("p", self.prose(1)) + "</blockquote>")
+            elif x < 0.89:
+                body.append("<section>" + block("h3", self.sentence(1, 6)) + block("p", self.prose(1)) + "</section>")
+            elif x < 0.91:
+                body.append("<figure><img src=x>" + block("figcaption", self.sentence(3, 12)) + "</figure>")
+            elif x < 0.92:
+                body.append("<pre>" + block("code", self.sentence(3, 12)) + "</pre>")
+            elif x < 0.93:
+                body.append("<table>" + "".join("<tr>" + "".join(block("td", self.sentence(1, 5)) for _ in range(3)) + "</tr>" for _ in range(3)) + "</table>")
             elif i:
                 body.append(self.noise(r.choice(["advert", "share", "advert", "form"])))
         inner = "".join(body) + (self.noise("comments") if r.random() < 0.2 else "") + (self.noise("share") if r.random() < 0.1 else "")
@@ -89,14 +102,16 @@ class PageMaker:
             main = f"<article>{inner}</article>"
         elif wrap < 0.6:
             main = f"<main>{inner}</main>"
-        elif wrap < 0.95:
+        elif wrap < 0.9:
             main = f"<div{self.attr(r.choice(MAIN_NAMES))}>{inner}</div>"
+        elif wrap < 0.95:
+            main = f"<table><tr><td>{self.links(4)}</td><td{self.attr(r.choice(MAIN_NAMES))}>{inner}</td></tr></table>"
         else:
             main = f"<div>{inner}</div>"
         if r.random() < 0.3:
             main = f'<div{self.attr(r.choice(["wrapper", "container", "page", "row"]))}>{main}{self.noise("sidebar") if r.random() < 0.6 else ""}</div>'
         before = [self.noise(x) for x in ("notice", "header", "menu", "form", "advert", "sidebar") if r.random() < 0.45]
         after = [self.noise(x) for x in ("advert", "share", "comments", "sidebar", "form", "footer", "notice") if r.random() < 0.4]
-        head = f"<head><title>{self.sentence(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
+        head = f"<head><title>{self.sentence(2, 8)}</title><meta name=description content=x><style>a{{color:red}}</style><script>load();</script></head>"
         end = "</body></html>" if r.random() < 0.85 else ""
         return f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{main}{''.join(after)}{end}", pieces

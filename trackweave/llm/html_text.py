@@ -14,8 +14,8 @@ from .boosting import BoostedTrees, fit
 from .html_pages import PageMaker
 
 TRAINING_PAGES = 700
-_MARK = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?)", re.S)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARK = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|))*)>?)", re.S)
+_ATTR = re.compile(r"(?<![-\w])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SIGN = re.compile(r"[.,;:!?]")
 
@@ -30,7 +30,7 @@ ARTICLE = set("body p h1 h2 h3 h4 h5 h6 article main section ul ol dl table bloc
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES_P = set(BLOCKS) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "ins"}
 SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-# Words in class, id and role attributes that speak for or against main text.
+# A choice of common words in class, id and role attributes; how they count is learnt.
 FOR = set("article body content entry main page post story text blog news".split())
 AGAINST = set("ad ads advert banner breadcrumb comment comments consent cookie copyright discussion footer form gdpr header legal login logo masthead menu meta nav navbar navigation newsletter notice popular popup promo related replies respond search share side sidebar signup social sponsored subscribe tags toolbar widget alert rail".split())
 
@@ -68,10 +68,13 @@ def skipped_ends(marks: list[re.Match]) -> dict[int, int]:
 
 
 class Dom:
-    """Block nodes of one page in page order: kind, parent, attribute words for and against, own pieces of text."""
+    """Block nodes of one page in page order: kind, parent, depth, last node below, attribute words for and against, own pieces of text.
+
+    The time is linear in the page: open elements are kept by name, so that a tag finds what it closes at once at any depth.
+    """
 
     def __init__(self, page: str):
-        self.kind, self.parent, self.plus, self.minus = [KIND["html"]], [-1], [0], [0]
+        self.kind, self.parent, self.depth, self.last, self.plus, self.minus = [KIND["html"]], [-1], [0], [0], [0], [0]
         self.text: list[list[str]] = [[]]
         self.linked, self.tags = [0], [0]
         self._read(page)
@@ -80,6 +83,8 @@ class Dom:
         words = _TOKEN.findall(" ".join(a or b or c for _, a, b, c in _ATTR.findall(attributes)).lower()) if attributes else ()
         self.kind.append(kind)
         self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.last.append(len(self.last))
         self.plus.append(sum(w in FOR for w in words))
         self.minus.append(sum(w in AGAINST for w in words))
         self.text.append([])
@@ -89,11 +94,22 @@ class Dom:
 
     def _read(self, page: str) -> None:
         stack = [("html", 0)]
+        opened: dict[str, list[int]] = {name: [] for name in BLOCKS}  # places in the stack, html's own left out
         run: list[str] = []
         links = at = 0
         linked = 0
         head = unclosed = False
 
+        def close(place: int) -> None:
+            """End the elements of the stack from ``place`` on."""
+            while len(stack) > place:
+                name, node = stack.pop()
+                opened[name].pop()
+                self.last[node] = len(self.kind) - 1
+
+        def nearest(names: set[str]) -> int:
+            return max(opened[n][-1] if opened[n] else 0 for n in names)
+
         def flush() -> None:
             nonlocal run, linked
             if run and (piece := " ".join(html.unescape("".join(run)).split())):
@@ -138,7 +154,7 @@ class Dom:
                     unclosed = True
                 continue
             if unclosed:
-                if name not in ARTICLE if not m[1] else all(t != name for t, _ in stack[1:]):
+                if name not in ARTICLE if not m[1] else not opened.get(name):
                     continue
                 unclosed = False
             if name == "a":
@@ -151,29 +167,26 @@ class Dom:
             if name not in KIND:
                 self.tags[stack[-1][1]] += 1
                 continue
-            if name in ("html", "body") and (m[1] or name == "html" or any(t == "body" for t, _ in stack)):
+            if name in ("html", "body") and (m[1] or name == "html" or opened["body"]):
                 continue
             flush()
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                if opened[name]:
+                    close(opened[name][-1])
                 continue
             if name in CLOSES_P and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             elif name in SAME:
                 closed, scope = SAME[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in scope:
-                        break
-                    if stack[i][0] in closed:
-                        del stack[i:]
-                        break
+                if (place := nearest(closed)) > nearest(scope):
+                    close(place)
             links = 0
+            opened[name].append(len(stack))
             stack.append((name, self._node(KIND[name], stack[-1][1], m[3])))
         add(len(page))
         flush()
+        close(1)
+        self.last[0] = len(self.kind) - 1
 
 
 def features(doms: list[Dom]) -> np.ndarray:
@@ -194,16 +207,15 @@ def features(doms: list[Dom]) -> np.ndarray:
     linked, tags, plus, minus = (np.concatenate([np.array(getattr(d, name), dtype=float) for d in doms]) for name in ("linked", "tags", "plus", "minus"))
     sub = np.stack([length, linked, words, signs, np.ones(n), tags, (length > 0) * 1.0], axis=1)
     own = np.stack([np.isin(group, (0, 1)) * 1.0, np.isin(group, (2, 3, 4, 5, 6)) * 1.0, plus, minus], axis=1)
-    depth, up = np.zeros(n, dtype=np.int64), np.arange(n)
-    while (below := ~top[up]).any():
-        depth += below
-        up = p[up]
-    inside = np.zeros((n, 4))
-    levels = [np.flatnonzero(depth == k) for k in range(1, int(depth.max(initial=0)) + 1)]
-    for at in levels:
-        inside[at] = inside[p[at]] + own[at]
-    for at in reversed(levels):
-        np.add.at(sub, p[at], sub[at])
+    depth = np.concatenate([np.array(d.depth) for d in doms])
+    end = np.concatenate([np.array(d.last) for d in doms]) + root + 1
+    # nodes stand in page order, so what is below node i are the nodes up to its last one: sums over subtrees and over ancestors are running totals
+    held = np.concatenate((np.zeros((1, sub.shape[1])), np.cumsum(sub, axis=0)))
+    sub = held[end] - held[:-1]
+    edge = np.zeros((n + 1, 4))
+    edge[:-1] += own * ~top[:, None]
+    np.subtract.at(edge, end, own * ~top[:, None])
+    inside = np.cumsum(edge, axis=0)[:-1]
     total = np.maximum(sub[root, 0], 1)
     passed = np.concatenate(([0], np.cumsum(length)))
     before = (passed[:-1] - passed[root]) / total
