@@ -17,7 +17,7 @@ from trackweave.llm import quality
 from trackweave.llm import words as WD
 from trackweave.llm.components import connected_components
 from trackweave.llm.exact_dedup import drop_copies, exact_groups
-from trackweave.llm.fingerprints import fingerprint, fingerprint_edits, sketches
+from trackweave.llm.fingerprints import fingerprint, fingerprint_edits, likeness, sketches
 from trackweave.llm.licenses import TEMPLATES, scan_licenses, words_of
 from trackweave.llm.ngram_join import jaccard_join, keep_one_of_each, least_matches, overlaps
 from trackweave.llm.quality import fit_quality, keep_good, kth_largest
@@ -228,22 +228,61 @@ def test_fingerprint_edits(spark, texts):
         edited = own[: len(own) - len(own) // 2] + nxt[: len(own) // 2]
         r = got[ids[i]]
         assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
-        values, at = sketches(pa.array([own, edited, nxt]))
-        a, b, c = (set(values[at[x] : at[x + 1]].tolist()) for x in range(3))
-        assert r.near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1) and r.near_next == pytest.approx(len(a & c) / len(a | c) if a | c else 1)
-        assert known.setdefault(own, r.fingerprint) == r.fingerprint == "".join(f"{x:016x}" for x in sorted(a))
+        (ta, a), (tb, b), (tc, c) = map(plain_sketch, (own, edited, nxt))
+
+        def near(x, tx, y, ty):
+            p, q = ({h for h in s if h <= min(tx, ty)} for s in (x, y))
+            return 1 if not x and not y else len(p & q) / max(len(p | q), 1)
+
+        assert r.near_edited == pytest.approx(near(a, ta, b, tb)) and r.near_next == pytest.approx(near(a, ta, c, tc))
+        assert known.setdefault(own, r.fingerprint) == r.fingerprint == ("".join(f"{x:016x}" for x in [ta, *sorted(a)]) if a else "")
     assert fingerprint_edits(empty(spark)).collect() == []
     odd = fingerprint_edits(docs(spark, ["a b", "c d", "e f", "g h"], [None, None, 5, 5])).collect()
     assert len(odd) == 4
     assert sorted(r.n_chars for r in fingerprint(docs(spark, ["abc", None])).collect()) == [0, 3]
 
 
+def plain_sketch(text):
+    """(largest hash it would retain, retained hashes), from all shingle hashes."""
+    v, at = [], None
+    for w in WD.batch_words(pa.array([text])):
+        v, at = WD.shingle_sets(w)
+    for top in (2**61 - 1, 2**62 - 1, 2**63 - 1, 2**64 - 1):
+        kept = {h for h in map(int, v) if h <= top}
+        if len(kept) >= 32:
+            break
+    return top, kept
+
+
+def test_fingerprints_of_hot_and_null_ids(spark, monkeypatch):
+    from trackweave.llm import fingerprints
+
+    r = random.Random(9)
+    ids = [*range(60), *[7] * 80, *[None] * 70]
+    texts = [" ".join(f"w{r.randrange(30)}" for _ in range(r.randint(0, 40))) for _ in ids]
+    d = docs(spark, texts, ids)
+    whole = fingerprints.neighbour_blocks
+    monkeypatch.setattr(fingerprints, "neighbour_blocks", lambda *a: whole(*a, per_block=10))
+    blocks = whole(d, "doc_id", "text", per_block=10).filter("ghost = 0").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("id")).collect()
+    assert max(b.n for b in blocks) < 40 and sum(b.id == 7 for b in blocks) > 3 and sum(b.id is None for b in blocks) > 3
+    tie = {i: h for i, h in enumerate(x[0] for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(F.xxhash64("t")).collect())}
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, -(ids[i] or 0), tie[i]))
+    want = Counter()
+    for k, i in enumerate(order):
+        own, nxt = texts[i], texts[order[(k + 1) % len(order)]]
+        want[ids[i], hashlib.sha256((own[: len(own) - len(own) // 2] + nxt[: len(own) // 2]).encode()).hexdigest()] += 1
+    assert Counter((x.doc_id, x.edited_sha256) for x in fingerprint_edits(d).collect()) == want
+
+
 def test_sketch_estimates_containment():
     r = random.Random(2)
     words = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
-    values, at = sketches(pa.array([" ".join(words), " ".join(words[:5000]), "a b c"]))
-    whole, part = set(values[: at[1]].tolist()), set(values[at[1] : at[2]].tolist())
-    assert len(part & whole) / len(part) == 1 and len(part & whole) / len(whole) == pytest.approx(0.25, abs=0.03) and at[3] - at[2] == 1
+    got = sketches(pa.array([" ".join(words), " ".join(words[:5000]), "a b c", " ".join(words[:60])]))
+    whole, part, tiny, short = (set(got.values[got.begin[i] : got.begin[i + 1]].tolist()) for i in range(4))
+    assert len(part & whole) / len(part) == 1 and len(part & whole) / len(whole) == pytest.approx(0.25, abs=0.03) and len(tiny) == 1
+    assert 32 <= len(short) <= 56 and likeness(got.take(np.array([3])), got.take(np.array([0])))[1][0] == 1
+    near, inside = likeness(got.take(np.array([1])), got.take(np.array([0])))
+    assert inside[0] == 1 and near[0] == pytest.approx(0.25, abs=0.03)
 
 
 def test_quality_on_held_out_labels(spark):

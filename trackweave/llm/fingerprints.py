@@ -2,6 +2,7 @@
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,37 +12,65 @@ from pyspark.sql import functions as F
 from .words import SHINGLE, U64, batch_words, distinct_sets, windows
 
 FRACTION = 1 / 8
+LEAST = 32
+ALL = 2**64 - 1
 
 
-def sketches(texts: pa.Array, fraction: float = FRACTION, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted retained hashes of each text, and where each text's begin.
+@dataclass
+class Sketches:
+    """Sorted retained hashes of each text, where each text's begin, and the largest hash that each would have retained."""
 
-    Retained is every hash of a k-word shingle below ``fraction`` of the range, so sketches of parts merge by
-    union. A text with shingles but none below keeps its smallest one; a text without words has no hash.
+    values: np.ndarray
+    begin: np.ndarray
+    top: np.ndarray
+
+    def take(self, rows: np.ndarray) -> "Sketches":
+        return Sketches(*take(self.values, self.begin, rows), self.top[rows])
+
+    def hex(self) -> list[str]:
+        """Per text the largest hash it would have retained and all it has, 16 digits each; the empty string for a text without words."""
+        text, tops = self.values.astype(">u8").tobytes().hex(), self.top.tolist()
+        return [f"{t:016x}{text[16 * b : 16 * e]}" if e > b else "" for t, b, e in zip(tops, self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True)]
+
+
+def sketches(texts: pa.Array, fraction: float = FRACTION, k: int = SHINGLE) -> Sketches:
+    """Retained is every hash of a k-word shingle below ``fraction`` of the range, so sketches of parts merge by union.
+
+    A text with fewer than LEAST of these is retained below the smallest of the fractions 1/2, 1/4, ... above ``fraction`` that gives
+    LEAST hashes, or as a whole. Two sketches are compared below the smaller of their limits, which each carries.
     """
-    limit = U64(min(int(fraction * 2**64), 2**64 - 1))
-    parts, sizes = [], []
+    tops = [ALL]
+    while tops[-1] + 1 > fraction * 2**64:
+        tops.append(max(((tops[-1] + 1) >> 1) - 1, int(fraction * 2**64) - 1))
+    base = U64(tops[-1])
+    parts: list[Sketches] = []
     for words in batch_words(texts):
         hashes, begin = windows(words.hashes(), words.first, k)
-        keep = hashes < limit
-        owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-        full = np.flatnonzero(np.diff(begin))
-        if len(full):
-            least = np.minimum.reduceat(hashes, begin[full])
-            least_of = np.zeros(len(begin) - 1, dtype=U64)
-            least_of[full] = least
-            keep |= hashes == least_of[owner]
-        few = np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=len(begin) - 1))))
-        values, begin = distinct_sets(hashes[keep], few)
-        count = np.diff(begin)
-        below = values < limit
-        some = np.bincount(np.repeat(np.arange(len(count)), count)[below], minlength=len(count)) > 0
-        final = below | ~some[np.repeat(np.arange(len(count)), count)]
-        parts.append(values[final])
-        sizes.append(np.bincount(np.repeat(np.arange(len(count)), count)[final], minlength=len(count)))
+        n = len(begin) - 1
+        low = hashes <= base
+        owner = np.repeat(np.arange(n), np.diff(begin))
+        values, at = distinct_sets(hashes[low], np.concatenate(([0], np.cumsum(np.bincount(owner[low], minlength=n)))))
+        top = np.full(n, base)
+        few = np.diff(at) < LEAST
+        rows = np.flatnonzero(few)
+        if len(rows):
+            every, every_at = distinct_sets(*take(hashes, begin, rows))
+            of = np.repeat(np.arange(len(rows)), np.diff(every_at))
+            own_top = np.full(len(rows), U64(ALL))
+            for t in tops[1:]:
+                own_top[np.bincount(of[every <= U64(t)], minlength=len(rows)) >= LEAST] = U64(t)
+            top[rows] = own_top
+            keep = every <= own_top[of]
+            of_value = np.repeat(np.arange(n), np.diff(at))
+            values = np.concatenate((values[~few[of_value]], every[keep]))
+            of_value = np.concatenate((of_value[~few[of_value]], rows[of[keep]]))
+            values = values[np.argsort(of_value, kind="stable")]
+            at = np.concatenate(([0], np.cumsum(np.bincount(of_value, minlength=n))))
+        parts.append(Sketches(values, at, top))
     if not parts:
-        return np.zeros(0, dtype=U64), np.zeros(1, dtype=np.int64)
-    return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        return Sketches(np.zeros(0, dtype=U64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=U64))
+    sizes = np.concatenate([np.diff(x.begin) for x in parts])
+    return Sketches(np.concatenate([x.values for x in parts]), np.concatenate(([0], np.cumsum(sizes))), np.concatenate([x.top for x in parts]))
 
 
 def take(values: np.ndarray, begin: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,34 +80,33 @@ def take(values: np.ndarray, begin: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return values[np.repeat(begin[rows] - at[:-1], size) + np.arange(at[-1])], at
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(Jaccard, containment of a in b) of the i-th sketches of both; two empty ones are equal."""
-    na, nb = np.diff(a[1]), np.diff(b[1])
-    owner = np.concatenate((np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)))
-    values = np.concatenate((a[0], b[0]))
+def likeness(a: Sketches, b: Sketches) -> tuple[np.ndarray, np.ndarray]:
+    """(Jaccard, containment of a in b) of the i-th sketches of both, below their common limit; two empty ones are equal."""
+    top = np.minimum(a.top, b.top)
+    n = len(top)
+    owner = np.concatenate((np.repeat(np.arange(n), np.diff(a.begin)), np.repeat(np.arange(n), np.diff(b.begin))))
+    values = np.concatenate((a.values, b.values))
+    below = values <= top[owner]
+    na, nb = (np.bincount(o, minlength=n) for o in (owner[: len(a.values)][below[: len(a.values)]], owner[len(a.values) :][below[len(a.values) :]]))
+    values, owner = values[below], owner[below]
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     new = np.ones(len(values), dtype=bool)
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    union = np.bincount(owner[new], minlength=len(na))
+    union = np.bincount(owner[new], minlength=n)
     both = na + nb - union
-    one = np.where(union == 0, 1.0, both / np.maximum(union, 1))
-    return one, np.where(na == 0, (nb == 0) * 1.0, both / np.maximum(na, 1))
-
-
-def as_hex(values: np.ndarray, begin: np.ndarray) -> list[str]:
-    text = values.astype(">u8").tobytes().hex()
-    return [text[16 * b : 16 * e] for b, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+    blank = (np.diff(a.begin) == 0) & (np.diff(b.begin) == 0)
+    return np.where(blank, 1.0, both / np.maximum(union, 1)), np.where(blank, 1.0, both / np.maximum(na, 1))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION) -> DataFrame:
-    """doc_id, n_chars and the fingerprint (hex of the sorted retained hashes) of every text; null is empty."""
+    """doc_id, n_chars and the fingerprint (``Sketches.hex``) of every text; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).fill_null("")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x.as_py()) for x in texts], pa.int64()), pa.array(as_hex(*sketches(texts, fraction)), pa.string())],
+                [batch.column(0), pa.array([len(x.as_py()) for x in texts], pa.int64()), pa.array(sketches(texts, fraction).hex(), pa.string())],
                 names=["doc_id", "n_chars", "fingerprint"],
             )
 
@@ -90,38 +118,47 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 
 def neighbour_blocks(docs: DataFrame, id_col: str, text_col: str, per_block: int = 1000, most: int = 20_000) -> DataFrame:
-    """Rows (block, ghost, doc_id, text): contiguous ranges of descending ids of about equal size.
+    """Rows (block, ghost, doc_id, tie, text): contiguous ranges of about equal size of the rows by descending id and hash of the text.
 
     Each block also gets, as a ghost, the row that follows its last one (the first of the next block that has
-    rows; for the last block the first row of all). Only the ids decide the ranges: at most ``most`` quantiles
-    reach the driver, however many rows there are. Null ids come last, in one block.
+    rows; for the last block the first row of all). At most ``most`` quantiles of the ids and as many block starts
+    reach the driver, however many rows there are. An id that several quantiles fall on, and null ids, which come last, are cut into ranges of the hash.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    rows = ids.count()
-    n = min(most, max(1, rows // per_block))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    cuts = np.unique(np.array(cuts or [], dtype=np.int64))
-
-    def block_of(v: pa.Array) -> pa.Array:
-        found = len(cuts) - np.searchsorted(cuts, v.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-        return pa.array(np.where(v.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, found).astype(np.int64))
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), tie.alias("tie"))
+    rows, known = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    n = min(most, max(1, known // per_block))
+    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    values, times = np.unique(np.array(found or [], dtype=np.int64), return_counts=True)
+    often = (times > 1) & (values < 2**63 - 1)
+    cuts = np.unique(np.concatenate((values, values[often] + 1)))
+    # blocks of each range by descending id, null ids last, and the first block of each
+    share = np.ones(len(cuts) + 2, dtype=np.int64)
+    share[len(cuts) - np.searchsorted(cuts, values[often], side="right")] = times[often]
+    share[-1] = max(1, -(-(rows - known) // max(per_block, known // n)))
+    start = np.cumsum(share) - share
+
+    def block_of(ids: pa.Array, ties: pa.Array) -> np.ndarray:
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        part = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        part[none] = len(share) - 1
+        at = (ties.to_numpy(zero_copy_only=False).view(U64) ^ U64(1 << 63)) >> U64(11)
+        return start[part] + np.floor(at.astype(np.float64) / float(1 << 53) * share[part]).astype(np.int64)
 
     @F.arrow_udf("long")
-    def block(v: pa.Array) -> pa.Array:
-        return block_of(v)
+    def block(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array(block_of(ids, ties))
 
-    tops = dict(map(tuple, ids.groupBy(block("doc_id").alias("b")).agg(F.max("doc_id")).collect()))
+    firsts = ids.groupBy(block("doc_id", "tie").alias("b")).agg(F.max(F.struct("doc_id", F.bitwise_not("tie").alias("tie"))).alias("top")).collect()
+    tops = {r.b: (r.top.doc_id, ~r.top.tie) for r in firsts}
     order = sorted(tops)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    none = docs.filter(F.col(id_col).isNull()).agg(F.min(tie)).first()[0] if len(cuts) + 1 in tops else None
 
     @F.arrow_udf("array<long>")
-    def places(v: pa.Array, t: pa.Array) -> pa.Array:
+    def places(ids: pa.Array, ties: pa.Array) -> pa.Array:
         out = []
-        for b, i, h in zip(block_of(v).to_pylist(), v.to_pylist(), t.to_pylist(), strict=True):
-            first = h == none if i is None else i == tops[b]
-            out.append([2 * b, 2 * before[b] + 1] if first else [2 * b])
+        for b, i, t in zip(block_of(ids, ties).tolist(), ids.to_pylist(), ties.to_pylist(), strict=True):
+            out.append([2 * b, 2 * before[b] + 1] if (i, t) == tops[b] else [2 * b])
         return pa.array(out, pa.list_(pa.int64()))
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tie.alias("tie"))
@@ -148,16 +185,16 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in own.tolist()]
         plain = sketches(pa.array(texts, pa.large_string()), fraction)
         after = sketches(pa.array(edited, pa.large_string()), fraction)
-        mine = take(*plain, own)
+        mine = plain.take(own)
         near_edited, in_edited = likeness(mine, after)
-        near_next, in_next = likeness(mine, take(*plain, own + 1))
+        near_next, in_next = likeness(mine, plain.take(own + 1))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[i][2] for i in own.tolist()], pa.int64()),
                 pa.array([len(texts[i]) for i in own.tolist()], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-                pa.array(as_hex(*mine), pa.string()),
-                pa.array(as_hex(*after), pa.string()),
+                pa.array(mine.hex(), pa.string()),
+                pa.array(after.hex(), pa.string()),
                 *(pa.array(x, pa.float64()) for x in (near_edited, near_next, in_edited, in_next)),
             ],
             names=[x.split()[0] for x in OUT.split(", ")],
