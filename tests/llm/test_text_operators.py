@@ -214,7 +214,32 @@ def test_repeated_passages(spark, texts):
     got = {(r.doc_id, r.first_word, r.last_word): r.later for r in repeated_passages(docs(spark, texts)).collect()}
     assert got == want and len(want) > 15
     assert repeated_passages(empty(spark)).collect() == []
-    assert repeated_passages(docs(spark, [texts[0]] * 3, [4, 4, None])).collect() == []
+    rows = sorted(((r.doc_id is None, r.n_words, r.later) for r in repeated_passages(docs(spark, [texts[0]] * 3, [4, 4, None])).collect()))
+    n = len(words_of(texts[0]))
+    assert rows == [(False, n, 0), (False, n, 0), (True, n, n)]
+    # a passage in rows of one id, and in rows without ids
+    r = random.Random(6)
+    shared, own = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(60)) for k in "ps")
+    odd = sorted((str(x.doc_id), x.first_word, x.n_words, x.later) for x in repeated_passages(docs(spark, [shared, "a b " + shared, "c " + shared, own, own + " d"], [3, 3, None, None, None])).collect())
+    assert sorted(x[2] for x in odd) == [60] * 5 and sorted(x[3] for x in odd) == [0, 0, 60, 60, 60]
+    assert [x[3] for x in odd if x[0] == "None" and x[1] == 1] == [60]
+
+
+def test_longest_neighbour_is_not_enough():
+    # of the sorted suffixes at "m", the neighbour of the first text shares more to the right; the third shares the passage that begins left of it
+    left, right, more = [f"l{i}" for i in range(30)], [f"r{i}" for i in range(20)], ["s", "t"]
+    a, b, c = [*left, *right, *more, "u"], ["x", *right, *more, "v"], [*left, *right, "w"]
+    order = sorted((t[t.index("r0") :], n) for n, t in (("a", a), ("b", b), ("c", c)))
+    assert [n for _, n in order] == ["a", "b", "c"] and a[:50] == c[:50]
+
+
+def test_frequent_keys_are_joined_in_place(spark):
+    from trackweave.llm.suffixes import split_join
+
+    rows = spark.range(6000).select(F.expr("if(id % 3 = 0, 0, id)").alias("key"), "id")
+    keys = rows.filter("key % 2 = 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    got = split_join(rows, keys, "key", 100)
+    assert sorted(r.id for r in got.collect()) == [i for i in range(6000) if (i if i % 3 else 0) % 2 == 0]
 
 
 def test_fingerprint_edits(spark, texts):

@@ -54,8 +54,8 @@ def sequence_keys(words: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 def retained(docs: DataFrame, least: int, prefix: int) -> DataFrame:
-    """Rows (doc_id, k1, k2, n_words, grams, positions) of (doc_id, text)."""
-    kind = "doc_id long, k1 long, k2 long, n_words long, grams array<long>, positions array<int>"
+    """Rows (doc_id, row, k1, k2, n_words, grams, positions) of (doc_id, text, row)."""
+    kind = "doc_id long, row long, k1 long, k2 long, n_words long, grams array<long>, positions array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,6 +68,7 @@ def retained(docs: DataFrame, least: int, prefix: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.row, words.n_texts),
+                        batch.column(2).slice(words.row, words.n_texts),
                         pa.array(keys[:, 0]),
                         pa.array(keys[:, 1]),
                         pa.array(words.counts().astype(np.int64)),
@@ -81,7 +82,7 @@ def retained(docs: DataFrame, least: int, prefix: int) -> DataFrame:
 
 
 def extensions(texts: DataFrame, least: int, prefix: int) -> DataFrame:
-    """(window, doc_id, at) of rows (doc_id, text, k1, positions): the runs of ``least`` words to which a suffix there extends, left and right."""
+    """(window, doc_id, k1, at) of rows (doc_id, text, k1, positions): the runs of ``least`` words to which a suffix there extends, left and right."""
     width = least - prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +110,24 @@ def extensions(texts: DataFrame, least: int, prefix: int) -> DataFrame:
                     [
                         pa.array(span_hash(hashes, starts, starts + least).view(np.int64)),
                         batch.column(0).slice(lo, n).take(pa.array(owner)),
+                        batch.column(2).slice(lo, n).take(pa.array(owner)),
                         pa.array((starts - words.first[owner]).astype(np.int32)),
                     ],
-                    names=["window", "doc_id", "at"],
+                    names=["window", "doc_id", "k1", "at"],
                 )
 
-    return texts.select("doc_id", "text", "k1", "positions").mapInArrow(run, "window long, doc_id long, at int")
+    return texts.select("doc_id", "text", "k1", "positions").mapInArrow(run, "window long, doc_id long, k1 long, at int")
+
+
+def split_join(rows: DataFrame, keys: DataFrame, key: str, hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``keys`` (key, n, ...), where n is how many rows hold the key.
+
+    Keys that hold more than one in ``hot`` of the rows, fewer than ``hot`` therefore, are broadcast, so their rows stay where they are; the others are dealt by key.
+    """
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    frequent = keys.filter(F.col("n") * hot > total).drop("n")
+    rare = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(keys.filter(F.col("n") * hot <= total).drop("n"), key)
+    return rows.join(F.broadcast(frequent), key).unionByName(rare)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, prefix: int = PREFIX) -> DataFrame:
@@ -124,24 +137,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with a smaller id, so that removing these leaves one copy of each). Words are compared in lower case without signs.
 
     Texts of equal words are one class, of which the smallest id goes on; the others, and it, are repeated as a whole.
-    Suffixes are kept where a content-selected minimiser stands, at least one in every ``least`` words; sorted by
-    their first ``prefix`` words, equal neighbours from different documents are candidates, which are extended left and right to all
-    runs of ``least`` words around them; the runs found in two documents, merged where they overlap, are the passages. No pairs are made: copies of
-    a passage only meet in counts, whatever their number. Rows that share an id are one document here; rows with null ids are left out.
+    Suffixes are kept where a content-selected minimiser stands, at least one in every ``least`` words. Those with equal first ``prefix`` words
+    from different classes are candidates, which are extended left and right to all runs of ``least`` words around them; the runs found in two classes,
+    merged where they overlap, are the passages. Equal prefixes and runs are found by grouping 64-bit hashes of them, not by comparing neighbours of
+    a sorted array: the neighbour shares the longest text to the right, but another suffix may share more to the left, and a passage that begins there
+    would be lost. No pairs are made: copies of a passage only meet in counts, whatever their number.
+
+    Rows are documents of their own also where ids are null, which come last, or repeat; rows that repeat id and text are one class and all rank as its first.
     Documents of fewer words have no passage; null is the empty text.
     """
-    rows = materialise(retained(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), least, prefix), "suffixes")
+    id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    row = F.xxhash64(id_.isNull(), id_, text)
+    rows = materialise(retained(docs.select(id_.alias("doc_id"), text.alias("text"), row.alias("row")), least, prefix), "suffixes")
     long = rows.filter(F.col("n_words") >= least)
-    names = long.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    names = materialise(names, "sequences")
-    kept = long.join(names.withColumnsRenamed({"k1": "c1", "k2": "c2"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("doc_id") == F.col("first_id")), "left_semi")
-    suffixes = kept.select("doc_id", "k1", F.explode(F.arrays_zip("grams", "positions")).alias("s")).select("doc_id", "k1", F.col("s.grams").alias("gram"), F.col("s.positions").alias("position"))
-    recurring = suffixes.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("gram")
-    candidates = suffixes.join(recurring, "gram").groupBy("doc_id", "k1").agg(F.collect_set("position").alias("positions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
-    windows = materialise(extensions(candidates.join(texts, F.col("doc_id") == F.col("__id")), least, prefix), "windows")
-    found = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("window", "a")
-    spots = windows.join(found, "window").select("doc_id", "at", (F.col("doc_id") > F.col("a")).alias("again"))
+    names = long.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("name"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("positions").alias("positions"))
+    classes = materialise(names.select("k1", "k2", "name.doc_id", "name.row", "copies", "grams", "positions"), "sequences")
+    suffixes = classes.select("doc_id", "k1", "row", F.explode(F.arrays_zip("grams", "positions")).alias("s")).select("doc_id", "k1", "row", F.col("s.grams").alias("gram"), F.col("s.positions").alias("position"))
+    recurring = suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a <> b").select("gram", "n")
+    recurring = materialise(recurring, "prefixes")
+    candidates = split_join(suffixes, recurring, "gram").groupBy("k1", "row", "doc_id").agg(F.collect_set("position").alias("positions"))
+    texts = docs.select(row.alias("__row"), text.alias("text"))
+    windows = materialise(extensions(candidates.join(texts, F.col("row") == F.col("__row")), least, prefix), "windows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1")
+    found = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"), F.min(rank).alias("least")).filter("a <> b")
+    found = materialise(found.select("window", "n", F.col("least.k1").alias("least")), "runs")
+    spots = split_join(windows, found, "window").select("k1", "at", (F.col("k1") != F.col("least")).alias("again"))
 
     @F.arrow_udf("array<struct<first:long,last:long,later:long>>")
     def merged(starts: pa.Array, again: pa.Array) -> pa.Array:
@@ -161,21 +181,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             out.append(spans)
         return pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("later", pa.int64())])))
 
-    per_doc = spots.groupBy("doc_id").agg(F.collect_set("at").alias("starts"), F.collect_set(F.when(F.col("again"), F.col("at"))).alias("again"))
-    copied = names.filter("first_id <> last_id").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "first_id")
-    parts = per_doc.select("doc_id", F.explode(merged("starts", "again")).alias("s")).select("doc_id", "s.first", "s.last", "s.later")
-    inner = parts.groupBy("doc_id").agg(F.sum("later").alias("inner"))
+    per_class = spots.groupBy("k1").agg(F.collect_set("at").alias("starts"), F.collect_set(F.when(F.col("again"), F.col("at"))).alias("again"))
+    parts = classes.select("k1", "doc_id", "copies").join(per_class.select("k1", merged("starts", "again").alias("spans")), "k1")
+    inner = parts.select(F.col("k1").alias("i1"), F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["later"]).alias("inner"))
+    copied = classes.filter("copies > 1").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("row").alias("first_row"))
     whole = (
         long.join(copied, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-        .select("doc_id", "n_words", "first_id")
-        .distinct()
-        .join(inner, "doc_id", "left")
+        .join(inner, F.col("k1") == F.col("i1"), "left")
         .select(
             "doc_id",
             F.lit(0).cast("long").alias("first"),
             (F.col("n_words") - 1).alias("last"),
-            F.when(F.col("doc_id") > F.col("first_id"), F.col("n_words")).otherwise(F.coalesce("inner", F.lit(0))).alias("later"),
+            F.when(F.col("row") != F.col("first_row"), F.col("n_words")).otherwise(F.coalesce("inner", F.lit(0))).alias("later"),
         )
     )
-    parts = parts.join(whole.select("doc_id"), "doc_id", "left_anti")
-    return whole.unionByName(parts).select("doc_id", F.col("first").alias("first_word"), F.col("last").alias("last_word"), (F.col("last") - F.col("first") + 1).alias("n_words"), "later")
+    single = parts.filter("copies = 1").select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.first", "s.last", "s.later")
+    return whole.unionByName(single).select("doc_id", F.col("first").alias("first_word"), F.col("last").alias("last_word"), (F.col("last") - F.col("first") + 1).alias("n_words"), "later")
