@@ -3,18 +3,20 @@
 import base64
 import gzip
 import hashlib
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import SF
 from tests.llm.page_layouts import LAYOUTS, Words
-from tests.llm.test_text_operators import docs, empty
+from tests.llm.test_text_operators import brute_classes, docs, empty, plain_resampling
 from trackweave.llm import packing, warc
 from trackweave.llm.html_pages import PageMaker
 from trackweave.llm.html_text import Dom, decode, extract_main_text, features, main_text, trained
@@ -109,6 +111,8 @@ def test_mixture_tells_rows_of_one_id_apart(spark):
     draws = sum(len(r.draws) for r in mixing_plan(d).collect())
     rows = Counter(r.text for r in mixture(d).collect())
     assert sum(rows.values()) == draws and max(rows.values()) <= 2
+    same = mixture(docs(spark, ["a b"] * 4, [3, 3, None, None]))
+    assert same.count() == sum(len(r.draws) for r in mixing_plan(docs(spark, ["a b"] * 4, [3, 3, None, None])).collect())
 
 
 def test_mixing_of_more_sources_than_a_table_holds(spark, monkeypatch):
@@ -301,19 +305,68 @@ def test_best_two_fit_replaces_the_smallest():
     assert used == counts and sum(t for _, t in out) <= sum(k * v for k, v in counts.items()) / 2048 * 1.02 + 1
 
 
-def test_pipeline(spark):
+def test_pipeline_against_plain_python(spark):
+    import corpus_pipeline
+    from trackweave.llm import quality
+
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").collect()
+    steps = {name: f for name, f in corpus_pipeline.STAGES}
+    assert list(steps) == ["quality classifier", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "best-fit packing"]
+
+    def stage(name, before):
+        after = steps[name](spark, before, SF)
+        return spark.createDataFrame(after.toPandas(), after.schema)
+
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    fits = {r.doc_id: not xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little"), xxhash.xxh64_intdigest((11).to_bytes(4, "little"), 42)) & 1 for r in labels}
+    good = [r.doc_id for r in labels if r.quality]
+    every = plain_resampling(rows, {i for i in good if fits[i]}, len(rows))
+    held = sorted(s for i, s, *_ in every if i in good and not fits[i])
+    cutoff = held[int(len(held) * quality.LOST)] - 1e-12
+    want = plain_resampling(rows, {i for i in good if fits[i]}, sum(s >= cutoff for _, s, *_ in every))
+    one = stage("quality classifier", d)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(w[0] for w in want if w[3]) and one.columns == d.columns
+
+    two, first = stage("exact dedup", one), {}
+    for r in one.orderBy("doc_id").collect():
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id)
+    assert sorted(r.doc_id for r in two.collect()) == sorted(first.values()) and two.columns == d.columns
+
+    three, texts = stage("n-gram Jaccard join", two), two.collect()
+    assert sorted(r.doc_id for r in three.collect()) == sorted({c for _, c, _ in brute_classes([r.text for r in texts], [r.doc_id for r in texts])}) and three.columns == d.columns
+
+    four = stage("mixing sources to target weights", three)
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in three.collect()}
+    for r in three.collect():
+        sizes[r.source] += size[r.doc_id]
+        largest[r.source] = max(largest[r.source], size[r.doc_id])
+    times = Counter(r.doc_id for r in four.collect())
+    for r in four.collect():
+        taken[r.source] += size[r.doc_id]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal = waterfill(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    assert max(times.values()) <= 2 and set(times) <= set(size) and all(abs(taken[s] - goal[s]) <= largest[s] for s in sizes) and four.columns == d.columns
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_file())
+    five = stage("best-fit packing", four).collect()
+    lengths = {r.doc_id: len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in three.collect()}
+    assert Counter({i: n * lengths[i] for i, n in times.items()}) == sum((Counter({r.doc_id: r.length}) for r in five), Counter())
+    bins = Counter()
+    for r in five:
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 2048 and len(bins) <= -(-sum(bins.values()) // 2048) * 1.02 + 1
+    assert corpus_pipeline.run(spark, SF).count() == len(five)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
     import corpus_pipeline
 
-    sf = SF.replace("sf0.001", "sf0.01")
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    before = d
-    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        after = stage(spark, before, sf)
-        if i < len(corpus_pipeline.STAGES) - 1:
-            assert after.columns == d.columns
-            after = spark.createDataFrame(after.toPandas(), after.schema)
-            if i < 3:
-                assert 0 < after.count() <= before.count()
-        before = after
-    assert before.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(before.columns)
-    assert corpus_pipeline.run(spark, sf).count() == before.count()
+    given = ["", None, "a b", "a b", "word " * 3000, *[f"t{i} some words of its own here" for i in range(20)], None]
+    d = docs(spark, given, [None, None, 2, 2, 4, *range(3, 23), 7])
+    for rows in (d, d.filter("false")):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            after = stage(spark, rows, SF)
+            assert i == 4 or after.columns == d.columns
+            n = after.count()
+            assert (n == 0) == (rows is not d)

@@ -23,12 +23,12 @@ from trackweave.llm.ngram_join import jaccard_join, keep_one_of_each, least_matc
 from trackweave.llm.quality import fit_quality, keep_good, kth_largest
 from trackweave.llm.suffixes import repeated_passages
 
-SCHEMA = "doc_id long, text string, source string, node string, n long, block long, kept boolean, `end` string"
+SCHEMA = "doc_id long, text string, source string, node string, n long, block long, kept boolean, `end` string, `doc` string, `row` long, key string, `a.b` string"
 
 
 def docs(spark, texts, ids=None):
     """Documents with extra columns whose names operators use themselves."""
-    rows = [(i if ids is None else ids[i], t, None if i % 5 == 0 else f"s{i % 3}", "x", 1, 2, True, "y") for i, t in enumerate(texts)]
+    rows = [(i if ids is None else ids[i], t, None if i % 5 == 0 else f"s{i % 3}", "x", 1, 2, True, "y", None, 3, "k", None) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -73,7 +73,7 @@ def test_license_scan(spark):
     notice = TEMPLATES["bsd"][0]
     given = [
         "Released under the MIT License.\nApache-License and mit   LICENSE", "no permit licenses", None, "", "general public license " * 3, f"pre {notice} post", notice.replace("binary", "binary tiny", 1),
-        "MIT", "the mit", "mité license", "x " * 9000 + "gnu general public license", "Licensed under CC BY-NC 4.0.",
+        "MIT", "the mit", "mité license", "x " * 9000 + "gnu general public license", "Licensed under CC BY-NC 4.0.", "x " + TEMPLATES["lgpl"][0], TEMPLATES["agpl"][0] + " y",
     ]
     rows = {r.doc_id: r for r in scan_licenses(docs(spark, given)).collect()}
     phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -86,6 +86,8 @@ def test_license_scan(spark):
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert rows[5].labels == rows[6].labels == "bsd" and rows[5].spans[0].first == 1 and rows[5].score == 1
+    for i, label in ((12, "lgpl"), (13, "agpl")):
+        assert label in rows[i].labels.split(",") and "gpl" in rows[i].base_labels + ",gpl"
     assert rows[11].labels == "cc-by-nc" and rows[1].labels == ""
     assert scan_licenses(empty(spark)).collect() == []
 

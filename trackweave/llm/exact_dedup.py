@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import whole_row
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -55,17 +57,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of each group of equal texts (``exact_groups``), with all its columns: one with the smallest id, null only if all ids are.
 
     Rows are told apart by id and text, so unique texts stay whatever their ids: null, or those of other rows. Of rows that
-    repeat both, one stays.
+    repeat both, one stays. Null is the empty text; nulls in other columns, and columns of any names, are passed on; an empty table gives an empty one.
     """
     # an id is a key by its hash as well, as a null-safe comparison is none that rows are dealt by
-    id_key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col))
-    text = normalised(F.col(text_col))
-    rows = docs.withColumns({"__h128": F.unhex(F.md5(text)), "__sha": F.unhex(F.sha2(text, 256)), "__id_key": id_key})
+    id_, text = F.col(id_col), normalised(F.col(text_col))
+    rows = docs.select(whole_row(docs), id_.alias("id"), F.unhex(F.md5(text)).alias("h128"), F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(id_.isNull(), id_).alias("id_key"))
     kept = (
-        docs.select(F.col(id_col), text.alias("__text"))
-        .groupBy(F.unhex(F.md5("__text")).alias("k128"), "__text")
-        .agg(F.min(id_col).alias("k_id"))
-        .select("k128", F.unhex(F.sha2("__text", 256)).alias("k_sha"), "k_id", F.xxhash64(F.col("k_id").isNull(), "k_id").alias("k_key"))
+        docs.select(id_.alias("id"), text.alias("text"))
+        .groupBy(F.unhex(F.md5("text")).alias("k128"), "text")
+        .agg(F.min("id").alias("k_id"))
+        .select("k128", F.unhex(F.sha2("text", 256)).alias("k_sha"), "k_id", F.xxhash64(F.col("k_id").isNull(), "k_id").alias("k_key"))
     )
-    same = (F.col("__h128") == F.col("k128")) & (F.col("__sha") == F.col("k_sha")) & (F.col("__id_key") == F.col("k_key")) & rows[id_col].eqNullSafe(F.col("k_id"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__h128", "__sha", "__id_key"]).select(*docs.columns)
+    same = (F.col("h128") == F.col("k128")) & (F.col("sha") == F.col("k_sha")) & (F.col("id_key") == F.col("k_key")) & F.col("id").eqNullSafe(F.col("k_id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["h128", "sha", "id_key"]).select("doc.*")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exact_dedup import row_key
-from .storage import materialise
+from .storage import materialise, whole_row
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -185,7 +185,13 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = SEED) -> DataFrame:
-    """The mixed rows of ``docs``, with all their columns, shard by shard and shuffled inside each; no two rows are expected to share id and text."""
-    plan = row_draws(docs, id_col, text_col, source_col, shards, seed).filter(F.size("draws") > 0).select(F.col("row").alias("__mix_row"), F.explode("draws").alias("__mix_draw"))
-    mixed = docs.join(plan, row_key(docs[id_col], docs[text_col]) == plan["__mix_row"])
-    return mixed.repartition("__mix_draw.shard").sortWithinPartitions("__mix_draw.shard", "__mix_draw.place").select(*[docs[c] for c in docs.columns])
+    """The mixed rows of ``docs``, with all their columns, shard by shard and shuffled inside each.
+
+    Each row comes as often as ``row_draws`` takes it. Rows are told apart by id and text; of rows that repeat both, one is written for each
+    draw of any of them. Null text has no words and is taken like any row of size 0; nulls in other columns, and columns of any names, are passed on;
+    an empty table gives an empty one.
+    """
+    drawn = row_draws(docs, id_col, text_col, source_col, shards, seed).filter(F.size("draws") > 0).select(F.col("row").alias("of"), F.explode("draws").alias("draw"))
+    rows = docs.select(whole_row(docs), row_key(F.col(id_col), F.col(text_col)).alias("row")).dropDuplicates(["row"])
+    mixed = rows.join(drawn, F.col("row") == F.col("of"))
+    return mixed.repartition("draw.shard").sortWithinPartitions("draw.shard", "draw.place").select("doc.*")

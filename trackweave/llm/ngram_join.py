@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .exact_dedup import row_key
-from .storage import materialise
+from .storage import materialise, whole_row
 from .words import SHINGLE, U64, batch_words, mix, shingle_sets
 
 THRESHOLD = 0.8
@@ -368,9 +368,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each group that links join, with all columns: one with the smallest id, null only if all are. Rows without words all stay.
 
-    Rows are told apart by id and text, so a group keeps one row also where ids are null or repeat; of rows that repeat both, one stays.
+    Rows are told apart by id and text, so a group keeps one row also where ids are null or repeat; of rows that repeat both, one stays. Null is the
+    empty text; nulls in other columns, and columns of any names, are passed on; an empty table gives an empty one.
     """
-    names = row_classes(docs, id_col, text_col, threshold).filter("class_key is null or key = class_key").groupBy("key").agg(F.first(F.col("class_key").isNull()).alias("__free"))
-    rows = docs.withColumns({"__key": row_key(F.col(id_col).cast("long"), F.col(text_col)), "__row": F.monotonically_increasing_id()})
-    kept = rows.join(names.withColumnRenamed("key", "__kept"), F.col("__key") == F.col("__kept")).withColumn("__row", F.when(F.col("__free"), F.col("__row")))
-    return kept.dropDuplicates(["__key", "__row"]).select(*docs.columns)
+    classes = row_classes(docs, id_col, text_col, threshold).filter("class_key is null or key = class_key")
+    names = classes.groupBy("key").agg(F.first(F.col("class_key").isNull()).alias("free")).withColumnRenamed("key", "kept")
+    rows = docs.select(whole_row(docs), row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("key"), F.monotonically_increasing_id().alias("nth"))
+    kept = rows.join(names, F.col("key") == F.col("kept")).withColumn("nth", F.when(F.col("free"), F.col("nth")))
+    return kept.dropDuplicates(["key", "nth"]).select("doc.*")

@@ -4,7 +4,8 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
@@ -13,8 +14,14 @@ def own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary one of this process."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
+    """Folder named by ``spark.checkpoint.dir``; where that is unset in local mode (tests), a temporary one of this process.
+
+    On a cluster a local folder would be another one on each machine, so there the setting is required.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or own_dir()).rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -26,3 +33,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def whole_row(df: DataFrame, name: str = "doc") -> Column:
+    """All columns of ``df`` as one, so that columns added beside it never clash; ``select(f"{name}.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
