@@ -36,6 +36,46 @@ def differences(a: Column) -> Column:
     return F.transform(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, i: x - F.get(a, i))
 
 
+def added(a: Column, b: Column) -> tuple[Column, Column]:
+    """(sums, counts) by place: sums of the present elements, null where both are missing, and how many are present."""
+
+    def given(x: Column) -> Column:
+        return x.isNotNull() & ~F.isnan(x)
+
+    sums = F.zip_with(a, b, lambda x, y: F.when(given(x) | given(y), F.when(given(x), x).otherwise(0.0) + F.when(given(y), y).otherwise(0.0)))
+    return sums, F.zip_with(a, b, lambda x, y: given(x).cast("int") + given(y).cast("int"))
+
+
+def widest_difference(a: Column) -> Column:
+    """Largest less smallest of the present elements."""
+    return F.array_max(present(a)) - F.array_min(present(a))
+
+
+def boundary_median(a: Column, lower: float, upper: float) -> Column:
+    """Struct (low, middle, high): elements of the sorted array at a lower and an upper percentage, and the median of those from one to the other.
+
+    Places are round(percentage * n / 100), one less for the lower; they are held inside the array.
+    """
+    s, n = F.array_sort(a), F.size(a)
+    lo = F.greatest(F.round(F.lit(lower) * n / 100).cast("int") - 1, F.lit(0))
+    hi = F.least(F.round(F.lit(upper) * n / 100).cast("int"), n - 1)
+    return F.when(n > 0, F.struct(F.get(s, lo).alias("low"), median(F.slice(s, lo + 1, hi - lo + 1)).alias("middle"), F.get(s, hi).alias("high")))
+
+
+def nearest_multiple(x: Column, n: int) -> Column:
+    return (F.round(x / n) * n).cast("long")
+
+
+def random_integers(key: Column, low: int, high: int, n: int, seed: int = 1) -> Column:
+    """Array of n integers from low to high, both in, that depend on the key and the seed alone."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.pmod(F.xxhash64(F.lit(seed), i, key), F.lit(high - low + 1)) + low)
+
+
+def last_at_most(a: Column) -> Column:
+    """Index of the largest element, the last of equal ones."""
+    return F.array_max(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i")))).i
+
+
 def both(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x & y)
 

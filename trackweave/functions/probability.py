@@ -137,7 +137,9 @@ def binomial_pdf(k: Column, n: Column, p: Column) -> Column:
 
 
 def hypergeometric_upper_value(k: int, good: int, bad: int, draws: int) -> float:
-    lo, hi = max(k + 1, 0, draws - bad), min(good, draws)
+    mean = draws * good / max(good + bad, 1)
+    reach = 40 * math.sqrt(mean) + 60  # the deviation is below the root of the mean
+    lo, hi = max(k + 1, 0, draws - bad, math.floor(mean - reach)), min(good, draws, math.ceil(max(mean, k + 1) + reach))
     i = np.arange(lo, hi + 1, dtype=float)
     if not len(i):
         return 0.0

@@ -72,8 +72,8 @@ def chromosome_key(chrom: Column) -> list[Column]:
     return [kind, F.when(number != "", number.try_cast("long")), letters, tail, chrom]
 
 
-# Chromosome aliases in Roman numerals.
-ROMAN = {"I": "chrI", "II": "chrII", "III": "chrIII", "IV": "chrIV", "V": "chrV", "VI": "chrVI", "VII": "chrVII", "VIII": "chrVIII", "IX": "chrIX", "X": "chrX"}
+# Chromosome aliases, in Roman numerals and for mitochondria.
+ROMAN = {"I": "chrI", "II": "chrII", "III": "chrIII", "IV": "chrIV", "V": "chrV", "VI": "chrVI", "VII": "chrVII", "VIII": "chrVIII", "IX": "chrIX", "X": "chrX", "M": "chrM"}
 
 
 def standard_chromosome(chrom: Column) -> Column:
@@ -81,9 +81,20 @@ def standard_chromosome(chrom: Column) -> Column:
     return F.coalesce(F.try_element_at(names, chrom), chrom)
 
 
+def without_prefix(chrom: Column) -> Column:
+    """What follows the last ``chr`` of a chromosome's name."""
+    return F.substring_index(chrom, "chr", -1)
+
+
 def percent_label(x: Column) -> Column:
     return F.when(x * 100 < 0.1, F.format_string("%.2f %%", x * 100)).otherwise(F.format_string("%.1f %%", x * 100))
 
 
+def scientific(x: Column) -> Column:
+    """Six digits and an exponent; of two equally near the even one."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 5)
+    return F.format_string("%1.5e", F.when(x == 0, 0.0).otherwise(F.bround(x / unit) * unit))
+
+
 def p_value_label(p: Column) -> Column:
     return F.when(p <= 4.94e-324, "<=4.94e-324").otherwise(F.format_string("%.3g", p))

@@ -4,6 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import TILE, bin_of
+from .windows import numbered
+
 SLICES = 4096
 
 REDUCERS = {
@@ -61,9 +64,9 @@ def middle_percent(df: DataFrame, column: str, percent: float) -> DataFrame:
 def null_model(track: DataFrame, percent: float = 10.0) -> DataFrame:
     """(median, deviation) of the null model: the lower half of every k-th value, mirrored about the median, k = 100 / percent."""
     k = int(100 / percent)
-    by = W.partitionBy("chrom").orderBy("pos")
-    taken = track.withColumn("i", F.row_number().over(by) - 1).filter(F.col("i") % k == 0)
-    middle = taken.agg(F.median("value").alias("median"))
+    taken = numbered(track, ["chrom"], bin_of(F.col("pos"), TILE), "pos").filter(F.col("nth") % k == 0)
+    half = nth_values(taken, "value", F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+    middle = half.select(((F.col("v0") + F.col("v1")) / 2).alias("median"))
     low = taken.join(F.broadcast(middle), F.col("value") < F.col("median"))
     mirrored = low.select("median", F.explode(F.array(F.col("value"), 2 * F.col("median") - F.col("value"))).alias("x"))
     return mirrored.agg(F.first("median").alias("median"), F.stddev_samp("x").alias("deviation"))

@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .aggregates import reducer
+from .aggregates import nth_values, reducer
 from .ranges import TILE, bin_of, nearest, with_neighbours
+from .windows import numbered
 
 
 def bin_values(track: DataFrame, step: int, method: str = "median") -> DataFrame:
@@ -99,12 +100,14 @@ def sample_tags(tags: DataFrame, share: float, seed: int = 1) -> DataFrame:
     by = ["chrom", "strand"]
     order = hashed_order(F.lit(seed), F.col("pos"), F.col("tag_id"))
     n = tags.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return tags.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy(order, "pos", "tag_id"))).join(n, by).filter(F.col("i") <= F.floor(F.col("n") * share)).drop("i", "n")
+    placed = numbered(tags.withColumn("order", order), by, F.substring("order", 1, 3), "order", "pos", "tag_id")
+    return placed.join(n, by).filter(F.col("nth") < F.floor(F.col("n") * share)).select(*tags.columns)
 
 
 def median_gap(track: DataFrame, tile: int = TILE) -> DataFrame:
     gaps = with_neighbours(track, ("pos",), tile).select((F.col("next.pos") - F.col("pos")).alias("gap"))
-    return gaps.filter("gap is not null").agg(F.median("gap").alias("gap"))
+    middle = nth_values(gaps, "gap", F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+    return middle.select(((F.col("v0") + F.col("v1")) / 2).alias("gap"))
 
 
 def random_regions(spark, lengths: DataFrame, n: int, size: int, seed: int = 1) -> DataFrame:

@@ -46,22 +46,36 @@ def overlapping(a: DataFrame, b: DataFrame, size: int, cover: float = 0.0) -> Da
     return pairs.select(*a.columns).distinct()
 
 
-def _islands(df: DataFrame, keys: list[str], order: list[str], aggregates: list[Column]) -> DataFrame:
+def _islands(df: DataFrame, keys: list[str], order: list[str], aggregates: list[Column], gap: int = 0) -> DataFrame:
     running = F.max("end").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(F.col("start") <= running, 0).otherwise(1)
+    fresh = F.when(F.col("start") <= running + gap, 0).otherwise(1)
     flagged = df.withColumn("fresh", fresh)
     return flagged.withColumn("island", F.sum("fresh").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).groupBy(*keys, "island").agg(*aggregates)
 
 
-def merge_intervals(df: DataFrame, tile: int = TILE) -> DataFrame:
-    """Unions of overlapping or touching intervals: chrom, start, end, n.
+def merged(df: DataFrame, aggregates: list[Column], gap: int, tile: int) -> DataFrame:
+    """Unions of intervals (chrom, start, end, ...) that lie at most ``gap`` apart, with ``aggregates``, which may be applied again to their own results.
 
-    First inside tiles of the axis, in parallel, then over what is left per chromosome.
+    Intervals merge inside tiles of the axis first. Of a tile, only the union that may go on in later tiles (the last one) and those that
+    begin within reach of an earlier tile (all one union, as what reaches there covers them) are carried over, two rows per tile at most; all others are
+    finished where they are. So no task handles a chromosome, unless as two rows per tile.
     """
+    local = _islands(df.withColumn("tile", bin_of(F.col("start"), tile)), ["chrom", "tile"], ["start", "end"], aggregates, gap)
+    ends = local.groupBy("chrom", "tile").agg(F.max("end").alias("upto"))
+    reach = F.max("upto").over(W.partitionBy("chrom").orderBy("tile").rowsBetween(W.unboundedPreceding, -1))
+    placed = local.join(ends.select("chrom", "tile", "upto", reach.alias("reach")), ["chrom", "tile"])
+    placed = placed.withColumns({"inner": F.coalesce(F.col("start") <= F.col("reach") + gap, F.lit(False)), "last": F.col("end") == F.col("upto")})
+    names = [c for c in local.columns if c not in ("tile", "island")]
+    carried = placed.filter("inner or last").groupBy("chrom", "tile", "inner").agg(*aggregates).select(*names)
+    finished = placed.filter("not (inner or last)").select(*names)
+    return finished.unionByName(_islands(carried, ["chrom"], ["start", "end"], aggregates, gap).select(*names))
+
+
+def merge_intervals(df: DataFrame, tile: int = TILE) -> DataFrame:
+    """Unions of overlapping or touching intervals: chrom, start, end, n."""
     base = df.select("chrom", "start", "end", F.lit(1).cast("long").alias("n"))
     sums = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")]
-    local = _islands(base.withColumn("tile", bin_of(F.col("start"), tile)), ["chrom", "tile"], ["start", "end"], sums).drop("island", "tile")
-    return _islands(local, ["chrom"], ["start", "end"], sums).select("chrom", "start", "end", "n")
+    return merged(base, sums, 0, tile).select("chrom", "start", "end", "n")
 
 
 def merge_peaks(df: DataFrame, tile: int = TILE) -> DataFrame:
@@ -69,9 +83,7 @@ def merge_peaks(df: DataFrame, tile: int = TILE) -> DataFrame:
     best = F.struct(F.col("score").alias("score"), (-F.col("start")).alias("s"), (-F.col("end")).alias("e"), (-F.col("summit")).alias("m"))
     base = df.select("chrom", "start", "end", "total_p", F.lit(1).cast("long").alias("n"), best.alias("best"))
     sums = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("total_p").alias("total_p"), F.sum("n").alias("n"), F.max("best").alias("best")]
-    local = _islands(base.withColumn("tile", bin_of(F.col("start"), tile)), ["chrom", "tile"], ["start", "end"], sums).drop("island", "tile")
-    whole = _islands(local, ["chrom"], ["start", "end"], sums)
-    return whole.select("chrom", "start", "end", "n", (-F.col("best.m")).alias("summit"), F.col("best.score").alias("score"), "total_p")
+    return merged(base, sums, 0, tile).select("chrom", "start", "end", "n", (-F.col("best.m")).alias("summit"), F.col("best.score").alias("score"), "total_p")
 
 
 def covered_bases(a: DataFrame, b: DataFrame, size: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import TILE, bin_of, nearest, with_neighbours
+from .ranges import TILE, bin_of, merged, nearest, with_neighbours
 
 
 def remove_redundant(track: DataFrame) -> DataFrame:
@@ -15,28 +15,19 @@ def remove_redundant(track: DataFrame) -> DataFrame:
     return track.groupBy("chrom", "pos").agg(F.max("value").alias("value"))
 
 
-def _sessions(df: DataFrame, keys: list[str], max_gap: int, aggregates: list[Column]) -> DataFrame:
-    order = W.partitionBy(*keys).orderBy("first")
-    gap = F.col("first") - F.lag("last").over(order)
-    flagged = df.withColumn("fresh", F.when(gap <= max_gap, 0).otherwise(1))
-    return flagged.withColumn("session", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*keys, "session").agg(*aggregates)
-
-
 def call_peaks(track: DataFrame, cutoff: float, up_limit: float | None = None, min_length: int = 200, max_gap: int = 50, span: int = 1, tile: int = TILE) -> DataFrame:
     """Regions where values reach the cut-off with gaps of at most ``max_gap``: chrom, start, end, summit, score, n.
 
     A region ends ``span`` after its last position and is kept if at least ``min_length`` long; summit is the first position of
-    the largest value. Runs are found inside tiles of the axis first, then joined across tiles, so a chromosome is not one task's work
-    until it is reduced to runs.
+    the largest value. Runs are found inside tiles of the axis; only those at a tile's edges are joined across tiles.
     """
     high = track.filter(F.col("value") >= cutoff) if up_limit is None else track.filter(F.col("value").between(cutoff, up_limit))
     best = F.struct(F.col("value").alias("value"), (-F.col("pos")).alias("at"))
-    points = high.select("chrom", bin_of(F.col("pos"), tile).alias("tile"), F.col("pos").alias("first"), F.col("pos").alias("last"), best.alias("best"), F.lit(1).cast("long").alias("n"))
-    sums = [F.min("first").alias("first"), F.max("last").alias("last"), F.max("best").alias("best"), F.sum("n").alias("n")]
-    runs = _sessions(points, ["chrom", "tile"], max_gap, sums).drop("tile", "session")
-    whole = _sessions(runs, ["chrom"], max_gap, sums)
-    return whole.filter(F.col("last") - F.col("first") + span >= min_length).select(
-        "chrom", F.col("first").alias("start"), (F.col("last") + span).alias("end"), (-F.col("best.at")).alias("summit"), F.col("best.value").alias("score"), "n"
+    points = high.select("chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), best.alias("best"), F.lit(1).cast("long").alias("n"))
+    sums = [F.min("start").alias("start"), F.max("end").alias("end"), F.max("best").alias("best"), F.sum("n").alias("n")]
+    whole = merged(points, sums, max_gap, tile)
+    return whole.filter(F.col("end") - F.col("start") + span >= min_length).select(
+        "chrom", "start", (F.col("end") + span).alias("end"), (-F.col("best.at")).alias("summit"), F.col("best.value").alias("score"), "n"
     )
 
 
@@ -101,6 +92,30 @@ def fill_missing(df: DataFrame, tile: int = TILE) -> DataFrame:
     return near.select("chrom", "pos", F.coalesce("value", (F.col("prev.value") + F.col("next.value")) / 2).alias("value"))
 
 
+def fill_forward(df: DataFrame, tile: int = TILE) -> DataFrame:
+    """Missing values take the last present one before them on the chromosome; those before the first stay missing."""
+    keyed = df.withColumns({"value": F.when(~F.isnan("value"), F.col("value")), "tile": bin_of(F.col("pos"), tile)})
+    ends = keyed.groupBy("chrom", "tile").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("pos"))).alias("final"))
+    earlier = F.last("final", True).over(W.partitionBy("chrom").orderBy("tile").rowsBetween(W.unboundedPreceding, -1))
+    own = F.last("value", True).over(W.partitionBy("chrom", "tile").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    filled = keyed.withColumn("own", own).join(ends.select("chrom", "tile", earlier.alias("earlier")), ["chrom", "tile"])
+    return filled.select("chrom", "pos", F.coalesce("own", "earlier").alias("value"))
+
+
+def numbered(df: DataFrame, keys: list[str], block: Column, *order: str | Column) -> DataFrame:
+    """Rows with ``nth``, their number from 0 by ``order`` among those of equal ``keys``.
+
+    ``block`` must not fall along the order. Rows are numbered inside blocks and go on from the counts of the blocks before, so the work is
+    spread by blocks and not by keys.
+    """
+    keyed = df.withColumn("block", block)
+    counts = keyed.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    inner = keyed.withColumn("nth", F.row_number().over(W.partitionBy(*keys, "block").orderBy(*order)) - 1)
+    both = inner.join(counts.select(*keys, "block", F.coalesce(before, F.lit(0)).alias("before")), [*keys, "block"])
+    return both.select(*df.columns, (F.col("nth") + F.col("before")).alias("nth"))
+
+
 def running_total(track: DataFrame, tile: int = TILE) -> DataFrame:
     """Sum of all values up to each position: inside tiles, plus the totals of the tiles before."""
     keyed = track.withColumn("tile", bin_of(F.col("pos"), tile))

@@ -8,6 +8,9 @@ from ..operators import aggregates as A
 from ..operators import binning as B
 from ..operators import ranges as R
 from ..operators import windows as O
+from ..sources.shared import stored_lines
+from ..sources.sinks import bed_lines
+from ..sources.text import read_bed
 from . import views as V
 from .views import query, rounded
 
@@ -98,10 +101,8 @@ def track_correlation_matrix(spark, sf):
 @query("""SELECT count(*) AS n, round(corr(x, y), 6) AS r FROM (SELECT chrom, (rn - 1) // 5 AS g, avg(x) AS x, avg(y) AS y FROM (SELECT a.chrom, a.pos, a.v AS x, b.v AS y, row_number() OVER (PARTITION BY a.chrom ORDER BY a.pos) AS rn
 FROM (SELECT chrom, pos // 600 AS pos, avg(value) AS v FROM v_treat GROUP BY ALL) a JOIN (SELECT chrom, pos // 600 AS pos, avg(value) AS v FROM v_control GROUP BY ALL) b ON a.chrom = b.chrom AND a.pos = b.pos) GROUP BY ALL)""")
 def stepped_correlation(spark, sf):
-    from pyspark.sql import Window as W
-
     a, b = (t.groupBy("chrom", R.bin_of(F.col("pos"), 600).alias("pos")).agg(F.avg("value").alias(v)) for t, v in ((V.treat(spark, sf), "x"), (V.control(spark, sf), "y")))
-    both = a.join(b, ["chrom", "pos"]).withColumn("g", F.floor((F.row_number().over(W.partitionBy("chrom").orderBy("pos")) - 1) / 5))
+    both = O.numbered(a.join(b, ["chrom", "pos"]), ["chrom"], R.bin_of(F.col("pos"), 4096), "pos").withColumn("g", F.floor(F.col("nth") / 5))
     steps = both.groupBy("chrom", "g").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     return rounded(steps.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")), "r")
 
@@ -114,6 +115,34 @@ def overlap_enrichment(spark, sf):
     return c.withColumn("p", F.round(hypergeometric_upper(F.col("m"), F.col("x"), F.col("n") - F.col("x"), F.col("y")), 8))
 
 
+def merged_sql(view: str) -> str:
+    return f"""(SELECT chrom, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
+SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {view})) GROUP BY chrom, g)"""
+
+
+@query(f"""SELECT * FROM (WITH a AS {merged_sql("(SELECT chrom, txStart AS start, txEnd AS \"end\" FROM v_genes)")}, b AS {merged_sql("v_gene_peaks")},
+c AS (SELECT (SELECT CAST(sum("end" - start) AS BIGINT) FROM a) AS x, (SELECT CAST(sum("end" - start) AS BIGINT) FROM b) AS y,
+(SELECT CAST(coalesce(sum(least(a."end", b."end") - greatest(a.start, b.start)), 0) AS BIGINT) FROM a JOIN b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end") AS m, (SELECT 10000 * count(*) FROM part) AS n)
+SELECT m AS common, x - m AS only_first, y - m AS only_second, n AS size, round((SELECT sum(exp(lgamma(x + 1) - lgamma(i + 1) - lgamma(x - i + 1) + lgamma(n - x + 1) - lgamma(y - i + 1) - lgamma(n - x - y + i + 1) - lgamma(n + 1) + lgamma(y + 1) + lgamma(n - y + 1))) FROM range(m + 1, least(x, y) + 1) z(i)), 4) AS enriched FROM c)""")
+def base_pair_overlap(spark, sf):
+    """Base pairs that two sets of intervals share, those of one only, and the chance of more in common on a random genome of this size."""
+    a, b = R.merge_intervals(V.genes(spark, sf).select("chrom", F.col("txStart").alias("start"), F.col("txEnd").alias("end"))), R.merge_intervals(V.gene_peaks(spark, sf))
+    x, y = (t.agg(F.sum(F.col("end") - F.col("start")).alias(n)) for t, n in ((a, "x"), (b, "y")))
+    m = R.covered_bases(a.drop("n"), b, 1 << 14).agg(F.coalesce(F.sum("covered"), F.lit(0)).alias("m"))
+    size = V.table(spark, sf, "part").agg((F.count(F.lit(1)) * 10_000).alias("n"))
+    c = x.join(F.broadcast(y), F.lit(True)).join(F.broadcast(m), F.lit(True)).join(F.broadcast(size), F.lit(True))
+    p = hypergeometric_upper(F.col("m"), F.col("x"), F.col("n") - F.col("x"), F.col("y"))
+    return c.select(F.col("m").alias("common"), (F.col("x") - F.col("m")).alias("only_first"), (F.col("y") - F.col("m")).alias("only_second"), F.col("n").alias("size"), F.round(p, 4).alias("enriched"))
+
+
+@query("""SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", max(value) AS score FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY pos) AS s FROM (
+SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) <= 3000 THEN 0 ELSE 1 END AS fresh FROM v_track WHERE value >= 60)) GROUP BY chrom, s HAVING max(pos) - min(pos) + 1 >= 300""")
+def naive_peak_regions(spark, sf):
+    """Regions called at a raw cut-off, written as BED lines and read back."""
+    found = O.call_peaks(V.track(spark, sf), 60, min_length=300, max_gap=3000, tile=200_000).withColumn("name", F.lit("p"))
+    return read_bed(spark, stored_lines(bed_lines(found))).select("chrom", "start", "end", "score")
+
+
 MATRIX = "SELECT l_orderkey || '.' || l_linenumber AS id, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem"
 
 

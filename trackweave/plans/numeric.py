@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as R
 from ..functions import probability as D
+from ..functions import strings as S
+from ..operators import windows as O
 from . import views as V
 from .views import query, rounded
 
@@ -111,3 +113,51 @@ def binomial_quantiles(spark, sf):
 @query(f"SELECT id, CAST(list_min([CASE WHEN list_sum([exp(-lam + j * ln(lam) - lgamma(j + 1)) FOR j IN range(0, i + 1)]) >= 0.9::DOUBLE THEN i ELSE 999 END FOR i IN range(0, 90)]) AS DOUBLE) AS k FROM ({SMALL})")
 def poisson_quantiles(spark, sf):
     return small(spark, sf).select("id", D.poisson_quantile(F.lit(0.9), F.col("lam")).alias("k"))
+
+
+@query("""SELECT chrom, pos, last_value(v IGNORE NULLS) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT chrom, pos, CASE WHEN value >= 30 THEN value END AS v FROM v_track)""")
+def fill_forward(spark, sf):
+    t = V.track(spark, sf).select("chrom", "pos", F.when(F.col("value") >= 30, F.col("value")).alias("value"))
+    return O.fill_forward(t, 200_000)
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 25 AND l_linenumber % 2 = 1 THEN NULL ELSE (CASE WHEN l_quantity >= 25 THEN l_quantity ELSE 0 END) + (CASE WHEN l_linenumber % 2 = 0 THEN l_tax ELSE 0 END) END AS total,
+CAST(l_quantity >= 25 AS INTEGER) + CAST(l_linenumber % 2 = 0 AS INTEGER) AS n FROM lineitem""")
+def array_sum_and_count(spark, sf):
+    x = F.array(F.when(F.col("l_quantity") >= 25, F.col("l_quantity")).otherwise(float("nan")))
+    y = F.array(F.when(F.expr("l_linenumber % 2 = 0"), F.col("l_tax")))
+    sums, counts = R.added(x, y)
+    return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.get(sums, F.lit(0)).alias("total"), F.get(counts, F.lit(0)).alias("n"))
+
+
+PER_ORDER = "SELECT l_orderkey, list_sort(list(l_quantity)) AS q, len(list(l_quantity)) AS n FROM lineitem GROUP BY ALL"
+
+
+@query(f"""SELECT l_orderkey, round(q[n] - q[1], 4) AS widest, q[l + 1] AS low, q[r + 1] AS high, list_aggregate(q[l + 1:r + 1], 'median') AS middle
+FROM (SELECT *, greatest(CAST(round(25.0::DOUBLE * n / 100) AS INTEGER) - 1, 0) AS l, least(CAST(round(75.0::DOUBLE * n / 100) AS INTEGER), n - 1) AS r FROM ({PER_ORDER}))""")
+def boundaries_and_medians(spark, sf):
+    o = V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
+    b = R.boundary_median(F.col("q"), 25.0, 75.0)
+    return o.select("l_orderkey", F.round(R.widest_difference(F.col("q")), 4).alias("widest"), b.low.alias("low"), b.high.alias("high"), b.middle.alias("middle"))
+
+
+@query("""SELECT o_orderkey, CAST(round(o_totalprice / 250) * 250 AS BIGINT) AS nearest, printf('%.5e', o_totalprice) AS code, CASE WHEN o_totalprice / 1e6::DOUBLE * 100 < 0.1 THEN printf('%.2f %%', o_totalprice / 1e6::DOUBLE * 100) ELSE printf('%.1f %%', o_totalprice / 1e6::DOUBLE * 100) END AS label,
+regexp_replace(o_orderpriority, '^.*-', '') AS bare FROM orders""")
+def number_labels(spark, sf):
+    return V.table(spark, sf, "orders").select(
+        "o_orderkey", R.nearest_multiple(F.col("o_totalprice"), 250).alias("nearest"), S.scientific(F.col("o_totalprice")).alias("code"), S.percent_label(F.col("o_totalprice") / 1e6).alias("label"),
+        S.without_prefix(F.regexp_replace("o_orderpriority", "^.*-", "chr")).alias("bare"),
+    )
+
+
+@query("SELECT l_orderkey, CAST(max(i) FILTER (WHERE q = m) AS INTEGER) AS place FROM (SELECT l_orderkey, l_linenumber, l_quantity AS q, max(l_quantity) OVER (PARTITION BY l_orderkey) AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS i FROM lineitem) GROUP BY ALL")
+def place_of_largest(spark, sf):
+    a = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda x: x.l_quantity)
+    o = V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(a.alias("q"))
+    return o.select("l_orderkey", R.last_at_most(F.col("q")).alias("place"))
+
+
+@query()
+def random_draws(spark, sf):
+    """Three integers from 5 to 9 per part."""
+    return V.table(spark, sf, "part").select("p_partkey", R.random_integers(F.col("p_partkey"), 5, 9, 3).alias("draws"))

@@ -6,13 +6,17 @@ from ..functions import strings as S
 from ..operators import filters as L
 from ..operators import records as M
 from ..sources.text import gff_to_bed
+from ..sources.text import parse_key_values as read_key_values
 from . import views as V
 from .views import query
 
 
 @query("SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events")
 def parse_key_values(spark, sf):
-    return V.table(spark, sf, "events").select("event_id", F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1).cast("long").alias("k"))
+    """Records of one line ``k = number`` each."""
+    line = F.translate(F.regexp_replace("props", ":", "="), '{}"', "")
+    numbered = V.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("file"), F.lit(0).alias("line"), line.alias("value"))
+    return read_key_values(numbered, ["k"]).select(F.col("file").cast("long").alias("event_id"), F.col("k").cast("long").alias("k"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%' AND p_brand LIKE '%#1%'")

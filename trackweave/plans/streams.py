@@ -1,12 +1,11 @@
 """Streaming queries, run to the end of what is there, with the rows that the same batch query gives."""
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
 from ..streaming.regions import stream_bins, stream_regions
 from . import views as V
 from .views import query
@@ -24,7 +23,7 @@ def finished(plan: Callable[[DataFrame], DataFrame], source: DataFrame) -> DataF
     stream goes on with one closing event of the year 9999: what is open is emitted, and the window of the closing event never is.
     """
     spark = source.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackweave-")).rstrip("/") + f"/streams/{uuid.uuid4().hex}"
+    base = shared_path(spark, "streams")
     spark.createDataFrame([], source.schema).write.parquet(f"{base}/closing")
     out = plan(source.unionByName(spark.readStream.schema(source.schema).parquet(f"{base}/closing")))
 
@@ -45,15 +44,13 @@ def seconds(column: str):
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP'1970-01-01 00:00:00', {column})")
 
 
-# the SQL of both still leaves out what ends after the watermark, an hour before the last event; the streams give these rows as well
-@query("""SELECT event_type, CAST(floor(epoch(s)) AS BIGINT) AS start, round(sum(value), 4) AS total, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 1 hour, ts) AS s FROM events)
-WHERE s + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 1 hour FROM events) GROUP BY ALL""")
+@query("""SELECT event_type, CAST(floor(epoch(s)) AS BIGINT) AS start, round(sum(value), 4) AS total, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 1 hour, ts) AS s FROM events) GROUP BY ALL""")
 def streamed_hourly_bins(spark, sf):
     return finished(stream_bins, events(spark, sf)).select("event_type", seconds("start").alias("start"), F.round("total", 4).alias("total"), "n")
 
 
 @query("""SELECT event_type, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, max(value) AS score, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
 SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 50 minutes THEN 0 ELSE 1 END AS fresh FROM events WHERE value >= 20))
-GROUP BY event_type, g HAVING max(ts) + INTERVAL 50 minutes <= (SELECT max(ts) - INTERVAL 1 hour FROM events)""")
+GROUP BY event_type, g""")
 def streamed_regions(spark, sf):
     return finished(lambda rows: stream_regions(rows, 20), events(spark, sf)).select("event_type", seconds("start").alias("start"), "score", "n")

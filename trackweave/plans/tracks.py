@@ -7,6 +7,7 @@ from ..operators import binning as B
 from ..operators import filters as L
 from ..operators import ranges as R
 from ..operators import windows as O
+from ..sources.sinks import gff_lines
 from . import views as V
 from .views import query, rounded
 
@@ -240,7 +241,9 @@ def wiggle_reformat(spark, sf):
 
 @query("""SELECT chrom, pos - 5 AS start, pos - 5 + 9 AS "end", round(value, 4) AS value FROM v_track""")
 def track_as_gff(spark, sf):
-    return V.track(spark, sf).select("chrom", (F.col("pos") - 5).alias("start"), (F.col("pos") - 5 + 9).alias("end"), F.round("value", 4).alias("value"))
+    f = F.split("value", "\t")
+    lines = gff_lines(V.track(spark, sf), 10, shift=5)
+    return lines.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(3)).cast("long").alias("start"), F.get(f, F.lit(4)).cast("long").alias("end"), F.round(F.get(f, F.lit(5)).cast("double"), 4).alias("value"))
 
 
 @query()

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import TILE, bin_of
+
 
 def tab(*columns: Column | str) -> Column:
     return F.concat_ws("\t", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("NA")) for c in columns]).alias("value")
@@ -17,16 +19,17 @@ def gff_lines(track: DataFrame, span: int, shift: int = 0, source: str = ".", fe
     return track.select(tab("chrom", F.lit(source), F.lit(feature), start, start + span - 1, F.col("value"), F.lit("."), F.lit("."), F.lit(".")))
 
 
-def wiggle_lines(track: DataFrame, span: int, shift: int = 0, digits: int = 4) -> DataFrame:
-    """Lines (chrom, place, value) in order: a declaration per chromosome, then its points."""
-    head = track.select("chrom").distinct().select("chrom", F.lit(-1).cast("long").alias("place"), F.concat(F.lit("variableStep chrom="), "chrom", F.lit(f" span={span}")).alias("value"))
-    body = track.select("chrom", F.col("pos").alias("place"), F.concat_ws("\t", (F.col("pos") - shift).cast("string"), F.format_string(f"%.{digits}f", "value")).alias("value"))
+def wiggle_lines(track: DataFrame, span: int, shift: int = 0, digits: int = 4, tile: int = TILE) -> DataFrame:
+    """Lines (chrom, tile, place, value) in order: a declaration per tile of a chromosome (place null), then its points."""
+    tiled = track.withColumn("tile", bin_of(F.col("pos"), tile))
+    head = tiled.select("chrom", "tile").distinct().select("chrom", "tile", F.lit(None).cast("long").alias("place"), F.concat(F.lit("variableStep chrom="), "chrom", F.lit(f" span={span}")).alias("value"))
+    body = tiled.select("chrom", "tile", F.col("pos").alias("place"), F.concat_ws("\t", (F.col("pos") - shift).cast("string"), F.format_string(f"%.{digits}f", "value")).alias("value"))
     return head.unionByName(body)
 
 
 def write_wiggle(track: DataFrame, path: str, span: int, shift: int = 0) -> None:
-    """One folder of text whose parts, in order, are the file; chromosomes are ranges of parts."""
-    wiggle_lines(track, span, shift).repartitionByRange("chrom", "place").sortWithinPartitions("chrom", "place").select("value").write.text(path)
+    """One folder of text whose parts, in order, are the file; each part is a wiggle file of its own, of whole tiles."""
+    wiggle_lines(track, span, shift).repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile", "place").select("value").write.text(path)
 
 
 def write_lines(df: DataFrame, path: str) -> None:
