@@ -203,3 +203,51 @@ def test_bwt(spark):
     got = df.select(S.bwt(F.col("t")).alias("b"), S.ibwt(S.bwt(F.col("t"))).alias("back")).collect()
     assert got[0].b == "!tseilttr breies \0"
     assert [r.back for r in got] == ["test is terrible!", "banana", ""]
+
+
+def test_gene_neighbours_both_ways(spark, monkeypatch):
+    from trackweave.operators import annotate as N
+
+    r = random.Random(12)
+    rows = [(r.choice("ab"), f"g{i}", "+", s, s + r.choice((5, 40, 3000))) for i, s in enumerate(r.randrange(5000) for _ in range(120))]
+    g = spark.createDataFrame(rows, "chrom string, name string, strand string, txStart long, txEnd long")
+    want = set()
+    for c in "ab":
+        own = sorted((x for x in rows if x[0] == c), key=lambda x: (x[3], x[4], x[1]))
+        for i, x in enumerate(own):
+            before = [y[4] for y in own[:i] if y[4] < x[3]]
+            after = [y[3] for y in own if y[3] > x[4]]
+            want.add((c, x[1], i + 1, before[-1] if before else 0, after[0] if after else max(y[4] for y in own) + 1_000_000))
+    for few in (N.FEW, 0):
+        monkeypatch.setattr(N, "FEW", few)
+        assert {(x.chrom, x.name, x.nth, x.before, x.after) for x in N.neighbours(g).collect()} == want
+
+
+@pytest.mark.parametrize("tile", [7, 50, 1000])
+def test_merging_carries_only_tile_edges(spark, tile):
+    r = random.Random(tile)
+    rows = [("a", s, s + r.choice((1, 3, 9, 200 if r.random() < 0.1 else 2))) for s in (r.randrange(900) for _ in range(80))]
+    for gap in (0, 4):
+        want = []
+        for _, s, e in sorted(rows):
+            if want and s <= want[-1][1] + gap:
+                want[-1] = (want[-1][0], max(want[-1][1], e), want[-1][2] + 1)
+            else:
+                want.append((s, e, 1))
+        df = spark.createDataFrame(rows, "chrom string, start long, end long").withColumn("n", F.lit(1).cast("long"))
+        sums = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")]
+        assert sorted((x.start, x.end, x.n) for x in R.merged(df, sums, gap, tile).collect()) == want
+
+
+def test_numbering_and_filling_across_blocks(spark):
+    from trackweave.operators.windows import fill_forward, numbered
+
+    rows = [("ab"[i % 2], 3 * i, float(i) if i % 5 == 2 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, value double")
+    got = {(x.chrom, x.pos): x.nth for x in numbered(df, ["chrom"], R.bin_of(F.col("pos"), 20), "pos").collect()}
+    assert got == {(c, p): i // 2 for i, (c, p, _) in enumerate(rows)}
+    last, want = {}, set()
+    for c, p, v in rows:
+        last[c] = v if v is not None else last.get(c)
+        want.add((c, p, last[c]))
+    assert {tuple(x) for x in fill_forward(df, 20).collect()} == want

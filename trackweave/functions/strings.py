@@ -91,9 +91,8 @@ def percent_label(x: Column) -> Column:
 
 
 def scientific(x: Column) -> Column:
-    """Six digits and an exponent; of two equally near the even one."""
-    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 5)
-    return F.format_string("%1.5e", F.when(x == 0, 0.0).otherwise(F.bround(x / unit) * unit))
+    """Six digits and an exponent; a decimal half is rounded up."""
+    return F.format_string("%1.5e", x)
 
 
 def p_value_label(p: Column) -> Column:

@@ -3,6 +3,8 @@
 Genes: chrom, name, strand, txStart, txEnd, cdsStart, cdsEnd, exonStarts, exonEnds.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..functions.probability import binomial_cdf, binomial_upper
 from .ranges import nearest, overlap_pairs, points_in
 
 BIN = 1 << 14
+FEW = 200_000
 LEVELS = {"promoter": 3, "bipromoter": 2, "downstream": 3}
 
 
@@ -19,13 +22,35 @@ def gene_order(genes: DataFrame) -> DataFrame:
     return genes.withColumn("nth", F.row_number().over(W.partitionBy("chrom").orderBy("txStart", "txEnd", "name")))
 
 
+def _neighbours_of_few(genes: DataFrame) -> DataFrame:
+    """``neighbours`` for at most FEW genes, so that a chromosome's fit one task."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("txStart", "txEnd", "name")])
+        start, end = (t.column(c).to_numpy() for c in ("txStart", "txEnd"))
+        follows = np.searchsorted(start, end, side="right")
+        after = np.where(follows < len(start), start[np.minimum(follows, len(start) - 1)], end.max() + 1_000_000)
+        before = np.arange(len(start)) - 1
+        while (open_ := (before >= 0) & (end[before] >= start)).any():
+            before[open_] -= 1
+        extra = (np.arange(1, len(start) + 1, dtype=np.int32), np.where(before >= 0, end[before], 0), after)
+        for name, values in zip(("nth", "before", "after"), extra, strict=True):
+            t = t.append_column(name, pa.array(values))
+        return t
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in genes.schema)
+    return genes.groupBy("chrom").applyInArrow(run, f"{fields}, nth int, before long, after long")
+
+
 def neighbours(genes: DataFrame) -> DataFrame:
     """Genes with nth, ``before`` (end of the closest earlier gene, by order of starts, that ends before this one starts; 0 if none) and ``after``
     (start of the first later gene that starts after this one ends; else a million beyond the last end).
 
-    The earlier gene starts at most one longest gene before, or it is the last of all that start before that, so a bounded range join and
-    an as-of join find it.
+    Up to FEW genes are read in order, chromosome by chromosome. Beyond, the earlier gene starts at most one longest gene before, or it is the last of
+    all that start before that, so a bounded range join and an as-of join find it.
     """
+    if genes.limit(FEW + 1).count() <= FEW:
+        return _neighbours_of_few(genes)
     ordered = gene_order(genes)
     ends = ordered.groupBy("chrom").agg(F.max(F.col("txEnd") - F.col("txStart")).alias("longest"), F.max("txEnd").alias("last_end"))
     g = ordered.join(ends, "chrom")

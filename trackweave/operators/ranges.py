@@ -60,15 +60,16 @@ def merged(df: DataFrame, aggregates: list[Column], gap: int, tile: int) -> Data
     begin within reach of an earlier tile (all one union, as what reaches there covers them) are carried over, two rows per tile at most; all others are
     finished where they are. So no task handles a chromosome, unless as two rows per tile.
     """
-    local = _islands(df.withColumn("tile", bin_of(F.col("start"), tile)), ["chrom", "tile"], ["start", "end"], aggregates, gap)
-    ends = local.groupBy("chrom", "tile").agg(F.max("end").alias("upto"))
+    keyed = df.withColumn("tile", bin_of(F.col("start"), tile))
+    ends = keyed.groupBy("chrom", "tile").agg(F.max("end").alias("upto"))
     reach = F.max("upto").over(W.partitionBy("chrom").orderBy("tile").rowsBetween(W.unboundedPreceding, -1))
-    placed = local.join(ends.select("chrom", "tile", "upto", reach.alias("reach")), ["chrom", "tile"])
-    placed = placed.withColumns({"inner": F.coalesce(F.col("start") <= F.col("reach") + gap, F.lit(False)), "last": F.col("end") == F.col("upto")})
-    names = [c for c in local.columns if c not in ("tile", "island")]
-    carried = placed.filter("inner or last").groupBy("chrom", "tile", "inner").agg(*aggregates).select(*names)
-    finished = placed.filter("not (inner or last)").select(*names)
-    return finished.unionByName(_islands(carried, ["chrom"], ["start", "end"], aggregates, gap).select(*names))
+    local = _islands(keyed, ["chrom", "tile"], ["start", "end"], aggregates, gap).join(ends.select("chrom", "tile", "upto", reach.alias("reach")), ["chrom", "tile"])
+    inner = F.coalesce(F.col("start") <= F.col("reach") + gap, F.lit(False))
+    # a negative number gathers what an earlier tile reaches
+    local = local.withColumns({"part": F.when(inner, -1).otherwise(F.col("island")), "last": F.col("end") == F.col("upto")})
+    parts = local.groupBy("chrom", "tile", "part").agg(*aggregates, F.max("last").alias("last"))
+    placed = parts.withColumn("place", F.when((F.col("part") < 0) | F.col("last"), F.lit(None).cast("long")).otherwise(F.col("tile")))
+    return _islands(placed, ["chrom", "place"], ["start", "end"], aggregates, gap).drop("place", "island")
 
 
 def merge_intervals(df: DataFrame, tile: int = TILE) -> DataFrame:

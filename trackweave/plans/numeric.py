@@ -141,11 +141,11 @@ def boundaries_and_medians(spark, sf):
     return o.select("l_orderkey", F.round(R.widest_difference(F.col("q")), 4).alias("widest"), b.low.alias("low"), b.high.alias("high"), b.middle.alias("middle"))
 
 
-@query("""SELECT o_orderkey, CAST(round(o_totalprice / 250) * 250 AS BIGINT) AS nearest, printf('%.5e', o_totalprice) AS code, CASE WHEN o_totalprice / 1e6::DOUBLE * 100 < 0.1 THEN printf('%.2f %%', o_totalprice / 1e6::DOUBLE * 100) ELSE printf('%.1f %%', o_totalprice / 1e6::DOUBLE * 100) END AS label,
+@query("""SELECT o_orderkey, CAST(round(o_totalprice / 250) * 250 AS BIGINT) AS nearest, printf('%.5e', sqrt(o_totalprice)) AS code, CASE WHEN o_totalprice / 1e6::DOUBLE * 100 < 0.1 THEN printf('%.2f %%', o_totalprice / 1e6::DOUBLE * 100) ELSE printf('%.1f %%', o_totalprice / 1e6::DOUBLE * 100) END AS label,
 regexp_replace(o_orderpriority, '^.*-', '') AS bare FROM orders""")
 def number_labels(spark, sf):
     return V.table(spark, sf, "orders").select(
-        "o_orderkey", R.nearest_multiple(F.col("o_totalprice"), 250).alias("nearest"), S.scientific(F.col("o_totalprice")).alias("code"), S.percent_label(F.col("o_totalprice") / 1e6).alias("label"),
+        "o_orderkey", R.nearest_multiple(F.col("o_totalprice"), 250).alias("nearest"), S.scientific(F.sqrt("o_totalprice")).alias("code"), S.percent_label(F.col("o_totalprice") / 1e6).alias("label"),
         S.without_prefix(F.regexp_replace("o_orderpriority", "^.*-", "chr")).alias("bare"),
     )
 
