@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranges import TILE, bin_of
-from .windows import numbered
+from .windows import call_peaks, numbered
 
 SLICES = 4096
 
@@ -88,6 +88,14 @@ def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def matrix_regions(matrix: DataFrame, column: str, span: int, cutoff: float | None = None, min_length: int = 10_000, max_gap: int = 2000) -> DataFrame:
+    """Regions of a matrix (chrom, start, ...) where a column reaches the cut-off, its mean plus deviation if none is given; missing values are left out."""
+    track = matrix.select("chrom", F.col("start").alias("pos"), F.col(column).cast("double").alias("value")).filter("value is not null")
+    limit = column_statistics(matrix, [column]).select("cutoff") if cutoff is None else matrix.sparkSession.range(1).select(F.lit(cutoff).alias("cutoff"))
+    high = track.join(F.broadcast(limit), F.col("value") >= F.col("cutoff")).select("chrom", "pos", "value")
+    return call_peaks(high, float("-inf"), min_length=min_length, max_gap=max_gap, span=span)
+
+
 def correlation_matrix(tracks: DataFrame, track: str = "track") -> DataFrame:
     """Pearson correlation of every two tracks (track, chrom, pos, value) over their common positions: a, b, n, r."""
     x = tracks.select(F.col(track).alias("a"), "chrom", "pos", F.col("value").alias("x"))

@@ -61,6 +61,14 @@ def peak_grid(peaks: DataFrame, resolution: int) -> DataFrame:
     return peaks.select("chrom", "start", "end", F.explode(F.sequence(centre - back * resolution, centre + ahead * resolution, F.lit(resolution).cast("long"))).alias("pos"))
 
 
+def region_background(regions: DataFrame, genome: DataFrame, resolution: int) -> DataFrame:
+    """Per chromosome that both have, and as ``whole`` over these: grid points inside regions, grid points of the genome and their quotient: chrom, points, n, share."""
+    inside = peak_grid(regions, resolution).groupBy("chrom").agg(F.count(F.lit(1)).alias("points"))
+    both = genome_grid(genome, resolution).groupBy("chrom").agg(F.count(F.lit(1)).alias("n")).join(inside, "chrom")
+    sums = both.rollup("chrom").agg(F.sum("points").alias("points"), F.sum("n").alias("n"))
+    return sums.select(F.coalesce("chrom", F.lit("whole")).alias("chrom"), "points", "n", (F.col("points") / F.col("n")).alias("share"))
+
+
 def first_per_grid(track: DataFrame, resolution: int) -> DataFrame:
     """The first value of each grid coordinate."""
     return track.groupBy("chrom", to_grid(F.col("pos"), resolution).alias("grid")).agg(F.min_by("value", "pos").alias("value")).withColumnRenamed("grid", "pos")

@@ -1,15 +1,23 @@
 """Metadata records: tables of dataset descriptions with dimension tables, changed by writing new versions."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+from .windows import numbered
+
 
 def with_new_ids(existing: DataFrame, rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """Rows numbered on from the largest key of ``existing`` (from 1 if it is empty)."""
+    """Rows numbered on from the largest key of ``existing`` (from 1 if it is empty).
+
+    The rows are written in order to the shared folder first: its files are ranges of the order, in which rows are numbered on from the counts of the files before.
+    """
+    path = shared_path(rows.sparkSession, "ordered")
+    rows.orderBy(*order).write.parquet(path)
+    ordered = rows.sparkSession.read.schema(rows.schema).parquet(path)
     largest = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    numbered = rows.withColumn("__n", F.row_number().over(W.orderBy(*order)))
-    return numbered.join(F.broadcast(largest), F.lit(True)).withColumn(key, (F.col("__top") + F.col("__n")).cast("long")).drop("__top", "__n")
+    counted = numbered(ordered, [], F.col("_metadata.file_name"), *order)
+    return counted.join(F.broadcast(largest), F.lit(True)).withColumn(key, (F.col("__top") + F.col("nth") + 1).cast("long")).drop("__top", "nth")
 
 
 def add_values(dimension: DataFrame, values: DataFrame, name: str, key: str) -> DataFrame:

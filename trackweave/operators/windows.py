@@ -75,15 +75,23 @@ def local_extrema(track: DataFrame, width: int, peaks: bool = True, tile: int =
 
 
 def sliding_sum(track: DataFrame, other: DataFrame, before: int, after: int, tile: int = TILE) -> DataFrame:
-    """Per point of ``track``: total of ``other`` within [pos - before, pos + after].
+    """Per point of ``track``: total of ``other`` within [pos - before, pos + after]; null where there is none.
 
-    Rows of ``other`` also go to the tiles that their neighbourhood reaches, so every tile is summed by itself.
+    Rows of ``other`` also go to the tiles that their neighbourhood reaches, so every tile is summed by itself. Each point asks for the running
+    total at the end of its neighbourhood and just before it, so that the work grows with the rows and not with the width. Values of ``other`` are finite.
     """
-    a = track.select("chrom", "pos", "value", F.lit(0.0).alias("weight"), F.lit(1).alias("own"), bin_of(F.col("pos"), tile).alias("tile"))
-    reach = F.sequence(bin_of(F.col("pos") - after, tile), bin_of(F.col("pos") + before, tile))
-    b = other.select("chrom", "pos", F.lit(None).cast("double").alias("value"), F.col("value").alias("weight"), F.lit(0).alias("own"), F.explode(reach).alias("tile"))
-    frame = W.partitionBy("chrom", "tile").orderBy("pos").rangeBetween(-before, after)
-    return a.unionByName(b).withColumn("total", F.sum("weight").over(frame)).filter("own = 1").select("chrom", "pos", "value", "total")
+    own = F.col("pos")
+    asked = F.explode(F.array(F.struct((own + after).alias("at"), F.lit(1).alias("sign")), F.struct((own - before - 1).alias("at"), F.lit(-1).alias("sign"))))
+    a = track.select("chrom", "pos", "value", bin_of(own, tile).alias("tile"), asked.alias("x")).select("chrom", "pos", "value", "tile", "x.at", "x.sign", F.lit(0.0).alias("weight"), F.lit(0).alias("one"))
+    reach = F.sequence(bin_of(own - after, tile), bin_of(own + before, tile))
+    none = F.lit(None)
+    b = other.select("chrom", none.cast("long").alias("pos"), none.cast("double").alias("value"), F.explode(reach).alias("tile"), own.alias("at"), F.lit(0).alias("sign"), F.col("value").cast("double").alias("weight"), F.col("value").isNotNull().cast("int").alias("one"))
+    upto = W.partitionBy("chrom", "tile").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    summed = a.unionByName(b).withColumns({"s": F.sum("weight").over(upto), "n": F.sum("one").over(upto)}).filter("sign <> 0")
+    # the two answers of a point add up with their signs; points that repeat share sums and are spread again
+    both = summed.groupBy("chrom", "pos", "value").agg(F.sum(F.col("s") * F.col("sign")).alias("s"), F.sum(F.col("n") * F.col("sign")).alias("n"), F.count_if(F.col("sign") > 0).alias("c"))
+    spread = both.select("chrom", "pos", "value", F.when(F.col("n") > 0, F.col("s") / F.col("c")).alias("total"), F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
+    return spread.select("chrom", "pos", "value", "total")
 
 
 def fill_missing(df: DataFrame, tile: int = TILE) -> DataFrame:

@@ -8,9 +8,9 @@ from ..operators import aggregates as A
 from ..operators import binning as B
 from ..operators import ranges as R
 from ..operators import windows as O
-from ..sources.shared import stored_lines
+from ..sources.shared import stored_csv, stored_lines
 from ..sources.sinks import bed_lines
-from ..sources.text import read_bed
+from ..sources.text import read_bed, read_matrix
 from . import views as V
 from .views import query, rounded
 
@@ -165,6 +165,26 @@ def organise_columns(spark, sf):
     return V.table(spark, sf, "lineitem").select(F.concat(F.concat_ws(".", "l_orderkey", "l_linenumber"), F.lit(","), F.col("l_quantity").cast("int").cast("string")).alias("row"))
 
 
+@query("""SELECT * FROM (WITH m AS (SELECT l_returnflag AS chrom, l_orderkey * 100 + l_linenumber * 10 AS start, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS q FROM lineitem),
+c AS (SELECT avg(q) + stddev_samp(q) AS cutoff FROM m), f AS (SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY chrom ORDER BY start) <= 100 THEN 0 ELSE 1 END AS fresh FROM m, c WHERE q >= cutoff)
+SELECT chrom, min(start) AS start, max(start) + 10 AS "end", max(q) AS score FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY start) AS s FROM f) GROUP BY chrom, s HAVING max(start) - min(start) + 10 >= 20)""")
+def matrix_regions(spark, sf):
+    """A matrix with missing values, written and read as a file: regions of one column above its mean plus deviation."""
+    place = F.expr("l_orderkey * 100 + l_linenumber * 10")
+    rows = V.table(spark, sf, "lineitem").select(F.concat_ws(".", "l_returnflag", place, place + 10).alias("location"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).alias("q"))
+    return A.matrix_regions(read_matrix(spark, stored_csv(rows)), "q", 10, min_length=20, max_gap=100).select("chrom", "start", "end", "score")
+
+
+_CENTRED = """(SELECT chrom, start, "end", CAST(floor((start + "end") / 2.0) AS BIGINT) AS c FROM v_gene_peaks)"""
+
+
+@query(f"""SELECT coalesce(chrom, 'whole') AS chrom, CAST(sum(k) AS BIGINT) AS points, CAST(sum(n) AS BIGINT) AS n, round(sum(k) / sum(n), 6) AS share FROM (
+SELECT g.chrom, k, n FROM (SELECT chrom, CAST(sum((c - start) // 100 + ("end" - c) // 100 + 1) AS BIGINT) AS k FROM {_CENTRED} GROUP BY chrom) r JOIN (SELECT chrom, count(DISTINCT CAST(round(pos / 100.0::DOUBLE) AS BIGINT)) AS n FROM v_coords GROUP BY chrom) g ON g.chrom = r.chrom) GROUP BY ROLLUP (chrom)""")
+def region_background(spark, sf):
+    """Share of the genome's grid points that lie in regions of interest, by chromosome and whole."""
+    return rounded(B.region_background(V.gene_peaks(spark, sf), V.coords(spark, sf), 100), "share")
+
+
 @query("""SELECT CAST(b AS BIGINT) AS bin, b * 4.0::DOUBLE AS start, coalesce(n, 0) AS n, round(coalesce(n, 0) * 0.8::DOUBLE / max(coalesce(n, 0)) OVER (), 6) AS height FROM (SELECT unnest(range(0, 25)) AS b)
 LEFT JOIN (SELECT CAST(floor(value / 4.0) AS BIGINT) AS k, count(*) AS n FROM v_track WHERE value >= 0 AND value < 100 GROUP BY ALL) ON k = b""")
 def plot_histogram(spark, sf):
