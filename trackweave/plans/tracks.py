@@ -174,17 +174,30 @@ def fill_missing_values(spark, sf):
     return rounded(O.fill_missing(holes), "value")
 
 
-@query()
+def greedy_extrema_sql(sign: int) -> str:
+    """Candidates in order, and a state that is the last chosen one: a close higher one replaces it, a distant one begins the next."""
+    return f"""(WITH RECURSIVE s AS (SELECT chrom, pos, value FROM (SELECT *, lead(value) OVER (PARTITION BY chrom ORDER BY pos) AS nv FROM v_track) WHERE nv IS NULL OR nv <> value),
+c AS (SELECT chrom, pos, value, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS i FROM (
+SELECT *, lag(value) OVER (PARTITION BY chrom ORDER BY pos) AS pv, lead(value) OVER (PARTITION BY chrom ORDER BY pos) AS nv FROM s) WHERE (value - pv) * {sign} > 0 AND (value - nv) * {sign} > 0),
+r AS (SELECT chrom, i, pos, value, 1 AS g FROM c WHERE i = 1 UNION ALL
+SELECT c.chrom, c.i, CASE WHEN fresh OR higher THEN c.pos ELSE r.pos END, CASE WHEN fresh OR higher THEN c.value ELSE r.value END, r.g + CAST(fresh AS INTEGER)
+FROM r JOIN c ON c.chrom = r.chrom AND c.i = r.i + 1, LATERAL (SELECT c.pos - r.pos > 4000 AS fresh, (c.value - r.value) * {sign} > 0 AS higher) t)
+SELECT chrom, arg_max(pos, i) AS pos, arg_max(value, i) AS value FROM r GROUP BY chrom, g)"""
+
+
+@query(f"SELECT * FROM {greedy_extrema_sql(1)}")
 def find_peaks(spark, sf):
     return O.local_extrema(V.track(spark, sf), 4000)
 
 
-@query()
+@query(f"SELECT * FROM {greedy_extrema_sql(-1)}")
 def find_valleys(spark, sf):
     return O.local_extrema(V.track(spark, sf), 4000, peaks=False)
 
 
-@query()
+@query("""SELECT * FROM (WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start, "end") AS i FROM v_peaks),
+r AS (SELECT chrom, i, start AS kept FROM n WHERE i = 1 UNION ALL SELECT n.chrom, n.i, CASE WHEN n.start - kept > 300 THEN n.start ELSE kept END FROM r JOIN n ON n.chrom = r.chrom AND n.i = r.i + 1)
+SELECT n.chrom, n.start, n."end", n.score FROM (SELECT chrom, min(i) AS i FROM r GROUP BY chrom, kept) k JOIN n ON n.chrom = k.chrom AND n.i = k.i)""")
 def downsample_peaks(spark, sf):
     return O.thin_out(V.peaks(spark, sf), 300)
 
@@ -246,7 +259,7 @@ def track_as_gff(spark, sf):
     return lines.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(3)).cast("long").alias("start"), F.get(f, F.lit(4)).cast("long").alias("end"), F.round(F.get(f, F.lit(5)).cast("double"), 4).alias("value"))
 
 
-@query()
+@query(f"SELECT *, 'peak' AS kind FROM {greedy_extrema_sql(1)} WHERE value > 40 UNION ALL SELECT *, 'valley' FROM {greedy_extrema_sql(-1)} WHERE value < 5")
 def refine_peaks(spark, sf):
     """Peaks above one level and valleys below another."""
     t = V.track(spark, sf)
