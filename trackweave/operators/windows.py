@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import TILE, bin_of, merged, nearest, with_neighbours
+from .ranges import TILE, bin_of, merged, with_neighbours
 
 
 def remove_redundant(track: DataFrame) -> DataFrame:
@@ -32,12 +32,21 @@ def call_peaks(track: DataFrame, cutoff: float, up_limit: float | None = None, m
 
 
 def chains(df: DataFrame, place: str, gap: int, tile: int) -> DataFrame:
-    """Rows with ``chain``: the first place of the run of rows whose places are at most ``gap`` apart."""
-    places = df.select("chrom", F.col(place).alias("pos")).distinct()
-    near = with_neighbours(places, ("pos",), tile)
-    heads = near.filter(F.col("prev").isNull() | (F.col("pos") - F.col("prev.pos") > gap)).select("chrom", "pos")
-    found = nearest(places, heads, tile).select("chrom", F.col("pos").alias(place), F.col("before").alias("chain"))
-    return df.join(found, ["chrom", place])
+    """Rows with ``chain``: the first place of the run of rows whose places are at most ``gap`` apart.
+
+    Runs that begin inside a tile are found there; one row per tile says whether its first place begins a run, and which run goes on into it.
+    """
+    order = W.partitionBy("chrom", "tile").orderBy(place)
+    stepped = df.withColumn("tile", bin_of(F.col(place), tile)).withColumn("step", F.col(place) - F.lag(place).over(order))
+    inner = stepped.withColumn("head", F.when(F.col("step") > gap, F.col(place)))
+    ends = inner.groupBy("chrom", "tile").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("head").alias("latest"))
+    by = W.partitionBy("chrom").orderBy("tile")
+    earlier = F.lag("hi").over(by)
+    spine = ends.withColumn("opens", F.when(earlier.isNull() | (F.col("lo") - earlier > gap), F.col("lo")))
+    before = F.last(F.coalesce("latest", "opens"), True).over(by.rowsBetween(W.unboundedPreceding, -1))
+    spine = spine.select("chrom", "tile", F.coalesce("opens", before).alias("open"))
+    own = inner.withColumn("own", F.last("head", True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return own.join(spine, ["chrom", "tile"]).select(*df.columns, F.coalesce("own", "open").alias("chain"))
 
 
 def local_extrema(track: DataFrame, width: int, peaks: bool = True, tile: int = TILE) -> DataFrame:
