@@ -115,3 +115,11 @@ def test_streams_emit_what_is_open_at_the_end(spark, name, sf):
     got = sorted(map(tuple, plans.QUERIES[name](spark, folder).collect()))
     assert [(*r[:2], r[3]) for r in got] == [(*r[:2], r[3]) for r in want]
     assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-4)
+
+
+def test_known_genomes(spark):
+    from trackweave.sources.genomes import chromosome_lengths
+
+    assert {g: chromosome_lengths(spark, g).groupBy().sum("length").first()[0] for g in ("hg18", "mm8")} == {"hg18": 3080436051, "mm8": 2644093988}
+    with pytest.raises(ValueError, match="unknown genome"):
+        chromosome_lengths(spark, "none")
