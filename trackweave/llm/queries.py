@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
@@ -12,9 +12,12 @@ from .licenses import scan_licenses
 from .mixing import mixing_plan
 from .ngram_join import jaccard_join
 from .packing import pack
+from .personal import KINDS, find_personal_data
 from .quality import fit_quality
+from .runs import find_runs
 from .suffixes import repeated_passages
 from .warc import archive_pages
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +65,64 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents; of one in ten by a checksum of its id, the words from some place on repeat."""
+    word = r"[^\x20\x09-\x0D]+"
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when((h % 10 == 0) & F.col("text").rlike(word), F.regexp_extract_all("text", F.lit(word), F.lit(0))).alias("words"))
+    rows = rows.select("*", F.size("words").alias("n"), F.when(F.col("words").isNotNull(), (F.col("g") % F.size("words")).cast("int")).alias("a"))
+    rows = rows.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    rest = F.expr("slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) AS int))), 1, n - a)")
+    return rows.select("doc_id", F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(F.concat(F.expr("slice(words, 1, a)"), rest), " ")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_repeats(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("before"), (-r.period).alias("faster"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.before")).alias("start"),
+        F.col("best.length"),
+        (-F.col("best.faster")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.faster")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
+
+    def count(wanted: Callable[[Column], Column]) -> Column:
+        return F.size(F.filter("spans", wanted)).cast("long")
+
+    def base(kind: str) -> Callable[[Column], Column]:
+        return lambda s: s.base & (s.kind == kind)
+
+    return found.select(
+        "doc_id",
+        *(count(base(kind)).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(joined(F.filter("spans", lambda s: s.base)), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        count(lambda s: ~s.base).alias("n_disguised"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram_join, op4_mix_sources, op5_html_text, op6_exact_dedup, op7_quality, op8_suffix_dedup, op9_pack, op10_fingerprints)
+    f.__name__: f
+    for f in (
+        *(op1_license_scan, op2_warc, op3_ngram_join, op4_mix_sources, op5_html_text, op6_exact_dedup, op7_quality, op8_suffix_dedup),
+        *(op9_pack, op10_fingerprints, op11_periodic_runs, op12_whitening, op13_personal_data),
+    )
 }
 
 OP6_SQL = r"""
