@@ -1,5 +1,6 @@
 """Readers, writers and streams on small files."""
 
+import random
 import struct
 
 import duckdb
@@ -41,6 +42,68 @@ def test_wiggle(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, X.read_wiggle(spark, path).collect()))
 
 
+@pytest.fixture
+def cut_at(spark):
+    """Cuts files into splits of so many bytes."""
+
+    def set_(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+
+    yield set_
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def wiggle_by_hand(text):
+    out, state = [], None
+    for line in text.splitlines():
+        f = line.split()
+        if not f or f[0] in ("track", "#"):
+            continue
+        if f[0] in ("variableStep", "fixedStep"):
+            d = dict(x.split("=") for x in f[1:])
+            state = [f[0] == "fixedStep", d["chrom"], int(d.get("start", 0)), int(d.get("step", 1))]
+        elif state and state[0]:
+            out.append((state[1], state[2], float(f[0])))
+            state[2] += state[3]
+        elif state:
+            out.append((state[1], int(f[0]), float(f[1])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [17, 64, 301, 4096, 65536])
+def test_files_cut_anywhere_give_the_same_rows(spark, tmp_path, cut_at, size):
+    r = random.Random(5)
+    text = ["9", "track x"]
+    for block in range(60 if size > 64 else 12):
+        fixed = r.random() < 0.6
+        text.append(f"fixedStep chrom=c{r.randint(1, 3)} start={r.randint(0, 10**6)} step={r.randint(1, 30)}" if fixed else f"variableStep chrom=c{r.randint(1, 3)} span=5")
+        for i in range(r.choice([0, 1, 5, 200 if size > 64 else 20])):
+            text += [""] * (r.random() < 0.05) + ["# note"] * (r.random() < 0.05)
+            text.append(f"{r.randint(0, 99)}" if fixed else f"{block * 1000 + i}\t{r.randint(0, 99)}")
+    wig, ends = "\n".join(text) + "\n", ["r\n", "\n"]
+    fastq = "".join(f"@r{i}\n{'ACGT' * r.randint(1, 9)}\n+\n{'@I' * r.randint(1, 9)}\n" for i in range(300 if size > 64 else 30))
+    left = "".join(f"n{i}\tA\t1:0:0\tchr1.fa:{i}F0\n" for i in range(300 if size > 64 else 30))
+    a, b, c = put(tmp_path, "a.wig", wig), put(tmp_path, "b.fq", fastq), put(tmp_path, "c.txt", left)
+    d = put(tmp_path, "d.txt", left.replace("F0", "R1").replace("n", ends[1]))
+    cut_at(size)
+    splits = X.split_lines(spark, a).select("block").distinct().count()
+    assert splits > len(wig) // size // 2 or size > len(wig)
+    assert sorted(map(tuple, X.read_wiggle(spark, a).collect())) == wiggle_by_hand(wig)
+    fasta = [x.value for x in X.fastq_to_fasta(X.numbered_lines(spark, b)).orderBy("line").collect()]
+    assert fasta == [(">" + x[1:] if i % 4 == 0 else x) for i, x in enumerate(fastq.splitlines()) if i % 4 < 2]
+    pairs = X.read_eland_pairs(spark, c, d).collect()
+    assert sorted((p.pair, p.pos) for p in pairs if p.side == "L") == [(i, i) for i in range(left.count("\n"))]
+    assert all(p.pair == 2 * p.pos + 1 for p in pairs if p.side == "R")
+    # several files at once
+    both = tmp_path / "both"
+    both.mkdir()
+    put(both, "1", wig)
+    put(both, "2", "3\n" + wig)
+    assert sorted(map(tuple, X.read_wiggle(spark, str(both)).collect())) == sorted(wiggle_by_hand(wig) * 2)
+
+
 def test_eland(spark, tmp_path):
     result = X.read_eland(spark, put(tmp_path, "r", "n\tACGT\tU0\t1\t0\t0\tchr1.fa\t10\tF\nn\tACGT\tU1\t1\t0\t0\tchr1.fa\t10\tR\nn\tACGT\tR0\t2\t0\t0\n"))
     assert [tuple(r) for r in result.collect()] == [("chr1", "+", 9), ("chr1", "-", 13)]
@@ -91,7 +154,16 @@ def test_binary_scan(spark, tmp_path):
     head[128:132] = struct.pack("<i", 272)
     body = struct.pack("<ifif", 11, 5.0, -21, 1.0) + struct.pack("<if", -31, 9.0)
     got = M.read_scan(spark, put(tmp_path, "x.bin", bytes(head) + body), ["chr1", "chr2"], 2.0)
-    assert [(r.chrom, r.strand, r.pos, r.score) for r in got.collect()] == [("chr1", "+", 10, 5.0), ("chr2", "-", 30, 9.0)]
+    assert sorted((r.chrom, r.strand, r.pos, r.score) for r in got.collect()) == [("chr1", "+", 10, 5.0), ("chr2", "-", 30, 9.0)]
+    r = random.Random(6)
+    rows = [(r.choice("abc"), r.choice("+-"), r.randint(0, 2**31 - 3), float(r.randint(1, 9))) for _ in range(3000)]
+    out = str(tmp_path / "scans")
+    assert M.write_scan(spark.createDataFrame(rows, "chrom string, strand string, pos long, score double"), out, ["c", "x", "a", "b"]) == 3000
+    for most in (8, 20, 4096, 1 << 25):
+        back = M.read_scan(spark, out, ["c", "x", "a", "b"], 2.0, most)
+        assert sorted(map(tuple, back.drop("file").collect())) == sorted(x for x in rows if x[3] > 2) if most != 8 else back.limit(9).count() == 9
+    assert M.scan_ranges(b"", 0, ["a"]) == [] and M.scan_ranges(b"\x04\0\0\0", 23, ["a"], 9) == [("a", 4, 12), ("a", 12, 20)]
+    assert M.write_scan(spark.createDataFrame([], "chrom string, strand string, pos long, score double"), out + "0", ["a"]) == 0
 
 
 def test_streams(spark, tmp_path):

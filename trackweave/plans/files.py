@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import ranges as R
+from ..sources import motifs as M
 from ..sources import sinks as K
 from ..sources import text as X
 from ..sources.shared import shared_path, stored_csv, stored_lines
@@ -74,6 +75,38 @@ def fixed_step_files(spark, sf):
     return X.read_wiggle(spark, path).withColumn("chrom", F.translate("chrom", "_", " "))
 
 
+@query("""SELECT chrom, pos // 1000 AS bin, median(round(value, 4)) AS value FROM v_track GROUP BY ALL""")
+def wiggle_bin_files(spark, sf):
+    """Wiggle files read as one median per bin of 1000 positions."""
+    path = shared_path(spark, "wiggle")
+    K.write_wiggle(V.track(spark, sf), path, 10)
+    return X.read_wiggle_bins(spark, path, 1000)
+
+
+@query("""SELECT chrom, strand, pos, CAST(count(*) AS BIGINT) AS n, sum(l_quantity)::DOUBLE AS score FROM (SELECT l_returnflag AS chrom, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_orderkey * 25 + l_linenumber AS pos, l_quantity FROM lineitem)
+WHERE l_quantity > 10 GROUP BY ALL""")
+def binary_scan_files(spark, sf):
+    """Scan hits written as binary files of fixed records and read back in ranges of them, above a cut-off."""
+    hits = V.table(spark, sf, "lineitem").selectExpr("l_returnflag AS chrom", "CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand", "l_orderkey * 25 + l_linenumber AS pos", "l_quantity AS score")
+    path = shared_path(spark, "scan")
+    M.write_scan(hits, path, ["A", "N", "R"])
+    return M.read_scan(spark, path, ["A", "N", "R"], 10.0).groupBy("chrom", "strand", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS pair, side, chrom, pos, strand, CAST(errors AS INTEGER) AS errors FROM (
+SELECT *, 'L' AS side, l_returnflag AS chrom, l_partkey AS pos, '+' AS strand, l_linenumber % 3 AS errors FROM lineitem UNION ALL SELECT *, 'R', l_linestatus, l_suppkey, '-', 0 FROM lineitem)""")
+def eland_pair_files(spark, sf):
+    """The hits of the N-th lines of two files; a table that gives each line's number its tag is joined back."""
+    path = {}
+    tag = F.expr("l_orderkey * 10 + l_linenumber")
+    rows = V.table(spark, sf, "lineitem").repartitionByRange("l_orderkey", "l_linenumber").sortWithinPartitions("l_orderkey", "l_linenumber")
+    for side, hit in (("L", ("l_returnflag", "l_partkey", F.lit("F"), (F.col("l_linenumber") % 3).cast("string"))), ("R", ("l_linestatus", "l_suppkey", F.lit("R"), F.lit("0")))):
+        chrom, pos, strand, errors = hit
+        path[side] = stored_lines(rows.select(K.tab(tag, F.lit("ACGT"), F.lit("1:0:0"), F.concat(chrom, F.lit(".fa:"), F.col(pos).cast("string"), strand, errors))).coalesce(1))
+    names = X.numbered_lines(spark, path["L"]).select(F.col("line").alias("pair"), F.substring_index("value", "\t", 1).cast("long").alias("tag"))
+    return X.read_eland_pairs(spark, path["L"], path["R"]).join(names, "pair").select(F.col("tag").alias("pair"), "side", "chrom", "pos", "strand", "errors")
+
+
 @query("""SELECT chrom, start, "end", summit, score, pvalue, fdr FROM v_peaks""")
 def ma2c_files(spark, sf):
     p = V.peaks(spark, sf)

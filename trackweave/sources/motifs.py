@@ -1,9 +1,14 @@
 """Readers of motif matrices and binary motif scans."""
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,35 +106,104 @@ def read_motifs(spark: SparkSession, path: str, kind: str = "motif") -> DataFram
     return spark.read.text(path, wholetext=True).select(F.input_file_name(), "value").mapInArrow(run, SCHEMA)
 
 
-def parse_scan(data: bytes, chroms: list[str], cutoff: float) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Hits of a binary scan: per chromosome a slot of 128 bytes that starts with the offset of its records (or 0), then records of position and score."""
-    starts = [int.from_bytes(data[i * CHROM_SLOT : i * CHROM_SLOT + 4], "little") for i in range(len(chroms))]
+RECORD = np.dtype([("pos", "<i4"), ("score", "<f4")])
+RANGE_BYTES = 32 << 20
+
+
+def scan_ranges(head: bytes, size: int, chroms: list[str], most: int = RANGE_BYTES) -> list[tuple[str, int, int]]:
+    """(chrom, first byte, end) of whole records, at most ``most`` bytes each, of a binary scan of ``size`` bytes.
+
+    A scan begins with a slot of 128 bytes per chromosome that starts with the offset of its records (or 0); records are position and score, of four bytes each.
+    """
+    starts = [int.from_bytes(head[i * CHROM_SLOT : i * CHROM_SLOT + 4].ljust(4, b"\0"), "little") for i in range(len(chroms))]
     found = sorted((s, c) for s, c in zip(starts, chroms, strict=True) if s)
-    names, positions, scores = [], [], []
-    for (s, c), e in zip(found, [x[0] for x in found[1:]] + [len(data)], strict=True):
-        records = np.frombuffer(data[s : s + (e - s) // 8 * 8], dtype=[("pos", "<i4"), ("score", "<f4")])
-        records = records[records["score"] > cutoff]
-        names += [c] * len(records)
-        positions.append(records["pos"])
-        scores.append(records["score"])
-    if not positions:
-        return [], np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
-    return names, np.concatenate(positions), np.concatenate(scores)
+    most = max(most // RECORD.itemsize, 1) * RECORD.itemsize
+    out = []
+    for (s, c), e in zip(found, [*(x[0] for x in found[1:]), size], strict=False):
+        e = s + (e - s) // RECORD.itemsize * RECORD.itemsize
+        out += [(c, lo, min(lo + most, e)) for lo in range(s, e, most)]
+    return out
 
 
-def read_scan(spark: SparkSession, path: str, chroms: list[str], cutoff: float = 0.0) -> DataFrame:
-    """(file, chrom, strand, pos, score): the sign of the position is the strand; positions count from 0."""
+def read_scan(spark: SparkSession, path: str, chroms: list[str], cutoff: float = 0.0, most: int = RANGE_BYTES) -> DataFrame:
+    """(file, chrom, strand, pos, score): the sign of the position is the strand; positions count from 0.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The headers give ranges of whole records, at most ``most`` bytes each, which are dealt to all tasks: a file of any size is read in parts.
+    """
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                names, pos, score = parse_scan(data, chroms, cutoff)
+            rows = []
+            for file, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with opened(file) as f:
+                    rows += [(file, *r) for r in scan_ranges(f.read(CHROM_SLOT * len(chroms)), size, chroms, most)]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "chrom", "lo", "hi"])
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, chrom, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with opened(file) as f:
+                    f.seek(lo)
+                    found = np.frombuffer(f.read(hi - lo), dtype=RECORD)
+                found = found[found["score"] > cutoff]
+                n, pos = len(found), found["pos"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(["+" if p >= 0 else "-" for p in pos], pa.string()), pa.array(np.abs(pos).astype(np.int64) - 1), pa.array(score.astype(float))],
+                    [*(pa.repeat(pa.scalar(x, pa.string()), n) for x in (file, chrom)), pc.if_else(pa.array(pos >= 0), "+", "-"), pa.array(np.abs(pos.astype(np.int64)) - 1), pa.array(found["score"].astype(float))],
                     names=["file", "chrom", "strand", "pos", "score"],
                 )
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, chrom string, strand string, pos long, score double")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    parts = files.mapInArrow(ranges, "file string, chrom string, lo long, hi long")
+    return parts.repartition(F.hash("file", "lo")).mapInArrow(records, "file string, chrom string, strand string, pos long, score double")
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file that can be read from any byte, by its path or address on a file system that Arrow knows."""
+    place = re.sub("^file:/+", "/", path)
+    system, place = pafs.FileSystem.from_uri(place)
+    return system.open_input_file(place)
+
+
+def write_scan(hits: DataFrame, path: str, chroms: list[str]) -> int:
+    """Write (chrom, strand, pos, score) as binary scans, one file per task; the number of records. Positions are below 2**31 - 1.
+
+    Rows are dealt by ranges of chromosome and position. A file gets its name at the end and is replaced by a repeated task.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[str, list[np.ndarray]] = {}
+        for batch in batches:
+            chrom, strand, pos, score = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for c in np.unique(chrom.astype(str)):
+                at = chrom == c
+                part = np.zeros(int(at.sum()), dtype=RECORD)
+                part["pos"], part["score"] = np.where(strand[at] == "-", -1, 1) * (pos[at] + 1), score[at]
+                parts.setdefault(str(c), []).append(part)
+        if unknown := set(parts) - set(chroms):
+            raise ValueError(f"chromosomes without a slot: {sorted(unknown)}")
+        n = sum(len(p) for c in parts.values() for p in c)
+        if not n:
+            return
+        system, folder = pafs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+        system.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{TaskContext.get().partitionId():05d}"
+        own = f"{folder}/.{uuid.uuid4().hex}"
+        head, at = bytearray(CHROM_SLOT * len(chroms)), CHROM_SLOT * len(chroms)
+        for i, c in enumerate(chroms):
+            if c in parts:
+                head[i * CHROM_SLOT : i * CHROM_SLOT + 4] = at.to_bytes(4, "little")
+                at += sum(p.nbytes for p in parts[c])
+        with system.open_output_stream(own) as f:
+            f.write(bytes(head))
+            for c in chroms:
+                for p in parts.get(c, []):
+                    f.write(p.tobytes())
+        system.move(own, name)
+        yield pa.RecordBatch.from_pydict({"file": [name], "n": [n]}, schema=pa.schema([("file", pa.string()), ("n", pa.int64())]))
+
+    dealt = hits.select("chrom", "strand", F.col("pos").cast("long"), F.col("score").cast("double")).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+    return dealt.mapInArrow(write, "file string, n long").agg(F.sum("n")).first()[0] or 0
 
 
 def motif_lengths(spark: SparkSession, path: str) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Readers of text formats. Lines are parsed by column expressions; formats whose lines depend on earlier ones are read per file."""
+"""Readers of text formats. Lines are parsed by column expressions; where a line depends on earlier ones, splits of a file are read apart and pass on what they end with."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import standard_chromosome
+from ..operators.binning import bin_values
 
 # BED columns and types in order.
 BED = ["chrom", "start", "end", "name", "score", "strand", "thickStart", "thickEnd", "itemRgb", "blockCount", "blockSizes", "blockStarts"]
@@ -14,10 +15,24 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, id, value): lines with the byte at which their split of the file begins; ids count the lines of a split one by one.
+
+    Files are cut as ``spark.sql.files.maxPartitionBytes`` says; the order of a file's lines is that of (block, id). A compressed file is one split.
+    """
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): lines with their place in the file; a file is one unit, as its lines depend on each other."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return whole.filter("value <> ''")
+    """(file, line, value): lines that are not empty, with their place in the file, from 0.
+
+    Splits number their lines on from the counts of the splits before: one row per split is counted, and no file is read by one task.
+    """
+    rows = split_lines(spark, path)
+    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("file", "block", (before - F.col("least")).alias("shift"))
+    return rows.filter("value <> ''").join(shift, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
 
 
 def content_lines(df: DataFrame) -> DataFrame:
@@ -97,32 +112,51 @@ def read_eland_pairs(spark: SparkSession, left: str, right: str) -> DataFrame:
     return side(left, "L").unionByName(side(right, "R"))
 
 
-def wiggle_points(numbered: DataFrame) -> DataFrame:
-    """(chrom, pos, value) of wiggle lines (file, line, value): variableStep and fixedStep; a fixedStep value stands at start + step * (its number - 1)."""
+def wiggle_points(rows: DataFrame) -> DataFrame:
+    """(chrom, pos, value) of wiggle lines (file, block, id, value): variableStep and fixedStep; a fixedStep value stands at start + step * (its number - 1).
+
+    Lines are read in order inside their split. What a split begins with, the last declaration and the number of values since, comes from one row per split, so that a
+    file may be cut anywhere. Values before the first declaration of a file are left out.
+    """
     v = F.trim("value")
-    body = numbered.filter(~v.startswith("track") & ~v.startswith("#") & ~v.startswith("browser"))
+    body = rows.filter(~v.startswith("track") & ~v.startswith("#") & ~v.startswith("browser") & (v != ""))
     declared = v.startswith("variableStep") | v.startswith("fixedStep")
 
     def field(name: str, pattern: str) -> Column:
-        return F.when(declared, F.regexp_extract(v, rf"{name}=({pattern})", 1))
-
-    by = W.partitionBy("file").orderBy("line")
-    upto = by.rowsBetween(W.unboundedPreceding, 0)
-    rows = body.withColumns({
-        "declared": declared, "c": field("chrom", r"\S+"), "fixed": F.when(declared, v.startswith("fixedStep")),
-        "s": F.when(declared, F.coalesce(field("start", r"\d+").try_cast("long"), F.lit(0))), "step": F.when(declared, F.coalesce(field("step", r"\d+").try_cast("long"), F.lit(1))),
-        "f": F.split(v, r"\s+"),
-    })
-    filled = rows.withColumns({"block": F.sum(F.col("declared").cast("int")).over(upto), **{k: F.last(k, True).over(upto) for k in ("c", "fixed", "s", "step")}}).filter("not declared and block > 0")
-    nth = F.row_number().over(W.partitionBy("file", "block").orderBy("line")) - 1
-    counted = filled.withColumn("nth", nth)
-    pos = F.when(F.col("fixed"), F.col("s") + F.col("step") * F.col("nth")).otherwise(F.get("f", F.lit(0)).try_cast("long"))
-    value = F.when(F.col("fixed"), F.get("f", F.lit(0))).otherwise(F.get("f", F.lit(1))).try_cast("double")
-    return counted.select(F.col("c").alias("chrom"), pos.alias("pos"), value.alias("value")).filter("pos is not null and value is not null")
+        return F.regexp_extract(v, rf"{name}=({pattern})", 1)
+
+    said = F.struct(
+        field("chrom", r"\S+").alias("chrom"), v.startswith("fixedStep").alias("fixed"),
+        F.coalesce(field("start", r"\d+").try_cast("long"), F.lit(0)).alias("start"), F.coalesce(field("step", r"\d+").try_cast("long"), F.lit(1)).alias("step"),
+    )
+    rows = body.select("file", "block", "id", F.when(declared, said).alias("said"), (~declared).cast("long").alias("one"), F.when(~declared, F.split(v, r"\s+")).alias("f"))
+    # per split: its last declaration, all values and those after it
+    last = rows.groupBy("file", "block").agg(F.max_by("said", F.when(F.col("said").isNotNull(), F.col("id"))).alias("said"), F.max(F.when(F.col("said").isNotNull(), F.col("id"))).alias("at"), F.sum("one").alias("n"))
+    since = rows.join(last.select("file", "block", "at"), ["file", "block"]).filter("at is not null and id > at").groupBy("file", "block").agg(F.sum("one").alias("rest"))
+    upto = W.partitionBy("file").orderBy("block")
+    spine = last.join(since, ["file", "block"], "left").withColumn("total", F.sum("n").over(upto.rowsBetween(W.unboundedPreceding, 0)))
+    opened = F.when(F.col("said").isNotNull(), F.struct("said", (F.col("total") - F.coalesce("rest", F.lit(0))).alias("values")))
+    earlier = F.last(opened, True).over(upto.rowsBetween(W.unboundedPreceding, -1))
+    spine = spine.select("file", "block", earlier.alias("earlier"), (F.col("total") - F.col("n")).alias("before"))
+    by = W.partitionBy("file", "block").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
+    inner = rows.withColumns({"k": F.sum("one").over(by)})
+    inner = inner.withColumn("own", F.last(F.when(F.col("said").isNotNull(), F.struct("said", F.col("k").alias("values"))), True).over(by)).filter("one = 1")
+    placed = inner.join(spine, ["file", "block"])
+    state = F.coalesce("own.said", "earlier.said")
+    nth = F.when(F.col("own").isNotNull(), F.col("k") - F.col("own.values")).otherwise(F.col("k") + F.col("before") - F.col("earlier.values")) - 1
+    known = placed.select(state.alias("s"), nth.alias("nth"), "f").filter("s is not null")
+    pos = F.when(F.col("s.fixed"), F.col("s.start") + F.col("s.step") * F.col("nth")).otherwise(F.get("f", F.lit(0)).try_cast("long"))
+    value = F.when(F.col("s.fixed"), F.get("f", F.lit(0))).otherwise(F.get("f", F.lit(1))).try_cast("double")
+    return known.select(F.col("s.chrom").alias("chrom"), pos.alias("pos"), value.alias("value")).filter("pos is not null and value is not null")
 
 
 def read_wiggle(spark: SparkSession, path: str) -> DataFrame:
-    return wiggle_points(numbered_lines(spark, path))
+    return wiggle_points(split_lines(spark, path))
+
+
+def read_wiggle_bins(spark: SparkSession, path: str, size: int, method: str = "median") -> DataFrame:
+    """Values of wiggle files brought to one per bin of ``size`` positions: chrom, bin, value."""
+    return bin_values(read_wiggle(spark, path), size, method)
 
 
 def wiggle_span(spark: SparkSession, path: str) -> DataFrame:
