@@ -11,6 +11,7 @@ from trackweave.functions import strings as S
 from trackweave.operators import aggregates as A
 from trackweave.operators import binning as B
 from trackweave.operators import filters as L
+from trackweave.operators import greedy as G
 from trackweave.operators import ranges as R
 from trackweave.operators import reads as T
 from trackweave.operators import windows as O
@@ -120,6 +121,32 @@ def test_extrema_do_not_depend_on_tiles(spark, tile):
     assert sorted(map(tuple, O.local_extrema(df, 20, tile=tile).collect())) == sorted(map(tuple, O.local_extrema(df, 20, tile=333).collect()))
 
 
+def greedy(rows, width, better):
+    """(chrom, pos, value) in order: what one pass over all leaves."""
+    out = []
+    for c, p, v in sorted(rows):
+        if out and out[-1][0] == c and p - out[-1][1] <= width:
+            if better and v > out[-1][2]:
+                out[-1] = (c, p, v)
+        else:
+            out.append((c, p, v))
+    return out
+
+
+@pytest.mark.parametrize("tile", [1, 60, 700, 1 << 20])
+@pytest.mark.parametrize("width", [0, 7, 90])
+def test_greedy_choices_over_tiles(spark, tile, width):
+    r = random.Random(tile + width)
+    rows = {(c, p): float(r.choice([r.randrange(5), -p, p])) for c in ("a", "b") for p in [*r.sample(range(-2000, 2000), 500), *range(5000, 5400, 3), 9000, 20_000]}
+    rows |= {("c", p): float(p) for p in range(0, 3000, 2)} | {("d", p): float(-p) for p in range(0, 3000, 2)} | {("e", 5): 1.0}
+    rows = [(*k, v) for k, v in rows.items()]
+    df = frame(spark, rows, "chrom string, pos long, value double")
+    for better in (None, "value"):
+        got = G.choose(df, "pos", width, better, ["pos"], tile)
+        assert sorted(map(tuple, got.collect())) == greedy(rows, width, better)
+    assert G.choose(df.filter("false"), "pos", width, None, ["pos"], tile).collect() == []
+
+
 def test_extrema_compete(spark):
     pts = [("c", p, v) for p, v in [(0, 0.0), (10, 5.0), (20, 1.0), (30, 7.0), (40, 2.0), (200, 3.0), (210, 3.0), (220, 1.0)]]
     df = frame(spark, pts, "chrom string, pos long, value double")

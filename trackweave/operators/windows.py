@@ -1,12 +1,10 @@
 """Sequential operators over the positions of a track (chrom, pos, value): regions, extrema, sliding sums, gaps."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .greedy import choose
 from .ranges import TILE, bin_of, merged, with_neighbours
 
 
@@ -31,56 +29,17 @@ def call_peaks(track: DataFrame, cutoff: float, up_limit: float | None = None, m
     )
 
 
-def chains(df: DataFrame, place: str, gap: int, tile: int) -> DataFrame:
-    """Rows with ``chain``: the first place of the run of rows whose places are at most ``gap`` apart.
-
-    Runs that begin inside a tile are found there; one row per tile says whether its first place begins a run, and which run goes on into it.
-    """
-    order = W.partitionBy("chrom", "tile").orderBy(place)
-    stepped = df.withColumn("tile", bin_of(F.col(place), tile)).withColumn("step", F.col(place) - F.lag(place).over(order))
-    inner = stepped.withColumn("head", F.when(F.col("step") > gap, F.col(place)))
-    ends = inner.groupBy("chrom", "tile").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("head").alias("latest"))
-    by = W.partitionBy("chrom").orderBy("tile")
-    earlier = F.lag("hi").over(by)
-    spine = ends.withColumn("opens", F.when(earlier.isNull() | (F.col("lo") - earlier > gap), F.col("lo")))
-    before = F.last(F.coalesce("latest", "opens"), True).over(by.rowsBetween(W.unboundedPreceding, -1))
-    spine = spine.select("chrom", "tile", F.coalesce("opens", before).alias("open"))
-    own = inner.withColumn("own", F.last("head", True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return own.join(spine, ["chrom", "tile"]).select(*df.columns, F.coalesce("own", "open").alias("chain"))
-
-
 def local_extrema(track: DataFrame, width: int, peaks: bool = True, tile: int = TILE) -> DataFrame:
     """Local maxima (or minima) that no higher (lower) one within ``width`` precedes in the greedy choice.
 
     A candidate rises before and falls after (plateaus count at their last point). Going along the axis, a candidate within ``width`` of
-    the last chosen one replaces it if it is higher, else it is passed over. Candidates further apart than ``width`` do not
-    compete, so each chain of close candidates is a group of its own.
+    the last chosen one replaces it if it is higher, else it is passed over. All tiles choose at once (``greedy``).
     """
     sign = 1 if peaks else -1
     steps = with_neighbours(track, tile=tile).filter(F.col("next").isNull() | (F.col("next.value") != F.col("value"))).select("chrom", "pos", "value")
     steps = with_neighbours(steps, tile=tile)
     found = steps.filter(((F.col("value") - F.col("prev.value")) * sign > 0) & ((F.col("value") - F.col("next.value")) * sign > 0)).select("chrom", "pos", "value")
-    chained = chains(found, "pos", width, tile)
-
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, kept = None, []  # the chain that is read, and its chosen points so far
-        for f in frames:
-            out = []
-            for chrom, chain, pos, value in zip(f["chrom"].tolist(), f["chain"].tolist(), f["pos"].tolist(), f["value"].tolist(), strict=True):
-                if (chrom, chain) != run:
-                    out += kept
-                    run, kept = (chrom, chain), []
-                if kept and pos - kept[-1][1] <= width:
-                    if (value - kept[-1][2]) * sign > 0:
-                        kept[-1] = (chrom, pos, value)
-                else:
-                    out += kept
-                    kept = [(chrom, pos, value)]
-            yield pd.DataFrame(out, columns=["chrom", "pos", "value"])
-        yield pd.DataFrame(kept, columns=["chrom", "pos", "value"])
-
-    dealt = chained.select("chrom", "chain", "pos", "value").repartition("chrom", "chain").sortWithinPartitions("chrom", "chain", "pos")
-    return dealt.mapInPandas(choose, "chrom string, pos long, value double")
+    return choose(found.withColumn("worth", F.col("value") * sign), "pos", width, "worth", ["pos"], tile).drop("worth")
 
 
 def sliding_sum(track: DataFrame, other: DataFrame, before: int, after: int, tile: int = TILE) -> DataFrame:
@@ -146,23 +105,7 @@ def running_total(track: DataFrame, tile: int = TILE) -> DataFrame:
 def thin_out(peaks: DataFrame, interval: int, tile: int = TILE) -> DataFrame:
     """Peaks of which each starts more than ``interval`` after the last one kept.
 
-    The choice is greedy and depends on the last kept start, so runs of close starts are handled in order; a gap larger than
-    ``interval`` always keeps the next start and begins a new run.
+    The choice is greedy: each depends on the last one. All tiles choose at once (``greedy``).
     """
-    chained = chains(peaks.select("chrom", "start", "end", "score"), "start", interval, tile)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_chain, last_start = None, None
-        for f in frames:
-            keep = []
-            for chrom, chain, start in zip(f["chrom"].tolist(), f["chain"].tolist(), f["start"].tolist(), strict=True):
-                take = (chrom, chain) != last_chain or start - last_start > interval
-                keep.append(take)
-                last_chain = (chrom, chain)
-                if take:
-                    last_start = start
-            yield f[keep][["chrom", "start", "end", "score"]]
-
-    chained = chained.select("chrom", "start", "end", "score", "chain")
-    dealt = chained.repartition("chrom", "chain").sortWithinPartitions("chrom", "chain", "start", "end")
-    return dealt.mapInPandas(run, "chrom string, start long, end long, score double")
+    rows = peaks.select("chrom", "start", "end", "score")
+    return choose(rows, "start", interval, None, ["start", "end", "score"], tile)
