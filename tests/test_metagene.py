@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trackweave.operators import metagene as G
+from trackweave.operators import profiles as P
 
 
 def binned(points, start, end, n, strand):
@@ -53,6 +55,13 @@ def as_dict(df, *keys):
     return {k: [v[i] for i in range(len(v))] for k, v in out.items()}
 
 
+def values_of(df, *keys):
+    out = {}
+    for r in df.collect():
+        out.setdefault(tuple(r[k] for k in keys), {})[r["bin"]] = r["value"]
+    return out
+
+
 @pytest.mark.parametrize("size", [200, 1000, 5000])
 def test_genes(data, size):
     genes, points, table, track = data
@@ -66,6 +75,17 @@ def test_genes(data, size):
     assert want and as_dict(G.gene_bins(table, track, size), "name") == want
 
 
+def test_genes_of_one_name_stay_apart(data):
+    genes, _, table, track = data
+    start = {name: a for _, name, _, a, _, _, _ in genes}
+    alike = table.withColumn("name", F.lit("g"))
+    for make in (lambda t: G.gene_bins(t, track, 1000), lambda t: G.joined_bins(t, track, 500), lambda t: P.anchor_bins(t, track, 500)):
+        by_name = {start[k[0]]: v for k, v in values_of(make(table), "name").items()}
+        assert by_name and {k[0]: v for k, v in values_of(make(alike), "txStart").items()} == by_name
+        twice = values_of(make(alike.unionByName(alike)), "txStart", "copy")
+        assert {k[0]: v for k, v in twice.items() if k[1] == 1} == by_name == {k[0]: v for k, v in twice.items() if k[1] == 0}
+
+
 @pytest.mark.parametrize("introns", [False, True])
 def test_joined_parts(data, introns):
     genes, points, table, track = data

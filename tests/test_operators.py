@@ -154,14 +154,50 @@ def test_extrema_compete(spark):
     assert sorted((r.pos, r.value) for r in O.local_extrema(df, 5, peaks=False).collect()) == [(20, 1.0), (40, 2.0)]
 
 
-@pytest.mark.parametrize("tile", [64, 1 << 20])
-def test_sliding_sum(spark, tile):
+@pytest.mark.parametrize("around", [(20, 35), (0, 0), (300, 5), (5, 2000)])
+def test_sliding_sum(spark, around):
     r = random.Random(9)
-    a = [(c, p, 1.0) for c, p in points(10, 100, 900)]
-    b = [(c, p, float(r.randrange(9))) for c, p in points(11, 100, 900)]
-    got = O.sliding_sum(frame(spark, a, "chrom string, pos long, value double"), frame(spark, b, "chrom string, pos long, value double"), 20, 35, tile)
-    want = sorted((p, sum(v for _, q, v in b if p - 20 <= q <= p + 35)) for _, p, _ in a)
-    assert sorted((r.pos, r.total or 0.0) for r in got.collect()) == want
+    before, after = around
+    a = [(c, p, 1.0) for c, p in points(10, 100, 900)] * 2
+    b = [(c, p, float(r.randrange(9))) for c, p in points(11, 100, 900)] + [("chr0", -5, None), ("chr0", 3, None)]
+    kind = "chrom string, pos long, value double"
+    got = O.sliding_sum(frame(spark, a, kind), frame(spark, b, kind), before, after)
+    inside = [[v for d, q, v in b if c == d and p - before <= q <= p + after and v is not None] for c, p, _ in a]
+    assert sorted((r.chrom, r.pos, r.total is None, r.total or 0.0) for r in got.collect()) == sorted((c, p, not v, sum(v)) for (c, p, _), v in zip(a, inside, strict=True))
+
+
+def test_sliding_sums_keep_small_values(spark):
+    kind = "chrom string, pos long, value double"
+    b = frame(spark, [("c", 0, 1e16), ("c", 1000, 1.0), ("c", 2000, 1.0), ("c", 3000, 0.25), ("c", 4000, float("inf")), ("c", 5000, 3.0)], kind)
+    got = {x.pos: x.total for x in O.sliding_sum(b, b, 50, 50).collect()}
+    assert got == {0: 1e16, 1000: 1.0, 2000: 1.0, 3000: 0.25, 4000: float("inf"), 5000: 3.0}
+
+
+def test_long_and_short_intervals_in_few_bins(spark):
+    r = random.Random(15)
+    far = 10**8
+    long = [("c", s, s + far) for s in r.sample(range(far), 15)]
+    a = [("c", s, s + r.randint(0, 50)) for s in r.sample(range(2 * far), 150)] + long[:8]
+    b = [("c", s, s + 50) for s in [x[1] - 20 for x in a[:60]]] + long[8:] + [("c", s, s + 30_000) for s in r.sample(range(far), 20)]
+    kind = "chrom string, start long, end long"
+    x, y = frame(spark, a, kind), frame(spark, b, kind)
+    got = sorted((p.start, p.end, p.b_start, p.b_end) for p in R.overlap_pairs(x, y, 128).collect())
+    assert got == sorted((s, e, u, v) for _, s, e in a for _, u, v in b if u < e and s < v)
+    # two lengths on either side: fewer than three rows an interval
+    two = x, y.filter("end - start <> 30000")
+    for side, dealt in zip(two, R.dealt_for_pairs(two[0], two[1].selectExpr("chrom AS b_chrom", "start AS b_start", "end AS b_end"), 128), strict=True):
+        assert dealt.count() < 3 * side.count()
+    pts = frame(spark, [("c", p) for p in r.sample(range(2 * far), 300)], "chrom string, pos long")
+    inside = sorted((p.start, p.end, p.pos) for p in R.points_in(x, pts, 128).collect())
+    assert inside == sorted((s, e, p.pos) for _, s, e in a for p in pts.collect() if s <= p.pos <= e)
+
+
+def test_equal_intervals_count_each(spark):
+    kind = "chrom string, start long, end long"
+    a = frame(spark, [("c", 0, 10)] * 3 + [("c", 20, 30), ("c", 50, 60)], kind)
+    b = frame(spark, [("c", 5, 25), ("c", 5, 25)], kind)
+    assert sorted(x.start for x in R.overlapping(a, b, 8).collect()) == [0, 0, 0, 20]
+    assert sorted((x.start, x.covered) for x in R.covered_bases(a, b.distinct(), 8).collect()) == [(0, 5)] * 3 + [(20, 5)]
 
 
 def test_thin_out(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import ordinate
 from ..functions.probability import binomial_cdf, binomial_upper
+from .profiles import GENE, told_apart
 from .ranges import nearest, overlap_pairs, points_in
 
 BIN = 1 << 14
@@ -57,7 +58,7 @@ def neighbours(genes: DataFrame) -> DataFrame:
     key = ["chrom", "nth"]
     spans = g.select("chrom", "nth", (F.col("txStart") - F.col("longest")).alias("start"), F.col("txStart").alias("end"))
     starts = ordered.select("chrom", F.col("txStart").alias("pos"), F.col("txEnd").alias("o_end"), F.col("nth").alias("o_nth"))
-    close = points_in(spans, starts, BIN).filter((F.col("o_end") < F.col("end")) & (F.col("o_nth") < F.col("nth"))).groupBy(*key).agg(F.max_by("o_end", "o_nth").alias("close"))
+    close = points_in(spans, starts, BIN, levels=False).filter((F.col("o_end") < F.col("end")) & (F.col("o_nth") < F.col("nth"))).groupBy(*key).agg(F.max_by("o_end", "o_nth").alias("close"))
     far_points = g.select("chrom", (F.col("txStart") - F.col("longest") - 1).alias("pos"), "nth")
     far = nearest(far_points, ordered.select("chrom", F.col("txStart").alias("pos")).distinct()).select("chrom", "nth", F.col("before").alias("far_start"))
     last_at = ordered.groupBy("chrom", F.col("txStart").alias("far_start")).agg(F.max_by("txEnd", "nth").alias("far_end"))
@@ -112,7 +113,8 @@ def annotate(coords: DataFrame, genes: DataFrame, prom: int = 3000, biprom: int
     low = F.greatest(F.col("txStart") - F.when(plus, prom).otherwise(down), F.col("before"))
     high = F.least(F.col("txEnd") + F.when(plus, down).otherwise(prom), F.col("after"))
     windows = neighbours(genes).withColumns({"start": low, "end": high}).filter("end >= start")
-    pairs = classify(points_in(windows, points, BIN), prom, down)
+    # a window is no longer than its gene and two flanks, and dear to make twice
+    pairs = classify(points_in(windows, points, BIN, levels=False), prom, down)
     up = F.col("upstream")
     reduced = pairs.groupBy("chrom", "pos").agg(
         F.max(F.when(up < 0, up)).alias("m"),
@@ -180,22 +182,22 @@ def enrichment(observed: DataFrame, background: DataFrame, columns: list[str]) -
 
 
 def nearest_sites(genes: DataFrame, peaks: DataFrame) -> DataFrame:
-    """Per gene the distance from start and end of transcription to the closest peak centre up- and downstream; missing if there is none."""
+    """Per row of genes (GENE) the distance from start and end of transcription to the closest peak centre up- and downstream; missing if there is none."""
     centres = peaks.select("chrom", F.floor((F.col("start") + F.col("end")) / 2).cast("long").alias("pos")).distinct()
-    plus = F.col("strand") == "+"
+    plus, rows = F.col("strand") == "+", told_apart(genes)
 
     def around(pos: Column, name: str) -> DataFrame:
-        got = nearest(genes.select("chrom", pos.alias("pos"), "name", "strand"), centres)
+        got = nearest(rows.select(*GENE, pos.alias("pos")), centres)
         left, right = F.col("pos") - F.col("before"), F.col("after") - F.col("pos")
-        return got.select("chrom", "name", F.when(plus, left).otherwise(right).alias(f"{name}_up"), F.when(plus, right).otherwise(left).alias(f"{name}_down"))
+        return got.select(*GENE, F.when(plus, left).otherwise(right).alias(f"{name}_up"), F.when(plus, right).otherwise(left).alias(f"{name}_down"))
 
     first = around(F.when(plus, F.col("txStart")).otherwise(F.col("txEnd")), "start")
     last = around(F.when(plus, F.col("txEnd")).otherwise(F.col("txStart")), "end")
-    return first.join(last, ["chrom", "name"])
+    return first.join(last, GENE)
 
 
 def section_coverage(genes: DataFrame, peaks: DataFrame, upstream: int = 3000, downstream: int = 3000) -> DataFrame:
-    """Share of each gene section that peaks cover: chrom, name, section, share. Sections: body1..3 in reading order, start (around it), end (after it)."""
+    """Share of each gene section that peaks cover, gene by gene: GENE, section, share. Sections: body1..3 in reading order, start (around it), end (after it)."""
     plus, s, e = F.col("strand") == "+", F.col("txStart"), F.col("txEnd")
     third = F.floor((e - s) / 3)
     cuts = [s, s + third, s + 2 * third, e]
@@ -206,10 +208,10 @@ def section_coverage(genes: DataFrame, peaks: DataFrame, upstream: int = 3000, d
     sections = [part(F.when(plus, f"body{i + 1}").otherwise(f"body{3 - i}"), cuts[i], cuts[i + 1]) for i in range(3)]
     tss = F.when(plus, s).otherwise(e)
     sections += [part(F.lit("start"), tss - upstream, tss + upstream), part(F.lit("end"), F.when(plus, e).otherwise(s - downstream), F.when(plus, e + downstream).otherwise(s))]
-    rows = genes.select("chrom", "name", F.explode(F.array(*sections)).alias("x")).select("chrom", "name", "x.*").filter("end > start")
+    rows = told_apart(genes).select(*GENE, F.explode(F.array(*sections)).alias("x")).select(*GENE, "x.*").filter("end > start")
     shared = F.least("end", "b_end") - F.greatest("start", "b_start")
-    hit = overlap_pairs(rows, peaks.select("chrom", "start", "end"), BIN).groupBy("chrom", "name", "section").agg(F.sum(shared).alias("covered"))
-    return rows.join(hit, ["chrom", "name", "section"], "left").select("chrom", "name", "section", (F.coalesce("covered", F.lit(0)) / (F.col("end") - F.col("start"))).alias("share"))
+    hit = overlap_pairs(rows, peaks.select("chrom", "start", "end"), BIN).groupBy(*GENE, "section").agg(F.sum(shared).alias("covered"))
+    return rows.join(hit, [*GENE, "section"], "left").select(*GENE, "section", (F.coalesce("covered", F.lit(0)) / (F.col("end") - F.col("start"))).alias("share"))
 
 
 def interpolated_background(background: DataFrame, at: int) -> DataFrame:

@@ -9,7 +9,7 @@ All this is integer arithmetic on rows, so no region needs to be held whole.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .profiles import BIN, middle
+from .profiles import BIN, GENE, middle, told_apart
 from .ranges import points_in
 
 
@@ -51,20 +51,20 @@ def _side(genes: DataFrame, track: DataFrame, reach: int, step: int, end: bool)
     plus = F.col("strand") == "+"
     anchor = F.when(plus != F.lit(end), F.col("txStart")).otherwise(F.col("txEnd"))
     half, n = step // 2, (2 * reach + step) // step
-    spans = genes.select("chrom", "name", "strand", (anchor - reach - half).alias("start"), (anchor + reach + half).alias("end"))
-    return fitted(region_bins(points_in(spans, track, BIN, closed=False), ["chrom", "name"], step), ["chrom", "name"], step, F.lit(n))
+    spans = told_apart(genes).select(*GENE, (anchor - reach - half).alias("start"), (anchor + reach + half).alias("end"))
+    return fitted(region_bins(points_in(spans, track, BIN, closed=False, levels=2 * reach + step > BIN), GENE, step), GENE, step, F.lit(n))
 
 
 def gene_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int = 50) -> DataFrame:
-    """Genes, a step and a half wider at both ends, fitted to (size + step) // step bins after one bin at each end has gone: chrom, name, bin, value."""
+    """Genes, a step and a half wider at both ends, fitted to (size + step) // step bins after one bin at each end has gone: GENE, bin, value."""
     margin = step + step // 2
-    spans = genes.select("chrom", "name", "strand", (F.col("txStart") - margin).alias("start"), (F.col("txEnd") + margin).alias("end"))
-    bins = region_bins(points_in(spans, track, BIN, closed=False), ["chrom", "name"], step)
-    return fitted(bins, ["chrom", "name"], step, F.lit((size + step) // step), trim=1)
+    spans = told_apart(genes).select(*GENE, (F.col("txStart") - margin).alias("start"), (F.col("txEnd") + margin).alias("end"))
+    bins = region_bins(points_in(spans, track, BIN, closed=False), GENE, step)
+    return fitted(bins, GENE, step, F.lit((size + step) // step), trim=1)
 
 
 def gene_with_sides(genes: DataFrame, track: DataFrame, size: int = 3000, reach: int = 3000, wing: int = 1000, step: int = 50) -> DataFrame:
-    """Bins upstream of the start (-wing to -step), of the gene and downstream of the end (step to wing), numbered on from 0: chrom, name, bin, value.
+    """Bins upstream of the start (-wing to -step), of the gene and downstream of the end (step to wing), numbered on from 0: GENE, bin, value.
 
     ``reach`` and ``wing`` are multiples of ``step``. A part without points has no rows; the others keep their numbers.
     """
@@ -77,19 +77,19 @@ def gene_with_sides(genes: DataFrame, track: DataFrame, size: int = 3000, reach:
 
 
 def parts(genes: DataFrame, step: int, introns: bool = False) -> DataFrame:
-    """Exons (or introns), half a step wider at both ends: chrom, name, strand, part (from 0), start, end."""
+    """Exons (or introns), half a step wider at both ends: GENE, part (from 0), start, end."""
     half, n = step // 2, F.size("exonStarts")
     starts, ends = (F.slice("exonEnds", 1, F.greatest(n - 1, F.lit(0))), F.slice("exonStarts", 2, F.greatest(n - 1, F.lit(0)))) if introns else (F.col("exonStarts"), F.col("exonEnds"))
-    listed = genes.select("chrom", "name", "strand", F.posexplode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("part", "x"))
-    return listed.select("chrom", "name", "strand", "part", (F.col("x.s") - half).alias("start"), (F.col("x.e") + half).alias("end"))
+    listed = told_apart(genes).select(*GENE, F.posexplode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("part", "x"))
+    return listed.select(*GENE, "part", (F.col("x.s") - half).alias("start"), (F.col("x.e") + half).alias("end"))
 
 
 def joined_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int = 50, least: int = 10, introns: bool = False) -> DataFrame:
-    """Exons (or introns) put end to end and fitted to (size + step) // step bins: chrom, name, bin, value.
+    """Exons (or introns) put end to end and fitted to (size + step) // step bins: GENE, bin, value.
 
     The first point of a part comes at least ``least`` after the last one of the parts before: the part is moved on by what is missing.
     """
-    gene = ["chrom", "name"]
+    gene = GENE
     pieces = parts(genes, step, introns)
     whole_genes = pieces.groupBy(*gene).agg(F.array_sort(F.collect_list(F.struct("part", "start", "end"))).alias("p"))
     before = F.transform("p", lambda r, i: r.start - F.when(i > 0, F.get(F.col("p"), i - 1).end))
@@ -105,19 +105,19 @@ def joined_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int
     found = points.groupBy(*gene, "part").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     ordered = found.groupBy(*gene).agg(F.array_sort(F.collect_list(F.struct("part", "first", "last"))).alias("p"))
     moved = ordered.select(*gene, F.explode(F.aggregate("p", state, move).out).alias("x")).select(*gene, "x.part", "x.d")
-    rows = points.join(moved, [*gene, "part"]).select(*gene, "strand", F.col("from").alias("start"), F.col("upto").alias("end"), (F.col("pos") + F.col("d")).alias("pos"), "value")
+    rows = points.join(moved, [*gene, "part"]).select(*gene, F.col("from").alias("start"), F.col("upto").alias("end"), (F.col("pos") + F.col("d")).alias("pos"), "value")
     return fitted(region_bins(rows, gene, step), gene, step, F.lit((size + step) // step))
 
 
 def part_bins(genes: DataFrame, track: DataFrame, classes: list[tuple[int, int, int]], step: int = 50, introns: bool = False) -> DataFrame:
-    """Each exon (or intron) fitted to the bins of its class: chrom, name, part, class, bin, value.
+    """Each exon (or intron) fitted to the bins of its class: GENE, part, class, bin, value.
 
     ``classes`` are (lower, upper, size): the first with lower <= length < upper takes the part, fitted to (size + step) // step bins; parts of no class are left out.
     """
     length = F.col("end") - F.col("start") - step
     number = F.coalesce(*[F.when((length >= lower) & (length < upper), i) for i, (lower, upper, _) in enumerate(classes)])
     m = F.coalesce(*[F.when(F.col("class") == i, (size + step) // step) for i, (_, _, size) in enumerate(classes)])
-    keys = ["chrom", "name", "part", "class"]
+    keys = [*GENE, "part", "class"]
     pieces = parts(genes, step, introns).withColumn("class", number).filter("class is not null")
     return fitted(region_bins(points_in(pieces, track, BIN, closed=False), keys, step), keys, step, m)
 

@@ -1,11 +1,20 @@
 """Signal profiles: values of a track around gene starts and ends, along gene bodies, exons and regions."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import points_in
+from .ranges import collapsed, expanded, points_in
 
 BIN = 1 << 13
+# what tells genes apart: names repeat in gene tables, and so do whole rows, which ``copy`` numbers
+GENE = ["chrom", "name", "strand", "txStart", "txEnd", "copy"]
+
+
+def told_apart(genes: DataFrame) -> DataFrame:
+    """Genes with ``copy``: the number, from 0, among rows of equal name, strand and bounds, by exons; every row is a gene of its own."""
+    ties = [c for c in ("exonStarts", "exonEnds") if c in genes.columns]
+    return genes.withColumn("copy", F.row_number().over(W.partitionBy(*GENE[:-1]).orderBy(*(ties or [F.lit(0)]))) - 1)
 
 
 def middle(pos: str, value: str) -> Column:
@@ -15,23 +24,23 @@ def middle(pos: str, value: str) -> Column:
 
 
 def anchor_bins(genes: DataFrame, track: DataFrame, reach: int = 2000, step: int = 100, end: bool = False) -> DataFrame:
-    """Per gene and bin that has points: chrom, name, bin, value; bins run 5' to 3' around the start (or end) of transcription."""
+    """Per gene and bin that has points: GENE, bin, value; bins run 5' to 3' around the start (or end) of transcription."""
     plus = F.col("strand") == "+"
     anchor = F.when(plus != F.lit(end), F.col("txStart")).otherwise(F.col("txEnd"))
     half = step // 2
-    spans = genes.select("chrom", "name", "strand", (anchor - reach - half).alias("start"), (anchor + reach + half).alias("end"))
+    spans = told_apart(genes).select(*GENE, (anchor - reach - half).alias("start"), (anchor + reach + half).alias("end"))
     count = (2 * reach + step) // step
     raw = F.floor((F.col("pos") - F.col("start")) / step).cast("int")
-    rows = points_in(spans, track, BIN, closed=False).withColumn("bin", F.when(plus, raw).otherwise(count - 1 - raw))
-    return rows.groupBy("chrom", "name", "bin").agg(middle("pos", "value").alias("value"))
+    rows = points_in(spans, track, BIN, closed=False, levels=2 * reach + step > BIN).withColumn("bin", F.when(plus, raw).otherwise(count - 1 - raw))
+    return rows.groupBy(*GENE, "bin").agg(middle("pos", "value").alias("value"))
 
 
 def body_bins(genes: DataFrame, track: DataFrame, bins: int = 60) -> DataFrame:
     """Per gene and relative bin of its body, 5' to 3': mean value."""
-    spans = genes.select("chrom", "name", "strand", F.col("txStart").alias("start"), F.col("txEnd").alias("end"))
+    spans = told_apart(genes).select(*GENE, F.col("txStart").alias("start"), F.col("txEnd").alias("end"))
     raw = F.floor((F.col("pos") - F.col("start")) * bins / (F.col("end") - F.col("start"))).cast("int")
     rows = points_in(spans, track, BIN, closed=False).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
-    return rows.groupBy("chrom", "name", "bin").agg(F.avg("value").alias("value"))
+    return rows.groupBy(*GENE, "bin").agg(F.avg("value").alias("value"))
 
 
 def joined_exon_bins(genes: DataFrame, track: DataFrame, bins: int = 30, introns: bool = False) -> DataFrame:
@@ -42,13 +51,13 @@ def joined_exon_bins(genes: DataFrame, track: DataFrame, bins: int = 30, introns
         exons = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.struct(F.get("exonEnds", i).alias("s"), F.get("exonStarts", i + 1).alias("e")))).otherwise(
             F.array().cast("array<struct<s:bigint,e:bigint>>")
         )
-    listed = genes.select("chrom", "name", "strand", exons.alias("x"))
+    listed = told_apart(genes).select(*GENE, exons.alias("x"))
     size = F.aggregate("x", F.lit(0).cast("long"), lambda t, r: t + r.e - r.s)
     before = F.transform("x", lambda r, i: F.struct(r.s.alias("start"), r.e.alias("end"), F.aggregate(F.slice(F.col("x"), 1, i), F.lit(0).cast("long"), lambda t, q: t + q.e - q.s).alias("skip")))
-    parts = listed.select("chrom", "name", "strand", size.alias("size"), F.explode(before).alias("p")).select("chrom", "name", "strand", "size", "p.*").filter("end > start")
+    parts = listed.select(*GENE, size.alias("size"), F.explode(before).alias("p")).select(*GENE, "size", "p.*").filter("end > start")
     raw = F.floor((F.col("pos") - F.col("start") + F.col("skip")) * bins / F.col("size")).cast("int")
     rows = points_in(parts, track, BIN, closed=False).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
-    return rows.groupBy("chrom", "name", "bin").agg(F.avg("value").alias("value"))
+    return rows.groupBy(*GENE, "bin").agg(F.avg("value").alias("value"))
 
 
 def average_profile(values: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -72,7 +81,7 @@ def centre_profile(regions: DataFrame, track: DataFrame, width: int) -> DataFram
 
 
 def region_values(regions: DataFrame, track: DataFrame, aggregate: Column, keys: list[str], default: float | None = None, closed: bool = False) -> DataFrame:
-    """Per region an aggregate of the values inside, for all regions; ``default`` where there is none."""
-    got = points_in(regions, track, BIN, closed).groupBy(*keys).agg(aggregate.alias("value"))
-    out = regions.select(*keys).distinct().join(got, keys, "left")
+    """Per row of regions, equal ones each, an aggregate of the values inside, which passes nulls over; ``default`` where there is none."""
+    each = points_in(collapsed(regions), track, BIN, closed, how="left")
+    out = expanded(each.groupBy(*keys, "__n").agg(aggregate.alias("value")))
     return out if default is None else out.withColumn("value", F.coalesce("value", F.lit(default)))

@@ -3,6 +3,9 @@
 Intervals are half-open rows (chrom, start, end). Spark has no range-join operator: a join on the chromosome and an inequality
 compares all rows of a chromosome. Here both sides are dealt to bins of the position axis, joined on (chrom, bin), and the exact condition is
 checked on the pairs that remain; a pair is kept only in the first bin that both sides share. Bins also spread a large chromosome.
+
+Bins have levels, each four times as wide as the one below. An interval lies in at most two bins of its own level, the lowest where that is so, and looks for others on
+the levels above that occur on the other side. So an interval as long as a chromosome is two rows, and a short one is compared with long ones in their few bins only.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -21,29 +24,98 @@ def with_bins(df: DataFrame, size: int, start: str = "start", end: str = "end")
     return df.withColumn("bin", F.explode(F.sequence(bin_of(F.col(start), size), bin_of(F.greatest(F.col(end) - 1, F.col(start)), size))))
 
 
+def level_of(start: str, end: str, size: int) -> Column:
+    """The lowest level whose bins, ``size * 4**level`` wide, are as long as [start, end); an empty interval is one position long."""
+    q = F.floor((F.greatest(F.col(end) - F.col(start), F.lit(1)) - 1) / size).cast("long")
+    return F.when(q > 0, F.ceil(F.length(F.bin(q)) / 2)).otherwise(0).cast("int")
+
+
+def width_of(level: Column, size: int) -> Column:
+    return F.pow(F.lit(4.0), level) * size
+
+
+def levels_of(df: DataFrame, level: Column, name: str) -> DataFrame:
+    """One row: the levels that occur, some thirty at most."""
+    return F.broadcast(df.agg(F.collect_set(level).alias(name)))
+
+
+def _dealt(df: DataFrame, roles: Column, start: str, end: str, size: int, prefix: str) -> DataFrame:
+    """A row per role (level, who) and bin of that level."""
+    rows = df.withColumn("role", F.explode(roles))
+    width = width_of(F.col("role.level"), size)
+    last = F.greatest(F.col(end) - 1, F.col(start))
+    bins = F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor(last / width).cast("long"))
+    return rows.withColumn("bin", F.explode(bins)).select(*df.columns, *[F.col(c).alias(f"{prefix}{c.rsplit('.', 1)[-1]}") for c in ("role.level", "role.who", "bin")])
+
+
+def _role(level: Column, who: int) -> Column:
+    return F.struct(level.cast("int").alias("level"), F.lit(who).alias("who"))
+
+
+def dealt_for_pairs(a: DataFrame, right: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (``right`` with names b_<name>) as rows per level, role and bin; see :func:`overlap_pairs`."""
+    la, lb = level_of("start", "end", size), level_of("b_start", "b_end", size)
+    x = a.join(levels_of(right, lb, "__others"), F.lit(True)).withColumn("__own", la)
+    y = right.join(levels_of(a, la, "__others"), F.lit(True)).withColumn("__own", lb)
+    own, others = F.col("__own"), F.col("__others")
+    none = F.array().cast("array<struct<level:int,who:int>>")
+    home_a, home_b = F.when(F.exists(others, lambda v: v <= own), F.array(_role(own, 0))).otherwise(none), F.when(F.exists(others, lambda v: v < own), F.array(_role(own, 1))).otherwise(none)
+    roles_a = F.concat(home_a, F.transform(F.filter(others, lambda v: v > own), lambda v: _role(v, 1)))
+    roles_b = F.concat(home_b, F.transform(F.filter(others, lambda v: v >= own), lambda v: _role(v, 0)))
+    return tuple(_dealt(df, roles, s, e, size, p).drop("__others", "__own") for df, roles, s, e, p in ((x, roles_a, "start", "end", "__a_"), (y, roles_b, "b_start", "b_end", "__b_")))
+
+
 def overlap_pairs(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
-    """Pairs of overlapping intervals: all columns of a, and those of b as b_<name>; touching ones do not overlap."""
+    """Pairs of overlapping intervals: all columns of a, and those of b as b_<name>; touching ones do not overlap.
+
+    A pair meets on the higher of both levels: where a's is not below b's, a is there at home (who = 0) and b a guest; else it is the other way round (who = 1).
+    Guests never meet each other.
+    """
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    x, y = with_bins(a, size), with_bins(right, size, "b_start", "b_end").withColumnRenamed("bin", "b_bin")
-    first = bin_of(F.greatest("start", "b_start"), size)
-    pairs = x.join(y, (F.col("chrom") == F.col("b_chrom")) & (F.col("bin") == F.col("b_bin")))
-    return pairs.filter((F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end")) & (F.col("bin") == first)).drop("bin", "b_bin", "b_chrom")
+    x, y = dealt_for_pairs(a, right, size)
+    meet = (F.col("chrom") == F.col("b_chrom")) & (F.col("__a_level") == F.col("__b_level")) & (F.col("__a_who") == F.col("__b_who")) & (F.col("__a_bin") == F.col("__b_bin"))
+    first = F.floor(F.greatest("start", "b_start") / width_of(F.col("__a_level"), size)).cast("long")
+    pairs = x.join(y, meet).filter((F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end")) & (F.col("__a_bin") == first))
+    return pairs.select(*a.columns, *[c for c in right.columns if c != "b_chrom"])
+
 
+def points_in(intervals: DataFrame, points: DataFrame, size: int, closed: bool = True, levels: bool = True, how: str = "inner") -> DataFrame:
+    """Rows (all columns of intervals, pos and the other columns of points); ``closed``: the end belongs to the interval.
 
-def points_in(intervals: DataFrame, points: DataFrame, size: int, closed: bool = True) -> DataFrame:
-    """Rows (all columns of intervals, pos and the other columns of points); ``closed``: the end belongs to the interval."""
+    Intervals lie in two bins of their level at most, a point looks in one bin of each level that occurs. Where all intervals are known to be hardly longer than ``size``, ``levels`` may be
+    false, which spares reading them twice. ``how`` left keeps intervals without points, with nulls, once or twice.
+    """
     end = F.col("end") + (1 if closed else 0)
-    x = with_bins(intervals.withColumn("stop", end), size, "start", "stop")
-    y = points.withColumnRenamed("chrom", "p_chrom").withColumn("p_bin", bin_of(F.col("pos"), size))
-    hit = (F.col("chrom") == F.col("p_chrom")) & (F.col("bin") == F.col("p_bin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
-    return x.join(y, hit).drop("bin", "p_bin", "p_chrom", "stop")
+    spans = intervals.withColumn("stop", end)
+    if levels:
+        own = level_of("start", "stop", size)
+        width = width_of(own, size)
+        bins = F.sequence(F.floor(F.col("start") / width).cast("long"), F.floor(F.greatest(F.col("stop") - 1, F.col("start")) / width).cast("long"))
+        x = spans.withColumn("level", own).withColumn("bin", F.explode(bins))
+        y = points.join(levels_of(spans, own, "__levels"), F.lit(True)).withColumn("p_level", F.explode("__levels")).drop("__levels")
+        y = y.withColumn("p_bin", F.floor(F.col("pos") / width_of(F.col("p_level"), size)).cast("long"))
+    else:
+        x = with_bins(spans, size, "start", "stop").withColumn("level", F.lit(0))
+        y = points.withColumns({"p_level": F.lit(0), "p_bin": bin_of(F.col("pos"), size)})
+    y = y.withColumnRenamed("chrom", "p_chrom")
+    hit = (F.col("chrom") == F.col("p_chrom")) & (F.col("level") == F.col("p_level")) & (F.col("bin") == F.col("p_bin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
+    return x.join(y, hit, how).drop("level", "p_level", "bin", "p_bin", "p_chrom", "stop")
+
+
+def collapsed(df: DataFrame, n: str = "__n") -> DataFrame:
+    """Each distinct row with the number of its copies, which :func:`expanded` brings back."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(n))
+
+
+def expanded(df: DataFrame, n: str = "__n") -> DataFrame:
+    return df.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).drop(n)
 
 
 def overlapping(a: DataFrame, b: DataFrame, size: int, cover: float = 0.0) -> DataFrame:
-    """Intervals of a that some interval of b overlaps by more than the share ``cover`` of b's length (overlap counted plus one)."""
+    """Rows of a, equal ones each, that some interval of b overlaps by more than the share ``cover`` of b's length (overlap counted plus one)."""
     shared = F.least("end", "b_end") - F.greatest("start", "b_start")
-    pairs = overlap_pairs(a, b.select("chrom", "start", "end"), size).filter((shared + 1) / (F.col("b_end") - F.col("b_start")) > cover)
-    return pairs.select(*a.columns).distinct()
+    pairs = overlap_pairs(collapsed(a), b.select("chrom", "start", "end"), size).filter((shared + 1) / (F.col("b_end") - F.col("b_start")) > cover)
+    return expanded(pairs.select(*a.columns, "__n").distinct())
 
 
 def _islands(df: DataFrame, keys: list[str], order: list[str], aggregates: list[Column], gap: int = 0) -> DataFrame:
@@ -88,9 +160,10 @@ def merge_peaks(df: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def covered_bases(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
-    """Per interval of a: positions that b covers, where b's intervals do not overlap each other."""
+    """Per row of a that b covers somewhere, equal ones each: positions that b covers, where b's intervals do not overlap each other."""
     shared = F.least("end", "b_end") - F.greatest("start", "b_start")
-    return overlap_pairs(a, b.select("chrom", "start", "end"), size).groupBy(*a.columns).agg(F.sum(shared).alias("covered"))
+    found = overlap_pairs(collapsed(a), b.select("chrom", "start", "end"), size).groupBy(*a.columns, "__n").agg(F.sum(shared).alias("covered"))
+    return expanded(found)
 
 
 def nearest(points: DataFrame, marks: DataFrame, tile: int = TILE) -> DataFrame:

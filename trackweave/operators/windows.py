@@ -42,24 +42,27 @@ def local_extrema(track: DataFrame, width: int, peaks: bool = True, tile: int =
     return choose(found.withColumn("worth", F.col("value") * sign), "pos", width, "worth", ["pos"], tile).drop("worth")
 
 
-def sliding_sum(track: DataFrame, other: DataFrame, before: int, after: int, tile: int = TILE) -> DataFrame:
+def sliding_sum(track: DataFrame, other: DataFrame, before: int, after: int) -> DataFrame:
     """Per point of ``track``: total of ``other`` within [pos - before, pos + after]; null where there is none.
 
-    Rows of ``other`` also go to the tiles that their neighbourhood reaches, so every tile is summed by itself. Each point asks for the running
-    total at the end of its neighbourhood and just before it, so that the work grows with the rows and not with the width. Values of ``other`` are finite.
+    The axis is cut into blocks as wide as the neighbourhood, so that each neighbourhood is the end of one block and the begin of the next. Every block adds its values up from both
+    sides, and a point asks for one total of each kind: the work grows with the rows and not with the width, and no value outside a neighbourhood ever enters its total, so that large values
+    take nothing from small ones elsewhere and infinite ones stay where they are.
     """
-    own = F.col("pos")
-    asked = F.explode(F.array(F.struct((own + after).alias("at"), F.lit(1).alias("sign")), F.struct((own - before - 1).alias("at"), F.lit(-1).alias("sign"))))
-    a = track.select("chrom", "pos", "value", bin_of(own, tile).alias("tile"), asked.alias("x")).select("chrom", "pos", "value", "tile", "x.at", "x.sign", F.lit(0.0).alias("weight"), F.lit(0).alias("one"))
-    reach = F.sequence(bin_of(own - after, tile), bin_of(own + before, tile))
+    width, own = before + after + 1, F.col("pos")
+    block = bin_of(own - before, width)
+    # the neighbourhood is [pos - before, end of block) and [begin of the next block, pos + after]
+    asked = F.explode(F.array(F.struct((own - before).alias("at"), F.lit(0).alias("side"), block.alias("block")), F.struct((own + after).alias("at"), F.lit(1).alias("side"), (block + 1).alias("block"))))
+    a = track.select("chrom", "pos", "value", asked.alias("x")).select("chrom", "pos", "value", "x.*", F.lit(None).cast("double").alias("weight"))
     none = F.lit(None)
-    b = other.select("chrom", none.cast("long").alias("pos"), none.cast("double").alias("value"), F.explode(reach).alias("tile"), own.alias("at"), F.lit(0).alias("sign"), F.col("value").cast("double").alias("weight"), F.col("value").isNotNull().cast("int").alias("one"))
-    upto = W.partitionBy("chrom", "tile").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
-    summed = a.unionByName(b).withColumns({"s": F.sum("weight").over(upto), "n": F.sum("one").over(upto)}).filter("sign <> 0")
-    # the two answers of a point add up with their signs; points that repeat share sums and are spread again
-    both = summed.groupBy("chrom", "pos", "value").agg(F.sum(F.col("s") * F.col("sign")).alias("s"), F.sum(F.col("n") * F.col("sign")).alias("n"), F.count_if(F.col("sign") > 0).alias("c"))
-    spread = both.select("chrom", "pos", "value", F.when(F.col("n") > 0, F.col("s") / F.col("c")).alias("total"), F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
-    return spread.select("chrom", "pos", "value", "total")
+    b = other.select("chrom", none.cast("long").alias("pos"), none.cast("double").alias("value"), own.alias("at"), none.cast("int").alias("side"), bin_of(own, width).alias("block"), F.col("value").cast("double").alias("weight"))
+    by = W.partitionBy("chrom", "block")
+    up, down = (by.orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow) for o in (F.asc("at"), F.desc("at")))
+    summed = a.unionByName(b).withColumns({"low": F.sum("weight").over(up), "high": F.sum("weight").over(down)}).filter("side is not null")
+    # points that repeat have equal totals and are spread again
+    both = summed.groupBy("chrom", "pos", "value").agg(F.max(F.when(F.col("side") == 0, F.col("high"))).alias("high"), F.max(F.when(F.col("side") == 1, F.col("low"))).alias("low"), F.count_if(F.col("side") == 0).alias("c"))
+    total = F.when(F.col("high").isNull(), F.col("low")).when(F.col("low").isNull(), F.col("high")).otherwise(F.col("high") + F.col("low"))
+    return both.select("chrom", "pos", "value", total.alias("total"), F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("copy")).drop("copy")
 
 
 def fill_missing(df: DataFrame, tile: int = TILE) -> DataFrame:

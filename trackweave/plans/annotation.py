@@ -98,20 +98,41 @@ def enrichment_p_values(spark, sf):
     return out.select("chrom", "name", "n", "k", F.round("p", 8).alias("p"))
 
 
-@query("""SELECT g.chrom, g.name, CASE WHEN strand = '+' THEN s - b1 ELSE a1 - s END AS start_up, CASE WHEN strand = '+' THEN a1 - s ELSE s - b1 END AS start_down, CASE WHEN strand = '+' THEN e - b2 ELSE a2 - e END AS end_up, CASE WHEN strand = '+' THEN a2 - e ELSE e - b2 END AS end_down FROM (
+NEAREST = """SELECT g.chrom, g.name, CASE WHEN strand = '+' THEN s - b1 ELSE a1 - s END AS start_up, CASE WHEN strand = '+' THEN a1 - s ELSE s - b1 END AS start_down, CASE WHEN strand = '+' THEN e - b2 ELSE a2 - e END AS end_up, CASE WHEN strand = '+' THEN a2 - e ELSE e - b2 END AS end_down FROM (
 SELECT x.*, (SELECT max(c) FROM m WHERE m.chrom = x.chrom AND c <= s) AS b1, (SELECT min(c) FROM m WHERE m.chrom = x.chrom AND c > s) AS a1, (SELECT max(c) FROM m WHERE m.chrom = x.chrom AND c <= e) AS b2, (SELECT min(c) FROM m WHERE m.chrom = x.chrom AND c > e) AS a2
-FROM (SELECT chrom, name, strand, CASE WHEN strand = '+' THEN txStart ELSE txEnd END AS s, CASE WHEN strand = '+' THEN txEnd ELSE txStart END AS e FROM v_genes) x) g""".replace("FROM m WHERE m.chrom", """FROM (SELECT DISTINCT chrom, CAST(floor((start + "end") / 2.0) AS BIGINT) AS c FROM v_gene_peaks) m WHERE m.chrom"""))
+FROM (SELECT chrom, name, strand, CASE WHEN strand = '+' THEN txStart ELSE txEnd END AS s, CASE WHEN strand = '+' THEN txEnd ELSE txStart END AS e FROM v_genes) x) g""".replace("FROM m WHERE m.chrom", """FROM (SELECT DISTINCT chrom, CAST(floor((start + "end") / 2.0) AS BIGINT) AS c FROM v_gene_peaks) m WHERE m.chrom""")
+
+
+@query(NEAREST)
 def nearest_sites(spark, sf):
-    return N.nearest_sites(V.genes(spark, sf), V.gene_peaks(spark, sf))
+    return N.nearest_sites(V.genes(spark, sf), V.gene_peaks(spark, sf)).select("chrom", "name", "start_up", "start_down", "end_up", "end_down")
 
 
-@query("""SELECT x.chrom, x.name, section, round(coalesce((SELECT sum(least(x.e, p."end") - greatest(x.s, p.start)) FROM v_gene_peaks p WHERE p.chrom = x.chrom AND p.start < x.e AND x.s < p."end"), 0) / (e - s), 6) AS share FROM (
+SECTIONS = """SELECT x.chrom, x.name, section, round(coalesce((SELECT sum(least(x.e, p."end") - greatest(x.s, p.start)) FROM v_gene_peaks p WHERE p.chrom = x.chrom AND p.start < x.e AND x.s < p."end"), 0) / (e - s), 6) AS share FROM (
 SELECT chrom, name, unnest([CASE WHEN strand = '+' THEN 'body1' ELSE 'body3' END, 'body2', CASE WHEN strand = '+' THEN 'body3' ELSE 'body1' END, 'start', 'end']) AS section,
 unnest([txStart, txStart + t, txStart + 2 * t, CASE WHEN strand = '+' THEN txStart - 3000 ELSE txEnd - 3000 END, CASE WHEN strand = '+' THEN txEnd ELSE txStart - 3000 END]) AS s0,
 greatest(s0, 0) AS s, unnest([txStart + t, txStart + 2 * t, txEnd, CASE WHEN strand = '+' THEN txStart + 3000 ELSE txEnd + 3000 END, CASE WHEN strand = '+' THEN txEnd + 3000 ELSE txStart END]) AS e
-FROM (SELECT *, (txEnd - txStart) // 3 AS t FROM v_genes)) x WHERE e > s""".replace("greatest(s0, 0) AS s, ", "").replace("x.s,", "greatest(x.s0, 0),").replace("x.s <", "greatest(x.s0, 0) <").replace("(e - s)", "(e - greatest(s0, 0))").replace("e > s", "e > greatest(s0, 0)"))
+FROM (SELECT *, (txEnd - txStart) // 3 AS t FROM v_genes)) x WHERE e > s""".replace("greatest(s0, 0) AS s, ", "").replace("x.s,", "greatest(x.s0, 0),").replace("x.s <", "greatest(x.s0, 0) <").replace("(e - s)", "(e - greatest(s0, 0))").replace("e > s", "e > greatest(s0, 0)")
+
+
+@query(SECTIONS)
 def section_coverage(spark, sf):
-    return rounded(N.section_coverage(V.genes(spark, sf), V.gene_peaks(spark, sf)), "share")
+    return rounded(N.section_coverage(V.genes(spark, sf), V.gene_peaks(spark, sf)), "share").select("chrom", "name", "section", "share")
+
+
+def renamed(spark, sf):
+    """The genes under three names only."""
+    return V.genes(spark, sf).withColumn("name", F.concat(F.lit("g"), (F.col("p_size") % 3).cast("string")))
+
+
+@query(f"""SELECT n.chrom, 'g' || p_size % 3 AS name, start_up, start_down, end_up, end_down FROM ({NEAREST}) n JOIN v_genes g ON g.name = n.name""")
+def nearest_sites_of_namesakes(spark, sf):
+    return N.nearest_sites(renamed(spark, sf), V.gene_peaks(spark, sf)).select("chrom", "name", "start_up", "start_down", "end_up", "end_down")
+
+
+@query(f"""SELECT n.chrom, 'g' || p_size % 3 AS name, section, share FROM ({SECTIONS}) n JOIN v_genes g ON g.name = n.name""")
+def section_coverage_of_namesakes(spark, sf):
+    return rounded(N.section_coverage(renamed(spark, sf), V.gene_peaks(spark, sf)), "share").select("chrom", "name", "section", "share")
 
 
 @query("SELECT chrom, name FROM v_genes WHERE txEnd - txStart BETWEEN 1500 AND 2200")
@@ -160,6 +181,13 @@ def start_profile(spark, sf):
     return rounded(P.average_profile(P.anchor_bins(V.genes(spark, sf), V.gene_signal(spark, sf))), "value")
 
 
+@query(f"SELECT bin, round(avg(value), 6) AS value, 2 * count(*) AS n FROM ({ANCHOR}) GROUP BY bin")
+def start_profile_of_namesakes(spark, sf):
+    """Genes of few names, each in the table twice."""
+    g = renamed(spark, sf)
+    return rounded(P.average_profile(P.anchor_bins(g.unionByName(g), V.gene_signal(spark, sf))), "value")
+
+
 @query(f"SELECT CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS grp, bin, round(avg(value), 6) AS value, count(*) AS n FROM ({ANCHOR}) a JOIN v_genes g ON g.name = a.name GROUP BY ALL")
 def profile_by_gene_group(spark, sf):
     g = V.genes(spark, sf)

@@ -17,15 +17,15 @@ from .views import query, rounded
 GENOME = 2_600_000.0
 
 
-def local_scores(treat: DataFrame, control: DataFrame, genome: float, space: int = 50, width: int = 3600, method: str = "poisson", tile: int = 200_000) -> DataFrame:
+def local_scores(treat: DataFrame, control: DataFrame, genome: float, space: int = 50, width: int = 3600, method: str = "poisson") -> DataFrame:
     """chrom, pos, value, expected, score: the treatment against the largest of three expectations.
 
     Background: its total / ``genome`` * ``space``; control within width / 2 and within 50 on either side, times
-    space * ratio / width (or / 100), where ratio = totals of treatment / control. Both sums share their tiles.
+    space * ratio / width (or / 100), where ratio = totals of treatment / control.
     """
     total = F.broadcast(treat.agg(F.sum("value").alias("t")).join(control.agg(F.sum("value").alias("c")), F.lit(True)))
-    near = O.sliding_sum(treat, control, 50, 50, tile).withColumnRenamed("total", "near")
-    far = O.sliding_sum(treat, control, width // 2, width // 2, tile).select("chrom", "pos", F.col("total").alias("far"))
+    near = O.sliding_sum(treat, control, 50, 50).withColumnRenamed("total", "near")
+    far = O.sliding_sum(treat, control, width // 2, width // 2).select("chrom", "pos", F.col("total").alias("far"))
     both = near.join(far, ["chrom", "pos"]).join(total, F.lit(True))
     ratio = F.col("t") / F.col("c")
     expected = F.greatest(F.col("t") / genome * space, F.coalesce("far", F.lit(0.0)) * space * ratio / width, F.coalesce("near", F.lit(0.0)) * space * ratio / 100)

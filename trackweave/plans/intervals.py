@@ -100,14 +100,45 @@ def with_halves(sql: str) -> str:
 @query(with_halves("""SELECT DISTINCT a.chrom, a.start, a."end", a.score FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND b.start < a."end" AND a.start < b."end")"""))
 def overlapping_regions(spark, sf):
     a, b = halves(spark, sf)
-    return R.overlapping(a, b, 64)
+    return R.overlapping(a.distinct(), b, 64)
+
+
+@query("""SELECT * FROM (WITH r AS (SELECT chrom, start // 3000 * 3000 AS start, start // 3000 * 3000 + line * 100 AS "end", line FROM v_regions), a AS (SELECT chrom, start, "end" FROM r WHERE line <> 2), b AS (SELECT chrom, start + 250 AS start, "end" + 250 AS "end" FROM r WHERE line = 2)
+SELECT a.chrom, a.start, a."end", count(*) AS n FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND b.start < a."end" AND a.start < b."end") GROUP BY ALL)""")
+def overlapping_rows(spark, sf):
+    """Regions of which many are equal: each counts."""
+    start = F.floor(F.col("start") / 3000) * 3000
+    r = V.regions(spark, sf).select("chrom", start.alias("start"), (start + F.col("line") * 100).alias("end"), "line")
+    b = r.filter("line = 2").select("chrom", (F.col("start") + 250).alias("start"), (F.col("end") + 250).alias("end"))
+    return R.overlapping(r.filter("line <> 2").select("chrom", "start", "end"), b, 64).groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT * FROM (WITH r AS (SELECT chrom, start // 900 * 900 AS start, start // 900 * 900 + line * 100 AS "end", line FROM v_regions)
+SELECT r.chrom, start, "end", round(total, 4) AS total, count(*) AS n FROM r JOIN (SELECT d.*, coalesce(sum(value), 0) AS total FROM (SELECT DISTINCT chrom, start, "end" FROM r) d LEFT JOIN v_signal s ON s.chrom = d.chrom AND s.pos >= d.start AND s.pos < d."end" GROUP BY ALL) t USING (chrom, start, "end") GROUP BY ALL)""")
+def total_of_repeated_regions(spark, sf):
+    """The total inside each region; regions repeat, and none takes another's values."""
+    start = F.floor(F.col("start") / 900) * 900
+    r = V.regions(spark, sf).select("chrom", start.alias("start"), (start + F.col("line") * 100).alias("end"))
+    values = P.region_values(r, V.signal(spark, sf), F.sum("value"), ["chrom", "start", "end"], 0.0)
+    return rounded(values.groupBy("chrom", "start", "end").agg(F.max("value").alias("total"), F.count(F.lit(1)).alias("n")), "total", digits=4)
+
+
+@query("""SELECT * FROM (WITH a AS (SELECT chrom, start, CASE WHEN start % 1000 = 7 THEN start + 3000000 ELSE "end" END AS "end" FROM v_regions WHERE start % 40 = 7), b AS (SELECT chrom, start, CASE WHEN start % 500 = 14 THEN start + 100000000 ELSE start + 50 END AS "end" FROM v_regions WHERE start % 20 = 14)
+SELECT a.chrom, a.start, a."end", count(*) AS n, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS shared FROM a JOIN b ON a.chrom = b.chrom AND b.start < a."end" AND a.start < b."end" GROUP BY ALL)""")
+def mixed_interval_join(spark, sf):
+    """Intervals of a few positions beside ones as long as a chromosome, on both sides."""
+    r = V.regions(spark, sf).select("chrom", "start", "end")
+    a = r.filter("start % 40 = 7").withColumn("end", F.when(F.expr("start % 1000 = 7"), F.col("start") + 3_000_000).otherwise(F.col("end")))
+    b = r.filter("start % 20 = 14").withColumn("end", F.col("start") + F.when(F.expr("start % 500 = 14"), 100_000_000).otherwise(50))
+    pairs = R.overlap_pairs(a, b, 64)
+    return pairs.groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("end", "b_end") - F.greatest("start", "b_start")).alias("shared"))
 
 
 @query(with_halves("""SELECT count(*) AS n FROM (SELECT DISTINCT a.chrom, a.start, a."end", a.score FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND b.start < a."end" AND a.start < b."end"
 AND (least(a."end", b."end") - greatest(a.start, b.start) + 1) / (b."end" - b.start) > 0.5::DOUBLE))"""))
 def overlap_count_with_cover(spark, sf):
     a, b = halves(spark, sf)
-    return R.overlapping(a, b, 64, 0.5).agg(F.count(F.lit(1)).alias("n"))
+    return R.overlapping(a.distinct(), b, 64, 0.5).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_halves("""SELECT a.chrom, a.start, a."end", b.start AS b_start, b."end" AS b_end FROM a JOIN b ON a.chrom = b.chrom AND b.start < a."end" AND a.start < b."end" """))

@@ -33,13 +33,23 @@ def side_sql(end: bool) -> str:
 _GENE = fitted_sql(points_sql("""SELECT chrom, name AS key, strand, txStart - 75 AS start, txEnd + 75 AS "end", 31 AS m FROM v_genes"""), 1)
 
 
-@query(f"""SELECT bin, round(avg(value), 6) AS value, count(*) AS n FROM (SELECT bin - 20 AS bin, value FROM {side_sql(False)} WHERE bin BETWEEN 20 AND 39
-UNION ALL SELECT bin + 20, value FROM {_GENE} UNION ALL SELECT bin - 41 + 51, value FROM {side_sql(True)} WHERE bin BETWEEN 41 AND 60) GROUP BY bin""")
+META = f"""SELECT bin, round(avg(value), 6) AS value, count(*) AS n FROM (SELECT bin - 20 AS bin, value FROM {side_sql(False)} WHERE bin BETWEEN 20 AND 39
+UNION ALL SELECT bin + 20, value FROM {_GENE} UNION ALL SELECT bin - 41 + 51, value FROM {side_sql(True)} WHERE bin BETWEEN 41 AND 60) GROUP BY bin"""
+
+
+@query(META)
 def meta_gene_profile(spark, sf):
     values = G.gene_with_sides(V.genes(spark, sf), V.gene_signal(spark, sf), 1500, 2000, 1000, STEP)
     return rounded(P.average_profile(values), "value")
 
 
+@query(META)
+def meta_gene_profile_of_namesakes(spark, sf):
+    """The same genes under one name."""
+    values = G.gene_with_sides(V.genes(spark, sf).withColumn("name", F.lit("g")), V.gene_signal(spark, sf), 1500, 2000, 1000, STEP)
+    return rounded(P.average_profile(values), "value")
+
+
 def joined_sql(starts: list[str], ends: list[str]) -> str:
     """Average profile of parts moved together: gaps and shifts of up to three parts spelt out."""
     n = len(starts)

@@ -153,10 +153,21 @@ def median_gap(spark, sf):
 
 @query("""SELECT a.chrom, a.pos, a.value, round(coalesce(sum(b.value), 0), 4) AS total FROM v_treat a LEFT JOIN v_control b ON a.chrom = b.chrom AND b.pos BETWEEN a.pos - 1800 AND a.pos + 1800 GROUP BY ALL""")
 def sliding_control_sum(spark, sf):
-    out = O.sliding_sum(V.treat(spark, sf), V.control(spark, sf), 1800, 1800, 200_000)
+    out = O.sliding_sum(V.treat(spark, sf), V.control(spark, sf), 1800, 1800)
     return rounded(out.withColumn("total", F.coalesce("total", F.lit(0.0))), "total", digits=4)
 
 
+@query("""SELECT a.chrom, a.pos, CAST(sum(b.value) AS DOUBLE) AS total FROM v_track a JOIN (SELECT chrom, pos, CASE WHEN pos % 97 = 0 THEN 1e16 WHEN pos % 89 = 0 THEN 'inf'::DOUBLE ELSE pos % 8 END AS value FROM v_track) b
+ON a.chrom = b.chrom AND b.pos BETWEEN a.pos - 40 AND a.pos + 900 GROUP BY a.chrom, a.pos, a.value HAVING count(*) FILTER (WHERE b.value > 100) < 2""")
+def sliding_sum_of_unequal(spark, sf):
+    """Windows of values of which some are 1e16 or infinite beside small whole numbers; windows with two such are left out, as their totals depend on the order."""
+    t = V.track(spark, sf)
+    value = F.when(F.col("pos") % 97 == 0, 1e16).when(F.col("pos") % 89 == 0, float("inf")).otherwise((F.col("pos") % 8).cast("double"))
+    odd = t.select("chrom", "pos", value.alias("value"))
+    large = O.sliding_sum(t, odd.select("chrom", "pos", (F.col("value") > 100).cast("double").alias("value")), 40, 900).filter("total < 2")
+    return O.sliding_sum(t, odd, 40, 900).join(large.select("chrom", "pos"), ["chrom", "pos"]).select("chrom", "pos", "total")
+
+
 @query("SELECT chrom, pos, round(sum(value) OVER (PARTITION BY chrom ORDER BY pos), 4) AS running FROM v_track")
 def running_sum(spark, sf):
     return rounded(O.running_total(V.track(spark, sf), 200_000).select("chrom", "pos", "running"), "running", digits=4)
