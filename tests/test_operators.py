@@ -1,8 +1,11 @@
 """Operators against plain Python on random and hand-made input."""
 
+import itertools
 import math
 import random
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from trackweave.operators import filters as L
 from trackweave.operators import greedy as G
 from trackweave.operators import ranges as R
 from trackweave.operators import reads as T
+from trackweave.operators import selection as N
 from trackweave.operators import windows as O
 
 
@@ -233,6 +237,64 @@ def test_nth_values_and_histogram(spark):
     assert [x.n for x in A.histogram(df, "value", 0, 10, 5).orderBy("bin").collect()] == [2, 3, 1, 1, 1]
 
 
+def test_selection_by_rounds(spark):
+    r = random.Random(17)
+    values = [("a", r.gauss(0, 1)) for _ in range(301)] + [("b", float(r.randrange(3))) for _ in range(200)] + [("b", 1e300), ("c", -0.0), ("c", 0.0), ("c", -5e-324), (None, float("inf")), (None, -1.0), ("d", None), ("e", float("nan")), ("e", 2.0)]
+    df = frame(spark, values, "g string, v double")
+    got = {(x.g, x.i): x.value for x in N.nth_by_group(df, ["g"], "v", F.lit(0), F.col("n") - 1, F.floor(F.col("n") / 3), F.lit(10_000)).collect()}
+    for g in ("a", "b", "c", None):
+        own = sorted(v for k, v in values if k == g)
+        assert [got[g, i] for i in range(3)] == [own[0], own[-1], own[len(own) // 3]]
+    assert got["e", 0] == 2.0 and math.isnan(got["e", 1]) and not any(k[0] == "d" or k[1] == 3 for k in got)
+    whole = frame(spark, [(x,) for x in (2**62 + 1, 2**62, -(2**62), 7)], "v long")
+    assert [x.value for x in N.nth_by_group(whole, [], "v", F.lit(3), F.lit(2)).orderBy("i").collect()] == [2**62 + 1, 2**62]
+    assert {x.g: x.median for x in N.medians(df.filter("g in ('a', 'c')"), ["g"], "v").collect()} == {"a": sorted(v for k, v in values if k == "a")[150], "c": 0.0}
+    assert N.medians(df.filter("false"), ["g"], "v").collect() == []
+
+
+def test_correlations_by_products(spark):
+    r = random.Random(19)
+    rows = [(t, c, p, 1e6 + r.gauss(0, 1)) for t in "abcd" for c in "xy" for p in range(80) if r.random() < 0.7] + [("e", "x", p, 3.0) for p in range(9)] + [("a", "x", 3, 5.0), ("b", "x", 3, float("nan")), ("f", "z", 1, 1.0)]
+    df = frame(spark, rows, "track string, chrom string, pos long, value double")
+    ok = [x for x in rows if x[3] == x[3]]
+    for cells in (7, 1 << 20):
+        got = {(x.a, x.b): (x.n, x.r) for x in A.correlation_matrix(df, cells=cells).collect()}
+        for a, b in itertools.combinations("abcdef", 2):
+            pairs = [(v, w) for t, c, p, v in ok if t == a for u, d, q, w in ok if u == b and (c, p) == (d, q)]
+            if not pairs:
+                assert (a, b) not in got
+                continue
+            x, y = np.array(pairs).T
+            want = None if x.std() == 0 or y.std() == 0 else pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-7)
+            assert got[a, b] == (len(pairs), want)
+
+
+def test_any_function_reduces(spark):
+    df = frame(spark, [("a", 3, 1.0), ("a", 1, 5.0), ("a", 2, None), ("b", 1, None)], "chrom string, pos long, value double")
+    got = {x.chrom: x.y for x in df.groupBy("chrom").agg(A.reducer(lambda v: v[0] * 10 + len(v)).alias("y")).collect()}
+    assert got == {"a": 52.0, "b": None}
+    assert [x.value for x in B.bin_values(df.filter("chrom = 'a'"), 10, lambda v: v[-1]).collect()] == [1.0]
+
+
+def test_tails_against_exact_sums():
+    r = random.Random(21)
+    for _ in range(300):
+        n, p, k = r.choice([1, 2, 30, 200]), Fraction(r.randrange(101), 100), r.randrange(-1, 202)
+        terms = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+        assert D.binomial_tail_value(k, n, float(p), False) == pytest.approx(float(sum(terms[: max(k + 1, 0)])), rel=1e-11, abs=1e-300)
+        assert D.binomial_tail_value(k, n, float(p), True) == pytest.approx(float(sum(terms[max(k + 1, 0) :])), rel=1e-11, abs=1e-15)
+        good, bad = r.randrange(60), r.randrange(60)
+        draws, k = r.randrange(good + bad + 1), r.randrange(-1, 60)
+        want = Fraction(sum(math.comb(good, i) * math.comb(bad, draws - i) for i in range(max(k + 1, 0), draws + 1)), math.comb(good + bad, draws))
+        assert D.hypergeometric_upper_value(k, good, bad, draws) == pytest.approx(float(want), rel=1e-11, abs=1e-15)
+        lam, k = r.choice([0.01, 0.5, 20.0, 150.0]), r.randrange(300)
+        want = math.fsum(math.exp(-lam + i * math.log(lam) - math.lgamma(i + 1)) for i in range(k + 1, k + 900))
+        assert D.poisson_tail_value(k, lam, True) == pytest.approx(want, rel=1e-11, abs=1e-290)
+    # large counts: the tails of both sides of the mean are those of the normal distribution to its next term
+    assert D.poisson_tail_value(10**7, 1e7, True) == pytest.approx(0.5 - 2 / 3 / math.sqrt(2 * math.pi * 1e7) + 0.0, abs=1e-5)
+    assert D.binomial_tail_value(5 * 10**6, 10**7, 0.5, True) == pytest.approx(0.5 - 0.5 / math.sqrt(2 * math.pi * 2.5e6), abs=1e-8)
+
+
 def test_top_keeps_ties(spark):
     df = frame(spark, [(i, float(s)) for i, s in enumerate((5, 3, 3, 1, 9))], "id long, score double")
     assert sorted(r.id for r in L.top_by_score(df, 3).collect()) == [0, 1, 2, 4]

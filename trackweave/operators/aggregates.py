@@ -1,14 +1,16 @@
 """Summaries, histograms, percentiles and correlations."""
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranges import TILE, bin_of
+from .selection import medians, nth_by_group
 from .windows import call_peaks, numbered
 
-SLICES = 4096
-
 REDUCERS = {
     "max": lambda v, p: F.max(v),
     "min": lambda v, p: F.min(v),
@@ -22,9 +24,21 @@ REDUCERS = {
 }
 
 
-def reducer(name: str, value: str = "value", pos: str = "pos") -> Column:
-    """An aggregate by name; ``last`` and ``sample`` take the value at the largest position."""
-    return REDUCERS[name](value, pos)
+def reducer(name: str | Callable[[np.ndarray], float], value: str = "value", pos: str = "pos") -> Column:
+    """An aggregate by name, or by any function of an array that gives a number; ``last`` and ``sample`` take the value at the largest position.
+
+    A function gets the values of a group that are not null in order of position, and is not asked about groups without any, whose aggregate is null. It sees a group whole, so groups must
+    fit into a task; and it stands alone in its ``agg``, as Spark does not mix such functions with others.
+    """
+    if not callable(name):
+        return REDUCERS[name](value, pos)
+
+    @F.pandas_udf("double")
+    def reduced(v: pd.Series, p: pd.Series) -> float:
+        known = v.notna()
+        return float(name(v[known].to_numpy()[np.argsort(p[known].to_numpy(), kind="stable")])) if known.any() else None
+
+    return reduced(F.col(value).cast("double"), F.col(pos))
 
 
 def summary(track: DataFrame, value: str = "value") -> DataFrame:
@@ -37,22 +51,9 @@ def with_whole(df: DataFrame, *aggregates: Column) -> DataFrame:
 
 
 def nth_values(df: DataFrame, column: str, *places: Column) -> DataFrame:
-    """One row: the values at 0-based places of the sorted column; ``places`` are expressions of ``n``, the number of rows.
-
-    Counts in SLICES equal slices of the range show in which slice a place lies; only the values of that slice are then counted
-    one by one and read in order.
-    """
-    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    ends = F.broadcast(rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")))
-    spot = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLICES), F.lit(SLICES - 1))).otherwise(0).cast("long")
-    sliced = rows.join(ends, F.lit(True)).select("v", "n", spot.alias("slice"))
-    counts = sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    counts = counts.withColumn("upto", F.sum("c").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, 0)))
-    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), p.cast("long").alias("place")) for i, p in enumerate(places)])).alias("x")
-    aim = counts.select("slice", "c", "upto", asked).select("slice", "x.i", (F.col("x.place") - F.col("upto") + F.col("c")).alias("rest"), "c").filter("rest >= 0 and rest < c")
-    near = sliced.select("v", "slice").join(F.broadcast(aim.select("slice", "i", "rest")), "slice").groupBy("i", "rest", "v").agg(F.count(F.lit(1)).alias("c"))
-    run = near.withColumn("upto", F.sum("c").over(W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, 0))).filter("upto > rest")
-    return run.agg(*[F.min(F.when(F.col("i") == i, F.col("v"))).alias(f"v{i}") for i in range(len(places))])
+    """One row: the values at 0-based places of the sorted column, nulls left out; ``places`` are expressions of ``n``, the number of values."""
+    found = nth_by_group(df, [], column, *places)
+    return found.agg(*[F.min(F.when(F.col("i") == i, F.col("value"))).alias(f"v{i}") for i in range(len(places))])
 
 
 def middle_percent(df: DataFrame, column: str, percent: float) -> DataFrame:
@@ -80,27 +81,86 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return spine.join(counts, "bin", "left").select("bin", (F.col("bin") * width + low).alias("start"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _moments(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").filter("v is not null")
+    return long, long.groupBy("name").agg(F.sum("v").alias("total"), F.avg("v").alias("average"), F.stddev_samp("v").alias("deviation"), (F.avg("v") + F.stddev_samp("v")).alias("cutoff"))
+
+
 def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: total, average, median, deviation and cut-off (average + deviation); missing values are left out."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").filter("v is not null")
-    return long.groupBy("name").agg(
-        F.sum("v").alias("total"), F.avg("v").alias("average"), F.median("v").alias("middle"), F.stddev_samp("v").alias("deviation"), (F.avg("v") + F.stddev_samp("v")).alias("cutoff")
-    )
+    long, moments = _moments(df, columns)
+    return moments.join(medians(long, ["name"], "v", "middle"), "name").select("name", "total", "average", "middle", "deviation", "cutoff")
 
 
 def matrix_regions(matrix: DataFrame, column: str, span: int, cutoff: float | None = None, min_length: int = 10_000, max_gap: int = 2000) -> DataFrame:
     """Regions of a matrix (chrom, start, ...) where a column reaches the cut-off, its mean plus deviation if none is given; missing values are left out."""
     track = matrix.select("chrom", F.col("start").alias("pos"), F.col(column).cast("double").alias("value")).filter("value is not null")
-    limit = column_statistics(matrix, [column]).select("cutoff") if cutoff is None else matrix.sparkSession.range(1).select(F.lit(cutoff).alias("cutoff"))
+    limit = _moments(matrix, [column])[1].select("cutoff") if cutoff is None else matrix.sparkSession.range(1).select(F.lit(cutoff).alias("cutoff"))
     high = track.join(F.broadcast(limit), F.col("value") >= F.col("cutoff")).select("chrom", "pos", "value")
     return call_peaks(high, float("-inf"), min_length=min_length, max_gap=max_gap, span=span)
 
 
-def correlation_matrix(tracks: DataFrame, track: str = "track") -> DataFrame:
-    """Pearson correlation of every two tracks (track, chrom, pos, value) over their common positions: a, b, n, r."""
-    x = tracks.select(F.col(track).alias("a"), "chrom", "pos", F.col("value").alias("x"))
-    y = tracks.select(F.col(track).alias("b"), "chrom", "pos", F.col("value").alias("y"))
-    return x.join(y, ["chrom", "pos"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def correlation_matrix(tracks: DataFrame, track: str = "track", cells: int = 1 << 20) -> DataFrame:
+    """Pearson correlation of every two tracks (track, chrom, pos, value) over their common positions: a, b, n, r.
+
+    Positions are dealt to tasks. A task puts some of them at a time, at most ``cells`` values, into a matrix of tracks by positions and adds up its products, so that it sends one row
+    a pair of tracks and no row a pair of values. Values are taken from their track's mean first, so that sums do not cancel. Null and NaN values are missing; values
+    that repeat at a position pair with each of the other track. Tracks of constant values have no correlation (null).
+    """
+    known = tracks.select(F.col(track).alias("t"), "chrom", "pos", F.col("value").cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    means = known.groupBy("t").agg(F.avg("v").alias("m"))
+    centred = known.join(means, "t").select("t", "chrom", "pos", (F.col("v") - F.col("m")).alias("v"))
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number: dict = {}
+        total = {s: np.zeros((0, 0)) for s in SUMS}
+
+        def add(held: list[pd.DataFrame]) -> None:
+            f = pd.concat(held)
+            for t in f["t"].unique():
+                number.setdefault(t, len(number))
+            grown = len(number) - len(total["n"])
+            for s in SUMS:
+                total[s] = np.pad(total[s], (0, grown))
+            rows = f["t"].map(number).to_numpy()
+            place = pd.factorize(pd.MultiIndex.from_frame(f[["chrom", "pos"]]))[0]
+            own, at = np.unique(rows, return_inverse=True)
+            n, x, q = (np.zeros((len(own), place.max() + 1)) for _ in range(3))
+            for m, v in ((n, 1.0), (x, f["v"].to_numpy()), (q, f["v"].to_numpy() ** 2)):
+                np.add.at(m, (at, place), v)
+            cross = np.ix_(own, own)
+            for s, y in zip(SUMS, (n @ n.T, x @ n.T, n @ x.T, q @ n.T, n @ q.T, x @ x.T), strict=True):
+                total[s][cross] += y
+
+        held, size = [], 0
+        for f in frames:
+            held.append(f)
+            size += len(f)
+            if size >= cells:
+                f = pd.concat(held)
+                # the last position may go on in the next batch
+                last = (f["chrom"] == f["chrom"].iloc[-1]) & (f["pos"] == f["pos"].iloc[-1])
+                if not last.all():
+                    add([f[~last]])
+                held, size = [f[last]], int(last.sum())
+        if size:
+            add(held)
+        names = sorted(number)
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+        at = [(number[a], number[b]) for a, b in pairs]
+        yield pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], **{s: [total[s][i, j] for i, j in at] for s in SUMS}}).query("n > 0")
+
+    kind = known.schema["t"].dataType.simpleString()
+    dealt = centred.repartition("chrom", "pos").sortWithinPartitions("chrom", "pos")
+    parts = dealt.mapInPandas(products, f"a {kind}, b {kind}, {', '.join(f'{s} double' for s in SUMS)}")
+    sums = parts.groupBy("a", "b").agg(*[F.sum(s).alias(s) for s in SUMS])
+    n = F.col("n")
+    r = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt((F.col("sxx") - F.col("sx") ** 2 / n) * (F.col("syy") - F.col("sy") ** 2 / n))
+    varied = (F.col("sxx") - F.col("sx") ** 2 / n > 1e-14 * F.col("sxx")) & (F.col("syy") - F.col("sy") ** 2 / n > 1e-14 * F.col("syy"))
+    return sums.select("a", "b", n.cast("long").alias("n"), F.when(varied, r).alias("r"))
 
 
 def confidence_95(df: DataFrame, column: str) -> DataFrame:

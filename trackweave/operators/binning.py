@@ -1,16 +1,22 @@
 """Bins, spines, samplers and gap filling over positions."""
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .aggregates import nth_values, reducer
 from .ranges import TILE, bin_of, nearest, with_neighbours
+from .selection import medians
 from .windows import numbered
 
 
-def bin_values(track: DataFrame, step: int, method: str = "median") -> DataFrame:
-    """One value per bin that has points: chrom, bin, value."""
+def bin_values(track: DataFrame, step: int, method: str | Callable[[np.ndarray], float] = "median") -> DataFrame:
+    """One value per bin that has points: chrom, bin, value; medians of bins wider than a tile are found without gathering a bin."""
+    if method == "median" and step > TILE:
+        return medians(track.select("chrom", bin_of(F.col("pos"), step).alias("bin"), "value"), ["chrom", "bin"], "value", "value")
     return track.groupBy("chrom", bin_of(F.col("pos"), step).alias("bin")).agg(reducer(method).alias("value"))
 
 

@@ -176,6 +176,19 @@ def extract_median_values(spark, sf):
     return rounded(R.points_in(r, V.signal(spark, sf), 128).groupBy("chrom", "start", "end").agg(F.median("value").alias("value")), "value")
 
 
+@query("""SELECT r.chrom, r.start, r."end", round(list_avg(CASE WHEN len(v) > 2 THEN v[2:len(v) - 1] ELSE v END), 6) AS value FROM (SELECT r.chrom, r.start, r."end", list(value ORDER BY value) FILTER (WHERE value IS NOT NULL) AS v FROM (SELECT DISTINCT chrom, start, "end" FROM v_gene_peaks) r
+LEFT JOIN v_gene_signal s ON s.chrom = r.chrom AND s.pos >= r.start AND s.pos < r."end" GROUP BY ALL) r""")
+def trimmed_means(spark, sf):
+    """A function of one's own as reducer: the mean without the smallest and the largest value."""
+
+    def trimmed(values):
+        return sorted(values)[1:-1] if len(values) > 2 else values
+
+    r = V.gene_peaks(spark, sf).select("chrom", "start", "end").distinct()
+    how = A.reducer(lambda v: sum(trimmed(v)) / len(trimmed(v)))
+    return rounded(P.region_values(r, V.gene_signal(spark, sf), how, ["chrom", "start", "end"]), "value")
+
+
 @query("""SELECT r.chrom, r.start, r."end", coalesce(max(value), 0.0::DOUBLE) AS value FROM (SELECT DISTINCT chrom, start, "end" FROM v_regions) r LEFT JOIN v_signal s ON s.chrom = r.chrom AND s.pos >= r.start AND s.pos < r."end" GROUP BY ALL""")
 def scan_scores(spark, sf):
     r = V.regions(spark, sf).select("chrom", "start", "end").distinct()

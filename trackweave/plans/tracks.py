@@ -7,6 +7,7 @@ from ..operators import binning as B
 from ..operators import filters as L
 from ..operators import ranges as R
 from ..operators import windows as O
+from ..operators.selection import medians
 from ..sources.sinks import gff_lines
 from . import views as V
 from .views import query, rounded
@@ -74,7 +75,8 @@ def track_statistics_by_chromosome(spark, sf):
 
 @query("SELECT round(median(m), 6) AS pseudomedian FROM (SELECT median(value) AS m FROM v_track GROUP BY chrom)")
 def pseudomedian(spark, sf):
-    return rounded(V.track(spark, sf).groupBy("chrom").agg(F.median("value").alias("m")).agg(F.median("m").alias("pseudomedian")), "pseudomedian")
+    per_chrom = medians(V.track(spark, sf), ["chrom"], "value", "m")
+    return rounded(medians(per_chrom, [], "m", "pseudomedian"), "pseudomedian")
 
 
 @query("""SELECT b AS bin, b * 5.0::DOUBLE AS start, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 20)) AS b) LEFT JOIN
@@ -94,6 +96,12 @@ def bin_median(spark, sf):
     return rounded(B.bin_values(V.track(spark, sf), 36_000, "median"), "value")
 
 
+@query("SELECT chrom, CAST(floor(pos / 9000000) AS BIGINT) AS bin, median(value) AS value FROM v_track GROUP BY ALL")
+def wide_bin_median(spark, sf):
+    """Medians of bins wider than a tile, by selection."""
+    return B.bin_values(V.track(spark, sf), 9_000_000, "median")
+
+
 @query("SELECT chrom, CAST(floor(pos / 36000) AS BIGINT) AS bin, arg_max(value, pos) AS value FROM v_track GROUP BY ALL")
 def bin_last(spark, sf):
     return B.bin_values(V.track(spark, sf), 36_000, "last")
