@@ -259,6 +259,14 @@ def test_encoder_gives_the_tokenizers_ids():
         for i, t in enumerate(tokenizer.encode_batch(lot, add_special_tokens=False)):
             assert ids[at[i] : at[i + 1]].tolist() == t.ids, lot[i]
     assert 50256 in ids and e.encode([])[0].tolist() == []
+    # Thue-Morse texts and their mirrors have equal polynomial hashes modulo 2**64
+    morse = "a"
+    while len(morse) < 4096:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    pair = [morse, morse.translate(str.maketrans("ab", "ba"))]
+    for lot in (pair, pair[::-1], pair[:1], pair[1:], [" ".join(pair), "x " + pair[1]]):
+        ids, at = e.encode(lot)
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(lot))] == [x.ids for x in e.tokenizer.encode_batch(lot, add_special_tokens=False)]
 
 
 def test_packing(spark):

@@ -41,7 +41,7 @@ def character_classes() -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of many texts; each distinct piece of text between split points is encoded once and remembered.
+    """Token ids of many texts; each distinct piece of text between split points is encoded once and remembered, and is compared with what is remembered.
 
     The vocabulary merges bytes only inside the pieces that its pattern splits off: contractions, runs of
     letters, numbers or other signs with one leading space, and white space. The splits are found for a whole
@@ -62,7 +62,9 @@ class Encoder:
         self.slot_entry = np.zeros(SLOTS, dtype=np.int64)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.begin = np.zeros(1 << 16, dtype=np.int64)
-        self.used = self.entries = 0
+        self.points = np.zeros(1 << 18, dtype=np.uint32)
+        self.point_begin = np.zeros(1 << 16, dtype=np.int64)
+        self.used = self.written = self.entries = 0
 
     def splits(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Starts of the pieces; ``at``: where the texts begin, and the end of the last."""
@@ -92,22 +94,38 @@ class Encoder:
                     starts[i + 1 + size] = True
         return np.flatnonzero(starts)
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+    def _learn(self, texts: list[str]) -> np.ndarray:
+        """New entries for the pieces: their ids, and the pieces themselves."""
         got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
         size = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(texts))
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
         while self.used + len(got.ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.written + len(points) > len(self.points):
+            self.points = np.concatenate((self.points, np.zeros_like(self.points)))
         while self.entries + len(texts) + 1 > len(self.begin):
-            self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
+            self.begin, self.point_begin = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.point_begin))
         self.ids[self.used : self.used + len(got.ids)] = got.ids
+        self.points[self.written : self.written + len(points)] = points
         fresh = self.entries + np.arange(len(texts))
         self.begin[fresh + 1] = self.used + np.cumsum(size)
+        self.point_begin[fresh + 1] = self.written + np.cumsum([len(t) for t in texts])
         self.used += len(got.ids)
+        self.written += len(points)
         self.entries += len(texts)
-        at = (hashes & U64(SLOTS - 1)).astype(np.int64)
-        self.slot_hash[at], self.slot_entry[at] = hashes, fresh
         return fresh
 
+    def _others(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Pieces that are not the text of their entry, which has the same hash."""
+        size, known = ends - starts, self.point_begin[entry]
+        wrong = size != self.point_begin[entry + 1] - known
+        to = np.concatenate(([0], np.cumsum(np.where(wrong, 0, size))))
+        at = np.repeat(known - to[:-1], np.diff(to)) + np.arange(to[-1])
+        here = points if not wrong.any() else points[np.repeat(starts - to[:-1], np.diff(to)) + np.arange(to[-1])]
+        differ = np.flatnonzero(self.points[at] != here)
+        wrong[np.searchsorted(to, differ, side="right") - 1] = True
+        return np.flatnonzero(wrong)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's begin."""
         whole = "".join(texts)
@@ -131,7 +149,7 @@ class Encoder:
     def _remembered(self, whole: str, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(points):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(at), dtype=np.int64)
-        if self.used > MOST_REMEMBERED:
+        if max(self.used, self.written // 4) > MOST_REMEMBERED:
             self._forget()
         starts = self.splits(points, at)
         ends = np.append(starts[1:], len(points))
@@ -142,7 +160,14 @@ class Encoder:
         if len(miss):
             fresh, first, place = np.unique(hashes[miss], return_index=True, return_inverse=True)
             pieces = [whole[b:e] for b, e in zip(starts[miss[first]].tolist(), ends[miss[first]].tolist(), strict=True)]
-            entry[miss] = self._learn(fresh, pieces)[place]
+            new = self._learn(pieces)
+            at_slot = (fresh & U64(SLOTS - 1)).astype(np.int64)
+            self.slot_hash[at_slot], self.slot_entry[at_slot] = fresh, new
+            entry[miss] = new[place]
+        # hashes of unlike pieces may be equal: these get entries of their own, which no hash leads to
+        others = self._others(points, starts, ends, entry)
+        if len(others):
+            entry[others] = self._learn([whole[b:e] for b, e in zip(starts[others].tolist(), ends[others].tolist(), strict=True)])
         begin = self.begin[entry]
         size = self.begin[entry + 1] - begin
         to = np.concatenate(([0], np.cumsum(size)))
@@ -247,7 +272,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     are numbered by hashed buckets, so a length that a third of all rows share is no single task's work. Rows that
     repeat an id are separate documents.
     """
-    pieces = materialise(tokenised_pieces(docs, path or tokenizer_file(), id_col, text_col, capacity, end_id, keep_ids), "pieces")
+    found = tokenised_pieces(docs, path or tokenizer_file(), id_col, text_col, capacity, end_id, keep_ids)
+    columns = found.columns
+    # rows that repeat all their columns, such as empty texts of null id, are spread by the salt
+    pieces = materialise(found.withColumn("salt", (F.monotonically_increasing_id() % 4096).cast("int")), "pieces")
     histogram = {r.length: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     sequence, taken, places = 0, Counter(), []
     for lengths, times in best_two_fit(histogram, capacity):
@@ -263,7 +291,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     first, sequence_at, offset_at = (np.array([p[i] for p in places], dtype=np.int64) for i in (1, 2, 3))
 
     buckets = max(1, sum(histogram.values()) // 4000)
-    bucketed = pieces.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {buckets})"))
+    bucketed = pieces.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32, salt), {buckets})"))
     before = (
         bucketed.groupBy("length", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -271,9 +299,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         .select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     )
     ranked = (
-        bucketed.withColumn("nth", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+        bucketed.withColumn("nth", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "salt")) - 1)
         .join(before, ["length", "bucket"])
-        .select(*pieces.columns, (F.col("nth") + F.col("before")).alias("nth"))
+        .select(*columns, (F.col("nth") + F.col("before")).alias("nth"))
     )
 
     @F.arrow_udf("struct<sequence_id:long,offset:long>")
@@ -282,4 +310,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         i = np.searchsorted(keys, a.astype(U64) * wide + b.astype(U64), side="right") - 1
         return pa.StructArray.from_arrays([pa.array(sequence_at[i] + b - first[i]), pa.array(offset_at[i])], names=["sequence_id", "offset"])
 
-    return ranked.withColumn("place", place("length", "nth")).select(*pieces.columns, "place.sequence_id", "place.offset")
+    return ranked.withColumn("place", place("length", "nth")).select(*columns, "place.sequence_id", "place.offset")
