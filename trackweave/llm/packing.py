@@ -18,7 +18,7 @@ from .words import U64, span_hash
 CAPACITY = 2048
 END_ID = 0
 SLOTS = 1 << 20
-MOST_REMEMBERED = 8 << 20
+MOST_REMEMBERED = 4 << 20
 SLICE_CHARS = 1 << 20
 LETTER, NUMBER, SPACE, OTHER, UNSURE = 1, 2, 3, 4, 255
 
@@ -59,11 +59,11 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slot_hash = np.zeros(SLOTS, dtype=U64)
-        self.slot_entry = np.zeros(SLOTS, dtype=np.int64)
+        self.slot_entry = np.zeros(SLOTS, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.begin = np.zeros(1 << 16, dtype=np.int64)
-        self.points = np.zeros(1 << 18, dtype=np.uint32)
-        self.point_begin = np.zeros(1 << 16, dtype=np.int64)
+        self.begin = np.zeros(1 << 16, dtype=np.int32)
+        self.points = np.zeros(1 << 18, dtype=np.uint16)  # characters beyond the BMP are not remembered
+        self.point_begin = np.zeros(1 << 16, dtype=np.int32)
         self.used = self.written = self.entries = 0
 
     def splits(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ class Encoder:
         """New entries for the pieces: their ids, and the pieces themselves."""
         got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
         size = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(texts))
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        points = np.frombuffer("".join(texts).encode("utf-16-le"), dtype=np.uint16)
         while self.used + len(got.ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while self.written + len(points) > len(self.points):
@@ -117,7 +117,7 @@ class Encoder:
 
     def _others(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """Pieces that are not the text of their entry, which has the same hash."""
-        size, known = ends - starts, self.point_begin[entry]
+        size, known = ends - starts, self.point_begin[entry].astype(np.int64)
         wrong = size != self.point_begin[entry + 1] - known
         to = np.concatenate(([0], np.cumsum(np.where(wrong, 0, size))))
         at = np.repeat(known - to[:-1], np.diff(to)) + np.arange(to[-1])
@@ -149,7 +149,7 @@ class Encoder:
     def _remembered(self, whole: str, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(points):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(at), dtype=np.int64)
-        if max(self.used, self.written // 4) > MOST_REMEMBERED:
+        if max(self.used, self.written // 3) > MOST_REMEMBERED:
             self._forget()
         starts = self.splits(points, at)
         ends = np.append(starts[1:], len(points))
@@ -168,7 +168,7 @@ class Encoder:
         others = self._others(points, starts, ends, entry)
         if len(others):
             entry[others] = self._learn([whole[b:e] for b, e in zip(starts[others].tolist(), ends[others].tolist(), strict=True)])
-        begin = self.begin[entry]
+        begin = self.begin[entry].astype(np.int64)
         size = self.begin[entry + 1] - begin
         to = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(begin - to[:-1], size) + np.arange(to[-1])]

@@ -17,6 +17,7 @@ MOST_LABELS = 20_000
 LOST = 0.003
 LENGTH = 200
 SMOOTHING = 1.0
+SLICE = 1 << 19
 
 
 def ngram_buckets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +41,7 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Mean log ratio of each text's n-grams; 0 for a text shorter than an n-gram."""
         out = np.zeros(len(texts))
-        for row, raw, at in text_slices(texts):
+        for row, raw, at in text_slices(texts, SLICE):
             bucket, begin = ngram_buckets(raw, at)
             total = np.concatenate(([0.0], np.cumsum(self.weights[bucket])))[begin]
             n = np.diff(begin)
@@ -79,7 +80,7 @@ def ngram_models(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
         raw_n, good_n = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
         for batch in batches:
             target = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-            for row, raw, at in text_slices(batch.column(0)):
+            for row, raw, at in text_slices(batch.column(0), SLICE):
                 bucket, begin = ngram_buckets(raw, at)
                 raw_n += np.bincount(bucket, minlength=1 << BITS)
                 own = np.repeat(target[row : row + len(at) - 1], np.diff(begin))
