@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from trackweave import plans
 from trackweave.functions import pwm as P
+from trackweave.operators import windows as O
 from trackweave.sources import motifs as M
 from trackweave.sources import sinks as K
 from trackweave.sources import text as X
-from trackweave.streaming.regions import stream_bins, stream_regions
+from trackweave.streaming.regions import stream_bins, stream_peaks, stream_regions
 
 
 def put(tmp_path, name, text):
@@ -148,6 +149,95 @@ def test_motifs(spark, tmp_path):
     assert transfac.id == "M7" and len(transfac.pwm) == 2
 
 
+TRANSFAC = """VV a table
+AC  M001
+XX
+NA  C/EBP (x)
+BF  T1; f; Species: human, Homo sapiens.
+BF  T2; g; Species: mouse, human.
+P0      C    A    G    T
+01      1    1    2    0   N
+02      0    4    0    0   A
+RX  PUBMED: 123.
+//
+AC  M002
+NA  Sp1/Sp2:Sp3
+P0 A C G T
+01 2 0 0 2 W
+//
+"""
+RAW = "Accession Number\nM9\nFactor name\nA&B/C(D)\nFactors\nT00001; C; Species: rat, Rattus norvegicus. T00002; other; Species: dog.\nBinding Matrix\nA C G T cons\n1 1 2 0 N\n0 0 0 3 T\n\nend\n"
+BULYK = "junk\nAbc_primary\textra\nA:\t1\t0\nC:\t1\t0\n\nG:\t2\t0\nT:\t0\t5\nDef_x\nA:\t3\nC:\t0\nG:\t0\nT:\t1\n"
+
+
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_motif_records(spark, tmp_path, cut_at, size):
+    cut_at(size)
+
+    def read(name, text, kind):
+        rows = M.read_motif_records(spark, put(tmp_path, name, text), kind).orderBy("record").collect()
+        return [(r.id, r.factors, r.species, r.source, [tuple(p) for p in r.pwm]) for r in rows]
+
+    assert read("t.dat", TRANSFAC, "transfac") == [
+        ("M001", ["C/EBP", "x"], ["human", "Homo sapiens", "mouse"], "123", [(0.25, 0.25, 0.5, 0.0), (1.0, 0.0, 0.0, 0.0)]),
+        ("M002", ["Sp1", "Sp2", "Sp3"], [], None, [(0.5, 0.0, 0.0, 0.5)]),
+    ]
+    assert read("r.txt", RAW, "transfac_raw") == [("M9", ["A/B", "C", "D"], ["rat", "Rattus norvegicus"], None, [(0.25, 0.25, 0.5, 0.0), (0.0, 0.0, 0.0, 1.0)])]
+    assert read("m.FOX.txt", "T G C A\n1 0 2 1 1\n2 4 0 0 0\n", "dfci") == [("DFCI.FOX", ["FOX"], [], None, [(0.25, 0.25, 0.5, 0.0), (0.0, 0.0, 0.0, 1.0)])]
+    assert read("b.txt", BULYK, "bulyk") == [("MB0001", ["Abc"], [], None, [(0.25, 0.25, 0.5, 0.0), (0.0, 0.0, 0.0, 1.0)]), ("MB0002", ["Def"], [], None, [(0.75, 0.0, 0.0, 0.25)])]
+
+
+def test_motif_files_round_trip(spark, tmp_path):
+    pwm = "array<struct<a:double,c:double,g:double,t:double>>"
+    given = spark.createDataFrame([("M1", ["F1", "F2"], "mouse", [(0.25, 0.25, 0.5, 0.0)]), ("M2", [], None, [(0.0, 1.0, 0.0, 0.0), (0.5, 0.0, 0.0, 0.5)])], f"id string, factors array<string>, species string, pwm {pwm}")
+    out = str(tmp_path / "motifs")
+    K.write_motifs(given, out, "made")
+    for name, factors in (("M1", ["F1", "F2"]), ("M2", ["N/A"])):
+        got = M.read_motifs(spark, f"{out}/id={name}").first()
+        want = given.filter(F.col("id") == name).first()
+        assert got.factors == factors and got.pwm == want.pwm
+
+
+def test_tags_and_tables(spark, tmp_path):
+    tags = [("c", "+", 5), ("c", "-", 5), ("c", "+", 5), ("d", "-", 90_000), ("c", "+", 70_000)]
+    out = str(tmp_path / "tags")
+    K.write_tag_wiggle(spark.createDataFrame(tags, "chrom string, strand string, pos long"), out, 25, 1000)
+    assert sorted(map(tuple, X.read_wiggle_tags(spark, out).collect())) == sorted(tags)
+    r = random.Random(8)
+    rows = [(r.choice("ab"), s, s + r.randint(1, 300)) for s in r.sample(range(20_000), 400)]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long")
+    for name in ("left_saved", "right_saved"):
+        K.save_intervals(df, name, 128, 3, str(tmp_path / name))
+    pairs = K.saved_overlaps(spark, "left_saved", "right_saved", 128)
+    assert pairs.count() == sum(a[0] == b[0] and a[1] < b[2] and b[1] < a[2] for a in rows for b in rows)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    only = K.saved_overlaps(spark, "left_saved", "right_saved", 128, "a")
+    assert only.count() == sum(a[0] == b[0] == "a" and a[1] < b[2] and b[1] < a[2] for a in rows for b in rows)
+    files = [f for f in spark.table("left_saved").filter("chrom = 'a'").select(F.input_file_name()).distinct().toPandas().iloc[:, 0]]
+    assert files and all("chrom=a" in f for f in files)
+    for name in ("left_saved", "right_saved"):
+        K.drop(spark, name)
+    K.write_by_chrom(df, str(tmp_path / "by"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "by")).select("chrom", "start", "end").collect())) == sorted(rows)
+
+
+def test_genes_in_a_database(spark, tmp_path):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = "jdbc:derby:memory:genes;create=true"
+    genes = [(f"g{i}", f"chr{i % 3}", "+", i * 10, i * 10 + 9, i * 10, i * 10 + 9, 2, [i, i + 5], [i + 2, i + 9]) for i in range(60)]
+    kind = "name string, chrom string, strand string, txStart long, txEnd long, cdsStart long, cdsEnd long, exonCount int, exonStarts array<long>, exonEnds array<long>"
+    K.save_jdbc(spark.createDataFrame(genes[:40], kind), url, "genes", createTableColumnTypes="name VARCHAR(64), chrom VARCHAR(64)")
+    K.save_jdbc(spark.createDataFrame(genes[40:], kind), url, "genes", "append")
+    names = spark.createDataFrame([("g3",), ("g6",), ("g7",), ("g3",)], "name string")
+    whole = X.read_genes_jdbc(spark, url, "genes", parts=4)
+    assert whole.rdd.getNumPartitions() == 4 and sorted(map(tuple, whole.select(*[c.split()[0] for c in kind.split(", ")]).collect())) == sorted(genes)
+    some = X.read_genes_jdbc(spark, url, "genes", names, ["chr0"], 2)
+    assert sorted(r.name for r in some.collect()) == ["g3", "g6"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "In(name" in plan.replace("*", "").replace(" ", "") and "Join" not in plan
+
+
 def test_binary_scan(spark, tmp_path):
     head = bytearray(256)
     head[0:4] = struct.pack("<i", 256)
@@ -177,6 +267,27 @@ def test_streams(spark, tmp_path):
         assert spark.table(name).count() == want
 
 
+def test_streamed_peaks_in_any_order(spark, tmp_path):
+    r = random.Random(3)
+    at = {(k, p): float(r.randint(0, 9)) for k in "ab" for p in r.sample(range(0, 40_000), 300)}
+    rows = [(k, p, v) for (k, p), v in at.items()]
+    kind = "event_type string, ts timestamp, value double"
+    # three batches whose rows overlap in time by less than the lateness
+    for i, (lo, hi) in enumerate(((0, 15_000), (15_000, 30_000), (30_000, 40_001))):
+        part = [x for x in rows if lo <= x[1] + (500 if x[1] % 2 else 0) < hi or hi == 40_001 and x[1] + 500 >= hi]
+        df = spark.createDataFrame(part, "event_type string, s long, value double").select("event_type", F.timestamp_seconds("s").alias("ts"), "value")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        q = stream_peaks(stream, 4, min_length=30, max_gap=120, late="20 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    points = spark.createDataFrame(rows, "chrom string, pos long, value double")
+    want = sorted(map(tuple, O.call_peaks(points, 4, min_length=30, max_gap=120).collect()))
+    assert len(got) > 20 and set(got) <= set(want)
+    open_from = max(p for _, p, _ in rows) - 1200
+    assert [w for w in want if w[2] - 1 + 120 < open_from] == got
+
+
 @pytest.mark.parametrize("name", ["streamed_regions", "streamed_hourly_bins"])
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
 def test_streams_emit_what_is_open_at_the_end(spark, name, sf):

@@ -96,4 +96,5 @@ def scientific(x: Column) -> Column:
 
 
 def p_value_label(p: Column) -> Column:
-    return F.when(p <= 4.94e-324, "<=4.94e-324").otherwise(F.format_string("%.3g", p))
+    """In brackets: the least double as a limit, values below 0.001 with an exponent, others with three decimals."""
+    return F.when(p <= 4.94e-324, "(<=4.9e-324)").when(p < 1e-3, F.format_string("(%.1e)", p)).otherwise(F.format_string("(%.3f)", p))

@@ -100,6 +100,12 @@ def matrix_regions(matrix: DataFrame, column: str, span: int, cutoff: float | No
     return call_peaks(high, float("-inf"), min_length=min_length, max_gap=max_gap, span=span)
 
 
+def combined_regions(matrix: DataFrame, cutoffs: dict[str, float], least: int, span: int, min_length: int = 10_000, max_gap: int = 2000) -> DataFrame:
+    """Regions of a matrix (chrom, start, ...) where at least ``least`` columns reach their cut-offs, as ``call_peaks`` gives them; score is the largest number that do. Missing values do not."""
+    calls = sum((F.coalesce(F.col(c) >= limit, F.lit(False)).cast("double") for c, limit in cutoffs.items()), F.lit(0.0))
+    return call_peaks(matrix.select("chrom", F.col("start").alias("pos"), calls.alias("value")), least, min_length=min_length, max_gap=max_gap, span=span)
+
+
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 

@@ -66,7 +66,11 @@ def call_peaks_with_control(spark, sf):
     return O.call_peaks(scores, 10, min_length=200, max_gap=5000, tile=200_000).select("chrom", "start", "end", "n")
 
 
-@query()
+@query("""SELECT * FROM (WITH s AS (SELECT any_value(md) AS md, stddev_samp(x) AS dev FROM (SELECT md, unnest([value, 2 * md - value]) AS x FROM (
+  SELECT value, median(value) OVER () AS md FROM (SELECT value, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i FROM v_track) WHERE i % 10 = 0) WHERE value < md)),
+z AS (SELECT chrom, pos, (value - md) / dev AS value FROM v_track, s WHERE (value - md) / dev >= 1.6448536269514722)
+SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", arg_min(pos, (-value, pos)) AS summit, round(max(value), 6) AS score, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY pos) AS s FROM (
+  SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) <= 3000 THEN 0 ELSE 1 END AS fresh FROM z)) GROUP BY chrom, s HAVING max(pos) - min(pos) + 1 >= 300)""")
 def call_peaks_from_null_model(spark, sf):
     """Regions above the score whose chance under the mirrored null model is 0.05."""
     t = V.track(spark, sf)
@@ -74,7 +78,7 @@ def call_peaks_from_null_model(spark, sf):
     z = t.join(null, F.lit(True)).select("chrom", "pos", ((F.col("value") - F.col("median")) / F.col("deviation")).alias("value"))
     cut = F.broadcast(spark.range(1).select(normal_quantile(F.lit(0.95)).alias("cut")))
     high = z.join(cut, F.col("value") >= F.col("cut")).drop("cut")
-    return O.call_peaks(high, float("-inf"), min_length=300, max_gap=3000, tile=200_000)
+    return rounded(O.call_peaks(high, float("-inf"), min_length=300, max_gap=3000, tile=200_000), "score")
 
 
 @query("""SELECT chrom, pos, value FROM v_track WHERE value >= 75""")
@@ -175,6 +179,16 @@ def matrix_regions(spark, sf):
     return A.matrix_regions(read_matrix(spark, stored_csv(rows)), "q", 10, min_length=20, max_gap=100).select("chrom", "start", "end", "score")
 
 
+@query("""SELECT * FROM (WITH m AS (SELECT l_returnflag AS chrom, l_orderkey * 100 + l_linenumber * 10 AS start, CAST(l_quantity >= 30 AS INTEGER) + CAST(l_discount >= 0.05::DOUBLE AS INTEGER) + coalesce(CAST(CASE WHEN l_linenumber % 3 <> 0 THEN l_tax END >= 0.04::DOUBLE AS INTEGER), 0) AS calls FROM lineitem),
+f AS (SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY chrom ORDER BY start) <= 100 THEN 0 ELSE 1 END AS fresh FROM m WHERE calls >= 2)
+SELECT chrom, min(start) AS start, max(start) + 10 AS "end", CAST(max(calls) AS DOUBLE) AS most, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY start) AS s FROM f) GROUP BY chrom, s HAVING max(start) - min(start) + 10 >= 20)""")
+def combined_call_regions(spark, sf):
+    """Regions of rows in which at least two of three columns reach their threshold; missing values do not."""
+    m = V.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("chrom"), F.expr("l_orderkey * 100 + l_linenumber * 10").alias("start"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_tax")).alias("t"))
+    called = A.combined_regions(m, {"q": 30, "d": 0.05, "t": 0.04}, 2, 10, min_length=20, max_gap=100)
+    return called.select("chrom", "start", "end", F.col("score").alias("most"), "n")
+
+
 _CENTRED = """(SELECT chrom, start, "end", CAST(floor((start + "end") / 2.0) AS BIGINT) AS c FROM v_gene_peaks)"""
 
 

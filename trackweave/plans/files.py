@@ -1,5 +1,7 @@
 """Text formats: rows of the tables become files of each format and are read back."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -199,6 +201,26 @@ def one_chromosome_files(spark, sf):
     return spark.read.parquet(path).filter("chrom = 'A'").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 2).alias("total"))
 
 
+@query("SELECT chrom, strand, pos, count(*) AS n FROM v_tags GROUP BY ALL")
+def tag_wiggle_files(spark, sf):
+    """Tags as wiggle of positions by strand."""
+    path = shared_path(spark, "wiggle")
+    K.write_tag_wiggle(V.tags(spark, sf), path, 25, 50_000)
+    return X.read_wiggle_tags(spark, path).groupBy("chrom", "strand", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT a.chrom, a.start, a."end", count(*) AS n, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS shared FROM (SELECT chrom, start, "end" FROM v_regions WHERE line % 2 = 0) a JOIN (SELECT chrom, start, "end" FROM v_regions WHERE line % 2 = 1) b
+ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" GROUP BY ALL""")
+def saved_interval_join(spark, sf):
+    """Two tables saved in folders of chromosomes and buckets of bins, joined where their rows lie."""
+    r = V.regions(spark, sf)
+    names = [f"intervals_{uuid.uuid4().hex}" for _ in range(2)]
+    for i, name in enumerate(names):
+        K.save_intervals(r.filter(F.col("line") % 2 == i).select("chrom", "start", "end"), name, 4096, 4, shared_path(spark, "saved"))
+    pairs = K.saved_overlaps(spark, *names, 4096)
+    return pairs.groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("end", "b_end") - F.greatest("start", "b_start")).alias("shared"))
+
+
 @query("""SELECT translate(a.chrom, ' ', '_') AS chrom, count(*) AS n, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS shared FROM v_peaks a JOIN v_peaks b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" AND a.fold >= 12 AND b.fold < 12 GROUP BY ALL""")
 def overlap_of_bed_files(spark, sf):
     """Two BED files joined where they overlap."""

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import pwm as P
 from ..functions import strings as S
 from ..operators import sequences as Q
+from ..sources import motifs as M
+from ..sources.shared import stored_lines
 from . import views as V
 from .views import query, rounded
 
@@ -47,6 +49,31 @@ def motif_sequences(spark, sf):
     return matrices(spark, sf).select("vec_id", F.posexplode(P.sequences(F.col("counts"), 5)).alias("n", "sequence"))
 
 
+def motif_rows_of(motifs):
+    rows = motifs.select("record_id", F.array_join("factors", ",").alias("factors"), F.array_join("species", ",").alias("species"), F.posexplode("pwm").alias("i", "r"))
+    return rounded(rows.select(F.col("record_id").alias("vec_id"), "factors", "species", "i", "r.a", "r.c", "r.g", "r.t"), *"acgt")
+
+
+@query(f"""SELECT vec_id, 'F' || vec_id % 7 || ',alt,x' AS factors, 'Homo sapiens,Mus musculus' AS species, i, round(p[1], 6) AS a, round(p[2], 6) AS c, round(p[3], 6) AS g, round(p[4], 6) AS t FROM ({SHARES})""")
+def transfac_files(spark, sf):
+    """Matrices written as records of two-letter lines and read back by a table function."""
+    line = F.transform("counts", lambda r, i: F.concat_ws(" ", F.format_string("%02d", i + 1), *[r[b].cast("string") for b in "gatc"]))
+    text = F.concat(
+        F.lit("AC  M"), F.col("vec_id").cast("string"), F.lit("\nXX\nNA  F"), (F.col("vec_id") % 7).cast("string"), F.lit("(alt)/x\nBF  T1; f; Species: Homo sapiens, Mus musculus.\nP0  G A T C\n"), F.array_join(line, "\n"), F.lit("\nXX\n//")
+    )
+    found = M.read_motif_records(spark, stored_lines(matrices(spark, sf).select(text.alias("value"))), "transfac")
+    return motif_rows_of(found.withColumn("record_id", F.substring("id", 2, 20).cast("long")))
+
+
+@query(f"""SELECT vec_id, 'F' || vec_id AS factors, '' AS species, i, round(p[1], 6) AS a, round(p[2], 6) AS c, round(p[3], 6) AS g, round(p[4], 6) AS t FROM ({SHARES})""")
+def bulyk_files(spark, sf):
+    """Matrices written as records of a line for each base."""
+    bases = [F.concat(F.lit(f"{b.upper()}:\t"), F.array_join(F.col(f"counts.{b}").cast("array<string>"), "\t")) for b in "acgt"]
+    text = F.concat_ws("\n", F.concat(F.lit("F"), F.col("vec_id").cast("string"), F.lit("_v1")), *bases, F.lit(""))
+    found = M.read_motif_records(spark, stored_lines(matrices(spark, sf).select(text.alias("value"))), "bulyk")
+    return motif_rows_of(found.withColumn("record_id", F.substring(F.get("factors", F.lit(0)), 2, 20).cast("long")))
+
+
 @query()
 def burrows_wheeler(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", S.bwt(F.col("text")).alias("bwt"))

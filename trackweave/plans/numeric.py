@@ -141,6 +141,14 @@ def boundaries_and_medians(spark, sf):
     return o.select("l_orderkey", F.round(R.widest_difference(F.col("q")), 4).alias("widest"), b.low.alias("low"), b.high.alias("high"), b.middle.alias("middle"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN p = 0 THEN '(<=4.9e-324)' WHEN p < 0.001 THEN printf('(%.1e)', p) ELSE printf('(%.3f)', p) END AS label FROM (
+SELECT o_orderkey, CASE WHEN k % 5 = 0 THEN 0 ELSE k / 17.0::DOUBLE * CASE k % 3 WHEN 0 THEN 1e-9::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1e-3::DOUBLE END END AS p FROM (SELECT o_orderkey, o_custkey % 16 AS k FROM orders))""")
+def p_value_labels(spark, sf):
+    k = F.col("o_custkey") % 16
+    p = F.when(k % 5 == 0, 0.0).otherwise(k.cast("double") / 17 * F.when(k % 3 == 0, 1e-9).when(k % 3 == 1, 1.0).otherwise(1e-3))
+    return V.table(spark, sf, "orders").select("o_orderkey", S.p_value_label(p).alias("label"))
+
+
 @query("""SELECT o_orderkey, CAST(round(o_totalprice / 250) * 250 AS BIGINT) AS nearest, printf('%.5e', sqrt(o_totalprice)) AS code, CASE WHEN o_totalprice / 1e6::DOUBLE * 100 < 0.1 THEN printf('%.2f %%', o_totalprice / 1e6::DOUBLE * 100) ELSE printf('%.1f %%', o_totalprice / 1e6::DOUBLE * 100) END AS label,
 regexp_replace(o_orderpriority, '^.*-', '') AS bare FROM orders""")
 def number_labels(spark, sf):

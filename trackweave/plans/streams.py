@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
-from ..streaming.regions import stream_bins, stream_regions
+from ..streaming.regions import stream_bins, stream_peaks, stream_regions
 from . import views as V
 from .views import query
 
@@ -16,11 +16,11 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def finished(plan: Callable[[DataFrame], DataFrame], source: DataFrame) -> DataFrame:
+def finished(plan: Callable[[DataFrame], DataFrame], source: DataFrame, end: str = "9999-12-01 00:00:00") -> DataFrame:
     """All rows of ``plan`` over the stream ``source``, written to the shared folder and read back.
 
     A window is emitted once the watermark has passed it, and the last ones have no later event. So when all is read, the same
-    stream goes on with one closing event of the year 9999: what is open is emitted, and the window of the closing event never is.
+    stream goes on with one closing event at ``end``: what is open is emitted, and the window of the closing event never is.
     """
     spark = source.sparkSession
     base = shared_path(spark, "streams")
@@ -32,7 +32,7 @@ def finished(plan: Callable[[DataFrame], DataFrame], source: DataFrame) -> DataF
         q.awaitTermination()
 
     read_on()
-    values = {"ts": "9999-12-01 00:00:00", "value": "Infinity"}  # the value passes every cut-off
+    values = {"ts": end, "value": "Infinity"}  # the value passes every cut-off
     closing = spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in source.schema])
     closing.write.mode("append").parquet(f"{base}/closing")
     read_on()
@@ -54,3 +54,14 @@ SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + I
 GROUP BY event_type, g""")
 def streamed_regions(spark, sf):
     return finished(lambda rows: stream_regions(rows, 20), events(spark, sf)).select("event_type", seconds("start").alias("start"), "score", "n")
+
+
+@query("""SELECT chrom AS event_type, min(pos) AS start, max(pos) + 1 AS "end", arg_min(pos, (-value, pos)) AS summit, max(value) AS score, count(*) AS n
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY pos, value ROWS UNBOUNDED PRECEDING) AS s FROM (
+  SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos, value) <= 3000 THEN 0 ELSE 1 END AS fresh FROM v_points WHERE value >= 20))
+GROUP BY chrom, s HAVING max(pos) - min(pos) + 1 >= 300""")
+def streamed_peaks(spark, sf):
+    """Region calling by the batch rule, with state and timers."""
+    # pandas knows no times beyond 2262
+    found = finished(lambda rows: stream_peaks(rows, 20, min_length=300, max_gap=3000), events(spark, sf), "2261-12-01 00:00:00")
+    return found.select("event_type", *[seconds(f"timestamp_seconds(`{c}`)").alias(c) for c in ("start", "end", "summit")], "score", "n")

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import numbered_lines
+from .text import numbered_lines, split_lines, with_records
 
 CHROM_SLOT = 128
 SCHEMA = "id string, factors array<string>, species string, pwm array<struct<a:double,c:double,g:double,t:double>>"
@@ -106,6 +106,124 @@ def read_motifs(spark: SparkSession, path: str, kind: str = "motif") -> DataFram
     return spark.read.text(path, wholetext=True).select(F.input_file_name(), "value").mapInArrow(run, SCHEMA)
 
 
+class MotifRecord:
+    """Table function over the lines (line number, text) of one record: id, factors, species, source, pwm as shares. What each format says stands in ``RECORD_FORMATS``."""
+
+    def __init__(self):
+        self.id, self.factors, self.species, self.source, self.rows, self.order, self.columns, self.awaited = None, [], [], None, [], "ACGT", {}, None
+        self.file, self.record = "", 0
+
+    def eval(self, row, kind):
+        self.file, self.record = row["file"], row["record"]
+        getattr(self, f"_{kind}")(row["value"].strip("\r\n"))
+
+    def terminate(self):
+        rows = self.rows or [dict(zip("ACGT", v)) for v in zip(*(self.columns.get(b, []) for b in "ACGT"))]
+        if not rows:
+            return
+        shares = []
+        for r in rows:
+            total = sum(r.values()) or 1.0
+            shares.append(tuple(r.get(b, 0.0) / total for b in "ACGT"))
+        name = self.file.rsplit("/", 1)[-1]
+        yield self.id or name.rsplit(".", 1)[0], self.record, self.factors, self.species, self.source, shares
+
+    def _counts(self, cells):
+        self.rows.append(dict(zip(self.order, map(float, cells))))
+
+    def _listed(self, text, keep=()):
+        """Names of factors; signs between names become commas, unless the text holds a name that they belong to."""
+        for signs, exception in (("/", "C/EB"), ("()", "Su(H)"), (":+", None)):
+            if exception is None or exception not in text or exception not in keep:
+                text = text.translate({ord(c): "," for c in signs})
+        self.factors += [x.strip() for x in text.split(",") if x.strip()]
+
+    def _organisms(self, triple):
+        for name in triple.replace(".", " ").partition(":")[2].split(","):
+            if name.strip() and name.strip() not in self.species:
+                self.species.append(name.strip())
+
+    def _transfac(self, line):
+        tag, rest = line[:2], line[2:].strip()
+        if tag == "AC":
+            self.id = rest.split()[0]
+        elif tag == "NA":
+            self._listed(rest, ("C/EB", "Su(H)"))
+        elif tag == "BF" and rest.count(";") == 2:
+            self._organisms(rest.split(";")[2])
+        elif tag == "P0":
+            self.order = [x.upper() for x in rest.split()[:4]]
+        elif tag == "RX":
+            self.source = line.replace(".", " ").split()[2]
+        elif tag.isdigit():
+            self._counts(rest.split()[:4])
+
+    def _transfac_raw(self, line):
+        """Sections whose content follows their title."""
+        title = next((t for t in ("Accession Number", "Factor name", "Factors", "Binding Matrix") if line.startswith(t)), None)
+        if title:
+            self.awaited = title
+        elif self.awaited == "Accession Number":
+            self.id, self.awaited = line.strip(), None
+        elif self.awaited == "Factor name":
+            self._listed(line)
+            self.factors, self.awaited = [f.replace("&", "/") for f in self.factors], None
+        elif self.awaited == "Factors":
+            for item in line.split(". T"):
+                cells = item.strip().split(";")
+                if len(cells) == 3 and cells[1].strip() in self.factors:
+                    self._organisms(cells[2])
+            self.awaited = None
+        elif self.awaited == "Binding Matrix":
+            cells = line.split()
+            if len(cells) != 5:
+                self.awaited = None
+            elif cells[0].isalpha():
+                self.order = [x.upper() for x in cells[:4]]
+            else:
+                self._counts(cells[:4])
+
+    def _dfci(self, line):
+        """The bases, then a number and four counts a line; the factor is the second part of the file's name."""
+        cells = line.split()
+        if len(cells) >= 5:
+            self._counts(cells[1:5])
+        elif len(cells) == 4:
+            self.order = [x.upper() for x in cells]
+            self.factors = [*self.file.rsplit("/", 1)[-1].split(".")[1:2]]
+            self.id = f"DFCI.{self.factors[0]}" if self.factors else None
+
+    def _bulyk(self, line):
+        """A name up to the first low line, then a line of tabbed values for each base; records of a file are numbered."""
+        base, colon, rest = line.partition(":")
+        if "_" in line:
+            self.factors, self.id = [line.split("_")[0].strip()], f"MB{self.record:04d}"
+        elif colon and base in ("A", "C", "G", "T"):
+            self.columns[base] = [float(x) for x in rest.split("\t") if x.strip()]
+
+
+RECORD_FORMATS = {
+    "transfac": lambda v: v.startswith("AC"),
+    "transfac_raw": lambda v: F.lit(False),
+    "dfci": lambda v: F.lit(False),
+    "bulyk": lambda v: v.contains("_"),
+}
+
+
+def read_motif_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Motifs of record files of any size: id, record (its number in the file), factors, species, source, pwm as shares.
+
+    Records are numbered over all splits of a file and dealt to tasks, which parse them line by line (a table function). What stands before the first record of a table is left out.
+    """
+    lines = with_records(split_lines(spark, path), RECORD_FORMATS[kind](F.col("value")))
+    if kind in ("transfac", "bulyk"):
+        lines = lines.filter("record > 0")
+    schema = "id string, record long, factors array<string>, species array<string>, source string, pwm array<struct<a:double,c:double,g:double,t:double>>"
+    parse = F.udtf(MotifRecord, returnType=schema)
+    ordered = lines.select("file", "record", "block", F.col("id").alias("line"), "value").asTable().partitionBy("file", "record").orderBy("block", "line")
+    return parse(ordered, F.lit(kind))
+
+
 RECORD = np.dtype([("pos", "<i4"), ("score", "<f4")])
 RANGE_BYTES = 32 << 20
 

@@ -35,6 +35,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("value <> ''").join(shift, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
 
 
+def with_records(rows: DataFrame, begins: Column) -> DataFrame:
+    """Split lines with ``record``: how many lines of the file up to this one begin a record; splits count on from the ones before."""
+    by = W.partitionBy("file", "block").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
+    flagged = rows.withColumn("begins", F.coalesce(begins, F.lit(False)).cast("long"))
+    counts = flagged.groupBy("file", "block").agg(F.sum("begins").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = flagged.withColumn("record", F.sum("begins").over(by))
+    return inner.join(counts.select("file", "block", before.alias("before")), ["file", "block"]).select(*rows.columns, (F.col("record") + F.col("before")).alias("record"))
+
+
 def content_lines(df: DataFrame) -> DataFrame:
     v = F.trim("value")
     return df.filter((v != "") & ~v.startswith("#") & ~v.startswith("track") & ~v.startswith("browser"))
@@ -159,6 +169,15 @@ def read_wiggle_bins(spark: SparkSession, path: str, size: int, method: str = "m
     return bin_values(read_wiggle(spark, path), size, method)
 
 
+def read_wiggle_tags(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, strand, pos) of tags written as wiggle: positions without values below declarations with strand=0 (plus) or 1 (minus)."""
+    rows = split_lines(spark, path).filter(~F.col("value").rlike("^(track|browser|#)") & (F.trim("value") != ""))
+    head = F.col("value").startswith("variableStep")
+    numbered = with_records(rows, head)
+    said = numbered.filter(head).select("file", "record", F.regexp_extract("value", r"chrom=(\S+)", 1).alias("chrom"), F.when(F.col("value").rlike("strand=1"), "-").otherwise("+").alias("strand"))
+    return numbered.filter(~head).join(said, ["file", "record"]).select("chrom", "strand", F.col("value").try_cast("long").alias("pos")).filter("pos is not null")
+
+
 def wiggle_span(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: the span of its last declaration (1 if none)."""
     rows = numbered_lines(spark, path).filter(F.col("value").rlike(r"^(variable|fixed)Step"))
@@ -225,11 +244,26 @@ def read_genes(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumns({"exonStarts": long_list(F.col("exonStarts")), "exonEnds": long_list(F.col("exonEnds"))})
 
 
-def read_genes_jdbc(spark: SparkSession, url: str, table: str, names: DataFrame | None = None, **options: str) -> DataFrame:
-    """The same from a database; ``names`` limits it to some genes by a semi-join."""
-    t = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-    t = t.withColumns({"exonStarts": long_list(F.col("exonStarts").cast("string")), "exonEnds": long_list(F.col("exonEnds").cast("string"))})
-    return t if names is None else t.join(names.select("name"), "name", "left_semi")
+MOST_NAMES = 1000
+
+
+def read_genes_jdbc(spark: SparkSession, url: str, table: str, names: DataFrame | None = None, chroms: list[str] | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """The same from a database, read in ``parts`` ranges of txStart, the bounds of which the database is asked for.
+
+    The chromosomes, and the ``names`` (column name) if they are MOST_NAMES at most, go to the database as conditions; more names limit what was read by a semi-join.
+    """
+    source = {"url": url, **options}
+    if parts > 1:
+        ends = spark.read.format("jdbc").options(**source, query=f'SELECT MIN("txStart") AS "lo", MAX("txStart") AS "hi" FROM {table}').load().first()
+        if ends.lo is not None and ends.hi > ends.lo:
+            source |= {"partitionColumn": "txStart", "lowerBound": str(ends.lo), "upperBound": str(ends.hi), "numPartitions": str(parts)}
+    t = spark.read.format("jdbc").options(**source, dbtable=table).load()
+    if chroms is not None:
+        t = t.filter(F.col("chrom").isin(chroms))
+    if names is not None:
+        few = [r.name for r in names.select("name").distinct().limit(MOST_NAMES + 1).collect()]
+        t = t.filter(F.col("name").isin(few)) if len(few) <= MOST_NAMES else t.join(names.select("name"), "name", "left_semi")
+    return t.withColumns({"exonStarts": long_list(F.col("exonStarts").cast("string")), "exonEnds": long_list(F.col("exonEnds").cast("string"))})
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
