@@ -69,6 +69,49 @@ def test_words_match_the_pattern(texts):
             assert len(sets[i] & sets[j]) == len(shingles(texts[i]) & shingles(texts[j]))
 
 
+def best_cover(text, template):
+    """Most words of the template that matches of three words and more cover in the order of both, at most 40 words of text apart."""
+    found = []
+    for i in range(len(text)):
+        for j in range(len(template)):
+            if text[i] == template[j] and not (i and j and text[i - 1] == template[j - 1]):
+                n = 1
+                while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                    n += 1
+                if n >= 3:
+                    found.append((i, j, n))
+    best = []
+    for i, j, n in found:
+        before = [b + n - max(0, u + m - i, v + m - j) for (u, v, m), b in zip(found, best, strict=False) if u < i and v < j and u + m < i + n and v + m < j + n and i - u - m <= 40]
+        best.append(max([n, *before]))
+    return max(best, default=0)
+
+
+def test_license_chains_find_every_cover(spark):
+    r = random.Random(12)
+    templates = {label: words_of(texts[0]) for label, texts in TEMPLATES.items() if label in ("mit", "bsd", "apache", "lgpl")}
+    given, want = [], []
+    for label, template in templates.items():
+        quoted = [*template[:40], *template[-4:], *template[40:]]
+        given.append((label, quoted))
+        for _ in range(25):
+            text = [w if r.random() > 0.05 else "other" for w in template]
+            for _ in range(r.randint(0, 3)):
+                at, a = r.randrange(len(text)), r.randrange(len(template) - 6)
+                text[at:at] = template[a : a + r.randint(3, 6)]
+            given.append((label, ["some"] * r.randint(0, 3) + text))
+    for label, text in given:
+        want.append(best_cover(text, templates[label]) / len(templates[label]))
+    got = {x.doc_id: x for x in scan_licenses(docs(spark, [" ".join(t) for _, t in given])).collect()}
+    found = 0
+    for i, ((label, _), cover) in enumerate(zip(given, want, strict=True)):
+        own = [s.coverage for s in got[i].spans if s.label == label]
+        assert (label in got[i].labels.split(",")) >= (cover >= 0.75)
+        assert not own or max(own) >= min(1.0, cover) - 1e-9 or cover < 0.75
+        found += cover >= 0.75
+    assert found > 40 and all(want[i] == 1.0 and given[i][0] in got[i].labels for i in range(0, len(given), 26))
+
+
 def test_license_scan(spark):
     notice = TEMPLATES["bsd"][0]
     given = [

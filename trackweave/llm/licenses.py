@@ -1,6 +1,7 @@
 """Licence scans with a generalised suffix automaton over the words of licence templates."""
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -232,35 +233,47 @@ class Scanner:
             matches.append((at + len(run) - length, length, state))
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple]:
-        """Spans (label, template, first word, last word, share of the template covered), from collinear matches."""
-        open_: dict[int, list] = {}
-        done: dict[int, list] = {}
-
-        def close(t: int) -> None:
-            first, last, _, covered = open_.pop(t)
-            share = covered / len(self.texts[t][1])
-            if share >= LEAST_COVERAGE:
-                done.setdefault(t, []).append((self.texts[t][0], t, first, last, min(1.0, share)))
-
+        """Spans (label, template, first word, last word, share of the template covered), of the best collinear chains of matches."""
+        of: dict[int, list[tuple[int, int, int]]] = {}
         for at, length, state in sorted(matches):
-            for t, end in sorted(self.places[state]):
-                start = end - length
-                if t in open_:
-                    first, last, t_end, covered = open_[t]
-                    if at - last - 1 <= LARGEST_GAP and end > t_end:
-                        fresh = min(end - t_end, at + length - 1 - last, length)
-                        if fresh > 0:
-                            open_[t] = [first, at + length - 1, end, covered + fresh]
-                        continue
-                    if at <= last and length <= covered:
-                        continue
-                    close(t)
-                open_[t] = [at, at + length - 1, end, length]
-                if start == 0 and length == len(self.texts[t][1]):
-                    close(t)
-        for t in list(open_):
-            close(t)
-        return sorted((s for group in done.values() for s in group), key=lambda s: (s[2], s[1]))
+            # the match, and its ends that stand elsewhere, too
+            n, known = length, set()
+            while n >= LEAST_MATCH:
+                for t, end in self.places[state]:
+                    if (t, end) not in known:
+                        known.add((t, end))
+                        of.setdefault(t, []).append((at + length - n, end - n, n))
+                state = self.automaton.link[state]
+                n = self.automaton.length[state] if state >= 0 else 0
+        return sorted((s for t, own in of.items() for s in self._covers(t, sorted(own))), key=lambda s: (s[2], s[1]))
+
+    def _covers(self, t: int, own: list[tuple[int, int, int]]) -> list[tuple]:
+        """Chains of matches (place in the text, in the template, length) that go on in both, at most LARGEST_GAP words of text apart, by the most template words covered.
+
+        The best chain up to each match is found from those of the matches within a gap and a template's length before it. Of chains that overlap in the text the best one stays.
+        """
+        size = len(self.texts[t][1])
+        best, first, low = [], [], 0
+        for i, (x, y, n) in enumerate(own):
+            while own[low][0] < x - LARGEST_GAP - size:
+                low += 1
+            most, begin = n, x
+            for j in range(low, i):
+                u, v, m = own[j]
+                if u < x and v < y and u + m < x + n and v + m < y + n and x - u - m <= LARGEST_GAP:
+                    covered = best[j] + n - max(0, u + m - x, v + m - y)
+                    if covered > most:
+                        most, begin = covered, first[j]
+            best.append(most)
+            first.append(begin)
+        spans, taken = [], []
+        for i in sorted((i for i in range(len(own)) if best[i] >= LEAST_COVERAGE * size), key=lambda i: (-best[i], first[i], own[i])):
+            span = (first[i], own[i][0] + own[i][2] - 1)
+            at = bisect_left(taken, span)
+            if (at == 0 or taken[at - 1][1] < span[0]) and (at == len(taken) or taken[at][0] > span[1]):
+                taken.insert(at, span)
+                spans.append((self.texts[t][0], t, *span, min(1.0, best[i] / size)))
+        return spans
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scanner: Scanner | None = None) -> DataFrame:
