@@ -47,5 +47,5 @@ def test_queries_without_sql_have_rows(spark, name):
 def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() >= 0
+    assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

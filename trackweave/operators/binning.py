@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .aggregates import nth_values, reducer
-from .ranges import TILE, bin_of, nearest, with_neighbours
+from .ranges import TILE, bin_of, nearest, points_in, with_neighbours
 from .selection import medians
 from .windows import numbered
 
@@ -131,9 +131,12 @@ def random_regions(spark, lengths: DataFrame, n: int, size: int, seed: int = 1)
     total = lengths.agg(F.sum("length").alias("total"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
     drawn = spark.range(n).join(F.broadcast(total), F.lit(True)).select("id", F.floor(u * F.col("total")).cast("long").alias("at"))
-    hit = drawn.join(F.broadcast(bounds), (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("stop")))
-    start = F.col("at") - F.col("begin")
-    return hit.select(F.col("id").alias("nth"), "chrom", start.alias("start"), F.least(start + size, F.col("length")).alias("end"))
+    # all chromosomes end to end are one axis
+    one = F.lit("all").alias("chrom")
+    spans = bounds.select(one, F.col("begin").alias("start"), F.col("stop").alias("end"), F.col("chrom").alias("name"), "length")
+    hit = points_in(spans, drawn.select(one, F.col("at").alias("pos"), "id"), TILE, closed=False)
+    start = F.col("pos") - F.col("start")
+    return hit.select(F.col("id").alias("nth"), F.col("name").alias("chrom"), start.alias("start"), F.least(start + size, F.col("length")).alias("end"))
 
 
 def window_counts(tags: DataFrame, lengths: DataFrame, size: int, gap: int) -> DataFrame:

@@ -16,7 +16,8 @@ def with_new_ids(existing: DataFrame, rows: DataFrame, key: str, *order: str) ->
     rows.orderBy(*order).write.parquet(path)
     ordered = rows.sparkSession.read.schema(rows.schema).parquet(path)
     largest = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    counted = numbered(ordered, [], F.col("_metadata.file_name"), *order)
+    # files are named by their number, of five digits or more
+    counted = numbered(ordered, [], F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), *order)
     return counted.join(F.broadcast(largest), F.lit(True)).withColumn(key, (F.col("__top") + F.col("nth") + 1).cast("long")).drop("__top", "nth")
 
 
