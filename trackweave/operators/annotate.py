@@ -210,7 +210,7 @@ def section_coverage(genes: DataFrame, peaks: DataFrame, upstream: int = 3000, d
     sections += [part(F.lit("start"), tss - upstream, tss + upstream), part(F.lit("end"), F.when(plus, e).otherwise(s - downstream), F.when(plus, e + downstream).otherwise(s))]
     rows = told_apart(genes).select(*GENE, F.explode(F.array(*sections)).alias("x")).select(*GENE, "x.*").filter("end > start")
     shared = F.least("end", "b_end") - F.greatest("start", "b_start")
-    hit = overlap_pairs(rows, peaks.select("chrom", "start", "end"), BIN).groupBy(*GENE, "section").agg(F.sum(shared).alias("covered"))
+    hit = overlap_pairs(rows, peaks.select("chrom", "start", "end"), BIN, levels=False).groupBy(*GENE, "section").agg(F.sum(shared).alias("covered"))
     return rows.join(hit, [*GENE, "section"], "left").select(*GENE, "section", (F.coalesce("covered", F.lit(0)) / (F.col("end") - F.col("start"))).alias("share"))
 
 

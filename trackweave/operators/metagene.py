@@ -52,14 +52,14 @@ def _side(genes: DataFrame, track: DataFrame, reach: int, step: int, end: bool)
     anchor = F.when(plus != F.lit(end), F.col("txStart")).otherwise(F.col("txEnd"))
     half, n = step // 2, (2 * reach + step) // step
     spans = told_apart(genes).select(*GENE, (anchor - reach - half).alias("start"), (anchor + reach + half).alias("end"))
-    return fitted(region_bins(points_in(spans, track, BIN, closed=False, levels=2 * reach + step > BIN), GENE, step), GENE, step, F.lit(n))
+    return fitted(region_bins(points_in(spans, track, BIN, closed=False, levels=False), GENE, step), GENE, step, F.lit(n))
 
 
 def gene_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int = 50) -> DataFrame:
     """Genes, a step and a half wider at both ends, fitted to (size + step) // step bins after one bin at each end has gone: GENE, bin, value."""
     margin = step + step // 2
     spans = told_apart(genes).select(*GENE, (F.col("txStart") - margin).alias("start"), (F.col("txEnd") + margin).alias("end"))
-    bins = region_bins(points_in(spans, track, BIN, closed=False), GENE, step)
+    bins = region_bins(points_in(spans, track, BIN, closed=False, levels=False), GENE, step)
     return fitted(bins, GENE, step, F.lit((size + step) // step), trim=1)
 
 
@@ -95,7 +95,7 @@ def joined_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int
     before = F.transform("p", lambda r, i: r.start - F.when(i > 0, F.get(F.col("p"), i - 1).end))
     gap = F.transform(before, lambda _, i: F.aggregate(F.slice(before, 2, i), F.lit(0).cast("long"), lambda t, x: t + x))
     shifts = whole_genes.withColumn("gap", gap).select(*gene, F.get("p", 0).start.alias("from"), (F.get("p", F.size("p") - 1).end - F.get("gap", F.size("p") - 1)).alias("upto"), F.posexplode("gap").alias("part", "gap"))
-    points = points_in(pieces, track, BIN, closed=False).join(shifts, [*gene, "part"]).withColumn("pos", F.col("pos") - F.col("gap"))
+    points = points_in(pieces, track, BIN, closed=False, levels=False).join(shifts, [*gene, "part"]).withColumn("pos", F.col("pos") - F.col("gap"))
     state = F.struct(F.lit(None).cast("long").alias("end"), F.array().cast("array<struct<part:int,d:bigint>>").alias("out"))
 
     def move(s: Column, r: Column) -> Column:
@@ -119,7 +119,7 @@ def part_bins(genes: DataFrame, track: DataFrame, classes: list[tuple[int, int,
     m = F.coalesce(*[F.when(F.col("class") == i, (size + step) // step) for i, (_, _, size) in enumerate(classes)])
     keys = [*GENE, "part", "class"]
     pieces = parts(genes, step, introns).withColumn("class", number).filter("class is not null")
-    return fitted(region_bins(points_in(pieces, track, BIN, closed=False), keys, step), keys, step, m)
+    return fitted(region_bins(points_in(pieces, track, BIN, closed=False, levels=False), keys, step), keys, step, m)
 
 
 def breaks(start: float, end: float, step: float, percent: bool = False) -> list[float]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .ranges import collapsed, expanded, points_in
 
+# spans of genes are a few such bins wide: they are dealt to bins of this one level
 BIN = 1 << 13
 # what tells genes apart: names repeat in gene tables, and so do whole rows, which ``copy`` numbers
 GENE = ["chrom", "name", "strand", "txStart", "txEnd", "copy"]
@@ -31,7 +32,7 @@ def anchor_bins(genes: DataFrame, track: DataFrame, reach: int = 2000, step: int
     spans = told_apart(genes).select(*GENE, (anchor - reach - half).alias("start"), (anchor + reach + half).alias("end"))
     count = (2 * reach + step) // step
     raw = F.floor((F.col("pos") - F.col("start")) / step).cast("int")
-    rows = points_in(spans, track, BIN, closed=False, levels=2 * reach + step > BIN).withColumn("bin", F.when(plus, raw).otherwise(count - 1 - raw))
+    rows = points_in(spans, track, BIN, closed=False, levels=False).withColumn("bin", F.when(plus, raw).otherwise(count - 1 - raw))
     return rows.groupBy(*GENE, "bin").agg(middle("pos", "value").alias("value"))
 
 
@@ -39,7 +40,7 @@ def body_bins(genes: DataFrame, track: DataFrame, bins: int = 60) -> DataFrame:
     """Per gene and relative bin of its body, 5' to 3': mean value."""
     spans = told_apart(genes).select(*GENE, F.col("txStart").alias("start"), F.col("txEnd").alias("end"))
     raw = F.floor((F.col("pos") - F.col("start")) * bins / (F.col("end") - F.col("start"))).cast("int")
-    rows = points_in(spans, track, BIN, closed=False).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
+    rows = points_in(spans, track, BIN, closed=False, levels=False).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
     return rows.groupBy(*GENE, "bin").agg(F.avg("value").alias("value"))
 
 
@@ -56,7 +57,7 @@ def joined_exon_bins(genes: DataFrame, track: DataFrame, bins: int = 30, introns
     before = F.transform("x", lambda r, i: F.struct(r.s.alias("start"), r.e.alias("end"), F.aggregate(F.slice(F.col("x"), 1, i), F.lit(0).cast("long"), lambda t, q: t + q.e - q.s).alias("skip")))
     parts = listed.select(*GENE, size.alias("size"), F.explode(before).alias("p")).select(*GENE, "size", "p.*").filter("end > start")
     raw = F.floor((F.col("pos") - F.col("start") + F.col("skip")) * bins / F.col("size")).cast("int")
-    rows = points_in(parts, track, BIN, closed=False).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
+    rows = points_in(parts, track, BIN, closed=False, levels=False).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
     return rows.groupBy(*GENE, "bin").agg(F.avg("value").alias("value"))
 
 
@@ -76,7 +77,7 @@ def centre_profile(regions: DataFrame, track: DataFrame, width: int) -> DataFram
     """Average value at each offset of a window of ``width`` around the middle of regions: offset, value, n (windows with a value there)."""
     mid = F.floor((F.col("start") + F.col("end")) / 2).cast("long")
     spans = regions.select("chrom", (mid - width // 2).alias("start"), (mid - width // 2 + width).alias("end"))
-    rows = points_in(spans, track, BIN, closed=False)
+    rows = points_in(spans, track, BIN, closed=False, levels=False)
     return rows.groupBy((F.col("pos") - F.col("start")).alias("offset")).agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 

@@ -8,6 +8,8 @@ Bins have levels, each four times as wide as the one below. An interval lies in
 the levels above that occur on the other side. So an interval as long as a chromosome is two rows, and a short one is compared with long ones in their few bins only.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,75 +32,88 @@ def level_of(start: str, end: str, size: int) -> Column:
     return F.when(q > 0, F.ceil(F.length(F.bin(q)) / 2)).otherwise(0).cast("int")
 
 
-def width_of(level: Column, size: int) -> Column:
-    return F.pow(F.lit(4.0), level) * size
+def width_of(level: int, size: int) -> int:
+    return size * 4**level
+
+
+def levels_of(*levels: DataFrame) -> list[list[int]]:
+    """The levels that occur in each of the frames (level), some thirty at most; one job."""
+    marked = [df.toDF("level").distinct().withColumn("side", F.lit(i)) for i, df in enumerate(levels)]
+    rows = reduce(DataFrame.unionByName, marked).filter("level is not null").collect()
+    return [sorted(r.level for r in rows if r.side == i) for i in range(len(levels))]
 
 
-def levels_of(df: DataFrame, level: Column, name: str) -> DataFrame:
-    """One row: the levels that occur, some thirty at most."""
-    return F.broadcast(df.agg(F.collect_set(level).alias(name)))
+def _by_level(own: Column, values: dict[int, Column], otherwise: Column) -> Column:
+    """The value of the row's own level."""
+    return reduce(lambda out, v: F.when(own == v[0], v[1]).otherwise(out), values.items(), otherwise)
 
 
-def _dealt(df: DataFrame, roles: Column, start: str, end: str, size: int, prefix: str) -> DataFrame:
-    """A row per role (level, who) and bin of that level."""
-    rows = df.withColumn("role", F.explode(roles))
-    width = width_of(F.col("role.level"), size)
+def _dealt(df: DataFrame, own: Column, roles: dict[int, list[tuple[int, int]]], start: str, end: str, size: int, prefix: str) -> DataFrame:
+    """A row per role (level, who) of the row's own level and bin of that level."""
     last = F.greatest(F.col(end) - 1, F.col(start))
-    bins = F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor(last / width).cast("long"))
-    return rows.withColumn("bin", F.explode(bins)).select(*df.columns, *[F.col(c).alias(f"{prefix}{c.rsplit('.', 1)[-1]}") for c in ("role.level", "role.who", "bin")])
 
+    def bins(level: int, who: int) -> Column:
+        width = width_of(level, size)
+        spots = F.sequence(bin_of(F.col(start), width), bin_of(last, width))
+        return F.transform(spots, lambda spot: F.struct(F.lit(level).alias("level"), F.lit(who).alias("who"), spot.alias("bin")))
 
-def _role(level: Column, who: int) -> Column:
-    return F.struct(level.cast("int").alias("level"), F.lit(who).alias("who"))
+    none = F.array().cast("array<struct<level:int,who:int,bin:bigint>>")
+    places = {v: F.concat(none, *[bins(*r) for r in rs]) for v, rs in roles.items()}
+    rows = df.withColumn("__at", F.explode(_by_level(own, places, none)))
+    return rows.select(*df.columns, *[F.col(f"__at.{c}").alias(f"{prefix}{c}") for c in ("level", "who", "bin")])
 
 
 def dealt_for_pairs(a: DataFrame, right: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Both sides (``right`` with names b_<name>) as rows per level, role and bin; see :func:`overlap_pairs`."""
     la, lb = level_of("start", "end", size), level_of("b_start", "b_end", size)
-    x = a.join(levels_of(right, lb, "__others"), F.lit(True)).withColumn("__own", la)
-    y = right.join(levels_of(a, la, "__others"), F.lit(True)).withColumn("__own", lb)
-    own, others = F.col("__own"), F.col("__others")
-    none = F.array().cast("array<struct<level:int,who:int>>")
-    home_a, home_b = F.when(F.exists(others, lambda v: v <= own), F.array(_role(own, 0))).otherwise(none), F.when(F.exists(others, lambda v: v < own), F.array(_role(own, 1))).otherwise(none)
-    roles_a = F.concat(home_a, F.transform(F.filter(others, lambda v: v > own), lambda v: _role(v, 1)))
-    roles_b = F.concat(home_b, F.transform(F.filter(others, lambda v: v >= own), lambda v: _role(v, 0)))
-    return tuple(_dealt(df, roles, s, e, size, p).drop("__others", "__own") for df, roles, s, e, p in ((x, roles_a, "start", "end", "__a_"), (y, roles_b, "b_start", "b_end", "__b_")))
+    of_a, of_b = levels_of(a.select(la), right.select(lb))
+    roles_a = {v: [(v, 0)] * any(w <= v for w in of_b) + [(w, 1) for w in of_b if w > v] for v in of_a}
+    roles_b = {v: [(v, 1)] * any(w < v for w in of_a) + [(w, 0) for w in of_a if w >= v] for v in of_b}
+    return _dealt(a, la, roles_a, "start", "end", size, "__a_"), _dealt(right, lb, roles_b, "b_start", "b_end", size, "__b_")
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
+def overlap_pairs(a: DataFrame, b: DataFrame, size: int, levels: bool = True) -> DataFrame:
     """Pairs of overlapping intervals: all columns of a, and those of b as b_<name>; touching ones do not overlap.
 
     A pair meets on the higher of both levels: where a's is not below b's, a is there at home (who = 0) and b a guest; else it is the other way round (who = 1).
-    Guests never meet each other.
+    Guests never meet each other. Where all intervals are known to be hardly longer than ``size``, or are dear to make twice, ``levels`` may be false: then all bins are ``size`` wide.
     """
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    x, y = dealt_for_pairs(a, right, size)
-    meet = (F.col("chrom") == F.col("b_chrom")) & (F.col("__a_level") == F.col("__b_level")) & (F.col("__a_who") == F.col("__b_who")) & (F.col("__a_bin") == F.col("__b_bin"))
-    first = F.floor(F.greatest("start", "b_start") / width_of(F.col("__a_level"), size)).cast("long")
-    pairs = x.join(y, meet).filter((F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end")) & (F.col("__a_bin") == first))
+    same = F.col("chrom") == F.col("b_chrom")
+    if levels:
+        x, y = dealt_for_pairs(a, right, size)
+        meet = same & (F.col("__a_level") == F.col("__b_level")) & (F.col("__a_who") == F.col("__b_who")) & (F.col("__a_bin") == F.col("__b_bin"))
+        width = F.expr(f"shiftleft({size}L, 2 * __a_level)")
+    else:
+        x, y = with_bins(a, size).withColumnRenamed("bin", "__a_bin"), with_bins(right, size, "b_start", "b_end").withColumnRenamed("bin", "__b_bin")
+        meet, width = same & (F.col("__a_bin") == F.col("__b_bin")), F.lit(size)
+    pairs = x.join(y, meet).filter((F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end")) & (F.col("__a_bin") == F.floor(F.greatest("start", "b_start") / width).cast("long")))
     return pairs.select(*a.columns, *[c for c in right.columns if c != "b_chrom"])
 
 
 def points_in(intervals: DataFrame, points: DataFrame, size: int, closed: bool = True, levels: bool = True, how: str = "inner") -> DataFrame:
     """Rows (all columns of intervals, pos and the other columns of points); ``closed``: the end belongs to the interval.
 
-    Intervals lie in two bins of their level at most, a point looks in one bin of each level that occurs. Where all intervals are known to be hardly longer than ``size``, ``levels`` may be
-    false, which spares reading them twice. ``how`` left keeps intervals without points, with nulls, once or twice.
+    Intervals lie in two bins of their level at most, a point looks in one bin of each level that occurs. Where all intervals are known to be hardly longer than ``size``, or are dear to make twice, ``levels`` may be
+    false: then all bins are ``size`` wide. ``how`` left keeps intervals without points, with nulls, once per bin.
     """
-    end = F.col("end") + (1 if closed else 0)
-    spans = intervals.withColumn("stop", end)
-    if levels:
-        own = level_of("start", "stop", size)
-        width = width_of(own, size)
-        bins = F.sequence(F.floor(F.col("start") / width).cast("long"), F.floor(F.greatest(F.col("stop") - 1, F.col("start")) / width).cast("long"))
-        x = spans.withColumn("level", own).withColumn("bin", F.explode(bins))
-        y = points.join(levels_of(spans, own, "__levels"), F.lit(True)).withColumn("p_level", F.explode("__levels")).drop("__levels")
-        y = y.withColumn("p_bin", F.floor(F.col("pos") / width_of(F.col("p_level"), size)).cast("long"))
+    spans = intervals.withColumn("stop", F.col("end") + (1 if closed else 0))
+    last = F.greatest(F.col("stop") - 1, F.col("start"))
+    own = level_of("start", "stop", size)
+    of = levels_of(spans.select(own))[0] if levels else [0]
+    if len(of) > 1:
+        spots = {v: F.sequence(bin_of(F.col("start"), width_of(v, size)), bin_of(last, width_of(v, size))) for v in of}
+        x = spans.withColumn("level", own).withColumn("bin", F.explode(_by_level(F.col("level"), spots, F.array().cast("array<bigint>"))))
+        seen = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), bin_of(F.col("pos"), width_of(v, size)).alias("bin")) for v in of]))
+        y = points.withColumn("__at", seen).withColumns({"p_level": F.col("__at.level"), "p_bin": F.col("__at.bin")}).drop("__at")
+        meet = (F.col("level") == F.col("p_level")) & (F.col("bin") == F.col("p_bin"))
     else:
-        x = with_bins(spans, size, "start", "stop").withColumn("level", F.lit(0))
-        y = points.withColumns({"p_level": F.lit(0), "p_bin": bin_of(F.col("pos"), size)})
+        width = width_of(*(of or [0]), size)
+        x = with_bins(spans, width, "start", "stop").withColumn("level", F.lit(0))
+        y = points.withColumns({"p_level": F.lit(0), "p_bin": bin_of(F.col("pos"), width)})
+        meet = F.col("bin") == F.col("p_bin")
     y = y.withColumnRenamed("chrom", "p_chrom")
-    hit = (F.col("chrom") == F.col("p_chrom")) & (F.col("level") == F.col("p_level")) & (F.col("bin") == F.col("p_bin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
+    hit = (F.col("chrom") == F.col("p_chrom")) & meet & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
     return x.join(y, hit, how).drop("level", "p_level", "bin", "p_bin", "p_chrom", "stop")
 
 
@@ -159,10 +174,10 @@ def merge_peaks(df: DataFrame, tile: int = TILE) -> DataFrame:
     return merged(base, sums, 0, tile).select("chrom", "start", "end", "n", (-F.col("best.m")).alias("summit"), F.col("best.score").alias("score"), "total_p")
 
 
-def covered_bases(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
+def covered_bases(a: DataFrame, b: DataFrame, size: int, levels: bool = True) -> DataFrame:
     """Per row of a that b covers somewhere, equal ones each: positions that b covers, where b's intervals do not overlap each other."""
     shared = F.least("end", "b_end") - F.greatest("start", "b_start")
-    found = overlap_pairs(collapsed(a), b.select("chrom", "start", "end"), size).groupBy(*a.columns, "__n").agg(F.sum(shared).alias("covered"))
+    found = overlap_pairs(collapsed(a), b.select("chrom", "start", "end"), size, levels).groupBy(*a.columns, "__n").agg(F.sum(shared).alias("covered"))
     return expanded(found)
 
 

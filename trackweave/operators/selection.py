@@ -45,18 +45,17 @@ def nth_by_group(df: DataFrame, keys: list[str], column: str, *places: Column) -
         return out
 
     asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), p.cast("long").alias("rest")) for i, p in enumerate(places)])).alias("x")
-    state = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select(*names, "n", asked).filter("x.rest >= 0 and x.rest < n").select(*names, "x.i", "x.rest", F.lit(0).cast("long").alias("prefix"))
-    for shift in (48, 32, 16, 0):
-        upper = F.shiftright("v", shift + STEP) if shift < 48 else F.lit(0).cast("long")
-        left = rows.withColumn("upper", upper)
-        if shift < 48:
-            wanted = state.select(*names, "prefix").distinct()
-            left = left.alias("r").join(wanted.alias("w"), same("r", "w") & (F.col("r.upper") == F.col("w.prefix")), "left_semi")
-        counts = left.groupBy(*names, "upper", F.shiftright("v", shift).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
-        counts = counts.withColumn("upto", F.sum("c").over(W.partitionBy(*names, "upper").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
-        here = same("s", "c") & (F.col("s.prefix") == F.col("c.upper")) & (F.col("s.rest") < F.col("c.upto")) & (F.col("s.rest") >= F.col("c.upto") - F.col("c.c"))
-        found = state.alias("s").join(counts.alias("c"), here)
-        state = found.select(*[F.col(f"s.{k}").alias(k) for k in names], F.col("s.i").alias("i"), (F.col("s.rest") - F.col("c.upto") + F.col("c.c")).alias("rest"), F.col("c.bucket").alias("prefix"))
+    state = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select(*names, "n", asked).filter("x.rest >= 0 and x.rest < n").select(*names, "x.i", "x.rest")
+    counts = rows.groupBy(*names, F.shiftright("v", 48).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+    counts = state.alias("s").join(counts.alias("c"), same("s", "c")).select(*[F.col(f"s.{k}").alias(k) for k in names], "i", "rest", "bucket", "c")
+    for shift in (32, 16, 0, None):
+        # the bucket that holds the wanted place, and the place in it
+        upto = F.sum("c").over(W.partitionBy(*names, "i").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+        state = counts.withColumn("upto", upto).filter("rest < upto and rest >= upto - c").select(*names, "i", (F.col("rest") - F.col("upto") + F.col("c")).alias("rest"), F.col("bucket").alias("prefix"))
+        if shift is None:
+            break
+        inside = rows.alias("r").join(state.alias("s"), same("r", "s") & (F.shiftright("r.v", shift + STEP) == F.col("s.prefix")))
+        counts = inside.select(*[F.col(f"s.{k}").alias(k) for k in names], "i", "rest", F.shiftright("r.v", shift).alias("bucket")).groupBy(*names, "i", "rest", "bucket").agg(F.count(F.lit(1)).alias("c"))
     out = F.col("prefix").cast(df.schema[column].dataType) if whole else _value_of("prefix")
     return state.select(*[F.col(a).alias(k) for k, a in zip(keys, names, strict=False)], "i", out.alias("value"))
 

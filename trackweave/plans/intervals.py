@@ -123,13 +123,13 @@ def total_of_repeated_regions(spark, sf):
     return rounded(values.groupBy("chrom", "start", "end").agg(F.max("value").alias("total"), F.count(F.lit(1)).alias("n")), "total", digits=4)
 
 
-@query("""SELECT * FROM (WITH a AS (SELECT chrom, start, CASE WHEN start % 1000 = 7 THEN start + 3000000 ELSE "end" END AS "end" FROM v_regions WHERE start % 40 = 7), b AS (SELECT chrom, start, CASE WHEN start % 500 = 14 THEN start + 100000000 ELSE start + 50 END AS "end" FROM v_regions WHERE start % 20 = 14)
+@query("""SELECT * FROM (WITH a AS (SELECT chrom, start, CASE WHEN start % 1000000 < 100 THEN start + 3000000 ELSE "end" END AS "end" FROM v_regions WHERE line % 2 = 0), b AS (SELECT chrom, start, CASE WHEN start % 5000000 BETWEEN 500 AND 599 THEN start + 100000000 ELSE "end" END AS "end" FROM v_regions WHERE line % 2 = 1)
 SELECT a.chrom, a.start, a."end", count(*) AS n, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS shared FROM a JOIN b ON a.chrom = b.chrom AND b.start < a."end" AND a.start < b."end" GROUP BY ALL)""")
 def mixed_interval_join(spark, sf):
-    """Intervals of a few positions beside ones as long as a chromosome, on both sides."""
-    r = V.regions(spark, sf).select("chrom", "start", "end")
-    a = r.filter("start % 40 = 7").withColumn("end", F.when(F.expr("start % 1000 = 7"), F.col("start") + 3_000_000).otherwise(F.col("end")))
-    b = r.filter("start % 20 = 14").withColumn("end", F.col("start") + F.when(F.expr("start % 500 = 14"), 100_000_000).otherwise(50))
+    """Intervals of a few positions beside ones as long as a chromosome, on both sides: odd lines against even ones."""
+    r = V.regions(spark, sf)
+    a = r.filter("line % 2 = 0").select("chrom", "start", F.when(F.expr("start % 1000000 < 100"), F.col("start") + 3_000_000).otherwise(F.col("end")).alias("end"))
+    b = r.filter("line % 2 = 1").select("chrom", "start", F.when(F.expr("start % 5000000 BETWEEN 500 AND 599"), F.col("start") + 100_000_000).otherwise(F.col("end")).alias("end"))
     pairs = R.overlap_pairs(a, b, 64)
     return pairs.groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("end", "b_end") - F.greatest("start", "b_start")).alias("shared"))
 
@@ -154,7 +154,7 @@ ON x.chrom = y.chrom AND y.start < x."end" AND x.start < y."end" GROUP BY ALL"""
 def covered_bases(spark, sf):
     a, b = halves(spark, sf)
     left, right = (R.merge_intervals(x, 50_000).select("chrom", "start", "end") for x in (a, b))
-    return R.covered_bases(left, right, 128)
+    return R.covered_bases(left, right, 128, levels=False)
 
 
 @query("""SELECT r.chrom, r.start, r."end", max(value) AS value FROM (SELECT DISTINCT chrom, start, "end" FROM v_regions) r LEFT JOIN v_signal s ON s.chrom = r.chrom AND s.pos BETWEEN r.start AND r."end" GROUP BY ALL""")
