@@ -65,4 +65,45 @@ def shop_talk(w):
     return page, [title, *paras]
 
 
-LAYOUTS = {f.__name__: f for f in (news, blog, omitted_tags, table_layout, manual, shop_talk)}
+def link_list(w):
+    title, paras, links = w.line(), [w.text() for _ in range(4)], [w.line(2, 5) for _ in range(2)]
+    page = f"""<!doctype html><html><body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><article><h1>{title}</h1><p>{paras[0]}</p><p>{paras[1]}</p>
+<ul>{"".join(f"<li><a href=/l>{x}</a></li>" for x in links)}</ul><p>{paras[2]}</p><p>{paras[3]}</p></article><footer>&copy; {w.line(2, 3)}</footer></body></html>"""
+    return page, [title, *paras[:2], *links, *paras[2:]]
+
+
+def object_text(w):
+    title, paras = w.line(), [w.text(2) for _ in range(4)]
+    page = f"""<html><body><div class=header>{w.line(1, 2)}</div><article><h1>{title}</h1><p>{paras[0]}</p><p>See <object data=map.svg type=image/svg+xml>the drawn map of the town</object> here.</p><p>{paras[1]}</p><p>{paras[2]}</p></article></body></html>"""
+    return page, [title, paras[0], "See the drawn map of the town here.", *paras[1:3]]
+
+
+def plain_divs(w):
+    title, paras = w.line(), [w.text(3) for _ in range(5)]
+    page = f"""<html><body><div class=d1><a href=/>Home</a> <a href=/a>About us</a> <a href=/k>Contact</a></div><div class=d2><h1>{title}</h1>{"".join(f"<p>{p}</p>" for p in paras)}</div><div class=d3><h4>More</h4><ul><li><a href=1>{w.line(2, 4)}</a></li><li><a href=2>{w.line(2, 4)}</a></li></ul></div>
+<div class=d4>Copyright 2024 {w.line(2, 2)}</div></body></html>"""
+    return page, [title, *paras]
+
+
+def zeitung(w):
+    title, paras = w.line(), [w.text(3) for _ in range(4)]
+    notes = "".join(f"<div class=kommentar><span class=autor>{w.line(1, 2)}</span><p>{w.text(1)}</p></div>" for _ in range(3))
+    page = f"""<html lang=de><body><div id=kopf><a href=/>Start</a> <a href=/p>Politik</a></div><div class=artikel><h1>{title}</h1>{"".join(f"<p>{p}</p>" for p in paras)}</div><div class=kommentare><h3>Kommentare</h3>{notes}</div><div id=fuss>© 2023 {w.line(1, 2)}. Alle Rechte vorbehalten.</div></body></html>"""
+    return page, [title, *paras]
+
+
+def diario(w):
+    title, paras = w.line(), [w.text(3) for _ in range(4)]
+    notes = "".join(f"<div class=opinion><b>{w.line(1, 2)}</b><p>{w.text(1)}</p></div>" for _ in range(4))
+    page = f"""<html lang=es><body><header><h2>{w.line(1, 2)}</h2></header><div class=noticia><h1>{title}</h1>{"".join(f"<p>{p}</p>" for p in paras)}</div><div class=opiniones>{notes}</div><div class=abajo>Todos los derechos reservados, {w.line(1, 2)}</div></body></html>"""
+    return page, [title, *paras]
+
+
+def journal(w):
+    title, paras = w.line(), [w.text(3) for _ in range(4)]
+    notes = "".join(f"<li class=avis><h4>{w.line(1, 2)}</h4><p>{w.text(1)}</p></li>" for _ in range(3))
+    page = f"""<html lang=fr><body><div class=haut><ul><li><a href=/>Accueil</a></li><li><a href=/m>Monde</a></li></ul></div><main><h1>{title}</h1>{"".join(f"<p>{p}</p>" for p in paras)}</main><ol class=reactions>{notes}</ol><div class=bas>Tous droits réservés, {w.line(1, 2)}</div></body></html>"""
+    return page, [title, *paras]
+
+
+LAYOUTS = {f.__name__: f for f in (news, blog, omitted_tags, table_layout, manual, shop_talk, link_list, object_text, plain_divs, zeitung, diario, journal)}

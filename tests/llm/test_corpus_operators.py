@@ -19,7 +19,7 @@ from tests.llm.page_layouts import LAYOUTS, Words
 from tests.llm.test_text_operators import brute_classes, docs, empty, plain_resampling
 from trackweave.llm import packing, warc
 from trackweave.llm.html_pages import PageMaker
-from trackweave.llm.html_text import Dom, decode, extract_main_text, features, main_text, trained
+from trackweave.llm.html_text import BLOCKS, Dom, decode, extract_main_text, features, main_text, trained
 from trackweave.llm.mixing import mixing_plan, mixture, splitting_tree
 
 PAGES = "page_id long, url string, html string, archive string, offset long"
@@ -182,7 +182,7 @@ def test_deep_pages_take_linear_time(page):
 
 
 def test_features_against_walks_over_the_tree():
-    dom = Dom("<body><div class='post'>a<p>b <b>c</b><ul class=nav><li>d<li>e<p>f</ul></div><nav>g<div>h</nav>i</body>")
+    dom = Dom("<body><div class='post'>a<p>b <b>c</b><ul class=nav><li class=k>d<li class=k>e<p>f</ul></div><p>j<nav>g<div>© h</nav>i</body>")
     x = features([dom])
     n = len(dom.kind)
     chain = [[i] for i in range(n)]
@@ -194,6 +194,12 @@ def test_features_against_walks_over_the_tree():
         assert below[i] == list(range(i, dom.last[i] + 1)) and x[i, 19] == dom.depth[i] == len(chain[i]) - 1
         assert x[i, 7] == sum(dom.plus[j] for j in chain[i] if j) and x[i, 8] == sum(dom.minus[j] for j in chain[i] if j)
         assert x[i, 11] == pytest.approx(np.log1p(sum(len(t) for j in below[i] for t in dom.text[j])))
+        behind = range(dom.last[i] + 1, n)
+        paras = [j for j in range(n) if dom.kind[j] == BLOCKS.index("p")]
+        alike = [j for j in range(1, n) if i and dom.alike[i] and dom.parent[j] == dom.parent[i] and dom.alike[j] == dom.alike[i]]
+        assert x[i, 34] == pytest.approx(np.log1p(sum(t.count("©") for j in below[i] for t in dom.text[j])))
+        assert x[i, 38] == pytest.approx(np.log1p(sum(j < i for j in paras))) and x[i, 39] == pytest.approx(np.log1p(sum(j in behind for j in paras)))
+        assert x[i, 41] == len(alike) and x[i, 44] == sum(dom.parent[j] == dom.parent[i] for j in paras)
 
 
 @pytest.mark.parametrize(
@@ -205,7 +211,7 @@ def test_features_against_walks_over_the_tree():
         ("<head><style>a</style></head><body><p>A.</p>", "A."),
         ("<p>A.<button>b<p>C.</p>", "A. C."),
         ("<div><button>b</div>C.<svg><g><p>D.</p>E.", "C. D. E."),
-        ("<div>A <object data=x>o</div><p>B.<button>b<p>C.<button>b</button></p>", "A B. C."),
+        ("<div>A <object data=x>o</div><p>B.<button>b<p>C.<button>b</button></p>", "A o B. C."),
         ("<p>A <video><p>Old browser</video> B <svg><svg></svg>x</svg><select><option>o</select>C", "A B C"),
         ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.", "Let x=1 be."),
         ("<p>A.<script>for(i=0;i<n;i++){}</script><p>B.", "A. B."),

@@ -31,25 +31,29 @@ class BoostedTrees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, least: float = 4.0) -> BoostedTrees:
-    """Second-order boosting of the logistic loss; splits by histograms of gradients over quantile bins."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, least: float = 4.0, share: float = 1.0) -> BoostedTrees:
+    """Second-order boosting of the logistic loss; splits by histograms of gradients over quantile bins, of a random ``share`` of the rows for each tree."""
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     inner = (1 << depth) - 1
     model = BoostedTrees(edges, np.zeros((trees, inner), dtype=np.int64), np.full((trees, inner), 255, dtype=np.int64), np.zeros((trees, inner + 1)), base)
-    b = model.binned(x).astype(np.int64)
+    b = model.binned(x)
+    columns = np.ascontiguousarray(b.T)
+    draw = np.random.default_rng(1)
     odds = np.full(len(y), base)
     for t in range(trees):
         p = 1 / (1 + np.exp(-odds))
         g, h = y - p, p * (1 - p)
+        some = np.flatnonzero(draw.random(len(y)) < share)
+        seen, gs, hs = columns[:, some].astype(np.int64), g[some], h[some]
         at = np.zeros(len(y), dtype=np.int64)
         for level in range(depth):
             first, n = (1 << level) - 1, 1 << level
-            local = at - first
+            local = (at[some] - first) * bins
             best = np.full(n, 1e-9)
             for f in range(x.shape[1]):
-                key = local * bins + b[:, f]
-                gl, hl = (np.bincount(key, v, n * bins).reshape(n, bins).cumsum(axis=1) for v in (g, h))
+                key = local + seen[f]
+                gl, hl = (np.bincount(key, v, n * bins).reshape(n, bins).cumsum(axis=1) for v in (gs, hs))
                 gr, hr = gl[:, -1:] - gl, hl[:, -1:] - hl
                 gain = gl**2 / (hl + least) + gr**2 / (hr + least) - gl[:, -1:] ** 2 / (hl[:, -1:] + least)
                 gain[(hl < 1e-3) | (hr < 1e-3)] = 0

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .boosting import BoostedTrees, fit
 from .html_pages import PageMaker
 
-TRAINING_PAGES = 700
+TRAINING_PAGES = 2000
+# text of the article that is lost counts this many times as much as other text that is kept
+LOSS = 2.0
 _MARK = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|))*)>?)", re.S)
 _ATTR = re.compile(r"(?<![-\w])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
@@ -22,7 +24,7 @@ _SIGN = re.compile(r"[.,;:!?]")
 # Elements by their part in a page, as HTML defines them.
 BLOCKS = "html body div section article main nav aside header footer form ul ol li dl dt dd table tbody thead tfoot tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset details summary center ins".split()
 RAW = {"script", "style", "textarea", "title", "xmp", "noscript", "iframe", "noembed"}
-SKIP = {"svg", "template", "select", "button", "object", "canvas", "video", "audio"}
+SKIP = {"svg", "template", "select", "button", "canvas", "video", "audio"}
 # what a head may hold; anything else ends it, as its tags may be left out
 IN_HEAD = {"head", "html", "base", "link", "meta", "title", "style", "script", "noscript", "template"}
 # where one of these begins, an element of SKIP without end tag is over
@@ -30,9 +32,16 @@ ARTICLE = set("body p h1 h2 h3 h4 h5 h6 article main section ul ol dl table bloc
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES_P = set(BLOCKS) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "ins"}
 SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-# A choice of common words in class, id and role attributes; how they count is learnt.
-FOR = set("article body content entry main page post story text blog news".split())
-AGAINST = set("ad ads advert banner breadcrumb comment comments consent cookie copyright discussion footer form gdpr header legal login logo masthead menu meta nav navbar navigation newsletter notice popular popup promo related replies respond search share side sidebar signup social sponsored subscribe tags toolbar widget alert rail".split())
+# A choice of common words in class, id and role attributes, in English, German, French and Spanish; how they count is learnt.
+FOR = set("article body content entry main page post story text blog news artikel beitrag inhalt haupttext contenu texte corps contenido texto articulo entrada cuerpo".split())
+AGAINST = set(
+    "ad ads advert banner breadcrumb comment comments consent cookie copyright discussion footer form gdpr header legal login logo masthead menu meta nav navbar navigation newsletter notice popular popup promo related replies respond search share side sidebar signup social sponsored subscribe tags toolbar widget alert rail "
+    "anzeige werbung kommentar kommentare kopfzeile fusszeile hinweis impressum suche teilen seitenleiste antworten "
+    "publicite pub commentaire commentaires entete pied avis recherche partager barre reponses "
+    "publicidad anuncio comentario comentarios cabecera pie aviso buscar compartir lateral respuestas".split()
+)
+# Signs and phrases by which pages name the owner of their rights, in the same languages.
+_OWNER = re.compile(r"©|\(c\)|copyright|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados", re.I)
 
 KIND = {t: i for i, t in enumerate(BLOCKS)}
 GROUPS = [["article"], ["main"], ["nav"], ["aside"], ["header"], ["footer"], ["form"], ["ul", "ol", "dl"], ["li", "dt", "dd"], ["table", "tr", "td", "th"], ["p"], ["h1", "h2", "h3", "h4", "h5", "h6"], ["blockquote", "pre", "figure"], ["div", "section", "center", "ins"], ["body", "html"]]
@@ -41,6 +50,7 @@ for _g, _names in enumerate(GROUPS):
     for _t in _names:
         GROUP[KIND[_t]] = _g
 TEXT = len(BLOCKS)
+HEAD_GROUP, PARA_GROUP = GROUP[KIND["h1"]], GROUP[KIND["p"]]
 
 
 def page_marks(page: str) -> list[re.Match]:
@@ -77,10 +87,16 @@ class Dom:
         self.kind, self.parent, self.depth, self.last, self.plus, self.minus = [KIND["html"]], [-1], [0], [0], [0], [0]
         self.text: list[list[str]] = [[]]
         self.linked, self.tags = [0], [0]
+        # elements of one kind and class value have one number; 0 is none
+        self.alike: list[int] = [0]
+        self._names: dict[tuple[int, str], int] = {}
         self._read(page)
 
     def _node(self, kind: int, parent: int, attributes: str = "") -> int:
-        words = _TOKEN.findall(" ".join(a or b or c for _, a, b, c in _ATTR.findall(attributes)).lower()) if attributes else ()
+        named = [(name.lower(), a or b or c) for name, a, b, c in _ATTR.findall(attributes)] if attributes else []
+        words = _TOKEN.findall(" ".join(value for _, value in named).lower())
+        classes = [value for name, value in named if name == "class"]
+        self.alike.append(self._names.setdefault((kind, classes[0]), len(self._names) + 1) if classes else 0)
         self.kind.append(kind)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
@@ -190,7 +206,7 @@ class Dom:
 
 
 def features(doms: list[Dom]) -> np.ndarray:
-    """One row per node of all pages: own and subtree text, links and tags, attributes, depth, siblings, and the same of the parent."""
+    """One row per node of all pages: own and subtree text, links, tags and owner marks, attributes, depth, siblings, headings and paragraphs before and behind, and the same of the parent."""
     sizes = np.array([len(d.kind) for d in doms])
     start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     page = np.repeat(np.arange(len(doms)), sizes)
@@ -205,14 +221,21 @@ def features(doms: list[Dom]) -> np.ndarray:
     words = np.array([sum(x.count(" ") + 1 for x in t) for t in texts], dtype=float)
     signs = np.array([sum(len(_SIGN.findall(x)) for x in t) for t in texts], dtype=float)
     linked, tags, plus, minus = (np.concatenate([np.array(getattr(d, name), dtype=float) for d in doms]) for name in ("linked", "tags", "plus", "minus"))
-    sub = np.stack([length, linked, words, signs, np.ones(n), tags, (length > 0) * 1.0], axis=1)
-    own = np.stack([np.isin(group, (0, 1)) * 1.0, np.isin(group, (2, 3, 4, 5, 6)) * 1.0, plus, minus], axis=1)
+    marks = np.array([sum(len(_OWNER.findall(x)) for x in t) for t in texts], dtype=float)
+    alike_as = np.concatenate([np.array(d.alike) for d in doms])
+    head = (group == HEAD_GROUP) * 1.0
+    para = (group == PARA_GROUP) * 1.0
+    sub = np.stack([length, linked, words, signs, np.ones(n), tags, (length > 0) * 1.0, marks, head, para], axis=1)
+    _, like, times = np.unique(np.stack([p, alike_as]), axis=1, return_inverse=True, return_counts=True)
+    repeats = np.where(alike_as > 0, times[like.ravel()], 0)
+    own = np.stack([np.isin(group, (0, 1)) * 1.0, np.isin(group, (2, 3, 4, 5, 6)) * 1.0, plus, minus, (repeats > 1) * 1.0], axis=1)
     depth = np.concatenate([np.array(d.depth) for d in doms])
     end = np.concatenate([np.array(d.last) for d in doms]) + root + 1
     # nodes stand in page order, so what is below node i are the nodes up to its last one: sums over subtrees and over ancestors are running totals
     held = np.concatenate((np.zeros((1, sub.shape[1])), np.cumsum(sub, axis=0)))
     sub = held[end] - held[:-1]
-    edge = np.zeros((n + 1, 4))
+    ahead, behind = held[:-1] - held[root], held[end[root]] - held[end]
+    edge = np.zeros((n + 1, own.shape[1]))
     edge[:-1] += own * ~top[:, None]
     np.subtract.at(edge, end, own * ~top[:, None])
     inside = np.cumsum(edge, axis=0)[:-1]
@@ -229,6 +252,11 @@ def features(doms: list[Dom]) -> np.ndarray:
     kin = (sub[p, 0] - sub[:, 0]) / np.maximum(born[p] - 1, 1)
     chars, above = np.maximum(sub[:, 0], 1), np.maximum(sub[p, 0], 1)
     none = len(GROUPS) + 1
+    previous, following = np.full(n, none), np.full(n, none)
+    same = p[order[1:]] == p[order[:-1]]
+    previous[order[1:][same]] = group[order[:-1][same]]
+    following[order[:-1][same]] = group[order[1:][same]]
+    beside = np.bincount(p[child], para[child], minlength=n)
     return np.stack(
         [
             group, np.where(top, none, group[p]), np.where(top | top[p], none, group[p[p]]),
@@ -236,6 +264,8 @@ def features(doms: list[Dom]) -> np.ndarray:
             np.log1p(sub[:, 0]), np.log1p(sub[:, 2]), sub[:, 1] / chars, sub[:, 3] / chars, sub[:, 4] / chars, sub[:, 5] / chars, sub[:, 0] / np.maximum(sub[:, 6], 1),
             sub[:, 0] / total, depth, rank, born[p], rank / np.maximum(born[p], 1), alike, np.log1p(np.maximum(kin, 0)), born,
             np.log1p(above), sub[p, 1] / above, sub[p, 3] / above, above / np.maximum(sub[p, 6], 1), above / total, before, np.log1p(total), (length > 0) * 1.0,
+            np.log1p(sub[:, 7]), 40 * sub[:, 7] / chars, np.log1p(ahead[:, 8]), np.log1p(behind[:, 8]), np.log1p(ahead[:, 9]), np.log1p(behind[:, 9]), behind[:, 0] / total,
+            repeats, inside[:, 4], (sub[p, 1] - sub[:, 1]) / np.maximum(sub[p, 0] - sub[:, 0], 1), beside[p], previous, following, sub[:, 8], sub[:, 9], np.where(top, none, previous[p]),
         ],
         axis=1,
     )
@@ -282,7 +312,7 @@ def training_nodes(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(maxsize=2)
 def trained(pages: int = TRAINING_PAGES, seed: int = 5) -> BoostedTrees:
     """Trees fitted on ``pages`` made pages; a few seconds on the driver, independent of the table."""
-    return fit(*training_nodes(pages, seed))
+    return fit(*training_nodes(pages, seed), trees=120, share=0.4)
 
 
 def main_text(doms: list[Dom], model: BoostedTrees) -> list[str]:
@@ -292,7 +322,7 @@ def main_text(doms: list[Dom], model: BoostedTrees) -> list[str]:
     cuts = np.cumsum([len(d.kind) for d in doms])[:-1]
     out = []
     for dom, part in zip(doms, np.split(odds, cuts), strict=True):
-        keep = decode(dom.parent, part)
+        keep = decode(dom.parent, part + np.log(LOSS))
         out.append(" ".join(t for i, texts in enumerate(dom.text) if keep[i] for t in texts))
     return out
 
@@ -303,7 +333,7 @@ def extract_main_text(pages: DataFrame, model: BoostedTrees | None = None) -> Da
     Every node of the page (block elements, and runs of text between them) gets the chance that it holds main text from trees over
     its features; the decoding then takes the likeliest choice in which nothing below a rejected node is kept. Kept runs
     of text, with character references decoded and white space (as str.split knows it) joined, follow in page order. Scripts,
-    styles, buttons and the like are never text. Null html is empty; a page without main text has the empty text. Rows are
+    styles, buttons and the like are never text; what an object holds for readers without it is. Null html is empty; a page without main text has the empty text. Rows are
     judged one by one, so repeated ones agree and nothing is shuffled.
     """
     ready = model or trained()
