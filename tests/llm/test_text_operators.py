@@ -344,6 +344,27 @@ def test_fingerprints_of_hot_and_null_ids(spark, monkeypatch):
     assert Counter((x.doc_id, x.edited_sha256) for x in fingerprint_edits(d).collect()) == want
 
 
+def test_ranges_of_null_and_hot_ids_reach_the_driver_in_bounded_number(spark):
+    from trackweave.llm.fingerprints import neighbour_blocks
+
+    d = spark.range(40_000).select(F.expr("if(id % 3 = 0, null, if(id % 3 = 1, 5, id))").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    blocks = neighbour_blocks(d, "doc_id", "text", per_block=100, most=50).groupBy("block").agg(F.sum(1 - F.col("ghost")).alias("n"), F.sum("ghost").alias("ghosts")).collect()
+    assert 40 <= len(blocks) <= 50 and sum(b.n for b in blocks) == 40_000
+    assert max(b.n for b in blocks) < 2_400 and all(b.ghosts == 1 for b in blocks)
+
+
+def test_texts_of_regular_words_are_told_apart():
+    from trackweave.llm.suffixes import sequence_keys
+
+    ones = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = [" ".join("ab"[x] for x in ones), " ".join("ba"[x] for x in ones), "", None, "a.B", " a b!", "ab", "ä b", "\u00e4-b", *["x"] * 2, "..."]
+    keys = [tuple(k) for w in WD.batch_words(pa.array(texts)) for k in sequence_keys(w).tolist()]
+    alike = defaultdict(list)
+    for i, k in enumerate(keys):
+        alike[k].append(i)
+    assert sorted(alike.values()) == [[0], [1], [2, 3, 11], [4, 5], [6], [7, 8], [9, 10]]
+
+
 def test_sketch_estimates_containment():
     r = random.Random(2)
     words = [f"w{r.randrange(10**6)}" for _ in range(20_000)]

@@ -117,33 +117,36 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double"
 
 
-def neighbour_blocks(docs: DataFrame, id_col: str, text_col: str, per_block: int = 1000, most: int = 20_000) -> DataFrame:
+def order_keys(ids: pa.Array, ties: pa.Array) -> np.ndarray:
+    """17 bytes a row that sort as descending id, null ids last, then rising hash of the text."""
+    sign = U64(1 << 63)
+    out = np.zeros((len(ids), 17), dtype=np.uint8)
+    out[:, 0] = ids.is_null().to_numpy(zero_copy_only=False)
+    out[:, 1:9] = (~(ids.fill_null(0).to_numpy(zero_copy_only=False).view(U64) ^ sign)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 9:] = (ties.to_numpy(zero_copy_only=False).view(U64) ^ sign).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
+
+
+def neighbour_blocks(docs: DataFrame, id_col: str, text_col: str, per_block: int = 1000, most: int = 20_000, per_cut: int = 20) -> DataFrame:
     """Rows (block, ghost, doc_id, tie, text): contiguous ranges of about equal size of the rows by descending id and hash of the text.
 
     Each block also gets, as a ghost, the row that follows its last one (the first of the next block that has
-    rows; for the last block the first row of all). At most ``most`` quantiles of the ids and as many block starts
-    reach the driver, however many rows there are. An id that several quantiles fall on, and null ids, which come last, are cut into ranges of the hash.
+    rows; for the last block the first row of all). The ranges are cut by a sample of about ``per_cut`` rows a block, ids and hashes
+    only; it decides sizes and no result. At most ``per_cut * most`` sampled pairs, within chance, and ``most`` block starts reach the driver, however many
+    rows or null ids there are. Above ``per_block * most`` rows the blocks grow; they are read as sorted streams. Rows that repeat both id and text share a block.
     """
     tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), tie.alias("tie"))
-    rows, known = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
-    n = min(most, max(1, known // per_block))
-    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    values, times = np.unique(np.array(found or [], dtype=np.int64), return_counts=True)
-    often = (times > 1) & (values < 2**63 - 1)
-    cuts = np.unique(np.concatenate((values, values[often] + 1)))
-    # blocks of each range by descending id, null ids last, and the first block of each
-    share = np.ones(len(cuts) + 2, dtype=np.int64)
-    share[len(cuts) - np.searchsorted(cuts, values[often], side="right")] = times[often]
-    share[-1] = max(1, -(-(rows - known) // max(per_block, known // n)))
-    start = np.cumsum(share) - share
+    rows = docs.count()
+    n = min(most, max(1, rows // per_block))
+    cuts = np.zeros(0, dtype="S17")
+    if n > 1:
+        chosen = ids.sample(min(1.0, per_cut * n / rows), seed=10).toArrow()
+        held = np.sort(order_keys(*(c.combine_chunks() for c in chosen.columns)))
+        cuts = np.unique(held[np.arange(1, n) * len(held) // n]) if len(held) else cuts
 
     def block_of(ids: pa.Array, ties: pa.Array) -> np.ndarray:
-        none = ids.is_null().to_numpy(zero_copy_only=False)
-        part = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-        part[none] = len(share) - 1
-        at = (ties.to_numpy(zero_copy_only=False).view(U64) ^ U64(1 << 63)) >> U64(11)
-        return start[part] + np.floor(at.astype(np.float64) / float(1 << 53) * share[part]).astype(np.int64)
+        return np.searchsorted(cuts, order_keys(ids, ties), side="right")
 
     @F.arrow_udf("long")
     def block(ids: pa.Array, ties: pa.Array) -> pa.Array:
