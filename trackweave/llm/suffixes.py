@@ -1,6 +1,7 @@
 """Repeated passages by sparse suffixes at minimiser positions."""
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialise
-from .words import U64, Words, batch_words, mix, span_hash
+from .words import U64, Words, batch_words, is_word, mix, span_hash
 
 LEAST = 50
 PREFIX = 20
@@ -47,10 +48,20 @@ def minimisers(hashes: np.ndarray, first: np.ndarray, least: int, prefix: int) -
     return keep, grams[keep]
 
 
-def sequence_keys(words: Words, hashes: np.ndarray) -> np.ndarray:
-    """128-bit keys of the word sequences, as two columns of signed numbers."""
-    b, e = words.first[:-1], words.first[1:]
-    return np.stack((span_hash(hashes, b, e), span_hash(mix(hashes), b, e)), axis=1).view(np.int64)
+def sequence_keys(words: Words) -> np.ndarray:
+    """128-bit digests of the word sequences, as two columns of signed numbers.
+
+    Words are joined by one space and hashed whole: the polynomial hashes of spans, which are fine for a few words, meet on long regular sequences.
+    """
+    keep = is_word(words.lower)
+    joined = np.where(keep, words.lower, np.uint8(32))
+    later = np.ones(len(words.starts), dtype=bool)
+    later[words.first[:-1][words.first[:-1] < len(later)]] = False
+    keep[words.starts[later] - 1] = True
+    at = np.concatenate(([0], np.cumsum(keep)))[words.text_at].tolist()
+    data = memoryview(joined[keep])
+    digests = b"".join(blake2b(data[b:e], digest_size=16).digest() for b, e in zip(at[:-1], at[1:], strict=True))
+    return np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
 
 
 def retained(docs: DataFrame, least: int, prefix: int) -> DataFrame:
@@ -61,7 +72,7 @@ def retained(docs: DataFrame, least: int, prefix: int) -> DataFrame:
         for batch in batches:
             for words in batch_words(batch.column(1)):
                 hashes = words.hashes()
-                keys = sequence_keys(words, hashes)
+                keys = sequence_keys(words)
                 at, grams = minimisers(hashes, words.first, least, prefix)
                 cuts = np.searchsorted(at, words.first).astype(np.int32)
                 local = at - np.repeat(words.first[:-1], np.diff(cuts))
@@ -89,7 +100,7 @@ def extensions(texts: DataFrame, least: int, prefix: int) -> DataFrame:
         for batch in batches:
             for words in batch_words(batch.column(1)):
                 hashes = words.hashes()
-                keys = sequence_keys(words, hashes)[:, 0]
+                keys = sequence_keys(words)[:, 0]
                 lo, n = words.row, words.n_texts
                 wanted = batch.column(2).slice(lo, n).to_numpy(zero_copy_only=False)
                 lists = batch.column(3).slice(lo, n)

@@ -21,6 +21,12 @@ _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 
+
+def is_word(lower: np.ndarray) -> np.ndarray:
+    """Which bytes of lower-cased UTF-8 belong to words."""
+    return _IS_WORD[lower]
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers = {_BASE: np.ones(1, dtype=U64), _BASE_INV: np.ones(1, dtype=U64)}
