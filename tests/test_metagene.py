@@ -131,3 +131,19 @@ def test_sides_and_breaks(data, spark):
     assert G.gene_with_sides(table.limit(0), track, 500).count() == 0
     assert G.breaks(-100, 100, 50) == [-100, -50, 0, 50, 100]
     assert G.breaks(0, 200, 50, percent=True) == [0.0, 25.0, 50.0, 75.0, 100.0]
+
+
+def test_gene_spans_are_never_broadcast(spark):
+    """A file of few columns says little about the rows made from it: the join with the track is a merge join of partitions that follow the table."""
+    from tests.conftest import SF
+    from trackweave.plans import QUERIES
+    from trackweave.plans import views as V
+
+    for name in ("meta_gene_profile_of_namesakes", "spaced_exon_profile", "spaced_intron_profile"):
+        assert "BroadcastExchange" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    rows = V.ROWS
+    V.ROWS = 100
+    try:
+        assert V.parts(spark, SF) == -(-V.table(spark, SF, "lineitem").count() // 100)
+    finally:
+        V.ROWS = rows

@@ -7,10 +7,10 @@ All this is integer arithmetic on rows, so no region needs to be held whole.
 """
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .profiles import BIN, GENE, middle, told_apart
-from .ranges import points_in
+from .profiles import GENE, gene_points, middle, told_apart
 
 
 def whole(a: Column, b: Column) -> Column:
@@ -27,89 +27,103 @@ def region_bins(points: DataFrame, keys: list[str], step: int) -> DataFrame:
     return placed.groupBy(*keys, "length", "n", "i").agg(middle("pos", "value").alias("value"))
 
 
-def fitted(bins: DataFrame, keys: list[str], step: int, m: Column, trim: int = 0) -> DataFrame:
-    """Bins of :func:`region_bins` fitted to ``m`` per region after ``trim`` (0 or 1) bins at both ends have gone: keys, bin and value for all m bins.
+def fitted(bins: DataFrame, keys: list[str], step: int, m: Column, trim: Column | None = None, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """Bins of :func:`region_bins` fitted to ``m`` per region after ``trim`` (0 or 1) bins at both ends have gone: keys, bin and value for all m bins, or those from ``low`` to ``high``.
 
     The trimmed bin before the first is what bins repeat that have none before them; without trimming it is the first. Regions that trimming leaves empty have no row.
+    Each bin names the bins that take it, and the first of a region all m as well, so that the bins are made and moved once.
     """
-    region = [*keys, "length", "n"]
-    regions = bins.select(*region).distinct().withColumns({"m": m.cast("long"), "k": F.col("n") - 2 * trim}).filter("k > 0")
-    wanted = regions.select(*region, "m", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("bin"))
+    rows = bins.withColumns({"m": m.cast("long"), "trim": (F.lit(0) if trim is None else trim).cast("long")})
+    rows = rows.withColumns({"k": F.col("n") - 2 * F.col("trim"), "t": F.col("i") - F.col("trim")}).filter("k > 0")
+    size, half = F.col("length") * F.col("m"), F.col("n") * F.col("m") * (step // 2)
 
     def first_of(j: Column) -> Column:
         """The first of the k bins that is dealt to bin j or a later one."""
-        size = F.col("length") * F.col("m")
-        return whole(F.greatest(j * F.col("length") * F.col("k") - F.col("n") * F.col("m") * (step // 2), F.lit(0)) + size - 1, size)
+        return whole(F.greatest(j * F.col("length") * F.col("k") - half, F.lit(0)) + size - 1, size)
 
-    low, high = first_of(F.col("bin")), first_of(F.col("bin") + 1)
-    taken = F.when(F.col("k") > F.col("m"), low + whole(high - low, F.lit(2))).when(F.col("k") == F.col("m"), F.col("bin")).otherwise(F.greatest(high - 1, F.lit(-trim)))
-    chosen = wanted.select(*region, "bin", (taken + trim).alias("i")).join(bins, [*region, "i"], "left")
-    return chosen.select(*keys, "bin", F.coalesce("value", F.lit(0.0)).alias("value"))
+    def taken(j: Column) -> Column:
+        low, high = first_of(j), first_of(j + 1)
+        return F.when(F.col("k") > F.col("m"), low + whole(high - low, F.lit(2))).when(F.col("k") == F.col("m"), j).otherwise(F.greatest(high - 1, -F.col("trim")))
 
+    def dealt(t: Column) -> Column:
+        return whole(F.greatest(t, F.lit(0)) * size + half, F.col("length") * F.col("k"))
 
-def _side(genes: DataFrame, track: DataFrame, reach: int, step: int, end: bool) -> DataFrame:
-    plus = F.col("strand") == "+"
-    anchor = F.when(plus != F.lit(end), F.col("txStart")).otherwise(F.col("txEnd"))
-    half, n = step // 2, (2 * reach + step) // step
-    spans = told_apart(genes).select(*GENE, (anchor - reach - half).alias("start"), (anchor + reach + half).alias("end"))
-    return fitted(region_bins(points_in(spans, track, BIN, closed=False, levels=False), GENE, step), GENE, step, F.lit(n))
+    low, high = F.lit(0) if low is None else low, F.col("m") - 1 if high is None else high
+    rows = rows.withColumns({"low": low.cast("long"), "high": high.cast("long"), "first": F.row_number().over(W.partitionBy(*keys).orderBy("i")) == 1})
+
+    def shown(j: Column) -> Column:
+        return F.least(F.greatest(j, F.col("low")), F.col("high"))
+
+    t = F.col("t")
+    begin, end = F.when(F.col("first") | (t <= 0), F.col("low")).otherwise(shown(dealt(t))), F.when(F.col("first"), F.col("high")).otherwise(shown(dealt(t + 1)))
+    placed = rows.withColumn("bin", F.explode(F.sequence(begin, end))).withColumn("hit", taken(F.col("bin")) == t).filter("first or hit")
+    return placed.groupBy(*keys, "bin").agg(F.coalesce(F.max(F.when(F.col("hit"), F.col("value"))), F.lit(0.0)).alias("value"))
 
 
-def gene_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int = 50) -> DataFrame:
+def gene_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int = 50, parts: int | None = None) -> DataFrame:
     """Genes, a step and a half wider at both ends, fitted to (size + step) // step bins after one bin at each end has gone: GENE, bin, value."""
     margin = step + step // 2
     spans = told_apart(genes).select(*GENE, (F.col("txStart") - margin).alias("start"), (F.col("txEnd") + margin).alias("end"))
-    bins = region_bins(points_in(spans, track, BIN, closed=False, levels=False), GENE, step)
-    return fitted(bins, GENE, step, F.lit((size + step) // step), trim=1)
+    bins = region_bins(gene_points(spans, track, parts), GENE, step)
+    return fitted(bins, GENE, step, F.lit((size + step) // step), F.lit(1))
 
 
-def gene_with_sides(genes: DataFrame, track: DataFrame, size: int = 3000, reach: int = 3000, wing: int = 1000, step: int = 50) -> DataFrame:
+def gene_with_sides(genes: DataFrame, track: DataFrame, size: int = 3000, reach: int = 3000, wing: int = 1000, step: int = 50, parts: int | None = None) -> DataFrame:
     """Bins upstream of the start (-wing to -step), of the gene and downstream of the end (step to wing), numbered on from 0: GENE, bin, value.
 
-    ``reach`` and ``wing`` are multiples of ``step``. A part without points has no rows; the others keep their numbers.
+    ``reach`` and ``wing`` are multiples of ``step``. A part without points has no rows; the others keep their numbers. The three parts of a gene are spans of one join with the track.
     """
     wing = min(wing, reach)
-    side, body, centre = wing // step, (size + step) // step, reach // step
-    up = _side(genes, track, reach, step, False).filter(F.col("bin").between(centre - side, centre - 1)).withColumn("bin", F.col("bin") - (centre - side))
-    down = _side(genes, track, reach, step, True).filter(F.col("bin").between(centre + 1, centre + side)).withColumn("bin", F.col("bin") - (centre + 1) + side + body)
-    inner = gene_bins(genes, track, size, step).withColumn("bin", F.col("bin") + side)
-    return up.unionByName(inner).unionByName(down)
-
-
-def parts(genes: DataFrame, step: int, introns: bool = False) -> DataFrame:
-    """Exons (or introns), half a step wider at both ends: GENE, part (from 0), start, end."""
+    side, body, centre, n = wing // step, (size + step) // step, reach // step, (2 * reach + step) // step
+    half, margin = step // 2, step + step // 2
+    plus = F.col("strand") == "+"
+    start, end = F.when(plus, F.col("txStart")).otherwise(F.col("txEnd")), F.when(plus, F.col("txEnd")).otherwise(F.col("txStart"))
+    bounds = ((start - reach - half, start + reach + half), (F.col("txStart") - margin, F.col("txEnd") + margin), (end - reach - half, end + reach + half))
+    spans = told_apart(genes).select(*GENE, F.posexplode(F.array(*[F.struct(a.alias("start"), b.alias("end")) for a, b in bounds])).alias("part", "x")).select(*GENE, "part", "x.start", "x.end")
+    keys, inner = [*GENE, "part"], F.col("part") == 1
+    bins = region_bins(gene_points(spans, track, parts), keys, step)
+    low = F.when(F.col("part") == 0, centre - side).when(inner, 0).otherwise(centre + 1)
+    high = F.when(F.col("part") == 0, centre - 1).when(inner, body - 1).otherwise(centre + side)
+    values = fitted(bins, keys, step, F.when(inner, body).otherwise(n), F.when(inner, 1).otherwise(0), low, high)
+    return values.select(*GENE, (F.col("bin") + F.when(F.col("part") == 0, side - centre).when(inner, side).otherwise(side + body - centre - 1)).alias("bin"), "value")
+
+
+def parts_of(genes: DataFrame, step: int, introns: bool = False) -> DataFrame:
+    """Exons (or introns), half a step wider at both ends: GENE, part (from 0), start, end; gap: what lies between the parts up to this one; from, upto: bounds of all parts put end to end."""
     half, n = step // 2, F.size("exonStarts")
     starts, ends = (F.slice("exonEnds", 1, F.greatest(n - 1, F.lit(0))), F.slice("exonStarts", 2, F.greatest(n - 1, F.lit(0)))) if introns else (F.col("exonStarts"), F.col("exonEnds"))
-    listed = told_apart(genes).select(*GENE, F.posexplode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("part", "x"))
-    return listed.select(*GENE, "part", (F.col("x.s") - half).alias("start"), (F.col("x.e") + half).alias("end"))
+    listed = told_apart(genes).select(*GENE, F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.struct((x.s - half).alias("start"), (x.e + half).alias("end"))).alias("p"))
+    between = F.transform("p", lambda r, i: r.start - F.when(i > 0, F.get(F.col("p"), i - 1).end))
+    listed = listed.withColumn("between", between)
+    gaps = listed.withColumn("gaps", F.transform("between", lambda _, i: F.aggregate(F.slice("between", 2, i), F.lit(0).cast("long"), lambda t, x: t + x)))
+    last = F.size("p") - 1
+    rows = gaps.select(*GENE, F.get("p", F.lit(0)).start.alias("from"), (F.get("p", last).end - F.get("gaps", last)).alias("upto"), F.posexplode(F.arrays_zip("p", "gaps")).alias("part", "x"))
+    return rows.select(*GENE, "part", "x.p.start", "x.p.end", F.col("x.gaps").alias("gap"), "from", "upto")
 
 
-def joined_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int = 50, least: int = 10, introns: bool = False) -> DataFrame:
+def joined_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int = 50, least: int = 10, introns: bool = False, parts: int | None = None) -> DataFrame:
     """Exons (or introns) put end to end and fitted to (size + step) // step bins: GENE, bin, value.
 
     The first point of a part comes at least ``least`` after the last one of the parts before: the part is moved on by what is missing.
     """
-    gene = GENE
-    pieces = parts(genes, step, introns)
-    whole_genes = pieces.groupBy(*gene).agg(F.array_sort(F.collect_list(F.struct("part", "start", "end"))).alias("p"))
-    before = F.transform("p", lambda r, i: r.start - F.when(i > 0, F.get(F.col("p"), i - 1).end))
-    gap = F.transform(before, lambda _, i: F.aggregate(F.slice(before, 2, i), F.lit(0).cast("long"), lambda t, x: t + x))
-    shifts = whole_genes.withColumn("gap", gap).select(*gene, F.get("p", 0).start.alias("from"), (F.get("p", F.size("p") - 1).end - F.get("gap", F.size("p") - 1)).alias("upto"), F.posexplode("gap").alias("part", "gap"))
-    points = points_in(pieces, track, BIN, closed=False, levels=False).join(shifts, [*gene, "part"]).withColumn("pos", F.col("pos") - F.col("gap"))
-    state = F.struct(F.lit(None).cast("long").alias("end"), F.array().cast("array<struct<part:int,d:bigint>>").alias("out"))
+    points = gene_points(parts_of(genes, step, introns), track, parts).withColumn("pos", F.col("pos") - F.col("gap"))
+    state = F.struct(F.lit(None).cast("long").alias("end"), F.lit(0).cast("long").alias("d"))
 
     def move(s: Column, r: Column) -> Column:
         d = F.coalesce(F.greatest(F.lit(least) - (r["first"] - s["end"]), F.lit(0)), F.lit(0)).cast("long")
-        return F.struct((r["last"] + d).alias("end"), F.concat(s["out"], F.array(F.struct(r["part"].alias("part"), d.alias("d")))).alias("out"))
+        return F.struct((r["last"] + d).alias("end"), d.alias("d"))
 
-    found = points.groupBy(*gene, "part").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    ordered = found.groupBy(*gene).agg(F.array_sort(F.collect_list(F.struct("part", "first", "last"))).alias("p"))
-    moved = ordered.select(*gene, F.explode(F.aggregate("p", state, move).out).alias("x")).select(*gene, "x.part", "x.d")
-    rows = points.join(moved, [*gene, "part"]).select(*gene, F.col("from").alias("start"), F.col("upto").alias("end"), (F.col("pos") + F.col("d")).alias("pos"), "value")
-    return fitted(region_bins(rows, gene, step), gene, step, F.lit((size + step) // step))
+    # what moves a part are the first and last points of the parts up to it: windows over rows that lie by genes already
+    edges = {c: f("pos").over(W.partitionBy(*GENE, "part")) for c, f in (("first", F.min), ("last", F.max))}
+    own = points.withColumns(edges).withColumn("edge", F.struct("part", "first", "last"))
+    met = own.withColumn("p", F.collect_set("edge").over(W.partitionBy(*GENE)))
+    upto = F.filter(F.array_sort("p"), lambda x: x.part <= F.col("part"))
+    moved = met.withColumn("d", F.aggregate(upto, state, move).d)
+    rows = moved.select(*GENE, F.col("from").alias("start"), F.col("upto").alias("end"), (F.col("pos") + F.col("d")).alias("pos"), "value")
+    return fitted(region_bins(rows, GENE, step), GENE, step, F.lit((size + step) // step))
 
 
-def part_bins(genes: DataFrame, track: DataFrame, classes: list[tuple[int, int, int]], step: int = 50, introns: bool = False) -> DataFrame:
+def part_bins(genes: DataFrame, track: DataFrame, classes: list[tuple[int, int, int]], step: int = 50, introns: bool = False, parts: int | None = None) -> DataFrame:
     """Each exon (or intron) fitted to the bins of its class: GENE, part, class, bin, value.
 
     ``classes`` are (lower, upper, size): the first with lower <= length < upper takes the part, fitted to (size + step) // step bins; parts of no class are left out.
@@ -118,8 +132,8 @@ def part_bins(genes: DataFrame, track: DataFrame, classes: list[tuple[int, int,
     number = F.coalesce(*[F.when((length >= lower) & (length < upper), i) for i, (lower, upper, _) in enumerate(classes)])
     m = F.coalesce(*[F.when(F.col("class") == i, (size + step) // step) for i, (_, _, size) in enumerate(classes)])
     keys = [*GENE, "part", "class"]
-    pieces = parts(genes, step, introns).withColumn("class", number).filter("class is not null")
-    return fitted(region_bins(points_in(pieces, track, BIN, closed=False, levels=False), keys, step), keys, step, m)
+    pieces = parts_of(genes, step, introns).select(*GENE, "part", "start", "end").withColumn("class", number).filter("class is not null")
+    return fitted(region_bins(gene_points(pieces, track, parts), keys, step), keys, step, m)
 
 
 def breaks(start: float, end: float, step: float, percent: bool = False) -> list[float]:

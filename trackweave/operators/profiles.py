@@ -18,13 +18,19 @@ def told_apart(genes: DataFrame) -> DataFrame:
     return genes.withColumn("copy", F.row_number().over(W.partitionBy(*GENE[:-1]).orderBy(*(ties or [F.lit(0)]))) - 1)
 
 
+def gene_points(spans: DataFrame, track: DataFrame, parts: int | None = None) -> DataFrame:
+    """Points inside spans of genes, dealt by genes to ``parts`` partitions, so that all that is grouped by genes lies where it is."""
+    rows = points_in(spans, track, BIN, closed=False, levels=False, parts=parts)
+    return rows.repartition(*([parts] if parts else []), *GENE)
+
+
 def middle(pos: str, value: str) -> Column:
     """The middle element by position (index n // 2)."""
     a = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
     return F.get(a, F.floor(F.size(a) / 2).cast("int")).v
 
 
-def anchor_bins(genes: DataFrame, track: DataFrame, reach: int = 2000, step: int = 100, end: bool = False) -> DataFrame:
+def anchor_bins(genes: DataFrame, track: DataFrame, reach: int = 2000, step: int = 100, end: bool = False, parts: int | None = None) -> DataFrame:
     """Per gene and bin that has points: GENE, bin, value; bins run 5' to 3' around the start (or end) of transcription."""
     plus = F.col("strand") == "+"
     anchor = F.when(plus != F.lit(end), F.col("txStart")).otherwise(F.col("txEnd"))
@@ -32,19 +38,19 @@ def anchor_bins(genes: DataFrame, track: DataFrame, reach: int = 2000, step: int
     spans = told_apart(genes).select(*GENE, (anchor - reach - half).alias("start"), (anchor + reach + half).alias("end"))
     count = (2 * reach + step) // step
     raw = F.floor((F.col("pos") - F.col("start")) / step).cast("int")
-    rows = points_in(spans, track, BIN, closed=False, levels=False).withColumn("bin", F.when(plus, raw).otherwise(count - 1 - raw))
+    rows = gene_points(spans, track, parts).withColumn("bin", F.when(plus, raw).otherwise(count - 1 - raw))
     return rows.groupBy(*GENE, "bin").agg(middle("pos", "value").alias("value"))
 
 
-def body_bins(genes: DataFrame, track: DataFrame, bins: int = 60) -> DataFrame:
+def body_bins(genes: DataFrame, track: DataFrame, bins: int = 60, parts: int | None = None) -> DataFrame:
     """Per gene and relative bin of its body, 5' to 3': mean value."""
     spans = told_apart(genes).select(*GENE, F.col("txStart").alias("start"), F.col("txEnd").alias("end"))
     raw = F.floor((F.col("pos") - F.col("start")) * bins / (F.col("end") - F.col("start"))).cast("int")
-    rows = points_in(spans, track, BIN, closed=False, levels=False).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
+    rows = gene_points(spans, track, parts).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
     return rows.groupBy(*GENE, "bin").agg(F.avg("value").alias("value"))
 
 
-def joined_exon_bins(genes: DataFrame, track: DataFrame, bins: int = 30, introns: bool = False) -> DataFrame:
+def joined_exon_bins(genes: DataFrame, track: DataFrame, bins: int = 30, introns: bool = False, parts: int | None = None) -> DataFrame:
     """Per gene and relative bin of its exons (or introns) put end to end: mean value."""
     exons = F.arrays_zip(F.col("exonStarts").alias("s"), F.col("exonEnds").alias("e"))
     if introns:
@@ -55,9 +61,9 @@ def joined_exon_bins(genes: DataFrame, track: DataFrame, bins: int = 30, introns
     listed = told_apart(genes).select(*GENE, exons.alias("x"))
     size = F.aggregate("x", F.lit(0).cast("long"), lambda t, r: t + r.e - r.s)
     before = F.transform("x", lambda r, i: F.struct(r.s.alias("start"), r.e.alias("end"), F.aggregate(F.slice(F.col("x"), 1, i), F.lit(0).cast("long"), lambda t, q: t + q.e - q.s).alias("skip")))
-    parts = listed.select(*GENE, size.alias("size"), F.explode(before).alias("p")).select(*GENE, "size", "p.*").filter("end > start")
+    pieces = listed.select(*GENE, size.alias("size"), F.explode(before).alias("p")).select(*GENE, "size", "p.*").filter("end > start")
     raw = F.floor((F.col("pos") - F.col("start") + F.col("skip")) * bins / F.col("size")).cast("int")
-    rows = points_in(parts, track, BIN, closed=False, levels=False).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
+    rows = gene_points(pieces, track, parts).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
     return rows.groupBy(*GENE, "bin").agg(F.avg("value").alias("value"))
 
 

@@ -91,11 +91,12 @@ def overlap_pairs(a: DataFrame, b: DataFrame, size: int, levels: bool = True) ->
     return pairs.select(*a.columns, *[c for c in right.columns if c != "b_chrom"])
 
 
-def points_in(intervals: DataFrame, points: DataFrame, size: int, closed: bool = True, levels: bool = True, how: str = "inner") -> DataFrame:
+def points_in(intervals: DataFrame, points: DataFrame, size: int, closed: bool = True, levels: bool = True, how: str = "inner", parts: int | None = None) -> DataFrame:
     """Rows (all columns of intervals, pos and the other columns of points); ``closed``: the end belongs to the interval.
 
     Intervals lie in two bins of their level at most, a point looks in one bin of each level that occurs. Where all intervals are known to be hardly longer than ``size``, or are dear to make twice, ``levels`` may be
-    false: then all bins are ``size`` wide. ``how`` left keeps intervals without points, with nulls, once per bin.
+    false: then all bins are ``size`` wide. ``how`` left keeps intervals without points, with nulls, once per bin. ``parts`` is the number of partitions of the join (the session's if not given);
+    it is a merge join, as the files of few columns that the planner measures say little about the size of rows made from them.
     """
     spans = intervals.withColumn("stop", F.col("end") + (1 if closed else 0))
     last = F.greatest(F.col("stop") - 1, F.col("start"))
@@ -114,7 +115,9 @@ def points_in(intervals: DataFrame, points: DataFrame, size: int, closed: bool =
         meet = F.col("bin") == F.col("p_bin")
     y = y.withColumnRenamed("chrom", "p_chrom")
     hit = (F.col("chrom") == F.col("p_chrom")) & meet & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
-    return x.join(y, hit, how).drop("level", "p_level", "bin", "p_bin", "p_chrom", "stop")
+    if parts:
+        x = x.repartition(parts, "chrom", *(["level"] if len(of) > 1 else []), "bin")
+    return x.join(y.hint("merge"), hit, how).drop("level", "p_level", "bin", "p_bin", "p_chrom", "stop")
 
 
 def collapsed(df: DataFrame, n: str = "__n") -> DataFrame:

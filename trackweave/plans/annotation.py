@@ -178,26 +178,26 @@ JOIN v_gene_signal s ON s.chrom = g.chrom AND s.pos >= anchor - 2050 AND s.pos <
 
 @query(f"SELECT bin, round(avg(value), 6) AS value, count(*) AS n FROM ({ANCHOR}) GROUP BY bin")
 def start_profile(spark, sf):
-    return rounded(P.average_profile(P.anchor_bins(V.genes(spark, sf), V.gene_signal(spark, sf))), "value")
+    return rounded(P.average_profile(P.anchor_bins(V.genes(spark, sf), V.gene_signal(spark, sf), parts=V.parts(spark, sf))), "value")
 
 
 @query(f"SELECT bin, round(avg(value), 6) AS value, 2 * count(*) AS n FROM ({ANCHOR}) GROUP BY bin")
 def start_profile_of_namesakes(spark, sf):
     """Genes of few names, each in the table twice."""
     g = renamed(spark, sf)
-    return rounded(P.average_profile(P.anchor_bins(g.unionByName(g), V.gene_signal(spark, sf))), "value")
+    return rounded(P.average_profile(P.anchor_bins(g.unionByName(g), V.gene_signal(spark, sf), parts=V.parts(spark, sf))), "value")
 
 
 @query(f"SELECT CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS grp, bin, round(avg(value), 6) AS value, count(*) AS n FROM ({ANCHOR}) a JOIN v_genes g ON g.name = a.name GROUP BY ALL")
 def profile_by_gene_group(spark, sf):
     g = V.genes(spark, sf)
     groups = g.select("name", F.when(F.col("p_size") > 25, "large").otherwise("small").alias("grp"))
-    return rounded(P.average_profile(P.anchor_bins(g, V.gene_signal(spark, sf)), groups), "value")
+    return rounded(P.average_profile(P.anchor_bins(g, V.gene_signal(spark, sf), parts=V.parts(spark, sf)), groups), "value")
 
 
 @query(f"SELECT bin, round(sum(v * n) / sum(n), 6) AS value, CAST(sum(n) AS BIGINT) AS n FROM (SELECT chrom, bin, avg(value) AS v, count(*) AS n FROM ({ANCHOR}) GROUP BY ALL) GROUP BY bin")
 def weighted_profile_merge(spark, sf):
-    values = P.anchor_bins(V.genes(spark, sf), V.gene_signal(spark, sf))
+    values = P.anchor_bins(V.genes(spark, sf), V.gene_signal(spark, sf), parts=V.parts(spark, sf))
     per_chrom = values.groupBy("chrom", "bin").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
     return rounded(P.merge_profiles(per_chrom), "value")
 
@@ -205,7 +205,7 @@ def weighted_profile_merge(spark, sf):
 @query("""SELECT bin, round(avg(v), 6) AS value, count(*) AS n FROM (SELECT g.name, CASE WHEN strand = '+' THEN r ELSE 29 - r END AS bin, avg(value) AS v FROM (
 SELECT g.name, g.strand, CAST((s.pos - txStart) * 30 // (txEnd - txStart) AS INTEGER) AS r, value FROM v_genes g JOIN v_gene_signal s ON s.chrom = g.chrom AND s.pos >= txStart AND s.pos < txEnd) g GROUP BY ALL) GROUP BY bin""")
 def body_profile(spark, sf):
-    return rounded(P.average_profile(P.body_bins(V.genes(spark, sf), V.gene_signal(spark, sf), 30)), "value")
+    return rounded(P.average_profile(P.body_bins(V.genes(spark, sf), V.gene_signal(spark, sf), 30, V.parts(spark, sf))), "value")
 
 
 _JOINED = """SELECT bin, round(avg(v), 6) AS value, count(*) AS n FROM (SELECT name, CASE WHEN strand = '+' THEN r ELSE 19 - r END AS bin, avg(value) AS v FROM (
@@ -214,12 +214,12 @@ SELECT x.name, x.strand, CAST((s.pos - x.s + skip) * 20 // size AS INTEGER) AS r
 
 @query(_JOINED.format(parts="SELECT chrom, name, strand, unnest(exonStarts) AS s, unnest(exonEnds) AS e, unnest([0, 200, 400]) AS skip, 600 + (exonEnds[3] - exonStarts[3]) - 200 AS size FROM v_genes"))
 def exon_profile(spark, sf):
-    return rounded(P.average_profile(P.joined_exon_bins(V.genes(spark, sf), V.gene_signal(spark, sf), 20)), "value")
+    return rounded(P.average_profile(P.joined_exon_bins(V.genes(spark, sf), V.gene_signal(spark, sf), 20, parts=V.parts(spark, sf))), "value")
 
 
 @query(_JOINED.format(parts="SELECT chrom, name, strand, unnest(exonEnds[1:2]) AS s, unnest(exonStarts[2:3]) AS e, unnest([0, 200]) AS skip, 400 AS size FROM v_genes"))
 def intron_profile(spark, sf):
-    return rounded(P.average_profile(P.joined_exon_bins(V.genes(spark, sf), V.gene_signal(spark, sf), 20, introns=True)), "value")
+    return rounded(P.average_profile(P.joined_exon_bins(V.genes(spark, sf), V.gene_signal(spark, sf), 20, introns=True, parts=V.parts(spark, sf))), "value")
 
 
 @query("""SELECT s.pos - (mid - 300) AS "offset", round(avg(value), 6) AS value, count(*) AS n FROM (SELECT chrom, (start + "end") // 2 AS mid FROM v_gene_peaks) r JOIN v_gene_signal s ON s.chrom = r.chrom AND s.pos >= mid - 300 AND s.pos < mid + 300 GROUP BY ALL""")

@@ -39,14 +39,14 @@ UNION ALL SELECT bin + 20, value FROM {_GENE} UNION ALL SELECT bin - 41 + 51, va
 
 @query(META)
 def meta_gene_profile(spark, sf):
-    values = G.gene_with_sides(V.genes(spark, sf), V.gene_signal(spark, sf), 1500, 2000, 1000, STEP)
+    values = G.gene_with_sides(V.genes(spark, sf), V.gene_signal(spark, sf), 1500, 2000, 1000, STEP, V.parts(spark, sf))
     return rounded(P.average_profile(values), "value")
 
 
 @query(META)
 def meta_gene_profile_of_namesakes(spark, sf):
     """The same genes under one name."""
-    values = G.gene_with_sides(V.genes(spark, sf).withColumn("name", F.lit("g")), V.gene_signal(spark, sf), 1500, 2000, 1000, STEP)
+    values = G.gene_with_sides(V.genes(spark, sf).withColumn("name", F.lit("g")), V.gene_signal(spark, sf), 1500, 2000, 1000, STEP, V.parts(spark, sf))
     return rounded(P.average_profile(values), "value")
 
 
@@ -65,12 +65,12 @@ def joined_sql(starts: list[str], ends: list[str]) -> str:
 
 @query(joined_sql(["exonStarts[1]", "exonStarts[2]", "exonStarts[3]"], ["exonEnds[1]", "exonEnds[2]", "exonEnds[3]"]))
 def spaced_exon_profile(spark, sf):
-    return rounded(P.average_profile(G.joined_bins(V.genes(spark, sf), V.gene_signal(spark, sf), 1000, STEP)), "value")
+    return rounded(P.average_profile(G.joined_bins(V.genes(spark, sf), V.gene_signal(spark, sf), 1000, STEP, parts=V.parts(spark, sf))), "value")
 
 
 @query(joined_sql(["exonEnds[1]", "exonEnds[2]"], ["exonStarts[2]", "exonStarts[3]"]))
 def spaced_intron_profile(spark, sf):
-    return rounded(P.average_profile(G.joined_bins(V.genes(spark, sf), V.gene_signal(spark, sf), 1000, STEP, introns=True)), "value")
+    return rounded(P.average_profile(G.joined_bins(V.genes(spark, sf), V.gene_signal(spark, sf), 1000, STEP, introns=True, parts=V.parts(spark, sf))), "value")
 
 
 _CLASS = "CASE " + " ".join(f"WHEN e - s >= {a} AND e - s < {b} THEN {{}}".format(f"{i}") for i, (a, b, _) in enumerate(CLASSES)) + " END"
@@ -81,5 +81,5 @@ SELECT *, {_CLASS} AS c FROM (SELECT chrom, name, strand, unnest(range(3)) AS pa
 
 @query(f"SELECT key['class'] AS class, bin, round(avg(value), 6) AS value, count(*) AS n FROM {fitted_sql(points_sql(_PARTS))} GROUP BY ALL")
 def exon_class_profile(spark, sf):
-    values = G.part_bins(V.genes(spark, sf), V.gene_signal(spark, sf), CLASSES, STEP)
+    values = G.part_bins(V.genes(spark, sf), V.gene_signal(spark, sf), CLASSES, STEP, parts=V.parts(spark, sf))
     return rounded(values.groupBy("class", "bin").agg(F.avg("value").alias("value"), F.count("value").alias("n")), "value")

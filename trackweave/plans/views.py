@@ -26,6 +26,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# rows of a table to one partition of what is made from it
+ROWS = 500_000
+
+
+def parts(spark: SparkSession, sf: str, name: str = "lineitem") -> int:
+    """Partitions for what is made from a table: the session's number, more where the table (counted by its footers) is larger, so that a task's share does not grow with it."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf, name).count() // ROWS))
+
+
 # each view may use those before it
 VIEWS = {
     "v_points": "SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS pos, value, user_id FROM events",
@@ -119,7 +128,7 @@ def tags(spark: SparkSession, sf: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").selectExpr("l_returnflag AS chrom", "l_orderkey * 100 + l_partkey % 100 AS pos", "l_extendedprice AS value")
-    return rows.groupBy("chrom", "pos").agg(F.max("value").alias("value"))
+    return rows.repartition(parts(spark, sf), "chrom", "pos").groupBy("chrom", "pos").agg(F.max("value").alias("value"))
 
 
 def genes(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,16 +141,17 @@ def genes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _on_parts(spark: SparkSession, sf: str, pos: str, *more: str) -> DataFrame:
-    both = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    n = parts(spark, sf)
+    both = table(spark, sf, "lineitem").repartition(n, "l_partkey").join(table(spark, sf, "part").hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
     return both.selectExpr("p_type AS chrom", f"{pos} AS pos", *more)
 
 
 def coords(spark: SparkSession, sf: str) -> DataFrame:
-    return _on_parts(spark, sf, "p_partkey * 5000 + cast(floor(l_extendedprice) as bigint) % 12000 - 3000").distinct()
+    return _on_parts(spark, sf, "p_partkey * 5000 + cast(floor(l_extendedprice) as bigint) % 12000 - 3000").repartition(parts(spark, sf), "chrom", "pos").distinct()
 
 
 def gene_signal(spark: SparkSession, sf: str) -> DataFrame:
-    return _on_parts(spark, sf, "p_partkey * 5000 + cast(floor(l_extendedprice) as bigint) % 7000 - 2000", "l_quantity AS value").groupBy("chrom", "pos").agg(F.max("value").alias("value"))
+    return _on_parts(spark, sf, "p_partkey * 5000 + cast(floor(l_extendedprice) as bigint) % 7000 - 2000", "l_quantity AS value").repartition(parts(spark, sf), "chrom", "pos").groupBy("chrom", "pos").agg(F.max("value").alias("value"))
 
 
 def gene_peaks(spark: SparkSession, sf: str) -> DataFrame:
