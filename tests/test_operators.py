@@ -389,3 +389,15 @@ def test_labels_round_as_sql_does(spark):
     CASE WHEN x < 0.001 THEN printf('(%.1e)', x) ELSE printf('(%.3f)', x) END FROM (SELECT unnest($v::DOUBLE[]) AS x)"""
     want = duckdb.execute(sql, {"v": values}).fetchall()
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(want, key=str)
+
+
+def test_partitions_of_region_values_are_given(spark):
+    from trackweave.operators import profiles as P
+
+    rows = [("a", 10 * i, 10 * i + 15) for i in range(40)]
+    regions, track = spark.createDataFrame(rows, "chrom string, start long, end long"), spark.createDataFrame([("a", 7 * i, float(i % 5)) for i in range(50)], "chrom string, pos long, value double")
+    found = P.region_values(regions, track, F.max("value"), ["chrom", "start", "end"], parts=7)
+    want = [(c, a, b, max((float(i % 5) for i in range(50) if a <= 7 * i < b), default=None)) for c, a, b in rows]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chrom" in plan and ", 7)" in plan and "BroadcastExchange" not in plan

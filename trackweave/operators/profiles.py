@@ -87,8 +87,10 @@ def centre_profile(regions: DataFrame, track: DataFrame, width: int) -> DataFram
     return rows.groupBy((F.col("pos") - F.col("start")).alias("offset")).agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
-def region_values(regions: DataFrame, track: DataFrame, aggregate: Column, keys: list[str], default: float | None = None, closed: bool = False) -> DataFrame:
-    """Per row of regions, equal ones each, an aggregate of the values inside, which passes nulls over; ``default`` where there is none."""
-    each = points_in(collapsed(regions), track, BIN, closed, how="left")
+def region_values(regions: DataFrame, track: DataFrame, aggregate: Column, keys: list[str], default: float | None = None, closed: bool = False, parts: int | None = None) -> DataFrame:
+    """Per row of regions, equal ones each, an aggregate of the values inside, which passes nulls over; ``default`` where there is none. ``parts``: partitions of the join and of the groups, the session's number if not given."""
+    rows = regions.repartition(parts, *keys) if parts else regions
+    each = points_in(collapsed(rows), track, BIN, closed, how="left", parts=parts)
+    each = each.repartition(parts, *keys) if parts else each
     out = expanded(each.groupBy(*keys, "__n").agg(aggregate.alias("value")))
     return out if default is None else out.withColumn("value", F.coalesce("value", F.lit(default)))

@@ -159,8 +159,9 @@ def covered_bases(spark, sf):
 
 @query("""SELECT r.chrom, r.start, r."end", max(value) AS value FROM (SELECT DISTINCT chrom, start, "end" FROM v_regions) r LEFT JOIN v_signal s ON s.chrom = r.chrom AND s.pos BETWEEN r.start AND r."end" GROUP BY ALL""")
 def extract_max_values(spark, sf):
-    r = V.regions(spark, sf).select("chrom", "start", "end").distinct()
-    return P.region_values(r, V.signal(spark, sf), F.max("value"), ["chrom", "start", "end"], closed=True)
+    n = V.parts(spark, sf)
+    r = V.regions(spark, sf).select("chrom", "start", "end").repartition(n, "chrom", "start", "end").distinct()
+    return P.region_values(r, V.signal(spark, sf), F.max("value"), ["chrom", "start", "end"], closed=True, parts=n)
 
 
 @query("""SELECT r.chrom, r.start, r."end", string_agg((pos - r.start) || ':' || CAST(floor(value) AS BIGINT), ',' ORDER BY pos) AS points FROM (SELECT DISTINCT chrom, start, "end" FROM v_regions) r JOIN v_signal s ON s.chrom = r.chrom AND s.pos BETWEEN r.start AND r."end" GROUP BY ALL""")
@@ -191,8 +192,9 @@ def trimmed_means(spark, sf):
 
 @query("""SELECT r.chrom, r.start, r."end", coalesce(max(value), 0.0::DOUBLE) AS value FROM (SELECT DISTINCT chrom, start, "end" FROM v_regions) r LEFT JOIN v_signal s ON s.chrom = r.chrom AND s.pos >= r.start AND s.pos < r."end" GROUP BY ALL""")
 def scan_scores(spark, sf):
-    r = V.regions(spark, sf).select("chrom", "start", "end").distinct()
-    return P.region_values(r, V.signal(spark, sf), F.max("value"), ["chrom", "start", "end"], default=0.0)
+    n = V.parts(spark, sf)
+    r = V.regions(spark, sf).select("chrom", "start", "end").repartition(n, "chrom", "start", "end").distinct()
+    return P.region_values(r, V.signal(spark, sf), F.max("value"), ["chrom", "start", "end"], default=0.0, parts=n)
 
 
 @query("""SELECT s.chrom, count(*) AS points, sum(CASE WHEN EXISTS (SELECT 1 FROM v_regions r WHERE r.chrom = s.chrom AND s.pos BETWEEN r.start AND r."end") THEN 1 ELSE 0 END)::BIGINT AS inside FROM v_signal s GROUP BY s.chrom""")
