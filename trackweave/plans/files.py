@@ -90,9 +90,9 @@ WHERE l_quantity > 10 GROUP BY ALL""")
 def binary_scan_files(spark, sf):
     """Scan hits written as binary files of fixed records and read back in ranges of them, above a cut-off."""
     hits = V.table(spark, sf, "lineitem").selectExpr("l_returnflag AS chrom", "CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand", "l_orderkey * 25 + l_linenumber AS pos", "l_quantity AS score")
-    path = shared_path(spark, "scan")
-    M.write_scan(hits, path, ["A", "N", "R"])
-    return M.read_scan(spark, path, ["A", "N", "R"], 10.0).groupBy("chrom", "strand", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+    path, n = shared_path(spark, "scan"), V.parts(spark, sf)
+    M.write_scan(hits, path, ["A", "N", "R"], n)
+    return M.read_scan(spark, path, ["A", "N", "R"], 10.0).repartition(n, "chrom", "strand", "pos").groupBy("chrom", "strand", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
 
 
 @query("""SELECT l_orderkey * 10 + l_linenumber AS pair, side, chrom, pos, strand, CAST(errors AS INTEGER) AS errors FROM (

@@ -225,7 +225,7 @@ def read_motif_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 RECORD = np.dtype([("pos", "<i4"), ("score", "<f4")])
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 4 << 20
 
 
 def scan_ranges(head: bytes, size: int, chroms: list[str], most: int = RANGE_BYTES) -> list[tuple[str, int, int]]:
@@ -246,7 +246,8 @@ def scan_ranges(head: bytes, size: int, chroms: list[str], most: int = RANGE_BYT
 def read_scan(spark: SparkSession, path: str, chroms: list[str], cutoff: float = 0.0, most: int = RANGE_BYTES) -> DataFrame:
     """(file, chrom, strand, pos, score): the sign of the position is the strand; positions count from 0.
 
-    The headers give ranges of whole records, at most ``most`` bytes each, which are dealt to all tasks: a file of any size is read in parts.
+    The headers give ranges of whole records, at most ``most`` bytes each, which are dealt to as many tasks: a file of any size is read in parts. The number of tasks is given, as adaptive
+    execution sees few bytes in the rows that name the ranges and would leave them all to one task.
     """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +273,9 @@ def read_scan(spark: SparkSession, path: str, chroms: list[str], cutoff: float =
                 )
 
     files = spark.read.format("binaryFile").load(path).select("path", "length")
+    tasks = files.agg(F.sum(F.ceil(F.col("length") / most))).first()[0] or 1
     parts = files.mapInArrow(ranges, "file string, chrom string, lo long, hi long")
-    return parts.repartition(F.hash("file", "lo")).mapInArrow(records, "file string, chrom string, strand string, pos long, score double")
+    return parts.repartition(int(tasks)).mapInArrow(records, "file string, chrom string, strand string, pos long, score double")
 
 
 def opened(path: str) -> pa.NativeFile:
@@ -283,10 +285,10 @@ def opened(path: str) -> pa.NativeFile:
     return system.open_input_file(place)
 
 
-def write_scan(hits: DataFrame, path: str, chroms: list[str]) -> int:
+def write_scan(hits: DataFrame, path: str, chroms: list[str], parts: int | None = None) -> int:
     """Write (chrom, strand, pos, score) as binary scans, one file per task; the number of records. Positions are below 2**31 - 1.
 
-    Rows are dealt by ranges of chromosome and position. A file gets its name at the end and is replaced by a repeated task.
+    Rows are dealt by ranges of chromosome and position to ``parts`` tasks (the session's number if not given), each of which holds its records. A file gets its name at the end and is replaced by a repeated task.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +322,7 @@ def write_scan(hits: DataFrame, path: str, chroms: list[str]) -> int:
         system.move(own, name)
         yield pa.RecordBatch.from_pydict({"file": [name], "n": [n]}, schema=pa.schema([("file", pa.string()), ("n", pa.int64())]))
 
-    dealt = hits.select("chrom", "strand", F.col("pos").cast("long"), F.col("score").cast("double")).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+    dealt = hits.select("chrom", "strand", F.col("pos").cast("long"), F.col("score").cast("double")).repartitionByRange(*([parts] if parts else []), "chrom", "pos").sortWithinPartitions("chrom", "pos")
     return dealt.mapInArrow(write, "file string, n long").agg(F.sum("n")).first()[0] or 0
 
 
