@@ -18,6 +18,7 @@ from trackweave.sources import text as X
 # per query: keys of the exchanges that keep the session's number of partitions, as few rows pass them
 SPREAD = {
     "binary_scan_files": set(),
+    "eland_pair_files": {"file, block"},
 }
 
 
@@ -36,3 +37,13 @@ def test_ranges_of_a_scan_are_many_tasks(spark, tmp_path):
     M.write_scan(hits, out, ["c"])
     back = M.read_scan(spark, out, ["c"], 0.0, 4096)
     assert back.count() == 4000 and back.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_pairs_of_lines_of_folders_cut_unlike(spark, tmp_path):
+    lines = {s: [f"r{i}\tACGT\t1:0:0\tc{s}.fa:{i}F0" for i in range(40)] for s in "LR"}
+    for side, cut in (("L", 7), ("R", 16)):
+        (tmp_path / side).mkdir()
+        for k, at in enumerate(range(0, 40, cut)):
+            (tmp_path / side / f"part-{k:05d}.txt").write_text("\n".join(lines[side][at : at + cut]) + "\n")
+    got = X.read_eland_pairs(spark, str(tmp_path / "L"), str(tmp_path / "R"))
+    assert sorted((r.pair, r.side, r.chrom, r.pos) for r in got.collect()) == sorted((i, s, f"c{s}", i) for i in range(40) for s in "LR")

@@ -99,14 +99,14 @@ def binary_scan_files(spark, sf):
 SELECT *, 'L' AS side, l_returnflag AS chrom, l_partkey AS pos, '+' AS strand, l_linenumber % 3 AS errors FROM lineitem UNION ALL SELECT *, 'R', l_linestatus, l_suppkey, '-', 0 FROM lineitem)""")
 def eland_pair_files(spark, sf):
     """The hits of the N-th lines of two files; a table that gives each line's number its tag is joined back."""
-    path = {}
+    path, n = {}, V.parts(spark, sf)
     tag = F.expr("l_orderkey * 10 + l_linenumber")
-    rows = V.table(spark, sf, "lineitem").repartitionByRange("l_orderkey", "l_linenumber").sortWithinPartitions("l_orderkey", "l_linenumber")
+    rows = V.table(spark, sf, "lineitem").repartitionByRange(n, "l_orderkey", "l_linenumber").sortWithinPartitions("l_orderkey", "l_linenumber")
     for side, hit in (("L", ("l_returnflag", "l_partkey", F.lit("F"), (F.col("l_linenumber") % 3).cast("string"))), ("R", ("l_linestatus", "l_suppkey", F.lit("R"), F.lit("0")))):
         chrom, pos, strand, errors = hit
-        path[side] = stored_lines(rows.select(K.tab(tag, F.lit("ACGT"), F.lit("1:0:0"), F.concat(chrom, F.lit(".fa:"), F.col(pos).cast("string"), strand, errors))).coalesce(1))
-    names = X.numbered_lines(spark, path["L"]).select(F.col("line").alias("pair"), F.substring_index("value", "\t", 1).cast("long").alias("tag"))
-    return X.read_eland_pairs(spark, path["L"], path["R"]).join(names, "pair").select(F.col("tag").alias("pair"), "side", "chrom", "pos", "strand", "errors")
+        path[side] = stored_lines(rows.select(K.tab(tag, F.lit("ACGT"), F.lit("1:0:0"), F.concat(chrom, F.lit(".fa:"), F.col(pos).cast("string"), strand, errors))))
+    names = X.numbered_lines(spark, path["L"], whole=True).select(F.col("line").alias("pair"), F.substring_index("value", "\t", 1).cast("long").alias("tag"))
+    return X.read_eland_pairs(spark, path["L"], path["R"]).repartition(n, "pair").join(names.repartition(n, "pair"), "pair").select(F.col("tag").alias("pair"), "side", "chrom", "pos", "strand", "errors")
 
 
 @query("""SELECT chrom, start, "end", summit, score, pvalue, fdr FROM v_peaks""")

@@ -23,16 +23,17 @@ def split_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): lines that are not empty, with their place in the file, from 0.
+def numbered_lines(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(file, line, value): lines that are not empty, with their place in the file, from 0; ``whole``: the files of the folder, in the order of their names, are one.
 
-    Splits number their lines on from the counts of the splits before: one row per split is counted, and no file is read by one task.
+    Splits number their lines on from the counts of the splits before: one row per split is counted and sent to all tasks, so that lines stay where they are read, and no file is read by one task.
     """
     rows = split_lines(spark, path)
     counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    order = W.partitionBy(F.lit(0)).orderBy("file", "block") if whole else W.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shift = counts.select("file", "block", (before - F.col("least")).alias("shift"))
-    return rows.filter("value <> ''").join(shift, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
+    return rows.filter("value <> ''").join(F.broadcast(shift), ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
 
 
 def with_records(rows: DataFrame, begins: Column) -> DataFrame:
@@ -114,9 +115,10 @@ def read_eland_multi(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eland_pairs(spark: SparkSession, left: str, right: str) -> DataFrame:
-    """Hits of the N-th lines of two ELAND multi files: pair, side, chrom, pos, strand, errors."""
+    """Hits of the N-th lines of two ELAND multi files: pair, side, chrom, pos, strand, errors. A folder is one file, its parts in the order of their names; both may be cut unlike."""
+
     def side(path: str, name: str) -> DataFrame:
-        rows = numbered_lines(spark, path).select(F.col("line").cast("long").alias("pair"), F.explode(eland_hits(F.col("value"))).alias("h"))
+        rows = numbered_lines(spark, path, whole=True).select(F.col("line").cast("long").alias("pair"), F.explode(eland_hits(F.col("value"))).alias("h"))
         return rows.select("pair", F.lit(name).alias("side"), "h.chrom", "h.pos", "h.strand", "h.errors")
 
     return side(left, "L").unionByName(side(right, "R"))
