@@ -19,6 +19,7 @@ from trackweave.sources import text as X
 SPREAD = {
     "binary_scan_files": set(),
     "eland_pair_files": {"file, block"},
+    "trimmed_means": set(),
 }
 
 
@@ -47,3 +48,10 @@ def test_pairs_of_lines_of_folders_cut_unlike(spark, tmp_path):
             (tmp_path / side / f"part-{k:05d}.txt").write_text("\n".join(lines[side][at : at + cut]) + "\n")
     got = X.read_eland_pairs(spark, str(tmp_path / "L"), str(tmp_path / "R"))
     assert sorted((r.pair, r.side, r.chrom, r.pos) for r in got.collect()) == sorted((i, s, f"c{s}", i) for i in range(40) for s in "LR")
+
+
+def test_own_function_beside_other_aggregates(spark):
+    rows = [("a", 3, 5.0), ("a", 1, 7.0), ("a", 2, None), ("a", 4, float("nan")), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, value double")
+    first = A.reducer(lambda v: v[0] * 100 + v[-1] * 10 + len(v))
+    assert sorted(map(tuple, df.groupBy("chrom").agg(first.alias("x"), F.count(F.lit(1)).alias("n")).collect())) == [("a", 752.0, 4), ("b", None, 1)]

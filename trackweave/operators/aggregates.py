@@ -4,6 +4,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +30,20 @@ def reducer(name: str | Callable[[np.ndarray], float], value: str = "value", pos
     """An aggregate by name, or by any function of an array that gives a number; ``last`` and ``sample`` take the value at the largest position.
 
     A function gets the values of a group that are not null in order of position, and is not asked about groups without any, whose aggregate is null. It sees a group whole, so groups must
-    fit into a task; and it stands alone in its ``agg``, as Spark does not mix such functions with others.
+    fit into a task. Groups are gathered by Spark and come to Python many at a time, as a batch for each small group would cost far more than the function.
     """
     if not callable(name):
         return REDUCERS[name](value, pos)
 
-    @F.pandas_udf("double")
-    def reduced(v: pd.Series, p: pd.Series) -> float:
-        known = v.notna()
-        return float(name(v[known].to_numpy()[np.argsort(p[known].to_numpy(), kind="stable")])) if known.any() else None
+    @F.arrow_udf("double")
+    def reduced(groups: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(groups).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        values = groups.flatten().to_numpy(zero_copy_only=False)
+        return pa.array([float(name(values[a:b])) if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.float64())
 
-    return reduced(F.col(value).cast("double"), F.col(pos))
+    v = F.col(value).cast("double")
+    known = F.collect_list(F.when(v.isNotNull() & ~F.isnan(v), F.struct(F.col(pos).alias("p"), v.alias("v"))))
+    return reduced(F.transform(F.array_sort(known), lambda x: x.v))
 
 
 def summary(track: DataFrame, value: str = "value") -> DataFrame:

@@ -185,9 +185,10 @@ def trimmed_means(spark, sf):
     def trimmed(values):
         return sorted(values)[1:-1] if len(values) > 2 else values
 
-    r = V.gene_peaks(spark, sf).select("chrom", "start", "end").distinct()
+    n = V.parts(spark, sf)
+    r = V.gene_peaks(spark, sf).select("chrom", "start", "end").repartition(n, "chrom", "start", "end").distinct()
     how = A.reducer(lambda v: sum(trimmed(v)) / len(trimmed(v)))
-    return rounded(P.region_values(r, V.gene_signal(spark, sf), how, ["chrom", "start", "end"]), "value")
+    return rounded(P.region_values(r, V.gene_signal(spark, sf), how, ["chrom", "start", "end"], parts=n), "value")
 
 
 @query("""SELECT r.chrom, r.start, r."end", coalesce(max(value), 0.0::DOUBLE) AS value FROM (SELECT DISTINCT chrom, start, "end" FROM v_regions) r LEFT JOIN v_signal s ON s.chrom = r.chrom AND s.pos >= r.start AND s.pos < r."end" GROUP BY ALL""")
