@@ -20,6 +20,7 @@ SPREAD = {
     "binary_scan_files": set(),
     "eland_pair_files": {"file, block"},
     "trimmed_means": set(),
+    "saved_interval_join": set(),
 }
 
 

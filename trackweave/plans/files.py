@@ -213,11 +213,11 @@ def tag_wiggle_files(spark, sf):
 ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" GROUP BY ALL""")
 def saved_interval_join(spark, sf):
     """Two tables saved in folders of chromosomes and buckets of bins, joined where their rows lie."""
-    r = V.regions(spark, sf)
+    r, n = V.regions(spark, sf), V.parts(spark, sf)
     names = [f"intervals_{uuid.uuid4().hex}" for _ in range(2)]
     for i, name in enumerate(names):
-        K.save_intervals(r.filter(F.col("line") % 2 == i).select("chrom", "start", "end"), name, 4096, 4, shared_path(spark, "saved"))
-    pairs = K.saved_overlaps(spark, *names, 4096)
+        K.save_intervals(r.filter(F.col("line") % 2 == i).select("chrom", "start", "end"), name, 4096, n, shared_path(spark, "saved"))
+    pairs = K.saved_overlaps(spark, *names, 4096).repartition(n, "chrom", "start", "end")
     return pairs.groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("end", "b_end") - F.greatest("start", "b_start")).alias("shared"))
 
 
