@@ -21,6 +21,7 @@ SPREAD = {
     "eland_pair_files": {"file, block"},
     "trimmed_means": set(),
     "saved_interval_join": set(),
+    "covered_bases": {"chrom"},
 }
 
 

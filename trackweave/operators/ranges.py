@@ -72,21 +72,26 @@ def dealt_for_pairs(a: DataFrame, right: DataFrame, size: int) -> tuple[DataFram
     return _dealt(a, la, roles_a, "start", "end", size, "__a_"), _dealt(right, lb, roles_b, "b_start", "b_end", size, "__b_")
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, size: int, levels: bool = True) -> DataFrame:
+def overlap_pairs(a: DataFrame, b: DataFrame, size: int, levels: bool = True, parts: int | None = None) -> DataFrame:
     """Pairs of overlapping intervals: all columns of a, and those of b as b_<name>; touching ones do not overlap.
 
     A pair meets on the higher of both levels: where a's is not below b's, a is there at home (who = 0) and b a guest; else it is the other way round (who = 1).
     Guests never meet each other. Where all intervals are known to be hardly longer than ``size``, or are dear to make twice, ``levels`` may be false: then all bins are ``size`` wide.
+    ``parts`` is the number of partitions of the join, then a merge join; the session's and the planner's choice if not given.
     """
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     same = F.col("chrom") == F.col("b_chrom")
+    at = ["__a_bin"]
     if levels:
+        at = ["__a_level", "__a_who", "__a_bin"]
         x, y = dealt_for_pairs(a, right, size)
         meet = same & (F.col("__a_level") == F.col("__b_level")) & (F.col("__a_who") == F.col("__b_who")) & (F.col("__a_bin") == F.col("__b_bin"))
         width = F.expr(f"shiftleft({size}L, 2 * __a_level)")
     else:
         x, y = with_bins(a, size).withColumnRenamed("bin", "__a_bin"), with_bins(right, size, "b_start", "b_end").withColumnRenamed("bin", "__b_bin")
         meet, width = same & (F.col("__a_bin") == F.col("__b_bin")), F.lit(size)
+    if parts:
+        x, y = x.repartition(parts, "chrom", *at), y.hint("merge")
     pairs = x.join(y, meet).filter((F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end")) & (F.col("__a_bin") == F.floor(F.greatest("start", "b_start") / width).cast("long")))
     return pairs.select(*a.columns, *[c for c in right.columns if c != "b_chrom"])
 
@@ -120,6 +125,11 @@ def points_in(intervals: DataFrame, points: DataFrame, size: int, closed: bool =
     return x.join(y.hint("merge"), hit, how).drop("level", "p_level", "bin", "p_bin", "p_chrom", "stop")
 
 
+def dealt_to(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows dealt by keys to ``parts`` partitions; as they are if no number is given."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def collapsed(df: DataFrame, n: str = "__n") -> DataFrame:
     """Each distinct row with the number of its copies, which :func:`expanded` brings back."""
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(n))
@@ -143,30 +153,30 @@ def _islands(df: DataFrame, keys: list[str], order: list[str], aggregates: list[
     return flagged.withColumn("island", F.sum("fresh").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).groupBy(*keys, "island").agg(*aggregates)
 
 
-def merged(df: DataFrame, aggregates: list[Column], gap: int, tile: int) -> DataFrame:
+def merged(df: DataFrame, aggregates: list[Column], gap: int, tile: int, parts: int | None = None) -> DataFrame:
     """Unions of intervals (chrom, start, end, ...) that lie at most ``gap`` apart, with ``aggregates``, which may be applied again to their own results.
 
     Intervals merge inside tiles of the axis first. Of a tile, only the union that may go on in later tiles (the last one) and those that
     begin within reach of an earlier tile (all one union, as what reaches there covers them) are carried over, two rows per tile at most; all others are
-    finished where they are. So no task handles a chromosome, unless as two rows per tile.
+    finished where they are. So no task handles a chromosome, unless as two rows per tile. ``parts``: partitions that the tiles are dealt to, the session's number if not given.
     """
-    keyed = df.withColumn("tile", bin_of(F.col("start"), tile))
+    keyed = dealt_to(df.withColumn("tile", bin_of(F.col("start"), tile)), parts, "chrom", "tile")
     ends = keyed.groupBy("chrom", "tile").agg(F.max("end").alias("upto"))
     reach = F.max("upto").over(W.partitionBy("chrom").orderBy("tile").rowsBetween(W.unboundedPreceding, -1))
     local = _islands(keyed, ["chrom", "tile"], ["start", "end"], aggregates, gap).join(ends.select("chrom", "tile", "upto", reach.alias("reach")), ["chrom", "tile"])
     inner = F.coalesce(F.col("start") <= F.col("reach") + gap, F.lit(False))
     # a negative number gathers what an earlier tile reaches
     local = local.withColumns({"part": F.when(inner, -1).otherwise(F.col("island")), "last": F.col("end") == F.col("upto")})
-    parts = local.groupBy("chrom", "tile", "part").agg(*aggregates, F.max("last").alias("last"))
-    placed = parts.withColumn("place", F.when((F.col("part") < 0) | F.col("last"), F.lit(None).cast("long")).otherwise(F.col("tile")))
-    return _islands(placed, ["chrom", "place"], ["start", "end"], aggregates, gap).drop("place", "island")
+    pieces = local.groupBy("chrom", "tile", "part").agg(*aggregates, F.max("last").alias("last"))
+    placed = pieces.withColumn("place", F.when((F.col("part") < 0) | F.col("last"), F.lit(None).cast("long")).otherwise(F.col("tile")))
+    return _islands(dealt_to(placed, parts, "chrom", "place"), ["chrom", "place"], ["start", "end"], aggregates, gap).drop("place", "island")
 
 
-def merge_intervals(df: DataFrame, tile: int = TILE) -> DataFrame:
+def merge_intervals(df: DataFrame, tile: int = TILE, parts: int | None = None) -> DataFrame:
     """Unions of overlapping or touching intervals: chrom, start, end, n."""
     base = df.select("chrom", "start", "end", F.lit(1).cast("long").alias("n"))
     sums = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")]
-    return merged(base, sums, 0, tile).select("chrom", "start", "end", "n")
+    return merged(base, sums, 0, tile, parts).select("chrom", "start", "end", "n")
 
 
 def merge_peaks(df: DataFrame, tile: int = TILE) -> DataFrame:
@@ -177,10 +187,11 @@ def merge_peaks(df: DataFrame, tile: int = TILE) -> DataFrame:
     return merged(base, sums, 0, tile).select("chrom", "start", "end", "n", (-F.col("best.m")).alias("summit"), F.col("best.score").alias("score"), "total_p")
 
 
-def covered_bases(a: DataFrame, b: DataFrame, size: int, levels: bool = True) -> DataFrame:
-    """Per row of a that b covers somewhere, equal ones each: positions that b covers, where b's intervals do not overlap each other."""
+def covered_bases(a: DataFrame, b: DataFrame, size: int, levels: bool = True, parts: int | None = None) -> DataFrame:
+    """Per row of a that b covers somewhere, equal ones each: positions that b covers, where b's intervals do not overlap each other. ``parts``: partitions of each step, the session's number if not given."""
     shared = F.least("end", "b_end") - F.greatest("start", "b_start")
-    found = overlap_pairs(collapsed(a), b.select("chrom", "start", "end"), size, levels).groupBy(*a.columns, "__n").agg(F.sum(shared).alias("covered"))
+    pairs = overlap_pairs(collapsed(dealt_to(a, parts, *a.columns)), b.select("chrom", "start", "end"), size, levels, parts)
+    found = dealt_to(pairs, parts, *a.columns).groupBy(*a.columns, "__n").agg(F.sum(shared).alias("covered"))
     return expanded(found)
 
 

@@ -153,8 +153,9 @@ def interval_join(spark, sf):
 ON x.chrom = y.chrom AND y.start < x."end" AND x.start < y."end" GROUP BY ALL"""))
 def covered_bases(spark, sf):
     a, b = halves(spark, sf)
-    left, right = (R.merge_intervals(x, 50_000).select("chrom", "start", "end") for x in (a, b))
-    return R.covered_bases(left, right, 128, levels=False)
+    n = V.parts(spark, sf)
+    left, right = (R.merge_intervals(x, 50_000, n).select("chrom", "start", "end") for x in (a, b))
+    return R.covered_bases(left, right, 128, levels=False, parts=n)
 
 
 @query("""SELECT r.chrom, r.start, r."end", max(value) AS value FROM (SELECT DISTINCT chrom, start, "end" FROM v_regions) r LEFT JOIN v_signal s ON s.chrom = r.chrom AND s.pos BETWEEN r.start AND r."end" GROUP BY ALL""")
