@@ -22,6 +22,7 @@ SPREAD = {
     "trimmed_means": set(),
     "saved_interval_join": set(),
     "covered_bases": {"chrom"},
+    "motif_enrichment": {"motif"},
 }
 
 

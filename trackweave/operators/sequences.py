@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import minus_ten_log10, poisson_upper
 from ..functions.strings import reverse_complement
-from .ranges import merge_intervals, overlapping
+from ..sources.shared import stored_rows
+from .ranges import dealt_to, merge_intervals, overlap_pairs
 
 
 def sample_reads(sequences: DataFrame, size: int, window: int = 1000, seed: int = 1, mate: int | None = None) -> DataFrame:
@@ -24,18 +25,21 @@ def sample_reads(sequences: DataFrame, size: int, window: int = 1000, seed: int
     return reads.filter((F.length("far") == size) & ~F.col("far").contains("N")).withColumn("mate", reverse_complement(F.col("far"))).drop("far")
 
 
-def motif_enrichment(regions: DataFrame, background: DataFrame, hits: DataFrame, width: int = 5, size: int = 1 << 12) -> DataFrame:
+def motif_enrichment(regions: DataFrame, background: DataFrame, hits: DataFrame, width: int = 5, size: int = 1 << 12, parts: int | None = None) -> DataFrame:
     """Per motif of hits (motif, chrom, pos): hits in the merged regions and in the merged background, fold change per base, Poisson upper p and score.
 
-    motif, num, ref, fold, p, score; the expected number is the background's rate over the regions' length, with at least one background hit.
+    motif, num, ref, fold, p, score; the expected number is the background's rate over the regions' length, with at least one background hit. Hits that repeat count once.
+    Regions and background are merged together, as chromosomes of two sides, once, and met by the hits in one join. ``parts``: partitions of each step, the session's number if not given.
     """
-    spans = hits.select("motif", "chrom", F.col("pos").alias("start"), (F.col("pos") + width).alias("end")).distinct()
-    inside, outside = (merge_intervals(x).select("chrom", "start", "end") for x in (regions, background))
-    num = overlapping(spans, inside, size).groupBy("motif").agg(F.count(F.lit(1)).alias("num"))
-    ref = overlapping(spans, outside, size).groupBy("motif").agg(F.count(F.lit(1)).alias("ref"))
-    length = F.sum(F.col("end") - F.col("start"))
-    lengths = F.broadcast(inside.agg(length.alias("len")).join(outside.agg(length.alias("ref_len")), F.lit(True)))
-    rows = spans.select("motif").distinct().join(num, "motif", "left").join(ref, "motif", "left").fillna(0).join(lengths, F.lit(True))
+    spans = hits.select("motif", "chrom", F.col("pos").alias("start"), (F.col("pos") + width).alias("end"))
+    sides = [x.select(F.struct(F.lit(i).alias("side"), "chrom").alias("chrom"), "start", "end") for i, x in enumerate((regions, background))]
+    merged = stored_rows(merge_intervals(sides[0].unionByName(sides[1]), parts=parts).select("chrom.side", "chrom.chrom", "start", "end"))
+    met = dealt_to(overlap_pairs(spans, merged, size, parts=parts).select("motif", "chrom", "start", "b_side"), parts, "motif", "chrom", "start")
+    once = met.groupBy("motif", "chrom", "start").agg(F.max((F.col("b_side") == 0).cast("long")).alias("num"), F.max((F.col("b_side") == 1).cast("long")).alias("ref"))
+    counts = once.groupBy("motif").agg(F.sum("num").alias("num"), F.sum("ref").alias("ref"))
+    length = F.col("end") - F.col("start")
+    lengths = F.broadcast(merged.agg(F.sum(F.when(F.col("side") == 0, length)).alias("len"), F.sum(F.when(F.col("side") == 1, length)).alias("ref_len")))
+    rows = hits.select("motif").distinct().join(counts, "motif", "left").fillna(0, ["num", "ref"]).join(lengths, F.lit(True))
     expected = F.greatest("ref", F.lit(1)) * F.col("len") / F.col("ref_len")
     out = rows.withColumns({"fold": F.col("num") / expected, "p": F.when(F.col("num") == 0, 1.0).otherwise(poisson_upper(F.col("num") - 1, expected))})
     return out.select("motif", "num", "ref", "fold", "p", minus_ten_log10(F.col("p")).alias("score"))

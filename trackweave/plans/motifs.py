@@ -113,5 +113,5 @@ def motif_enrichment(spark, sf):
     """Motif hits in one half of the regions against the other half."""
     r = V.regions(spark, sf)
     hits = V.table(spark, sf, "lineitem").selectExpr("l_returnflag AS chrom", "l_orderkey * 100 + l_suppkey % 100 AS pos", "l_suppkey % 40 AS motif")
-    out = Q.motif_enrichment(r.filter("line % 2 = 0"), r.filter("line % 2 = 1"), hits, 5, 64)
+    out = Q.motif_enrichment(r.filter("line % 2 = 0"), r.filter("line % 2 = 1"), hits, 5, 64, V.parts(spark, sf))
     return rounded(rounded(out.select("motif", "num", "ref", "fold", "p"), "fold"), "p", digits=8)

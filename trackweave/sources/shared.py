@@ -30,6 +30,13 @@ def stored_lines(lines: DataFrame) -> str:
     return path
 
 
+def stored_rows(df: DataFrame) -> DataFrame:
+    """The rows, made once and read back from Parquet, for what several steps or jobs read."""
+    path = shared_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def stored_csv(df: DataFrame) -> str:
     """The path of tab-delimited files of ``df``, each with the header, and NA where a value is missing."""
     path = shared_path(df.sparkSession, "csv")
