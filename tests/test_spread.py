@@ -23,6 +23,7 @@ SPREAD = {
     "saved_interval_join": set(),
     "covered_bases": {"chrom"},
     "motif_enrichment": {"motif"},
+    "tag_wiggle_files": {"file", "file, block"},
 }
 
 

@@ -204,9 +204,9 @@ def one_chromosome_files(spark, sf):
 @query("SELECT chrom, strand, pos, count(*) AS n FROM v_tags GROUP BY ALL")
 def tag_wiggle_files(spark, sf):
     """Tags as wiggle of positions by strand."""
-    path = shared_path(spark, "wiggle")
-    K.write_tag_wiggle(V.tags(spark, sf), path, 25, 50_000)
-    return X.read_wiggle_tags(spark, path).groupBy("chrom", "strand", "pos").agg(F.count(F.lit(1)).alias("n"))
+    path, n = shared_path(spark, "wiggle"), V.parts(spark, sf)
+    K.write_tag_wiggle(V.tags(spark, sf), path, 25, 50_000, n)
+    return X.read_wiggle_tags(spark, path, n).repartition(n, "chrom", "strand", "pos").groupBy("chrom", "strand", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT a.chrom, a.start, a."end", count(*) AS n, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS shared FROM (SELECT chrom, start, "end" FROM v_regions WHERE line % 2 = 0) a JOIN (SELECT chrom, start, "end" FROM v_regions WHERE line % 2 = 1) b

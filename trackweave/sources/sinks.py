@@ -32,12 +32,12 @@ def write_wiggle(track: DataFrame, path: str, span: int, shift: int = 0) -> None
     wiggle_lines(track, span, shift).repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile", "place").select("value").write.text(path)
 
 
-def write_tag_wiggle(tags: DataFrame, path: str, width: int, tile: int = TILE) -> None:
-    """Tags (chrom, strand, pos) as wiggle of positions, strand=0 for plus and 1 for minus; each part holds whole tiles of a strand under their own declaration."""
+def write_tag_wiggle(tags: DataFrame, path: str, width: int, tile: int = TILE, parts: int | None = None) -> None:
+    """Tags (chrom, strand, pos) as wiggle of positions, strand=0 for plus and 1 for minus; each of ``parts`` parts (the session's number if not given) holds whole tiles of a strand under their own declaration."""
     tiled = tags.select("chrom", "strand", bin_of(F.col("pos"), tile).alias("tile"), "pos")
     head = tiled.select("chrom", "strand", "tile").distinct().withColumns({"pos": F.lit(None).cast("long"), "value": F.concat(F.lit("variableStep chrom="), "chrom", F.lit(f" span={width} strand="), F.when(F.col("strand") == "-", "1").otherwise("0"))})
     both = head.unionByName(tiled.withColumn("value", F.col("pos").cast("string")))
-    both.repartitionByRange("chrom", "strand", "tile").sortWithinPartitions("chrom", "strand", "tile", "pos").select("value").write.text(path)
+    both.repartitionByRange(*([parts] if parts else []), "chrom", "strand", "tile").sortWithinPartitions("chrom", "strand", "tile", "pos").select("value").write.text(path)
 
 
 def write_lines(df: DataFrame, path: str) -> None:

@@ -36,14 +36,15 @@ def numbered_lines(spark: SparkSession, path: str, whole: bool = False) -> DataF
     return rows.filter("value <> ''").join(F.broadcast(shift), ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
 
 
-def with_records(rows: DataFrame, begins: Column) -> DataFrame:
-    """Split lines with ``record``: how many lines of the file up to this one begin a record; splits count on from the ones before."""
+def with_records(rows: DataFrame, begins: Column, parts: int | None = None) -> DataFrame:
+    """Split lines with ``record``: how many lines of the file up to this one begin a record; splits count on from the ones before. Splits are dealt to ``parts`` tasks, the session's number if not given."""
     by = W.partitionBy("file", "block").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
     flagged = rows.withColumn("begins", F.coalesce(begins, F.lit(False)).cast("long"))
+    dealt = flagged.repartitionByRange(parts, "file", "block") if parts else flagged
     counts = flagged.groupBy("file", "block").agg(F.sum("begins").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inner = flagged.withColumn("record", F.sum("begins").over(by))
-    return inner.join(counts.select("file", "block", before.alias("before")), ["file", "block"]).select(*rows.columns, (F.col("record") + F.col("before")).alias("record"))
+    inner = dealt.withColumn("record", F.sum("begins").over(by))
+    return inner.join(F.broadcast(counts.select("file", "block", before.alias("before"))), ["file", "block"]).select(*rows.columns, (F.col("record") + F.col("before")).alias("record"))
 
 
 def content_lines(df: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def wiggle_points(rows: DataFrame) -> DataFrame:
     by = W.partitionBy("file", "block").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
     inner = rows.withColumns({"k": F.sum("one").over(by)})
     inner = inner.withColumn("own", F.last(F.when(F.col("said").isNotNull(), F.struct("said", F.col("k").alias("values"))), True).over(by)).filter("one = 1")
-    placed = inner.join(spine, ["file", "block"])
+    placed = inner.join(F.broadcast(spine), ["file", "block"])
     state = F.coalesce("own.said", "earlier.said")
     nth = F.when(F.col("own").isNotNull(), F.col("k") - F.col("own.values")).otherwise(F.col("k") + F.col("before") - F.col("earlier.values")) - 1
     known = placed.select(state.alias("s"), nth.alias("nth"), "f").filter("s is not null")
@@ -171,13 +172,16 @@ def read_wiggle_bins(spark: SparkSession, path: str, size: int, method: str = "m
     return bin_values(read_wiggle(spark, path), size, method)
 
 
-def read_wiggle_tags(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, strand, pos) of tags written as wiggle: positions without values below declarations with strand=0 (plus) or 1 (minus)."""
+def read_wiggle_tags(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """(chrom, strand, pos) of tags written as wiggle: positions without values below declarations with strand=0 (plus) or 1 (minus). ``parts``: tasks to which splits and records are dealt."""
     rows = split_lines(spark, path).filter(~F.col("value").rlike("^(track|browser|#)") & (F.trim("value") != ""))
     head = F.col("value").startswith("variableStep")
-    numbered = with_records(rows, head)
+    numbered = with_records(rows, head, parts)
     said = numbered.filter(head).select("file", "record", F.regexp_extract("value", r"chrom=(\S+)", 1).alias("chrom"), F.when(F.col("value").rlike("strand=1"), "-").otherwise("+").alias("strand"))
-    return numbered.filter(~head).join(said, ["file", "record"]).select("chrom", "strand", F.col("value").try_cast("long").alias("pos")).filter("pos is not null")
+    points = numbered.filter(~head)
+    if parts:
+        points, said = (x.repartition(parts, "file", "record") for x in (points, said))
+    return points.join(said, ["file", "record"]).select("chrom", "strand", F.col("value").try_cast("long").alias("pos")).filter("pos is not null")
 
 
 def wiggle_span(spark: SparkSession, path: str) -> DataFrame:
