@@ -24,6 +24,8 @@ SPREAD = {
     "covered_bases": {"chrom"},
     "motif_enrichment": {"motif"},
     "tag_wiggle_files": {"file", "file, block"},
+    "probes_in_peaks": {"chrom"},
+    "roi_flags": set(),
 }
 
 

@@ -229,6 +229,6 @@ def centre_profile(spark, sf):
 
 @query("SELECT chrom, pos, CAST(EXISTS (SELECT 1 FROM v_gene_peaks p WHERE p.chrom = c.chrom AND c.pos BETWEEN p.start AND p.\"end\") AS BIGINT) AS roi FROM v_coords c")
 def roi_flags(spark, sf):
-    c = V.coords(spark, sf)
-    hit = R.points_in(V.gene_peaks(spark, sf).select("chrom", "start", "end"), c, 1 << 13).select("chrom", "pos").distinct().withColumn("roi", F.lit(1).cast("long"))
+    c, n = V.coords(spark, sf), V.parts(spark, sf)
+    hit = R.points_in(V.gene_peaks(spark, sf).select("chrom", "start", "end"), c, 1 << 13, parts=n).select("chrom", "pos").repartition(n, "chrom", "pos").distinct().withColumn("roi", F.lit(1).cast("long"))
     return c.join(hit, ["chrom", "pos"], "left").select("chrom", "pos", F.coalesce("roi", F.lit(0)).alias("roi"))

@@ -270,8 +270,8 @@ def probes_in_ranges(spark, sf):
 @query("""SELECT chrom, points, inside, round(inside * 100.0::DOUBLE / points, 4) AS percent FROM (SELECT s.chrom, count(*) AS points, count(*) FILTER (WHERE p.chrom IS NOT NULL) AS inside FROM v_gene_signal s
 LEFT JOIN (SELECT DISTINCT s.chrom, s.pos FROM v_gene_signal s JOIN v_gene_peaks k ON k.chrom = s.chrom AND s.pos BETWEEN k.start AND k."end") p ON p.chrom = s.chrom AND p.pos = s.pos GROUP BY s.chrom)""")
 def probes_in_peaks(spark, sf):
-    s = V.gene_signal(spark, sf)
-    hit = R.points_in(V.gene_peaks(spark, sf).select("chrom", "start", "end"), s, 1 << 13).select("chrom", "pos").distinct().withColumn("hit", F.lit(1))
+    s, n = V.gene_signal(spark, sf), V.parts(spark, sf)
+    hit = R.points_in(V.gene_peaks(spark, sf).select("chrom", "start", "end"), s, 1 << 13, parts=n).select("chrom", "pos").repartition(n, "chrom", "pos").distinct().withColumn("hit", F.lit(1))
     out = s.join(hit, ["chrom", "pos"], "left").groupBy("chrom").agg(F.count(F.lit(1)).alias("points"), F.count("hit").alias("inside"))
     return out.withColumn("percent", F.round(F.col("inside") * 100.0 / F.col("points"), 4))
 
