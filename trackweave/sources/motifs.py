@@ -246,7 +246,7 @@ def scan_ranges(head: bytes, size: int, chroms: list[str], most: int = RANGE_BYT
 def read_scan(spark: SparkSession, path: str, chroms: list[str], cutoff: float = 0.0, most: int = RANGE_BYTES) -> DataFrame:
     """(file, chrom, strand, pos, score): the sign of the position is the strand; positions count from 0.
 
-    The headers give ranges of whole records, at most ``most`` bytes each, which are dealt to as many tasks: a file of any size is read in parts. The number of tasks is given, as adaptive
+    The headers give ranges of whole records, at most ``most`` bytes each, which are dealt to a task for RANGE_BYTES (the session's number at least): a file of any size is read in parts. The number of tasks is given, as adaptive
     execution sees few bytes in the rows that name the ranges and would leave them all to one task.
     """
 
@@ -273,9 +273,10 @@ def read_scan(spark: SparkSession, path: str, chroms: list[str], cutoff: float =
                 )
 
     files = spark.read.format("binaryFile").load(path).select("path", "length")
-    tasks = files.agg(F.sum(F.ceil(F.col("length") / most))).first()[0] or 1
+    size = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     parts = files.mapInArrow(ranges, "file string, chrom string, lo long, hi long")
-    return parts.repartition(int(tasks)).mapInArrow(records, "file string, chrom string, strand string, pos long, score double")
+    return parts.repartition(tasks).mapInArrow(records, "file string, chrom string, strand string, pos long, score double")
 
 
 def opened(path: str) -> pa.NativeFile:
