@@ -147,3 +147,16 @@ def test_gene_spans_are_never_broadcast(spark):
         assert V.parts(spark, SF) == -(-V.table(spark, SF, "lineitem").count() // 100)
     finally:
         V.ROWS = rows
+
+
+def test_average_without_a_row_per_gene_and_bin(data, spark):
+    """Bins without a value count as 0, parts without points do not count, as in the rows of genes."""
+    _, _, table, track = data
+    for size, reach, wing in ((500, 400, 200), (1500, 2000, 1000), (100, 200, 200)):
+        want = P.average_profile(G.gene_with_sides(table, track, size, reach, wing)).collect()
+        got = G.average_with_sides(table, track, size, reach, wing).collect()
+        assert sorted((r.bin, r.n, round(r.value, 9)) for r in got) == sorted((r.bin, r.n, round(r.value, 9)) for r in want)
+        assert got and any(r.value for r in got)
+    assert G.average_with_sides(table.limit(0), track, 500).count() == 0
+    plan = G.average_with_sides(table, track, 500, 400, 200)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate(" in line and "txStart" in line]

@@ -72,3 +72,19 @@ def test_texts_of_a_batch_are_strings_one_by_one():
     assert got.equals(texts) and peak < 6_000_000
     for t in ("", "a", "banana", "test is terrible!", "\u00e4\u20ac\U0001f600 x" * 9):
         assert S.first_text(S.last_column(t)) == t
+
+
+# per profile of genes: keys of the exchanges that keep the session's number of partitions: bins of the profile itself
+PROFILES = {
+    "meta_gene_profile": {"bin"},
+}
+
+
+@pytest.mark.parametrize("name", PROFILES)
+def test_genes_follow_the_table(spark, monkeypatch, name):
+    """Genes are told apart and meet the track and their groups in as many partitions as the table gives; none is broadcast."""
+    monkeypatch.setattr(V, "ROWS", 100)
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "collect_list" not in plan
+    kept = re.findall(r"(?:hash|range)partitioning\(([^()]*), 4\)", plan)
+    assert {re.sub(r" ASC NULLS FIRST|#\d+L?", "", k) for k in kept} == PROFILES[name]

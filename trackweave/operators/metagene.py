@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .profiles import GENE, gene_points, middle, told_apart
+from .profiles import GENE, gene_points, middle_rows, told_apart
 
 
 def whole(a: Column, b: Column) -> Column:
@@ -24,13 +24,21 @@ def region_bins(points: DataFrame, keys: list[str], step: int) -> DataFrame:
     rows = rows.filter("n > 0 and pos >= start and pos < end")
     raw = whole((F.col("pos") - F.col("start")) * F.col("n"), F.col("length"))
     placed = rows.withColumn("i", F.when(F.col("strand") == "+", raw).otherwise(F.col("n") - 1 - raw))
-    return placed.groupBy(*keys, "length", "n", "i").agg(middle("pos", "value").alias("value"))
+    return middle_rows(placed, *keys, "i").select(*keys, "length", "n", "i", "value")
 
 
 def fitted(bins: DataFrame, keys: list[str], step: int, m: Column, trim: Column | None = None, low: Column | None = None, high: Column | None = None) -> DataFrame:
     """Bins of :func:`region_bins` fitted to ``m`` per region after ``trim`` (0 or 1) bins at both ends have gone: keys, bin and value for all m bins, or those from ``low`` to ``high``.
 
     The trimmed bin before the first is what bins repeat that have none before them; without trimming it is the first. Regions that trimming leaves empty have no row.
+    """
+    placed = placed_bins(bins, keys, step, m, trim, low, high)
+    return placed.groupBy(*keys, "bin").agg(F.coalesce(F.max(F.when(F.col("hit"), F.col("value"))), F.lit(0.0)).alias("value"))
+
+
+def placed_bins(bins: DataFrame, keys: list[str], step: int, m: Column, trim: Column | None = None, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """The rows that :func:`fitted` makes its bins of: keys, bin, value, hit (the bin takes this value, which one row of a region and bin may say), first (which one row of each region and bin says).
+
     Each bin names the bins that take it, and the first of a region all m as well, so that the bins are made and moved once.
     """
     rows = bins.withColumns({"m": m.cast("long"), "trim": (F.lit(0) if trim is None else trim).cast("long")})
@@ -57,42 +65,59 @@ def fitted(bins: DataFrame, keys: list[str], step: int, m: Column, trim: Column
     t = F.col("t")
     begin, end = F.when(F.col("first") | (t <= 0), F.col("low")).otherwise(shown(dealt(t))), F.when(F.col("first"), F.col("high")).otherwise(shown(dealt(t + 1)))
     placed = rows.withColumn("bin", F.explode(F.sequence(begin, end))).withColumn("hit", taken(F.col("bin")) == t).filter("first or hit")
-    return placed.groupBy(*keys, "bin").agg(F.coalesce(F.max(F.when(F.col("hit"), F.col("value"))), F.lit(0.0)).alias("value"))
+    return placed.select(*keys, "bin", "value", "hit", "first")
+
+
+def average_placed(placed: DataFrame) -> DataFrame:
+    """Mean and number of the values of :func:`fitted` per bin, straight from :func:`placed_bins`: no row per region and bin is made, as a bin without a value adds 0 to the sum."""
+    return placed.groupBy("bin").agg((F.sum(F.when(F.col("hit"), F.coalesce("value", F.lit(0.0))).otherwise(0.0)) / F.count_if("first")).alias("value"), F.count_if("first").alias("n"))
 
 
 def gene_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int = 50, parts: int | None = None) -> DataFrame:
     """Genes, a step and a half wider at both ends, fitted to (size + step) // step bins after one bin at each end has gone: GENE, bin, value."""
     margin = step + step // 2
-    spans = told_apart(genes).select(*GENE, (F.col("txStart") - margin).alias("start"), (F.col("txEnd") + margin).alias("end"))
+    spans = told_apart(genes, parts).select(*GENE, (F.col("txStart") - margin).alias("start"), (F.col("txEnd") + margin).alias("end"))
     bins = region_bins(gene_points(spans, track, parts), GENE, step)
     return fitted(bins, GENE, step, F.lit((size + step) // step), F.lit(1))
 
 
-def gene_with_sides(genes: DataFrame, track: DataFrame, size: int = 3000, reach: int = 3000, wing: int = 1000, step: int = 50, parts: int | None = None) -> DataFrame:
-    """Bins upstream of the start (-wing to -step), of the gene and downstream of the end (step to wing), numbered on from 0: GENE, bin, value.
-
-    ``reach`` and ``wing`` are multiples of ``step``. A part without points has no rows; the others keep their numbers. The three parts of a gene are spans of one join with the track.
-    """
+def _sided_bins(genes: DataFrame, track: DataFrame, size: int, reach: int, wing: int, step: int, parts: int | None) -> tuple[list, Column]:
+    """What :func:`fitted` and :func:`placed_bins` take for the three parts of genes, and the number of a bin in the whole row of bins."""
     wing = min(wing, reach)
     side, body, centre, n = wing // step, (size + step) // step, reach // step, (2 * reach + step) // step
     half, margin = step // 2, step + step // 2
     plus = F.col("strand") == "+"
     start, end = F.when(plus, F.col("txStart")).otherwise(F.col("txEnd")), F.when(plus, F.col("txEnd")).otherwise(F.col("txStart"))
     bounds = ((start - reach - half, start + reach + half), (F.col("txStart") - margin, F.col("txEnd") + margin), (end - reach - half, end + reach + half))
-    spans = told_apart(genes).select(*GENE, F.posexplode(F.array(*[F.struct(a.alias("start"), b.alias("end")) for a, b in bounds])).alias("part", "x")).select(*GENE, "part", "x.start", "x.end")
+    spans = told_apart(genes, parts).select(*GENE, F.posexplode(F.array(*[F.struct(a.alias("start"), b.alias("end")) for a, b in bounds])).alias("part", "x")).select(*GENE, "part", "x.start", "x.end")
     keys, inner = [*GENE, "part"], F.col("part") == 1
     bins = region_bins(gene_points(spans, track, parts), keys, step)
     low = F.when(F.col("part") == 0, centre - side).when(inner, 0).otherwise(centre + 1)
     high = F.when(F.col("part") == 0, centre - 1).when(inner, body - 1).otherwise(centre + side)
-    values = fitted(bins, keys, step, F.when(inner, body).otherwise(n), F.when(inner, 1).otherwise(0), low, high)
-    return values.select(*GENE, (F.col("bin") + F.when(F.col("part") == 0, side - centre).when(inner, side).otherwise(side + body - centre - 1)).alias("bin"), "value")
+    number = F.col("bin") + F.when(F.col("part") == 0, side - centre).when(inner, side).otherwise(side + body - centre - 1)
+    return [bins, keys, step, F.when(inner, body).otherwise(n), F.when(inner, 1).otherwise(0), low, high], number.alias("bin")
+
+
+def gene_with_sides(genes: DataFrame, track: DataFrame, size: int = 3000, reach: int = 3000, wing: int = 1000, step: int = 50, parts: int | None = None) -> DataFrame:
+    """Bins upstream of the start (-wing to -step), of the gene and downstream of the end (step to wing), numbered on from 0: GENE, bin, value.
+
+    ``reach`` and ``wing`` are multiples of ``step``. A part without points has no rows; the others keep their numbers. The three parts of a gene are spans of one join with the track.
+    """
+    bins, number = _sided_bins(genes, track, size, reach, wing, step, parts)
+    return fitted(*bins).select(*GENE, number, "value")
+
+
+def average_with_sides(genes: DataFrame, track: DataFrame, size: int = 3000, reach: int = 3000, wing: int = 1000, step: int = 50, parts: int | None = None) -> DataFrame:
+    """Mean and number of the values of :func:`gene_with_sides`: bin, value, n."""
+    bins, number = _sided_bins(genes, track, size, reach, wing, step, parts)
+    return average_placed(placed_bins(*bins).select(number, "value", "hit", "first"))
 
 
-def parts_of(genes: DataFrame, step: int, introns: bool = False) -> DataFrame:
+def parts_of(genes: DataFrame, step: int, introns: bool = False, parts: int | None = None) -> DataFrame:
     """Exons (or introns), half a step wider at both ends: GENE, part (from 0), start, end; gap: what lies between the parts up to this one; from, upto: bounds of all parts put end to end."""
     half, n = step // 2, F.size("exonStarts")
     starts, ends = (F.slice("exonEnds", 1, F.greatest(n - 1, F.lit(0))), F.slice("exonStarts", 2, F.greatest(n - 1, F.lit(0)))) if introns else (F.col("exonStarts"), F.col("exonEnds"))
-    listed = told_apart(genes).select(*GENE, F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.struct((x.s - half).alias("start"), (x.e + half).alias("end"))).alias("p"))
+    listed = told_apart(genes, parts).select(*GENE, F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.struct((x.s - half).alias("start"), (x.e + half).alias("end"))).alias("p"))
     between = F.transform("p", lambda r, i: r.start - F.when(i > 0, F.get(F.col("p"), i - 1).end))
     listed = listed.withColumn("between", between)
     gaps = listed.withColumn("gaps", F.transform("between", lambda _, i: F.aggregate(F.slice("between", 2, i), F.lit(0).cast("long"), lambda t, x: t + x)))
@@ -106,7 +131,7 @@ def joined_bins(genes: DataFrame, track: DataFrame, size: int = 3000, step: int
 
     The first point of a part comes at least ``least`` after the last one of the parts before: the part is moved on by what is missing.
     """
-    points = gene_points(parts_of(genes, step, introns), track, parts).withColumn("pos", F.col("pos") - F.col("gap"))
+    points = gene_points(parts_of(genes, step, introns, parts), track, parts).withColumn("pos", F.col("pos") - F.col("gap"))
     state = F.struct(F.lit(None).cast("long").alias("end"), F.lit(0).cast("long").alias("d"))
 
     def move(s: Column, r: Column) -> Column:
@@ -132,7 +157,7 @@ def part_bins(genes: DataFrame, track: DataFrame, classes: list[tuple[int, int,
     number = F.coalesce(*[F.when((length >= lower) & (length < upper), i) for i, (lower, upper, _) in enumerate(classes)])
     m = F.coalesce(*[F.when(F.col("class") == i, (size + step) // step) for i, (_, _, size) in enumerate(classes)])
     keys = [*GENE, "part", "class"]
-    pieces = parts_of(genes, step, introns).select(*GENE, "part", "start", "end").withColumn("class", number).filter("class is not null")
+    pieces = parts_of(genes, step, introns, parts).select(*GENE, "part", "start", "end").withColumn("class", number).filter("class is not null")
     return fitted(region_bins(gene_points(pieces, track, parts), keys, step), keys, step, m)
 
 

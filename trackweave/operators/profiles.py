@@ -4,18 +4,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import collapsed, expanded, points_in
+from .ranges import collapsed, dealt_to, expanded, points_in
 
 # spans of genes are a few such bins wide: they are dealt to bins of this one level
 BIN = 1 << 13
-# what tells genes apart: names repeat in gene tables, and so do whole rows, which ``copy`` numbers
-GENE = ["chrom", "name", "strand", "txStart", "txEnd", "copy"]
+# what tells genes apart: names repeat in gene tables, and so do whole rows, which ``copy`` numbers; the start leads, as rows are sorted by these and few genes share it
+GENE = ["txStart", "chrom", "name", "strand", "txEnd", "copy"]
 
 
-def told_apart(genes: DataFrame) -> DataFrame:
-    """Genes with ``copy``: the number, from 0, among rows of equal name, strand and bounds, by exons; every row is a gene of its own."""
+def told_apart(genes: DataFrame, parts: int | None = None) -> DataFrame:
+    """Genes with ``copy``: the number, from 0, among rows of equal name, strand and bounds, by exons; every row is a gene of its own. ``parts``: partitions that they are dealt to."""
     ties = [c for c in ("exonStarts", "exonEnds") if c in genes.columns]
-    return genes.withColumn("copy", F.row_number().over(W.partitionBy(*GENE[:-1]).orderBy(*(ties or [F.lit(0)]))) - 1)
+    return dealt_to(genes, parts, *GENE[:-1]).withColumn("copy", F.row_number().over(W.partitionBy(*GENE[:-1]).orderBy(*(ties or [F.lit(0)]))) - 1)
 
 
 def gene_points(spans: DataFrame, track: DataFrame, parts: int | None = None) -> DataFrame:
@@ -24,10 +24,11 @@ def gene_points(spans: DataFrame, track: DataFrame, parts: int | None = None) ->
     return rows.repartition(*([parts] if parts else []), *GENE)
 
 
-def middle(pos: str, value: str) -> Column:
-    """The middle element by position (index n // 2)."""
-    a = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
-    return F.get(a, F.floor(F.size(a) / 2).cast("int")).v
+def middle_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows of equal keys the middle one by position (index n // 2): one sort and no list of a group."""
+    group = W.partitionBy(*keys)
+    placed = rows.withColumns({"__nth": F.row_number().over(group.orderBy("pos", "value")) - 1, "__of": F.count(F.lit(1)).over(group)})
+    return placed.filter(F.col("__nth") == F.floor(F.col("__of") / 2)).drop("__nth", "__of")
 
 
 def anchor_bins(genes: DataFrame, track: DataFrame, reach: int = 2000, step: int = 100, end: bool = False, parts: int | None = None) -> DataFrame:
@@ -35,16 +36,16 @@ def anchor_bins(genes: DataFrame, track: DataFrame, reach: int = 2000, step: int
     plus = F.col("strand") == "+"
     anchor = F.when(plus != F.lit(end), F.col("txStart")).otherwise(F.col("txEnd"))
     half = step // 2
-    spans = told_apart(genes).select(*GENE, (anchor - reach - half).alias("start"), (anchor + reach + half).alias("end"))
+    spans = told_apart(genes, parts).select(*GENE, (anchor - reach - half).alias("start"), (anchor + reach + half).alias("end"))
     count = (2 * reach + step) // step
     raw = F.floor((F.col("pos") - F.col("start")) / step).cast("int")
     rows = gene_points(spans, track, parts).withColumn("bin", F.when(plus, raw).otherwise(count - 1 - raw))
-    return rows.groupBy(*GENE, "bin").agg(middle("pos", "value").alias("value"))
+    return middle_rows(rows, *GENE, "bin").select(*GENE, "bin", "value")
 
 
 def body_bins(genes: DataFrame, track: DataFrame, bins: int = 60, parts: int | None = None) -> DataFrame:
     """Per gene and relative bin of its body, 5' to 3': mean value."""
-    spans = told_apart(genes).select(*GENE, F.col("txStart").alias("start"), F.col("txEnd").alias("end"))
+    spans = told_apart(genes, parts).select(*GENE, F.col("txStart").alias("start"), F.col("txEnd").alias("end"))
     raw = F.floor((F.col("pos") - F.col("start")) * bins / (F.col("end") - F.col("start"))).cast("int")
     rows = gene_points(spans, track, parts).withColumn("bin", F.when(F.col("strand") == "+", raw).otherwise(bins - 1 - raw))
     return rows.groupBy(*GENE, "bin").agg(F.avg("value").alias("value"))
@@ -58,7 +59,7 @@ def joined_exon_bins(genes: DataFrame, track: DataFrame, bins: int = 30, introns
         exons = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.struct(F.get("exonEnds", i).alias("s"), F.get("exonStarts", i + 1).alias("e")))).otherwise(
             F.array().cast("array<struct<s:bigint,e:bigint>>")
         )
-    listed = told_apart(genes).select(*GENE, exons.alias("x"))
+    listed = told_apart(genes, parts).select(*GENE, exons.alias("x"))
     size = F.aggregate("x", F.lit(0).cast("long"), lambda t, r: t + r.e - r.s)
     before = F.transform("x", lambda r, i: F.struct(r.s.alias("start"), r.e.alias("end"), F.aggregate(F.slice(F.col("x"), 1, i), F.lit(0).cast("long"), lambda t, q: t + q.e - q.s).alias("skip")))
     pieces = listed.select(*GENE, size.alias("size"), F.explode(before).alias("p")).select(*GENE, "size", "p.*").filter("end > start")

@@ -39,15 +39,13 @@ UNION ALL SELECT bin + 20, value FROM {_GENE} UNION ALL SELECT bin - 41 + 51, va
 
 @query(META)
 def meta_gene_profile(spark, sf):
-    values = G.gene_with_sides(V.genes(spark, sf), V.gene_signal(spark, sf), 1500, 2000, 1000, STEP, V.parts(spark, sf))
-    return rounded(P.average_profile(values), "value")
+    return rounded(G.average_with_sides(V.genes(spark, sf), V.gene_signal(spark, sf), 1500, 2000, 1000, STEP, V.parts(spark, sf)), "value")
 
 
 @query(META)
 def meta_gene_profile_of_namesakes(spark, sf):
     """The same genes under one name."""
-    values = G.gene_with_sides(V.genes(spark, sf).withColumn("name", F.lit("g")), V.gene_signal(spark, sf), 1500, 2000, 1000, STEP, V.parts(spark, sf))
-    return rounded(P.average_profile(values), "value")
+    return rounded(G.average_with_sides(V.genes(spark, sf).withColumn("name", F.lit("g")), V.gene_signal(spark, sf), 1500, 2000, 1000, STEP, V.parts(spark, sf)), "value")
 
 
 def joined_sql(starts: list[str], ends: list[str]) -> str:
