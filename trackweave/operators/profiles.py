@@ -68,11 +68,12 @@ def joined_exon_bins(genes: DataFrame, track: DataFrame, bins: int = 30, introns
     return rows.groupBy(*GENE, "bin").agg(F.avg("value").alias("value"))
 
 
-def average_profile(values: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Mean and number of values per bin; with ``groups`` (name, grp) for each group of genes."""
+def average_profile(values: DataFrame, groups: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """Mean and number of values per bin; with ``groups`` (name, grp) for each group of genes. ``parts``: partitions of the join with the groups, then a merge join."""
     if groups is None:
         return values.groupBy("bin").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
-    return values.join(groups, "name").groupBy("grp", "bin").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
+    both = dealt_to(values, parts, "name").join(groups.hint("merge") if parts else groups, "name")
+    return both.groupBy("grp", "bin").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
 def merge_profiles(profiles: DataFrame) -> DataFrame:

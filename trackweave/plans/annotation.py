@@ -190,9 +190,9 @@ def start_profile_of_namesakes(spark, sf):
 
 @query(f"SELECT CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS grp, bin, round(avg(value), 6) AS value, count(*) AS n FROM ({ANCHOR}) a JOIN v_genes g ON g.name = a.name GROUP BY ALL")
 def profile_by_gene_group(spark, sf):
-    g = V.genes(spark, sf)
+    g, n = V.genes(spark, sf), V.parts(spark, sf)
     groups = g.select("name", F.when(F.col("p_size") > 25, "large").otherwise("small").alias("grp"))
-    return rounded(P.average_profile(P.anchor_bins(g, V.gene_signal(spark, sf), parts=V.parts(spark, sf)), groups), "value")
+    return rounded(P.average_profile(P.anchor_bins(g, V.gene_signal(spark, sf), parts=n), groups, n), "value")
 
 
 @query(f"SELECT bin, round(sum(v * n) / sum(n), 6) AS value, CAST(sum(n) AS BIGINT) AS n FROM (SELECT chrom, bin, avg(value) AS v, count(*) AS n FROM ({ANCHOR}) GROUP BY ALL) GROUP BY bin")
