@@ -77,6 +77,7 @@ def test_texts_of_a_batch_are_strings_one_by_one():
 # per profile of genes: keys of the exchanges that keep the session's number of partitions: bins of the profile itself
 PROFILES = {
     "meta_gene_profile": {"bin"},
+    "meta_gene_profile_of_namesakes": {"bin"},
     "intron_profile": {"bin"},
     "weighted_profile_merge": {"bin", "chrom, bin"},
     "profile_by_gene_group": {"grp, bin"},

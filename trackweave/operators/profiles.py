@@ -10,18 +10,20 @@ from .ranges import collapsed, dealt_to, expanded, points_in
 BIN = 1 << 13
 # what tells genes apart: names repeat in gene tables, and so do whole rows, which ``copy`` numbers; the start leads, as rows are sorted by these and few genes share it
 GENE = ["txStart", "chrom", "name", "strand", "txEnd", "copy"]
+# genes are dealt by their places: a name that a query fixes is no key of its plan, and partitions named by it would be dealt once more
+PLACE = [c for c in GENE if c != "name"]
 
 
 def told_apart(genes: DataFrame, parts: int | None = None) -> DataFrame:
     """Genes with ``copy``: the number, from 0, among rows of equal name, strand and bounds, by exons; every row is a gene of its own. ``parts``: partitions that they are dealt to."""
     ties = [c for c in ("exonStarts", "exonEnds") if c in genes.columns]
-    return dealt_to(genes, parts, *GENE[:-1]).withColumn("copy", F.row_number().over(W.partitionBy(*GENE[:-1]).orderBy(*(ties or [F.lit(0)]))) - 1)
+    return dealt_to(genes, parts, *PLACE[:-1]).withColumn("copy", F.row_number().over(W.partitionBy(*GENE[:-1]).orderBy(*(ties or [F.lit(0)]))) - 1)
 
 
 def gene_points(spans: DataFrame, track: DataFrame, parts: int | None = None) -> DataFrame:
     """Points inside spans of genes, dealt by genes to ``parts`` partitions, so that all that is grouped by genes lies where it is."""
     rows = points_in(spans, track, BIN, closed=False, levels=False, parts=parts)
-    return rows.repartition(*([parts] if parts else []), *GENE)
+    return rows.repartition(*([parts] if parts else []), *PLACE)
 
 
 def middle_rows(rows: DataFrame, *keys: str) -> DataFrame:
