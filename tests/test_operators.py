@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackweave import plans
 from trackweave.functions import probability as D
 from trackweave.functions import strings as S
 from trackweave.operators import aggregates as A
@@ -295,6 +296,26 @@ def test_tails_against_exact_sums():
     assert D.binomial_tail_value(5 * 10**6, 10**7, 0.5, True) == pytest.approx(0.5 - 0.5 / math.sqrt(2 * math.pi * 2.5e6), abs=1e-8)
 
 
+def test_scores_add_the_whole_tail(spark, tmp_path):
+    # expectations some 1000 above small values: the first 399 terms of the tail leave nearly all of it out
+    n = 400
+    events = [(i, 0, "a", 4.0 * i if i < n - 1 else 9000.0) for i in range(n)] + [(i, 1, "a", 20.0) for i in range(n)] + [(i, 1, "b", 780.0) for i in range(n)]
+    rows = frame(spark, events, "s long, user_id long, event_type string, value double")
+    rows.selectExpr("cast(timestamp_seconds(s) as timestamp_ntz) AS ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.pos: r.score for r in plans.QUERIES["treatment_control_scores"](spark, str(tmp_path)).collect()}
+    met = {r.pos: (int(r.value), r.expected) for r in plans.QUERIES["treatment_control_difference"](spark, str(tmp_path)).collect()}
+
+    def score(k, e, terms):
+        p = math.fsum(math.exp(-e + i * math.log(e) - math.lgamma(i + 1)) for i in range(k + 1, k + 1 + terms))
+        return 2900.0 if p < 1e-290 else abs(-10 * math.log10(min(p, 1)))
+
+    want = {at: score(k, e, 400 + int(e + 40 * math.sqrt(e))) for at, (k, e) in met.items()}
+    cut = {at: score(k, e, 399) for at, (k, e) in met.items()}
+    assert len(got) == n and got == pytest.approx(want, abs=2e-4)
+    assert max(got.values()) == 2900 and sum(0 < x < 2900 for x in got.values()) > 100
+    assert sum(cut[at] - got[at] > 10 for at in got) > 100
+
+
 def test_top_keeps_ties(spark):
     df = frame(spark, [(i, float(s)) for i, s in enumerate((5, 3, 3, 1, 9))], "id long, score double")
     assert sorted(r.id for r in L.top_by_score(df, 3).collect()) == [0, 1, 2, 4]
